@@ -25,7 +25,7 @@ def _c(x) -> Column:
 # --------------------------------------------------------------------------
 
 def coerce_double(c) -> Column:
-    """Text or number -> double; unparsable, NaN and +-inf text -> null.
+    """Text or number -> double; unparsable text and NaN -> null.
 
     ``try_cast`` keeps ANSI mode from raising; NaN is turned into null right
     after parsing because pandas treats it as missing (trap T2).
@@ -37,9 +37,8 @@ def coerce_double(c) -> Column:
 def coerce_timestamp(c, fmt: str | None = None) -> Column:
     """Unparsable text -> null (``to_timestamp`` would raise under ANSI)."""
     col = _c(c).cast("string")
-    if fmt:
-        return F.try_to_timestamp(col, F.lit(fmt))
-    return F.try_to_timestamp(col)
+    ts = F.try_to_timestamp(col, F.lit(fmt)) if fmt else F.try_to_timestamp(col)
+    return ts.cast("timestamp_ntz")
 
 
 def fill_null(c, default) -> Column:

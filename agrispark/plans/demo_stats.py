@@ -131,7 +131,7 @@ def q_a9(spark, sf):
 
 
 @register("A10_top_class_ratio", """
-SELECT max(n) AS top_n, sum(n) AS total, max(n) / sum(n) AS ratio, max(n) / sum(n) > 0.5 AS imbalanced
+SELECT max(n) AS top_n, CAST(sum(n) AS BIGINT) AS total, max(n) / sum(n) AS ratio, max(n) / sum(n) > 0.5 AS imbalanced
 FROM (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY quality)
 """)
 def q_a10(spark, sf):
