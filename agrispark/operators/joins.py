@@ -131,10 +131,29 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, feats: Sequence[str]
     for r in cs:
         d2 = None
         for f in feats:
-            term = F.pow(F.col(f) - F.lit(float(r[f])), 2)
+            diff = F.col(f) - F.lit(float(r[f]))
+            term = diff * diff
             d2 = term if d2 is None else d2 + term
         structs.append(F.struct(F.sqrt(d2).alias("dist"), F.lit(r[label]).alias("lab")))
-    best = F.array_min(F.array(*structs))
+    any_null = F.lit(False)
+    for f in feats:
+        any_null = any_null | F.col(f).isNull()
+    best = F.when(~any_null, F.array_min(F.array(*structs)))
+    return rows.withColumns({"rule_label": best["lab"], "rule_distance": best["dist"]})
+
+
+def nearest_centroid_vec(rows: DataFrame, centroids: DataFrame, vec: str, centroid: str = "centroid",
+                         label: str = "label", max_centroids: int = 10_000) -> DataFrame:
+    """J9 for array features (embeddings): same plan, distances via higher-order functions."""
+    cs = collect_bounded(centroids.select(label, centroid), max_centroids, "centroid table")
+    cs = sorted(cs, key=lambda r: r[label])
+    structs = []
+    for r in cs:
+        c = F.array(*[F.lit(float(x)) for x in r[centroid]])
+        sq = F.zip_with(F.col(vec), c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
+        d = F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
+        structs.append(F.struct(d.alias("dist"), F.lit(r[label]).alias("lab")))
+    best = F.when(F.col(vec).isNotNull(), F.array_min(F.array(*structs)))
     return rows.withColumns({"rule_label": best["lab"], "rule_distance": best["dist"]})
 
 
@@ -165,7 +184,8 @@ def tiered_match(queries: DataFrame, places: DataFrame, q_key: str, q_text: str,
     names (tier 1), all their prefixes (tier 2) and all their substrings
     (tier 3) as join keys, so the query side is matched by hash join instead
     of a nested loop. A name of length L yields L prefixes and L(L+1)/2
-    substrings; place names are short labels. The winner per query is the
+    substrings; only lengths that occur among the queries are generated, so
+    the fan-out is L x (number of distinct query lengths). The winner per query is the
     lowest (tier, ordinal): ``min_by`` over a struct, one aggregation
     partitioned by query. Queries without any match are absent (callers use
     a left-anti join to report them).
@@ -175,13 +195,21 @@ def tiered_match(queries: DataFrame, places: DataFrame, q_key: str, q_text: str,
         s = places.select(F.col(ordinal).alias("__ord"), F.lower(F.col(c)).alias("__nm"))
         names = s if names is None else names.unionByName(s)
     names = names.where(F.col("__nm").isNotNull() & (F.length("__nm") > 0))
+    q = queries.select(F.col(q_key), F.lower(F.trim(F.col(q_text))).alias("__key"))
+    # only substring lengths that some query has (a bounded set: <= longest text)
+    lens = [r[0] for r in collect_bounded(q.select(F.length("__key")).distinct(), 100_000, "query lengths")
+            if r[0] is not None]
+    if not lens:
+        return q.select(q_key, F.lit(None).cast("int").alias("tier"),
+                        F.lit(None).cast(places.schema[ordinal].dataType).alias(ordinal)).limit(0)
     n = F.length("__nm")
+    want = F.array(*[F.lit(int(x)) for x in sorted(lens)])
     starts = F.sequence(F.lit(1), n)
     # every (start, length) pair -> substring; tier 1 / 2 flags from position
     subs = names.select(
         "__ord", "__nm",
         F.explode(F.flatten(F.transform(starts, lambda i: F.transform(
-            F.sequence(F.lit(1), n - i + 1),
+            F.filter(want, lambda ln: ln <= n - i + 1),
             lambda ln: F.struct(F.substring(F.col("__nm"), i, ln).alias("k"), i.alias("st"), ln.alias("ln"))))))
         .alias("s"))
     keyed = subs.select(
@@ -190,7 +218,6 @@ def tiered_match(queries: DataFrame, places: DataFrame, q_key: str, q_text: str,
         F.when((F.col("s.st") == 1) & (F.col("s.ln") == F.length("__nm")), F.lit(1))
          .when(F.col("s.st") == 1, F.lit(2)).otherwise(F.lit(3)).alias("__tier"))
     keyed = keyed.groupBy("__key", "__ord").agg(F.min("__tier").alias("__tier"))
-    q = queries.select(F.col(q_key), F.lower(F.trim(F.col(q_text))).alias("__key"))
     j = q.join(keyed, on="__key", how="inner")
     best = j.groupBy(q_key).agg(F.min(F.struct("__tier", "__ord")).alias("__b"))
     return best.select(q_key, F.col("__b.__tier").alias("tier"), F.col("__b.__ord").alias(ordinal))
