@@ -100,18 +100,36 @@ def union_tagged(train: DataFrame, test: DataFrame, tag: str = "dataset_split")
 
 
 def history_forecast_union(history: DataFrame, forecast: DataFrame, date: str = "date",
-                           hist_val: str = "rainfall", fc_val: str = "prediction") -> DataFrame:
+                           hist_val: str = "rainfall", fc_val: str = "prediction",
+                           keys: Sequence[str] = ()) -> DataFrame:
     """One date axis; history and forecast in separate, null-padded columns.
 
     The forecast column is ``rainfall ?? prediction`` of the forecast rows.
     """
-    h = history.select(F.col(date).alias("date"), F.col(hist_val).alias("history"))
+    h = history.select(*keys, F.col(date).alias("date"), F.col(hist_val).alias("history"))
     fc_cols = forecast.columns
     fv = F.coalesce(*[F.col(c) for c in (hist_val, fc_val) if c in fc_cols])
-    f = forecast.select(F.col(date).alias("date"), fv.alias("forecast"))
+    f = forecast.select(*keys, F.col(date).alias("date"), fv.alias("forecast"))
     return h.unionByName(f, allowMissingColumns=True)
 
 
+def shape_series_points(points: Column, numeric: bool = False) -> Column:
+    """Forecast points -> array of struct(date, rainfall, prediction).
+
+    Numeric points become ('Step i', v or 0, v or 0); struct points keep their
+    date (else 'Step i') and fill rainfall / prediction from each other, then 0.
+    """
+    def one(p, i):
+        step = F.concat(F.lit("Step "), (i + 1).cast("string"))
+        if numeric:
+            v = F.coalesce(p.cast("double"), F.lit(0.0))
+            return F.struct(step.alias("date"), v.alias("rainfall"), v.alias("prediction"))
+        return F.struct(F.coalesce(p["date"], step).alias("date"),
+                        F.coalesce(p["rainfall"], p["prediction"], F.lit(0.0)).alias("rainfall"),
+                        F.coalesce(p["prediction"], p["rainfall"], F.lit(0.0)).alias("prediction"))
+    return F.transform(points, one)
+
+
 def key_union(parts: Sequence[DataFrame], key: str) -> DataFrame:
     """Distinct union of keys (sort at output)."""
     out = None
