@@ -27,34 +27,45 @@ def random_split(df: DataFrame, key: str, test_frac: float = 0.2, seed: int = 42
     return df.withColumn(out, F.when(u < test_frac, "test").otherwise("train"))
 
 
+def first_k_by_hash(df: DataFrame, group: str, key: str, k_per_group: DataFrame, seed: int = 42,
+                    buckets: int = 65536, out: str = "__take") -> DataFrame:
+    """Flag exactly the first ``k`` rows per group in md5(key|seed) order, skew-safe.
+
+    ``k_per_group`` has columns (group, k). Equivalent to
+    ``row_number() over (partition by group order by h, key) <= k`` without a
+    per-group sort: the 32-bit hash is bucketed, per-(group, bucket) counts
+    (at most groups x ``buckets`` rows) give running totals, whole buckets are
+    decided at once and only the boundary bucket of each group is ranked row
+    by row (a handful of rows, since the hash of unique keys is uniform).
+    """
+    h = sample_key(key, seed)
+    d = df.withColumns({"__h": h, "__b": (h / F.lit(TWO32 / buckets)).cast("long")})
+    cnt = d.groupBy(group, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    wl = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    cnt = cnt.withColumn("__cum", F.sum("__c").over(wl)).join(
+        k_per_group.select(group, F.col("k").cast("long").alias("__k")), group, "left")
+    cnt = cnt.withColumns({"__k": F.coalesce("__k", F.lit(0)), "__before": F.col("__cum") - F.col("__c")})
+    j = d.join(cnt.select(group, "__b", "__k", "__before", "__cum"), [group, "__b"])
+    inner = Window.partitionBy(group, "__b").orderBy("__h", key)
+    boundary = (F.col("__before") < F.col("__k")) & (F.col("__cum") > F.col("__k"))
+    rank = F.when(boundary, F.row_number().over(inner))
+    take = (F.when(F.col("__cum") <= F.col("__k"), True)
+            .when(F.col("__before") >= F.col("__k"), False)
+            .otherwise(F.col("__before") + rank <= F.col("__k")))
+    return j.withColumn(out, take).drop("__h", "__b", "__k", "__before", "__cum")
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: int = 42,
                      out: str = "dataset_split", buckets: int = 65536) -> DataFrame:
     """M2: per class, the first floor(n_c * (1 - test_frac)) rows in md5(key|seed) order train.
 
     Equivalent to ``row_number() over (partition by label order by h, key)``
-    but skew-safe: a window partitioned by label would put a hot class in one
-    task. Instead the 32-bit hash is bucketed; per-(class, bucket) counts (at
-    most classes x ``buckets`` rows) give running totals, whole buckets are
-    assigned directly, and only the one boundary bucket per class is ranked
-    row by row (a few rows, since the hash is uniform over unique keys).
+    but skew-safe (see ``first_k_by_hash``): a window partitioned by label
+    would put a hot class into one task.
     """
-    h = sample_key(key, seed)
-    d = df.withColumns({"__h": h, "__b": (h / F.lit(TWO32 / buckets)).cast("long")})
-    cnt = d.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    wl = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    cnt = cnt.withColumns({"__cum": F.sum("__c").over(wl),
-                           "__n": F.sum("__c").over(Window.partitionBy(label))})
-    cnt = cnt.withColumns({"__k": F.floor(F.col("__n") * F.lit(1.0 - test_frac)).cast("long"),
-                           "__before": F.col("__cum") - F.col("__c")})
-    j = d.join(cnt.select(label, "__b", "__k", "__before", "__cum"), [label, "__b"])
-    inner = Window.partitionBy(label, "__b").orderBy("__h", key)
-    boundary = (F.col("__before") < F.col("__k")) & (F.col("__cum") > F.col("__k"))
-    rank = F.when(boundary, F.row_number().over(inner))
-    is_train = (F.when(F.col("__cum") <= F.col("__k"), True)
-                .when(F.col("__before") >= F.col("__k"), False)
-                .otherwise(F.col("__before") + rank <= F.col("__k")))
-    return j.withColumn(out, F.when(is_train, "train").otherwise("test")).drop(
-        "__h", "__b", "__k", "__before", "__cum")
+    ks = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) * F.lit(1.0 - test_frac)).alias("k"))
+    t = first_k_by_hash(df, label, key, ks, seed, buckets)
+    return t.withColumn(out, F.when(F.col("__take"), "train").otherwise("test")).drop("__take")
 
 
 def _is_train(split_col: str) -> Column:
