@@ -34,6 +34,26 @@ def coerce_double(c) -> Column:
     return F.when(F.isnan(parsed), F.lit(None).cast("double")).otherwise(parsed)
 
 
+def coerce_double_in(df, c: str) -> Column:
+    """P7 with the schema at hand: numeric columns are cast directly (no text
+    round trip per row); text and other types take the ``try_cast`` path."""
+    from pyspark.sql import types as T
+    dt = df.schema[c].dataType
+    if isinstance(dt, (T.NumericType, T.BooleanType)):
+        v = F.col(c).cast("double")
+        return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
+    return coerce_double(c)
+
+
+def coerce_int_in(df, c: str) -> Column:
+    """Integer coercion with the schema at hand (``try_cast`` only for text)."""
+    from pyspark.sql import types as T
+    dt = df.schema[c].dataType
+    if isinstance(dt, T.IntegralType):
+        return F.col(c).cast("int")
+    return F.trim(F.col(c).cast("string")).try_cast("int")
+
+
 def coerce_timestamp(c, fmt: str | None = None) -> Column:
     """Unparsable text -> null (``to_timestamp`` would raise under ANSI)."""
     col = _c(c).cast("string")
@@ -53,9 +73,14 @@ def norm_key(c) -> Column:
 
 def year_start_ts(y) -> Column:
     """Year -> Jan 1 00:00 timestamp (no zone); bad year -> null."""
-    yr = F.trim(_c(y).cast("string")).try_cast("int")
-    return F.try_to_timestamp(F.concat(F.lpad(yr.cast("string"), 4, "0"), F.lit("-01-01")),
-                              F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
+    col = _c(y)
+    yr = F.trim(col.cast("string")).try_cast("int") if not isinstance(y, int) else F.lit(y)
+    return F.try_make_timestamp_ntz(yr, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+
+
+def year_start_ts_int(y) -> Column:
+    """X2 for an integer year column (no text round trip)."""
+    return F.try_make_timestamp_ntz(_c(y), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
 
 
 def date_key_iso(k) -> Column:

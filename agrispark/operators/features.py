@@ -183,7 +183,11 @@ def preprocess_table(df: DataFrame, target: str, key: str, regression: bool = Fa
         d = stratified_split(d, target, key, test_frac, seed)
     else:
         d = random_split(d, key, test_frac, seed)
-    d = d.withColumns({c: F.col(c).cast("double") for c in num})
+    # the fit passes below (medians, modes, moments, categories, classes) all read
+    # the split table: cut its lineage once with a reliable checkpoint
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(d.sparkSession)
+    d = d.withColumns({c: F.col(c).cast("double") for c in num}).checkpoint(eager=True)
     if num:
         d = impute_median(d, num)
         d = standardise(d, num, prefix="num__")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import (coerce_double, delta, norm_key, safe_ratio, year_start_ts)
+from ..functions.scalar import (coerce_double_in, coerce_int_in, delta, norm_key, safe_ratio, year_start_ts_int)
 from ..operators.aggregates import geo_centroid, group_mean, group_median
 from ..operators.filters import drop_null_rows
 from ..operators.joins import join_centroid, join_priors, join_yearly, lookup_cached, with_geo_key
@@ -44,16 +44,15 @@ def load_climate(raw: DataFrame) -> DataFrame:
     """Climate table: rename, require, trim, coerce, year-start timestamp, clean."""
     d = rename_present(raw, CLIMATE_RENAMES)
     require_columns(d, CLIMATE_REQUIRED, "climate dataset")
-    yr = F.trim(F.col("year").cast("string")).try_cast("int")
     d = d.select(
         F.trim(F.col("country").cast("string")).alias("country"),
         F.trim(F.col("region").cast("string")).alias("region"),
-        yr.alias("year"),
+        coerce_int_in(d, "year").alias("year"),
         F.trim(F.col("crop_type").cast("string")).alias("crop_type"),
-        coerce_double("temperature_c").alias("temperature_c"),
-        coerce_double("rainfall_mm").alias("rainfall_mm"),
-        coerce_double("crop_yield").alias("crop_yield"),
-    ).withColumn("timestamp", year_start_ts("year"))
+        coerce_double_in(d, "temperature_c").alias("temperature_c"),
+        coerce_double_in(d, "rainfall_mm").alias("rainfall_mm"),
+        coerce_double_in(d, "crop_yield").alias("crop_yield"),
+    ).withColumn("timestamp", year_start_ts_int("year"))
     d = d.where(F.col("country").isNotNull() & F.col("region").isNotNull()
                 & F.col("timestamp").isNotNull() & F.col("crop_type").isNotNull())
     return d.where(_nonblank("country") & _nonblank("crop_type"))
@@ -64,7 +63,7 @@ def load_soil(raw: DataFrame) -> DataFrame:
     d = normalise_headers(raw)
     require_columns(d, SOIL_REQUIRED, "recommendation dataset")
     num = [c for c in ("n", "p", "k", "temperature", "humidity", "rainfall", "ph") if c in d.columns]
-    d = d.select(norm_key("crop_type").alias("crop_type"), *[coerce_double(c).alias(c) for c in num])
+    d = d.select(norm_key("crop_type").alias("crop_type"), *[coerce_double_in(d, c).alias(c) for c in num])
     return d.where(_nonblank("crop_type"))
 
 
@@ -114,7 +113,7 @@ def build_timeline(climate: DataFrame, weather_raw: DataFrame, cache: DataFrame
     nasa_rh2m.
     """
     weather = normalise_weather(weather_raw)
-    c = climate.withColumn("timestamp", year_start_ts("year"))
+    c = climate.withColumn("timestamp", year_start_ts_int(coerce_int_in(climate, "year")))
     wd = weather.where(F.col("country").isNotNull() & F.col("timestamp").isNotNull()).withColumn(
         "year", F.year("timestamp"))
     yearly = group_mean(wd, ["country", "year"], ["temperature_c", "precipitation_mm", "humidity"])
