@@ -56,8 +56,11 @@ SELECT o_orderkey, CAST(rank AS INTEGER) AS rank, label, score FROM (
 """)
 def q_l2a(spark, sf):
     s = order_scores(spark, sf)
-    per = s.groupBy("o_orderkey").agg(F.collect_list("label").alias("labels"), F.collect_list("score").alias("p"))
-    top = per.select("o_orderkey", F.posexplode(L.top_k_array(F.col("labels"), F.col("p"), 3)).alias("r", "t"))
+    # one list of (label, score) pairs per row (bounded by the class count), split into parallel arrays
+    per = s.groupBy("o_orderkey").agg(F.collect_list(F.struct("label", "score")).alias("ls"))
+    labels = F.transform("ls", lambda x: x["label"])
+    probs = F.transform("ls", lambda x: x["score"])
+    top = per.select("o_orderkey", F.posexplode(L.top_k_array(labels, probs, 3)).alias("r", "t"))
     return top.select("o_orderkey", (F.col("r") + 1).alias("rank"), F.col("t.label").alias("label"),
                       F.col("t.p").alias("score"))
 

@@ -298,3 +298,54 @@ def test_guards_raise(spark):
         Q.require_non_empty(spark.range(0))
     with pytest.raises(Q.DataQualityError):
         Q.require_min_classes(spark.createDataFrame([("a",), ("b",)], "y string"), "y", 5)
+
+
+# --- metadata helpers (no Spark job) ---------------------------------------------
+
+def test_resolve_alias_and_renames(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "`Crop Type` int, Temperature double, rain double")
+    assert S.resolve_alias(df, ["croptype", "crop_type"]) == "Crop Type"
+    assert S.resolve_alias(df, ["yield"]) is None
+    out = S.rename_aliases(df, {"crop_type": ["Crop Type"], "rainfall": ["rain", "precip"]})
+    assert out.columns == ["crop_type", "Temperature", "rainfall"]
+    assert S.rename_present(df, {"rain": "rainfall", "absent": "x"}).columns == ["Crop Type", "Temperature", "rainfall"]
+
+
+def test_normalise_headers_label_to_crop_type(spark):
+    df = spark.createDataFrame([(1, "x")], "` N ` int, Label string")
+    assert S.normalise_headers(df).columns == ["n", "crop_type"]
+    df2 = spark.createDataFrame([("a", "b")], "label string, crop_type string")
+    assert S.normalise_headers(df2).columns == ["label", "crop_type"]
+
+
+def test_infer_feature_kinds(spark):
+    df = spark.createDataFrame([(1, 2.0, True, "x", "y")], "a int, b double, c boolean, d string, target string")
+    assert S.infer_feature_kinds(df, "target") == (["a", "b", "c"], ["d"])
+
+
+def test_scan_missing_file_and_first_available(spark, tmp_path):
+    from agrispark.sources import files as SF
+    with pytest.raises(FileNotFoundError):
+        SF.scan_table(spark, str(tmp_path / "absent.parquet"))
+    p = str(tmp_path / "present")
+    spark.range(3).write.parquet(p)
+    assert SF.first_available_source(spark, [str(tmp_path / "absent"), p]) == p
+    with pytest.raises(FileNotFoundError):
+        SF.first_available_source(spark, [str(tmp_path / "absent")])
+
+
+def test_climatology_day_variant(spark):
+    from agrispark.sources.jsonmaps import climatology_extract
+    doc = '{"properties": {"parameter": {"T2M": {"20240101": 11.5}, "PRECTOTCORR": {"20240101": 2.0}}}}'
+    df = spark.createDataFrame([(doc,)], "d string")
+    c = climatology_extract(F.col("d"), [("T2M", "t", 25.0, 1.0), ("PRECTOTCORR", "r", 2.0, 365.0),
+                                         ("RH2M", "h", 60.0, 1.0)], period="20240101")
+    r = df.select(c.alias("c")).select("c.*").first()
+    assert (r["t"], r["r"], r["h"]) == (11.5, 730.0, 60.0)
+
+
+def test_streaming_frames_are_refused(spark):
+    from agrispark.streaming import require_bounded
+    s = spark.readStream.format("rate").load()
+    with pytest.raises(ValueError):
+        require_bounded(s)
