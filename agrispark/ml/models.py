@@ -262,9 +262,9 @@ def kmeans_assign(df: DataFrame, feats: Sequence[str], centres: Sequence[Sequenc
 
 def cluster_alignment(df: DataFrame, cluster: str, target: str, qs=(0.33, 0.66)) -> DataFrame:
     """ML7: pseudo labels from target quantiles; cluster -> majority pseudo label; accuracy, F1, RMSE."""
-    q = df.agg(F.percentile(F.col(target), F.array(*[F.lit(x) for x in qs])).alias("q"))
-    lo = q.select(F.col("q")[0]).scalar()
-    hi = q.select(F.col("q")[1]).scalar()
+    from ..operators.aggregates import exact_quantile
+    lo = exact_quantile(df, [], target, qs[0], out="q").scalar()
+    hi = exact_quantile(df, [], target, qs[1], out="q").scalar()
     d = df.withColumn("pseudo", F.when(F.col(target) <= lo, 0).when(F.col(target) >= hi, 2).otherwise(1))
     mapping = group_mode(d, cluster, "pseudo").withColumnRenamed("pseudo", "mapped")
     j = d.join(mapping, cluster, "left").select(F.col("pseudo").cast("string").alias("actual"),

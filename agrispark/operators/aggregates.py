@@ -25,24 +25,62 @@ def _not_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(cond)
 
 
+# Quantile methods:
+#   "distributed"  exact, skew-safe (``exact_quantile``): the default for data-sized inputs
+#   "exact"        Spark ``percentile``: one aggregate, but a group's distinct values meet in one task
+#   "approx"       ``percentile_approx`` (bounded sketch, rank error 1/accuracy)
+DEFAULT_QUANTILE_METHOD = "distributed"
+
+
 def _median(c: str, approx: bool):
     if approx:
         return F.percentile_approx(F.col(c), 0.5, 10000).cast("double")
     return F.percentile(F.col(c), F.lit(0.5))
 
 
+def group_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], q: float,
+                    method: str = DEFAULT_QUANTILE_METHOD, suffix: str = "") -> DataFrame:
+    """Quantile ``q`` of several columns per group, one row per group.
+
+    ``distributed``: the columns are unpivoted with ``stack`` into
+    (keys, column, value) and one distributed selection runs over
+    (keys, column) groups, then the result is pivoted back (fixed column list).
+    """
+    keys = list(keys)
+    cols = list(cols)
+    if method != "distributed":
+        if method == "approx":
+            aggs = [F.percentile_approx(F.col(c), float(q), 10000).cast("double").alias(c + suffix) for c in cols]
+        else:
+            aggs = [F.percentile(F.col(c), F.lit(float(q))).alias(c + suffix) for c in cols]
+        return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    stack = "stack({}, {}) as (__col, __v)".format(
+        len(cols), ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols))
+    long = df.select(*keys, F.expr(stack))
+    qv = exact_quantile(long, [*keys, "__col"], "__v", q, out="__q")
+    pv = qv.groupBy(*keys).pivot("__col", cols).agg(F.first("__q")) if keys else \
+        qv.groupBy().pivot("__col", cols).agg(F.first("__q"))
+    return pv.select(*keys, *[F.col(c).alias(c + suffix) for c in cols])
+
+
 def group_median(df: DataFrame, key: str, cols: Sequence[str], normalise: bool = True,
-                 approx: bool = False, suffix: str = "") -> DataFrame:
-    """A1: median per group, nulls skipped; key optionally trim/lower-ed."""
+                 approx: bool = False, suffix: str = "", method: str | None = None) -> DataFrame:
+    """A1: median per group, nulls skipped; key optionally trim/lower-ed.
+
+    Exact by default via distributed selection (skew-safe); ``approx=True``
+    uses a bounded sketch; ``method="exact"`` uses Spark's ``percentile``.
+    """
     k = norm_key(key) if normalise else F.col(key)
     d = df.select(k.alias(key), *cols)
     d = _not_null_keys(d, [key])
-    return d.groupBy(key).agg(*[_median(c, approx).alias(c + suffix) for c in cols])
+    m = "approx" if approx else (method or DEFAULT_QUANTILE_METHOD)
+    return group_quantiles(d, [key], cols, 0.5, m, suffix)
 
 
-def global_median(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
+def global_median(df: DataFrame, col: str, approx: bool = False, method: str | None = None) -> DataFrame:
     """A2: one-row median over rows (not over group medians)."""
-    return df.agg(_median(col, approx).alias(col))
+    m = "approx" if approx else (method or DEFAULT_QUANTILE_METHOD)
+    return group_quantiles(df, [], [col], 0.5, m)
 
 
 def fill_with_global_median(df: DataFrame, col: str, default: float = 60.0,
@@ -89,8 +127,18 @@ def label_centroids_array(df: DataFrame, label: str, vec: str, dim: int) -> Data
 
 
 def quantile_thresholds(df: DataFrame, feats: Sequence[str], qs: Sequence[float] = (0.25, 0.75),
-                        names: Sequence[str] = ("low", "high"), approx: bool = False) -> DataFrame:
+                        names: Sequence[str] = ("low", "high"), approx: bool = False,
+                        method: str | None = None) -> DataFrame:
     """Per-feature linear-interpolated quantiles, unpivoted to (feature, low, high)."""
+    m = "approx" if approx else (method or DEFAULT_QUANTILE_METHOD)
+    if m == "distributed":
+        out = None
+        for qv, name in zip(qs, names):
+            one = group_quantiles(df, [], feats, qv, "distributed")
+            one = one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias(name))
+                                                for f in feats])))
+            out = one if out is None else out.join(one, "feature")
+        return out
     aggs = []
     for f in feats:
         if approx:
@@ -293,3 +341,102 @@ def counts_with_all_classes(df: DataFrame, col: str, classes: Sequence) -> DataF
 def add_share(df: DataFrame, n: str = "n", out: str = "share") -> DataFrame:
     """Share of each row in the column total (for small, aggregated tables)."""
     return df.withColumn(out, F.col(n) / F.sum(n).over(Window.partitionBy()))
+
+
+# --------------------------------------------------------------------------
+# Exact quantiles by distributed selection (skew-safe)
+# --------------------------------------------------------------------------
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a small intermediate (one row per group or a shrunken subset)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], col: str, q: float, grid: int = 1000,
+                   accuracy: int = 20000, passes: int = 3, small_group: int = 1_000_000,
+                   out: str | None = None) -> DataFrame:
+    """Exact linear-interpolated quantile per group, without holding a big group in one task.
+
+    Spark's exact ``percentile`` merges all distinct values of a group in one
+    task, so a group holding a third of the data would have to fit in one
+    executor. Distributed selection instead:
+
+    1. counts rows per group and fixes the two target ranks
+       ``floor(q(n-1))`` / ``ceil(q(n-1))`` (0-based; null and NaN skipped);
+    2. for groups above ``small_group`` rows only, ``passes`` times: reads a
+       ``grid``-point ``percentile_approx`` sketch of the current subset
+       (bounded memory, mergeable), takes the grid values one step outside
+       the targets as a bracket (the sketch's rank error ``1/accuracy`` is
+       below the grid step, so the bracket always holds the targets), counts
+       exactly how many rows fall below it and keeps only the rows inside it
+       (about 3/grid of the subset); the small per-group state and the
+       shrunken subset are checkpointed each pass;
+    3. counts the remaining rows per distinct value and reads the exact order
+       statistics with a running sum (at most ``small_group`` rows per group).
+
+    Equals ``percentile(col, q)`` (numpy / pandas linear rule). Groups whose
+    values are all null come back with a null value.
+    """
+    keys = list(keys)
+    out = out or col
+    gk = [*keys, "__g"]
+    base = df.withColumn("__g", F.lit(0))
+    xv = F.col(col).cast("double")
+    # NaN counts as missing (pandas rule); null rows stay so all-null groups survive
+    d_all = base.select(*gk, F.when(F.isnan(xv), F.lit(None).cast("double")).otherwise(xv).alias("__x"))
+    d = d_all.where(F.col("__x").isNotNull())
+    st = d_all.groupBy(*gk).agg(F.count("__x").alias("__m"))
+    st = st.select(*gk, (F.lit(float(q)) * (F.col("__m") - 1)).alias("__pos"), "__m",
+                   F.lit(0).cast("long").alias("__off"))
+    st = st.withColumns({"__r0": F.floor("__pos").cast("long"), "__r1": F.ceil("__pos").cast("long")})
+    cur = d_all
+    big_st = st.where(F.col("__m") > small_group)
+    bracketed = passes > 0 and not big_st.isEmpty()
+    if bracketed:
+        st = _cut(st)
+        big_st = st.where(F.col("__m") > small_group)
+        small_st = st.where(F.col("__m") <= small_group)
+        bcur = d.join(big_st.select(*gk), gk, "left_semi")
+        pts = [i / grid for i in range(grid + 1)]
+        for _ in range(passes):
+            sk = bcur.groupBy(*gk).agg(F.percentile_approx("__x", pts, accuracy).alias("__sk"))
+            denom = F.greatest(F.col("__m") - 1, F.lit(1)).cast("double")
+            i0 = F.floor((F.col("__r0") - F.col("__off")) / denom * grid).cast("int") - 1
+            i1 = F.ceil((F.col("__r1") - F.col("__off")) / denom * grid).cast("int") + 1
+            lo = F.when(i0 <= 0, F.lit(None).cast("double")).otherwise(F.element_at("__sk", i0 + 1))
+            hi = F.when(i1 >= grid, F.lit(None).cast("double")).otherwise(F.element_at("__sk", i1 + 1))
+            br = _cut(big_st.join(sk, gk).select(*gk, "__pos", "__r0", "__r1", "__off", "__m",
+                                                 lo.alias("__lo"), hi.alias("__hi")))
+            jn = bcur.join(br.select(*gk, "__lo", "__hi"), gk)
+            below = F.col("__lo").isNotNull() & (F.col("__x") < F.col("__lo"))
+            inside = (F.col("__lo").isNull() | (F.col("__x") >= F.col("__lo"))) & \
+                     (F.col("__hi").isNull() | (F.col("__x") <= F.col("__hi")))
+            cnt = jn.groupBy(*gk).agg(F.count_if(below).alias("__below"), F.count_if(inside).alias("__m2"))
+            big_st = _cut(br.join(cnt, gk).select(*gk, "__pos", "__r0", "__r1",
+                                                  (F.col("__off") + F.col("__below")).alias("__off"),
+                                                  F.col("__m2").alias("__m")))
+            bcur = _cut(jn.where(inside).select(*gk, "__x"))
+        st = small_st.unionByName(big_st)
+        cur = d_all.join(small_st.select(*gk), gk, "left_semi").unionByName(bcur)
+    # exact order statistics among the remaining distinct values
+    vc = cur.groupBy(*gk, "__x").agg(F.count(F.lit(1)).alias("__c0"))
+    vc = vc.withColumn("__c", F.when(F.col("__x").isNotNull(), F.col("__c0")).otherwise(F.lit(0)))
+    w = Window.partitionBy(*gk).orderBy(F.col("__x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    vc = vc.withColumn("__cum", F.sum("__c").over(w))
+    if bracketed:
+        vc = vc.join(st.select(*gk, "__pos", "__r0", "__r1", "__off"), gk)
+    else:  # no bracketing: group size from the same window partition, no second scan
+        pos = F.lit(float(q)) * (F.sum("__c").over(Window.partitionBy(*gk)) - 1)
+        vc = vc.withColumn("__pos", pos).withColumns({
+            "__r0": F.floor("__pos").cast("long"), "__r1": F.ceil("__pos").cast("long"),
+            "__off": F.lit(0).cast("long")})
+    # value at local rank r: the first distinct value whose running count exceeds r
+    v0 = F.min(F.when(F.col("__cum") > F.col("__r0") - F.col("__off"), F.col("__x")))
+    v1 = F.min(F.when(F.col("__cum") > F.col("__r1") - F.col("__off"), F.col("__x")))
+    res = vc.groupBy(*gk).agg(v0.alias("__v0"), v1.alias("__v1"), F.max("__pos").alias("__pos"))
+    val = F.col("__v0") + (F.col("__pos") - F.floor("__pos")) * (F.col("__v1") - F.col("__v0"))
+    return res.select(*keys, val.alias(out))
+
+

@@ -75,18 +75,24 @@ def _is_train(split_col: str) -> Column:
 def impute_median(df: DataFrame, cols: Sequence[str], split_col: str = "dataset_split",
                   approx: bool = False) -> DataFrame:
     """M3: nulls -> medians fit on the train rows (exact ``percentile``; ``approx`` for huge data)."""
+    from .aggregates import group_quantiles
     tr = df.where(_is_train(split_col))
-    aggs = [(F.percentile_approx(c, 0.5, 10000).cast("double") if approx else F.percentile(F.col(c), F.lit(0.5)))
-            .alias(c) for c in cols]
-    stats = collect_bounded(tr.agg(*aggs), 1, "median row")[0]
+    meds = group_quantiles(tr, [], list(cols), 0.5, "approx" if approx else "distributed")
+    stats = collect_bounded(meds, 1, "median row")[0]
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(stats[c])) for c in cols})
 
 
 def impute_mode(df: DataFrame, cols: Sequence[str], split_col: str = "dataset_split") -> DataFrame:
     """M4: nulls -> most frequent train value (ties -> smallest)."""
     tr = df.where(_is_train(split_col))
-    stats = collect_bounded(tr.agg(*[F.mode(F.col(c), True).alias(c) for c in cols]), 1, "mode row")[0]
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(stats[c])) for c in cols})
+    fills = {}
+    for c in cols:
+        # count per value (a distributed aggregation), then the top-1 by (count desc, value asc)
+        top = (tr.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
+                 .orderBy(F.col("__n").desc(), F.col(c).asc()).limit(1))
+        rows = top.collect()
+        fills[c] = F.coalesce(F.col(c), F.lit(rows[0][c])) if rows else F.col(c)
+    return df.withColumns(fills)
 
 
 def standardise(df: DataFrame, cols: Sequence[str], split_col: str = "dataset_split",
@@ -133,11 +139,12 @@ def label_encode(df: DataFrame, col: str, out: str | None = None, max_classes: i
 def quantile_bins(df: DataFrame, col: str, n_bins: int = 3, split_col: str = "dataset_split",
                   out: str | None = None, labels: Sequence[str] | None = None) -> DataFrame:
     """M9: bins at train quantiles; a value equal to an inner edge goes up; clipped; duplicate edges merge."""
+    from .aggregates import exact_quantile
     tr = df.where(_is_train(split_col))
     qs = [i / n_bins for i in range(1, n_bins)]
-    row = collect_bounded(tr.agg(F.percentile(F.col(col), F.array(*[F.lit(q) for q in qs])).alias("e"),
-                                 F.min(col).alias("lo"), F.max(col).alias("hi")), 1, "edge row")[0]
-    edges = [row["lo"], *row["e"], row["hi"]]
+    row = collect_bounded(tr.agg(F.min(col).alias("lo"), F.max(col).alias("hi")), 1, "edge row")[0]
+    inner_q = [collect_bounded(exact_quantile(tr, [], col, q, out="e"), 1, "edge")[0]["e"] for q in qs]
+    edges = [row["lo"], *inner_q, row["hi"]]
     merged = [edges[0]]
     for e in edges[1:]:
         if e - merged[-1] > 1e-8:

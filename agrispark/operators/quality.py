@@ -146,11 +146,14 @@ def integrity_report(df: DataFrame, text_cols: Sequence[str], label: str | None
     parts.append(g.agg(*agg2).select(F.inline(F.array(*st2))))
 
     # string length outliers (IQR rule); quartiles as a scalar subquery per column
+    from .aggregates import exact_quantile
     for c in text_cols:
         ln = F.length(F.col(c)).cast("double")
-        q = df.agg(F.percentile(ln, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-        lo = q.select(F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).scalar()
-        hi = q.select(F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).scalar()
+        lens = df.select(ln.alias("__len"))
+        q1 = exact_quantile(lens, [], "__len", 0.25, out="q").scalar()
+        q3 = exact_quantile(lens, [], "__len", 0.75, out="q").scalar()
+        lo = q1 - 1.5 * (q3 - q1)
+        hi = q3 + 1.5 * (q3 - q1)
         share = df.agg(F.avg(F.when(ln.isNotNull(), ((ln < lo) | (ln > hi)).cast("double"))).alias("s"))
         parts.append(share.select(F.inline(F.array(row("length_outliers", c, F.coalesce(F.col("s"), F.lit(0.0)),
                                                         F.coalesce(F.col("s"), F.lit(0.0)) < outlier_max)))))

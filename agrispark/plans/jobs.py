@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import (coerce_double_in, coerce_int_in, delta, norm_key, safe_ratio, year_start_ts_int)
-from ..operators.aggregates import geo_centroid, group_mean, group_median
+from ..operators.aggregates import exact_quantile, geo_centroid, group_mean, group_median
 from ..operators.filters import drop_null_rows
 from ..operators.joins import join_centroid, join_priors, join_yearly, lookup_cached, with_geo_key
 from ..operators.schema import normalise_headers, rename_present, require_columns
@@ -76,7 +76,7 @@ def build_master(climate_raw: DataFrame, soil_raw: DataFrame, default_humidity:
     priors = priors.withColumnsRenamed({"n": "N", "p": "P", "k": "K"}).withColumnRenamed("crop_type", "prior_key")
     out = join_priors(climate, priors, "crop_type", "prior_key")
     if "humidity" in soil.columns:
-        gh = soil.agg(F.percentile(F.col("humidity"), F.lit(0.5))).scalar()
+        gh = exact_quantile(soil, [], "humidity", 0.5, out="gh").scalar()
         hum = F.coalesce(F.col("humidity"), gh, F.lit(default_humidity)) if "humidity" in out.columns \
             else F.coalesce(gh, F.lit(default_humidity))
     else:

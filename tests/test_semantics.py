@@ -349,3 +349,17 @@ def test_streaming_frames_are_refused(spark):
     s = spark.readStream.format("rate").load()
     with pytest.raises(ValueError):
         require_bounded(s)
+
+
+@pytest.mark.parametrize("small_group", [10**9, 500])
+def test_exact_quantile_matches_percentile_with_a_hot_group(spark, small_group):
+    # group 0 holds two thirds of the rows, many duplicates; group 5 is all null
+    df = spark.range(6000).select((F.col("id") % 3).alias("k"), (F.rand(7) * 100).alias("v"))
+    df = df.union(spark.range(6000).select(F.lit(0).cast("long").alias("k"), F.floor(F.rand(3) * 7).cast("double")))
+    df = df.union(spark.createDataFrame([(5, None), (5, float("nan"))], "k long, v double"))
+    for q in (0.5, 0.25, 1 / 3, 1.0):
+        got = dict(rows(A.exact_quantile(df, ["k"], "v", q, grid=50, accuracy=1000, passes=2,
+                                         small_group=small_group)))
+        clean = df.where(~F.isnan("v") | F.col("v").isNull())
+        want = dict(rows(clean.groupBy("k").agg(F.percentile("v", F.lit(q)))))
+        assert got == want
