@@ -3,8 +3,11 @@
 Distributed design (no all-pairs, no per-class single task):
 
 1. Each row is projected on a seeded random direction of the standardised
-   features. Per class, equal-count buckets of that projection come from
-   ``percentile_approx`` (one small aggregate).
+   features. Per class, equal-count buckets of that projection come from a
+   1024-point ``percentile_approx`` grid (one small aggregate); a bucket that
+   is still larger than ``rows_per_bucket`` (a class of many billions of rows)
+   is split into equal-width sub-buckets sized from its exact count, so no
+   window partition grows with the data.
 2. Inside (class, bucket), rows are ordered by the projection; the ``k``
    preceding and ``k`` following rows are the neighbour *candidates*; exact
    Euclidean distances pick the ``k`` nearest of them. This is an
@@ -46,16 +49,28 @@ def smote(df: DataFrame, label: str, key: str, feats: Sequence[str], k: int = 5,
         t = F.lit(rng.gauss(0.0, 1.0)) * (F.col(f) - F.lit(st[f"m_{f}"])) / F.lit(s)
         proj = t if proj is None else proj + t
     d = d.withColumn("__proj", proj)
+    grid = 1024
     qs = d.groupBy(label).agg(F.count(F.lit(1)).alias("__n"),
-                              F.percentile_approx("__proj", [i / 64 for i in range(1, 64)], 10000).alias("__q"))
-    # number of buckets per class grows with its size; edges subsampled from 63 quantiles
+                              F.percentile_approx("__proj", [i / grid for i in range(1, grid)], 10000).alias("__q"))
+    # equal-count buckets from the quantile grid (as many as the class size asks for, up to the grid) ...
     d = d.join(qs, label).withColumn(
-        "__nb", F.least(F.lit(64), F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(rows_per_bucket)))))
+        "__nb", F.least(F.lit(grid), F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(rows_per_bucket)))))
     edges = F.when(F.col("__nb") > 1, F.transform(
         F.sequence(F.lit(1), F.col("__nb") - 1),
-        lambda i: F.element_at(F.col("__q"), (i * 64 / F.col("__nb")).cast("int")))).otherwise(
+        lambda i: F.element_at(F.col("__q"), (i * grid / F.col("__nb")).cast("int")))).otherwise(
         F.array().cast("array<double>"))
-    d = d.withColumn("__bucket", F.size(F.filter(edges, lambda e: e <= F.col("__proj"))))
+    d = d.withColumns({"__edges": edges}).withColumn(
+        "__qb", F.size(F.filter("__edges", lambda e: e <= F.col("__proj"))))
+    # ... then equal-width sub-buckets inside a quantile bucket that is still too large
+    # (a class far above grid x rows_per_bucket rows); sizes come from exact counts
+    qc = d.groupBy(label, "__qb").agg(F.count(F.lit(1)).alias("__qn"), F.min("__proj").alias("__p0"),
+                                      F.max("__proj").alias("__p1"))
+    qc = qc.withColumn("__ns", F.greatest(F.lit(1), F.ceil(F.col("__qn") / F.lit(rows_per_bucket))))
+    d = d.drop("__q", "__edges").join(qc, [label, "__qb"])
+    width = (F.col("__p1") - F.col("__p0")) / F.col("__ns")
+    sub = F.when((F.col("__ns") <= 1) | (width <= 0), F.lit(0)).otherwise(
+        F.least(F.col("__ns") - 1, F.floor((F.col("__proj") - F.col("__p0")) / width)).cast("long"))
+    d = d.withColumn("__bucket", F.col("__qb") * F.lit(1 << 20) + sub).drop("__qn", "__p0", "__p1", "__ns")
 
     # 2. candidates: k before / k after in projection order within (class, bucket)
     w = Window.partitionBy(label, "__bucket").orderBy("__proj", key)
