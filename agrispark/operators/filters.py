@@ -70,7 +70,9 @@ def allowed_labels(scores: DataFrame, rules: DataFrame, row_key: str, label: str
     """
     r = rules.select(F.col(rule_group).alias("__g"), F.lower(F.col(rule_label)).alias("__l"),
                      F.lit(True).alias("__allowed")).distinct()
-    j = scores.join(F.broadcast(r), (F.col(group) == F.col("__g")) & (F.lower(F.col(label)) == F.col("__l")), "left")
+    from .joins import bounded_broadcast
+    j = scores.join(bounded_broadcast(r, what="zone rules"),
+                    (F.col(group) == F.col("__g")) & (F.lower(F.col(label)) == F.col("__l")), "left")
     flag = F.coalesce(F.col("__allowed"), F.lit(False))
     from pyspark.sql import Window
     any_allowed = F.max(flag.cast("int")).over(Window.partitionBy(row_key)) == 1

@@ -33,6 +33,17 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str = "table") -> list:
     return rows
 
 
+def bounded_broadcast(df: DataFrame, max_rows: int = 100_000, what: str = "rule table") -> DataFrame:
+    """Broadcast a rule / dimension table only with a proven size bound.
+
+    The rows are collected through ``collect_bounded`` (which refuses more
+    than ``max_rows``) and re-created as a local relation, so the broadcast
+    can never grow with the data.
+    """
+    rows = collect_bounded(df, max_rows, what)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def join_priors(fact: DataFrame, priors: DataFrame, fact_key: str, prior_key: str) -> DataFrame:
     """Left join per-label priors on the normalised key; keep the original label.
 
@@ -171,7 +182,7 @@ def range_rule_weight(df: DataFrame, rules: DataFrame, crop: str, temp: str, rai
     """
     from ..functions.scalar import climate_weight
     r = rules.select(F.lower("crop").alias("__rc"), "tmin", "tmax", "rmin", "rmax")
-    j = df.join(F.broadcast(r), F.lower(F.col(crop)) == F.col("__rc"), "left")
+    j = df.join(bounded_broadcast(r, what="band rules"), F.lower(F.col(crop)) == F.col("__rc"), "left")
     return j.withColumn(out, climate_weight(temp, rain, "tmin", "tmax", "rmin", "rmax")).drop(
         "__rc", "tmin", "tmax", "rmin", "rmax")
 

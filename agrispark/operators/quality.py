@@ -68,7 +68,8 @@ def forbidden_label_check(scored: DataFrame, zone: str, label: str, rules: DataF
     """
     allowed = rules.select(F.col(rule_zone).alias(zone), F.lower(rule_label).alias("__l")).distinct()
     s = scored.where(~F.col(fallback)).withColumn("__l", F.lower(label))
-    bad = s.join(F.broadcast(allowed), [zone, "__l"], "left_anti")
+    from .joins import bounded_broadcast
+    bad = s.join(bounded_broadcast(allowed, what="zone rules"), [zone, "__l"], "left_anti")
     return bad.groupBy(zone, label).agg(F.count(F.lit(1)).alias("n_violations"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as X
 from ..operators.aggregates import worst_change
 from ..operators.filters import allowed_labels
-from ..operators.joins import apply_scenarios, nearest_centroid
+from ..operators.joins import apply_scenarios, bounded_broadcast, nearest_centroid
 from ..operators.ranking import argmax_label
 
 
@@ -39,7 +39,7 @@ def classify_with_constraints(rows: DataFrame, scores: DataFrame, zone_rules: Da
     s = scores.join(r, key)
     s = allowed_labels(s, zone_rules, key, "label", "region_type")
     b = band_rules.select(F.lower("crop").alias("__rc"), "tmin", "tmax", "rmin", "rmax")
-    s = s.join(F.broadcast(b), F.lower(F.col("label")) == F.col("__rc"), "left")
+    s = s.join(bounded_broadcast(b, what="band rules"), F.lower(F.col("label")) == F.col("__rc"), "left")
     w = X.climate_weight("temperature", "rainfall", "tmin", "tmax", "rmin", "rmax")
     adj = F.when(F.col("fallback"), F.col("p")).otherwise(F.col("p") * w * X.rice_boost("label", "rainfall"))
     s = s.withColumn("score", adj).drop("__rc", "tmin", "tmax", "rmin", "rmax")

@@ -20,7 +20,7 @@ from ..functions import scalar as X
 from ..operators import quality as Q
 from ..operators.aggregates import label_centroids, quantile_thresholds, worst_change
 from ..operators.filters import allowed_labels
-from ..operators.joins import apply_scenarios, collect_bounded
+from ..operators.joins import apply_scenarios, bounded_broadcast, collect_bounded
 
 CLASSES = sorted({c for cs in ZONE_CROPS.values() for c in cs} | set(CROP_BANDS))
 
@@ -99,7 +99,7 @@ def q_x5(spark, sf):
     rows = climate_rows(spark, sf)
     s = fixed_scores(spark, sf).join(rows, "c_custkey")
     b = band_rules(spark).select(F.lower("crop").alias("__rc"), "tmin", "tmax", "rmin", "rmax")
-    j = s.join(F.broadcast(b), F.lower("label") == F.col("__rc"), "inner")
+    j = s.join(bounded_broadcast(b, what="band rules"), F.lower("label") == F.col("__rc"), "inner")
     return j.select("c_custkey", "label",
                     X.climate_weight("temperature", "rainfall", "tmin", "tmax", "rmin", "rmax").alias("weight"))
 
