@@ -132,13 +132,9 @@ def quantile_thresholds(df: DataFrame, feats: Sequence[str], qs: Sequence[float]
     """Per-feature linear-interpolated quantiles, unpivoted to (feature, low, high)."""
     m = "approx" if approx else (method or DEFAULT_QUANTILE_METHOD)
     if m == "distributed":
-        out = None
-        for qv, name in zip(qs, names):
-            one = group_quantiles(df, [], feats, qv, "distributed")
-            one = one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias(name))
-                                                for f in feats])))
-            out = one if out is None else out.join(one, "feature")
-        return out
+        stack = "stack({}, {}) as (feature, __v)".format(
+            len(feats), ", ".join(f"'{f}', cast(`{f}` as double)" for f in feats))
+        return exact_quantiles(df.select(F.expr(stack)), ["feature"], "__v", list(qs), list(names))
     aggs = []
     for f in feats:
         if approx:
@@ -354,89 +350,119 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], col: str, q: float, grid: int = 1000,
-                   accuracy: int = 20000, passes: int = 3, small_group: int = 1_000_000,
-                   out: str | None = None) -> DataFrame:
-    """Exact linear-interpolated quantile per group, without holding a big group in one task.
+def _order_stats(vc: DataFrame, gk: list, qs: Sequence[float], outs: Sequence[str], st: DataFrame | None) -> DataFrame:
+    """Exact order statistics from per-(group, value) counts: one running sum, all quantiles."""
+    w = Window.partitionBy(*gk).orderBy(F.col("__x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    vc = vc.withColumn("__cum", F.sum("__c").over(w))
+    if st is not None:  # bracketed: ranks are relative to the rows below the bracket
+        vc = vc.join(st, gk)
+        n = F.col("__n")
+    else:
+        vc = vc.withColumn("__off", F.lit(0).cast("long"))
+        n = F.sum("__c").over(Window.partitionBy(*gk))
+        vc = vc.withColumn("__n", n)
+    aggs = []
+    for i, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.col("__n") - 1)
+        r0 = F.floor(pos) - F.col("__off")
+        r1 = F.ceil(pos) - F.col("__off")
+        aggs += [F.min(F.when(F.col("__cum") > r0, F.col("__x"))).alias(f"__v0_{i}"),
+                 F.min(F.when(F.col("__cum") > r1, F.col("__x"))).alias(f"__v1_{i}"),
+                 F.max(pos).alias(f"__pos_{i}")]
+    res = vc.groupBy(*gk).agg(*aggs)
+    vals = []
+    for i, o in enumerate(outs):
+        p, v0, v1 = F.col(f"__pos_{i}"), F.col(f"__v0_{i}"), F.col(f"__v1_{i}")
+        lo_r, hi_r = F.floor(p), F.ceil(p)
+        # the same interpolation form as Spark's percentile: (hi - pos) * lower + (pos - lo) * upper
+        vals.append(F.when(lo_r == hi_r, v0).otherwise((hi_r - p) * v0 + (p - lo_r) * v1).alias(o))
+    return res.select(*gk, *vals)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float],
+                    outs: Sequence[str] | None = None, grid: int = 1000, accuracy: int = 20000, passes: int = 3,
+                    small_group: int = 1_000_000) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, without holding a big group in one task.
 
     Spark's exact ``percentile`` merges all distinct values of a group in one
     task, so a group holding a third of the data would have to fit in one
     executor. Distributed selection instead:
 
-    1. counts rows per group and fixes the two target ranks
-       ``floor(q(n-1))`` / ``ceil(q(n-1))`` (0-based; null and NaN skipped);
-    2. for groups above ``small_group`` rows only, ``passes`` times: reads a
-       ``grid``-point ``percentile_approx`` sketch of the current subset
-       (bounded memory, mergeable), takes the grid values one step outside
-       the targets as a bracket (the sketch's rank error ``1/accuracy`` is
-       below the grid step, so the bracket always holds the targets), counts
-       exactly how many rows fall below it and keeps only the rows inside it
-       (about 3/grid of the subset); the small per-group state and the
-       shrunken subset are checkpointed each pass;
-    3. counts the remaining rows per distinct value and reads the exact order
-       statistics with a running sum (at most ``small_group`` rows per group).
+    1. counts rows per group (null and NaN skipped);
+    2. groups of at most ``small_group`` rows: counts per distinct value and
+       reads all requested order statistics with one running sum;
+    3. larger groups, per quantile, ``passes`` times: a ``grid``-point
+       ``percentile_approx`` sketch of the current subset (bounded memory,
+       mergeable) gives the grid values one step outside the target ranks as
+       a bracket (the sketch's rank error ``1/accuracy`` is below the grid
+       step, so the bracket always holds the targets); rows below it are
+       counted exactly and only rows inside it are kept (about 3/grid of the
+       subset per pass; state and subset are checkpointed); then step 2 runs
+       on the few remaining rows.
 
     Equals ``percentile(col, q)`` (numpy / pandas linear rule). Groups whose
-    values are all null come back with a null value.
+    values are all null come back with nulls.
     """
     keys = list(keys)
-    out = out or col
+    qs = list(qs)
+    outs = list(outs or [f"q{i}" for i in range(len(qs))])
     gk = [*keys, "__g"]
     base = df.withColumn("__g", F.lit(0))
     xv = F.col(col).cast("double")
     # NaN counts as missing (pandas rule); null rows stay so all-null groups survive
     d_all = base.select(*gk, F.when(F.isnan(xv), F.lit(None).cast("double")).otherwise(xv).alias("__x"))
-    d = d_all.where(F.col("__x").isNotNull())
     st = d_all.groupBy(*gk).agg(F.count("__x").alias("__m"))
-    st = st.select(*gk, (F.lit(float(q)) * (F.col("__m") - 1)).alias("__pos"), "__m",
-                   F.lit(0).cast("long").alias("__off"))
-    st = st.withColumns({"__r0": F.floor("__pos").cast("long"), "__r1": F.ceil("__pos").cast("long")})
-    cur = d_all
-    big_st = st.where(F.col("__m") > small_group)
-    bracketed = passes > 0 and not big_st.isEmpty()
-    if bracketed:
-        st = _cut(st)
-        big_st = st.where(F.col("__m") > small_group)
-        small_st = st.where(F.col("__m") <= small_group)
-        bcur = d.join(big_st.select(*gk), gk, "left_semi")
-        pts = [i / grid for i in range(grid + 1)]
-        for _ in range(passes):
-            sk = bcur.groupBy(*gk).agg(F.percentile_approx("__x", pts, accuracy).alias("__sk"))
-            denom = F.greatest(F.col("__m") - 1, F.lit(1)).cast("double")
-            i0 = F.floor((F.col("__r0") - F.col("__off")) / denom * grid).cast("int") - 1
-            i1 = F.ceil((F.col("__r1") - F.col("__off")) / denom * grid).cast("int") + 1
-            lo = F.when(i0 <= 0, F.lit(None).cast("double")).otherwise(F.element_at("__sk", i0 + 1))
-            hi = F.when(i1 >= grid, F.lit(None).cast("double")).otherwise(F.element_at("__sk", i1 + 1))
-            br = _cut(big_st.join(sk, gk).select(*gk, "__pos", "__r0", "__r1", "__off", "__m",
-                                                 lo.alias("__lo"), hi.alias("__hi")))
-            jn = bcur.join(br.select(*gk, "__lo", "__hi"), gk)
-            below = F.col("__lo").isNotNull() & (F.col("__x") < F.col("__lo"))
-            inside = (F.col("__lo").isNull() | (F.col("__x") >= F.col("__lo"))) & \
-                     (F.col("__hi").isNull() | (F.col("__x") <= F.col("__hi")))
-            cnt = jn.groupBy(*gk).agg(F.count_if(below).alias("__below"), F.count_if(inside).alias("__m2"))
-            big_st = _cut(br.join(cnt, gk).select(*gk, "__pos", "__r0", "__r1",
-                                                  (F.col("__off") + F.col("__below")).alias("__off"),
-                                                  F.col("__m2").alias("__m")))
-            bcur = _cut(jn.where(inside).select(*gk, "__x"))
-        st = small_st.unionByName(big_st)
-        cur = d_all.join(small_st.select(*gk), gk, "left_semi").unionByName(bcur)
-    # exact order statistics among the remaining distinct values
-    vc = cur.groupBy(*gk, "__x").agg(F.count(F.lit(1)).alias("__c0"))
-    vc = vc.withColumn("__c", F.when(F.col("__x").isNotNull(), F.col("__c0")).otherwise(F.lit(0)))
-    w = Window.partitionBy(*gk).orderBy(F.col("__x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    vc = vc.withColumn("__cum", F.sum("__c").over(w))
-    if bracketed:
-        vc = vc.join(st.select(*gk, "__pos", "__r0", "__r1", "__off"), gk)
-    else:  # no bracketing: group size from the same window partition, no second scan
-        pos = F.lit(float(q)) * (F.sum("__c").over(Window.partitionBy(*gk)) - 1)
-        vc = vc.withColumn("__pos", pos).withColumns({
-            "__r0": F.floor("__pos").cast("long"), "__r1": F.ceil("__pos").cast("long"),
-            "__off": F.lit(0).cast("long")})
-    # value at local rank r: the first distinct value whose running count exceeds r
-    v0 = F.min(F.when(F.col("__cum") > F.col("__r0") - F.col("__off"), F.col("__x")))
-    v1 = F.min(F.when(F.col("__cum") > F.col("__r1") - F.col("__off"), F.col("__x")))
-    res = vc.groupBy(*gk).agg(v0.alias("__v0"), v1.alias("__v1"), F.max("__pos").alias("__pos"))
-    val = F.col("__v0") + (F.col("__pos") - F.floor("__pos")) * (F.col("__v1") - F.col("__v0"))
-    return res.select(*keys, val.alias(out))
+    if passes <= 0 or st.where(F.col("__m") > small_group).isEmpty():
+        vc = d_all.groupBy(*gk, "__x").agg(F.count(F.lit(1)).alias("__c0"))
+        vc = vc.withColumn("__c", F.when(F.col("__x").isNotNull(), F.col("__c0")).otherwise(F.lit(0)))
+        return _order_stats(vc, gk, qs, outs, None).drop("__g")
+    st = _cut(st)
+    small_keys = st.where(F.col("__m") <= small_group).select(*gk)
+    big = st.where(F.col("__m") > small_group)
+    vc_small = (d_all.join(small_keys, gk, "left_semi").groupBy(*gk, "__x")
+                .agg(F.count(F.lit(1)).alias("__c0")))
+    vc_small = vc_small.withColumn("__c", F.when(F.col("__x").isNotNull(), F.col("__c0")).otherwise(F.lit(0)))
+    out = _order_stats(vc_small, gk, qs, outs, None)
+    d = d_all.where(F.col("__x").isNotNull())
+    big_res = None
+    for q, o in zip(qs, outs):
+        one = _bracketed_quantile(d, big, gk, q, o, grid, accuracy, passes)
+        big_res = one if big_res is None else big_res.join(one, gk)
+    return out.unionByName(big_res).drop("__g")
+
+
+def _bracketed_quantile(d: DataFrame, big: DataFrame, gk: list, q: float, out: str, grid: int, accuracy: int,
+                        passes: int) -> DataFrame:
+    st = big.select(*gk, (F.lit(float(q)) * (F.col("__m") - 1)).alias("__pos"), "__m",
+                    F.lit(0).cast("long").alias("__off"))
+    st = st.withColumns({"__r0": F.floor("__pos").cast("long"), "__r1": F.ceil("__pos").cast("long"),
+                         "__n": F.col("__m")})
+    cur = d.join(big.select(*gk), gk, "left_semi")
+    pts = [i / grid for i in range(grid + 1)]
+    for _ in range(passes):
+        sk = cur.groupBy(*gk).agg(F.percentile_approx("__x", pts, accuracy).alias("__sk"))
+        denom = F.greatest(F.col("__m") - 1, F.lit(1)).cast("double")
+        i0 = F.floor((F.col("__r0") - F.col("__off")) / denom * grid).cast("int") - 1
+        i1 = F.ceil((F.col("__r1") - F.col("__off")) / denom * grid).cast("int") + 1
+        lo = F.when(i0 <= 0, F.lit(None).cast("double")).otherwise(F.element_at("__sk", i0 + 1))
+        hi = F.when(i1 >= grid, F.lit(None).cast("double")).otherwise(F.element_at("__sk", i1 + 1))
+        br = _cut(st.join(sk, gk).select(*gk, "__pos", "__r0", "__r1", "__off", "__m", "__n",
+                                         lo.alias("__lo"), hi.alias("__hi")))
+        jn = cur.join(br.select(*gk, "__lo", "__hi"), gk)
+        below = F.col("__lo").isNotNull() & (F.col("__x") < F.col("__lo"))
+        inside = (F.col("__lo").isNull() | (F.col("__x") >= F.col("__lo"))) & \
+                 (F.col("__hi").isNull() | (F.col("__x") <= F.col("__hi")))
+        cnt = jn.groupBy(*gk).agg(F.count_if(below).alias("__below"), F.count_if(inside).alias("__m2"))
+        st = _cut(br.join(cnt, gk).select(*gk, "__pos", "__r0", "__r1", "__n",
+                                          (F.col("__off") + F.col("__below")).alias("__off"),
+                                          F.col("__m2").alias("__m")))
+        cur = _cut(jn.where(inside).select(*gk, "__x"))
+    vc = cur.groupBy(*gk, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    return _order_stats(vc, gk, [q], [out], st.select(*gk, "__n", "__off"))
 
 
+def exact_quantile(df: DataFrame, keys: Sequence[str], col: str, q: float, grid: int = 1000,
+                   accuracy: int = 20000, passes: int = 3, small_group: int = 1_000_000,
+                   out: str | None = None) -> DataFrame:
+    """One exact quantile per group (see ``exact_quantiles``)."""
+    return exact_quantiles(df, keys, col, [q], [out or col], grid, accuracy, passes, small_group)

@@ -146,18 +146,21 @@ def integrity_report(df: DataFrame, text_cols: Sequence[str], label: str | None
         st2.append(row("conflicting_labels", label, F.col("conf"), F.col("conf") == 0))
     parts.append(g.agg(*agg2).select(F.inline(F.array(*st2))))
 
-    # string length outliers (IQR rule); quartiles as a scalar subquery per column
-    from .aggregates import exact_quantile
-    for c in text_cols:
-        ln = F.length(F.col(c)).cast("double")
-        lens = df.select(ln.alias("__len"))
-        q1 = exact_quantile(lens, [], "__len", 0.25, out="q").scalar()
-        q3 = exact_quantile(lens, [], "__len", 0.75, out="q").scalar()
-        lo = q1 - 1.5 * (q3 - q1)
-        hi = q3 + 1.5 * (q3 - q1)
-        share = df.agg(F.avg(F.when(ln.isNotNull(), ((ln < lo) | (ln > hi)).cast("double"))).alias("s"))
-        parts.append(share.select(F.inline(F.array(row("length_outliers", c, F.coalesce(F.col("s"), F.lit(0.0)),
-                                                        F.coalesce(F.col("s"), F.lit(0.0)) < outlier_max)))))
+    # string length outliers (IQR rule): lengths of all text columns unpivoted to
+    # (column, length); one distributed quartile pass per quartile, keyed by column
+    from .aggregates import exact_quantiles
+    stack = "stack({}, {}) as (__col, __len)".format(
+        len(text_cols), ", ".join(f"'{c}', cast(length(`{c}`) as double)" for c in text_cols))
+    lens = df.select(F.expr(stack))
+    qq = exact_quantiles(lens, ["__col"], "__len", [0.25, 0.75], ["__q1", "__q3"])
+    bounds = qq.select("__col", (F.col("__q1") - 1.5 * (F.col("__q3") - F.col("__q1"))).alias("__lo"),
+                                         (F.col("__q3") + 1.5 * (F.col("__q3") - F.col("__q1"))).alias("__hi"))
+    flagged = lens.join(bounds, "__col", "left").groupBy("__col").agg(F.avg(F.when(
+        F.col("__len").isNotNull(), ((F.col("__len") < F.col("__lo")) | (F.col("__len") > F.col("__hi"))).cast("double")))
+        .alias("__s"))
+    share = F.coalesce(F.col("__s"), F.lit(0.0))
+    parts.append(flagged.select(F.lit("length_outliers").alias("check"), F.col("__col").alias("column"),
+                                share.alias("metric"), (share < outlier_max).alias("passed")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
