@@ -16,6 +16,16 @@ from ..functions.scalar import norm_key
 from .schema import missing_count
 
 
+def text_fingerprint(c: Column) -> Column:
+    """128-bit fingerprint of a text (two independent 64-bit hashes); null stays null.
+
+    Distinct counts and duplicate detection shuffle 16 bytes per row instead
+    of whole documents; a collision needs both 64-bit hashes to agree.
+    """
+    return F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("h1"),
+                                          F.xxhash64(F.lit("#"), c).alias("h2")))
+
+
 class DataQualityError(ValueError):
     pass
 
@@ -99,7 +109,9 @@ def integrity_report(df: DataFrame, text_cols: Sequence[str], label: str | None
     special-character-only share, string variants after trim/lower,
     duplicate rows, string-length outliers (IQR rule), conflicting labels for
     identical rows, and feature-feature / feature-label correlations. Each
-    family is one aggregation (partial + final), unioned at the end.
+    family is one aggregation (partial + final), unioned at the end. Texts
+    are compared through 128-bit fingerprints, so documents are never
+    shuffled whole.
     """
     parts = []
 
@@ -111,10 +123,10 @@ def integrity_report(df: DataFrame, text_cols: Sequence[str], label: str | None
     for i, c in enumerate(text_cols):
         col = F.col(c)
         low = F.lower(F.trim(col))
-        aggs += [F.count_distinct(col).alias(f"d{i}"),
+        aggs += [F.count_distinct(text_fingerprint(col)).alias(f"d{i}"),
                  F.count_if(low.isin("null", "nan", "")).alias(f"mn{i}"),
                  F.avg(F.when(col.isNotNull(), (~col.rlike("[A-Za-z0-9]")).cast("double"))).alias(f"sp{i}"),
-                 F.count_distinct(norm_key(col)).alias(f"dn{i}")]
+                 F.count_distinct(text_fingerprint(norm_key(col))).alias(f"dn{i}")]
         structs += [row("single_value", c, F.col(f"d{i}"), F.col(f"d{i}") > 1),
                     row("mixed_nulls", c, F.col(f"mn{i}"), F.col(f"mn{i}") == 0),
                     row("special_characters", c, F.coalesce(F.col(f"sp{i}"), F.lit(0.0)),
@@ -136,7 +148,9 @@ def integrity_report(df: DataFrame, text_cols: Sequence[str], label: str | None
 
     # duplicate rows and conflicting labels: group by the row content once
     keys = list(dup_cols or text_cols)
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
+    fp = [text_fingerprint(F.col(k)).alias(f"__fp{i}") if isinstance(df.schema[k].dataType, T.StringType)
+          else F.col(k) for i, k in enumerate(keys)]
+    g = df.groupBy(*fp).agg(F.count(F.lit(1)).alias("__n"),
                               *([F.count_distinct(label).alias("__nl")] if label else []))
     agg2 = [F.sum(F.col("__n") - 1).alias("dups")]
     st2 = [row("duplicate_rows", ",".join(keys), F.coalesce(F.col("dups"), F.lit(0)),

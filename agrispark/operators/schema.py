@@ -33,14 +33,16 @@ def column_roles(columns: Iterable[str], patterns: Mapping[str, Sequence[str]] =
     return out
 
 
-def profile_columns(df: DataFrame, patterns: Mapping[str, Sequence[str]] = ROLE_PATTERNS) -> DataFrame:
+def profile_columns(df: DataFrame, patterns: Mapping[str, Sequence[str]] = ROLE_PATTERNS,
+                    approx_distinct: bool = False) -> DataFrame:
     """One row per column: roles, row count, null share, distinct, min, max.
 
     All statistics come from **one** aggregation pass (partial aggregation on
     every partition, one small final merge), then are unpivoted with
     ``stack``. Exact ``count(distinct)`` keeps a per-column hash set in the
-    partial aggregate; ``approx_count_distinct`` can be swapped in for very
-    high-cardinality columns.
+    partial aggregate and Spark expands rows once per distinct column;
+    ``approx_distinct=True`` uses ``approx_count_distinct`` (HyperLogLog++,
+    no expansion) for very wide or very large tables.
     """
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("__n")]
@@ -56,7 +58,8 @@ def profile_columns(df: DataFrame, patterns: Mapping[str, Sequence[str]] = ROLE_
                      F.lit(None).cast("string").alias(f"__min{i}"),
                      F.lit(None).cast("string").alias(f"__max{i}")]
         else:
-            aggs += [F.count_distinct(col).alias(f"__dist{i}"),
+            dist = F.approx_count_distinct(col) if approx_distinct else F.count_distinct(col)
+            aggs += [dist.alias(f"__dist{i}"),
                      F.min(col).cast("string").alias(f"__min{i}"),
                      F.max(col).cast("string").alias(f"__max{i}")]
     wide = df.agg(*aggs)
