@@ -170,19 +170,22 @@ def q_x19(spark, sf):
 @register("X27_merge_results", "WITH a AS (" + ML11_SQL + "), b AS (" + ML12_SQL + f"""),
 {ROWS_SQL}
 SELECT r.c_custkey,
-       coalesce(CASE WHEN a.c_custkey % 3 <> 0 THEN a.risk_level END, 'high') AS risk_level,
-       coalesce(CASE WHEN a.c_custkey % 3 <> 0 THEN a.region_type END,
-                CASE WHEN rainfall < 250 THEN 'arid' WHEN rainfall <= 800 THEN 'temperate' ELSE 'tropical' END)
+       coalesce(CASE WHEN r.temperature <= 35 THEN a.risk_level END, 'high') AS risk_level,
+       coalesce(CASE WHEN r.temperature <= 35 THEN a.region_type END,
+                CASE WHEN r.rainfall < 250 THEN 'arid' WHEN r.rainfall <= 800 THEN 'temperate' ELSE 'tropical' END)
          AS region_type,
-       coalesce(CASE WHEN b.c_custkey % 5 <> 0 THEN b.label END, CASE WHEN a.c_custkey % 3 <> 0 THEN a.label END, '')
+       coalesce(CASE WHEN r.rainfall >= 300 THEN b.label END, CASE WHEN r.temperature <= 35 THEN a.label END, '')
          AS top_crop
 FROM r LEFT JOIN (SELECT * FROM a WHERE rank = 1) a ON r.c_custkey = a.c_custkey
 LEFT JOIN (SELECT * FROM b WHERE rank = 1) b ON r.c_custkey = b.c_custkey
 """)
 def q_x27(spark, sf):
-    rows = climate_rows(spark, sf).select("c_custkey", "rainfall")
-    a = ml11(spark, sf).where((F.col("rank") == 1) & (F.col("c_custkey") % 3 != 0))
-    b = ml12(spark, sf).where((F.col("rank") == 1) & (F.col("c_custkey") % 5 != 0))
+    rows = climate_rows(spark, sf).select("c_custkey", "rainfall", "temperature")
+    # each upstream result is missing for part of the rows (a source that did not answer)
+    a = ml11(spark, sf).where(F.col("rank") == 1).join(
+        rows.where(F.col("temperature") <= 35).select("c_custkey"), "c_custkey", "left_semi")
+    b = ml12(spark, sf).where(F.col("rank") == 1).join(
+        rows.where(F.col("rainfall") >= 300).select("c_custkey"), "c_custkey", "left_semi")
     return merge_results(rows, "c_custkey",
                          [(b, {"top_crop": "label"}),
                           (a, {"risk_level": "risk_level", "region_type": "region_type", "top_crop": "label"})],

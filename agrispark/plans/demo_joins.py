@@ -54,21 +54,22 @@ def q_j3(spark, sf):
 
 @register("J4_merge_by_key", """
 WITH v AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n_view FROM events
-           WHERE event_type = 'view' AND user_id < 100 GROUP BY 1),
+           WHERE event_type = 'view' AND value < 200 GROUP BY 1),
      c AS (SELECT CAST(ts AS DATE) AS day, round(sum(value), 6) AS click_value FROM events
-           WHERE event_type = 'click' AND user_id >= 50 GROUP BY 1),
+           WHERE event_type = 'click' AND value >= 20 GROUP BY 1),
      e AS (SELECT CAST(ts AS DATE) AS day, round(avg(value), 6) AS error_mean FROM events
-           WHERE event_type = 'error' AND user_id % 3 = 0 GROUP BY 1)
+           WHERE event_type = 'error' AND value BETWEEN 10 AND 400 GROUP BY 1)
 SELECT coalesce(v.day, c.day, e.day) AS day, n_view, click_value, error_mean
 FROM v FULL JOIN c ON v.day = c.day FULL JOIN e ON coalesce(v.day, c.day) = e.day
 """)
 def q_j4(spark, sf):
     e = V.read(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    v = e.where((F.col("event_type") == "view") & (F.col("user_id") < 100)).groupBy("day").agg(
+    # three sources, each covering the days where its own readings qualify
+    v = e.where((F.col("event_type") == "view") & (F.col("value") < 200)).groupBy("day").agg(
         F.count(F.lit(1)).alias("n_view"))
-    c = e.where((F.col("event_type") == "click") & (F.col("user_id") >= 50)).groupBy("day").agg(
+    c = e.where((F.col("event_type") == "click") & (F.col("value") >= 20)).groupBy("day").agg(
         F.round(F.sum("value"), 6).alias("click_value"))
-    er = e.where((F.col("event_type") == "error") & (F.col("user_id") % 3 == 0)).groupBy("day").agg(
+    er = e.where((F.col("event_type") == "error") & F.col("value").between(10, 400)).groupBy("day").agg(
         F.round(F.avg("value"), 6).alias("error_mean"))
     return J.merge_by_key([v, c, er], "day")
 
@@ -84,7 +85,8 @@ def q_j5(spark, sf):
 def cache_demo(spark, sf):
     w = V.weather(spark, sf)
     keyed = J.with_geo_key(w, "latitude", "longitude", "last_updated")
-    cache = (keyed.where(F.col("event_id") % 3 == 0).groupBy("lat_key", "lon_key", "day_key")
+    # the cache holds the readings already fetched: here, the warm ones
+    cache = (keyed.where(F.col("temperature_celsius") >= 40).groupBy("lat_key", "lon_key", "day_key")
              .agg(F.avg("temperature_celsius").alias("nasa_temp_c"), F.avg("humidity").alias("nasa_rh2m")))
     points = keyed.select("place_id", "lat_key", "lon_key", "day_key").distinct()
     return points, cache
@@ -95,7 +97,7 @@ k AS (SELECT event_id, place_id, temperature_celsius, humidity,
              CAST(round(latitude * 1000) AS BIGINT) AS lat_key, CAST(round(longitude * 1000) AS BIGINT) AS lon_key,
              strftime(last_updated, '%Y%m%d') AS day_key FROM weather),
 cache AS (SELECT lat_key, lon_key, day_key, avg(temperature_celsius) AS nasa_temp_c, avg(humidity) AS nasa_rh2m
-          FROM k WHERE event_id % 3 = 0 GROUP BY ALL),
+          FROM k WHERE temperature_celsius >= 40 GROUP BY ALL),
 pts AS (SELECT DISTINCT place_id, lat_key, lon_key, day_key FROM k)"""
 
 

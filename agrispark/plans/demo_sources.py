@@ -221,7 +221,7 @@ WITH p AS (SELECT place_id, CASE WHEN place_id % 3 = 0 THEN NULL ELSE temp END A
                   CASE WHEN place_id % 3 = 0 THEN NULL ELSE rain END AS rainfall,
                   CASE WHEN place_id % 3 = 0 THEN NULL ELSE humidity END AS humidity FROM places),
 s AS (SELECT place_id, round(avg(temperature_celsius), 6) AS temperature, round(sum(precip_mm), 6) AS rainfall,
-             round(avg(humidity), 6) AS humidity FROM weather WHERE place_id % 2 = 0 GROUP BY place_id)
+             round(avg(humidity), 6) AS humidity FROM weather WHERE temperature_celsius < 200 GROUP BY place_id)
 SELECT p.place_id,
   CASE WHEN coalesce(p.temperature, p.rainfall, p.humidity) IS NOT NULL THEN coalesce(p.temperature, 25.0)
        WHEN coalesce(s.temperature, s.rainfall, s.humidity) IS NOT NULL THEN coalesce(s.temperature, 25.0)
@@ -241,7 +241,7 @@ def q_s15(spark, sf):
     nul = F.col("place_id") % 3 == 0
     prim = p.select("place_id", *[F.when(nul, F.lit(None).cast("double")).otherwise(F.col(a)).alias(b)
                                   for a, b in (("temp", "temperature"), ("rain", "rainfall"), ("humidity", "humidity"))])
-    w = V.weather(spark, sf).where(F.col("place_id") % 2 == 0)
+    w = V.weather(spark, sf).where(F.col("temperature_celsius") < 200)
     sec = round_doubles(daily_to_point_climate(w, ["place_id"], "temperature_celsius", "precip_mm", "humidity"))
     return JM.source_fallback(prim, sec, "place_id", ["temperature", "rainfall", "humidity"],
                               {"temperature": 25.0, "rainfall": 500.0, "humidity": 60.0})
