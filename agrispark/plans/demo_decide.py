@@ -15,7 +15,7 @@ from .decide import (classify_with_constraints, linear_yield, merge_results, rec
                      renormalise_top, simulate_climate_risk)
 from .registry import register
 from .rules import CROP_BANDS, SCENARIOS, ZONE_CROPS, band_rules, band_rules_sql, zone_rules, zone_rules_sql
-from .util import round_doubles
+from .util import bround, round_doubles
 from ..functions import scalar as X
 from ..operators import quality as Q
 from ..operators.aggregates import label_centroids, quantile_thresholds, worst_change
@@ -244,8 +244,8 @@ FROM r JOIN nn ON r.c_custkey = nn.c_custkey LEFT JOIN best ON r.c_custkey = bes
 @register("ML10_recommend_hybrid", _ml10_sql(), views=("soil",))
 def q_ml10(spark, sf):
     out = ml10(spark, sf)
-    return out.withColumns({"model_confidence": F.round("model_confidence", 9),
-                            "rule_distance": F.round("rule_distance", 6)})
+    return out.withColumns({"model_confidence": bround("model_confidence", 9),
+                            "rule_distance": bround("rule_distance", 6)})
 
 
 @register("X23_confidence_gate", "WITH base AS (" + _ml10_sql() + ") SELECT c_custkey, best_crop, selection FROM base",
@@ -378,7 +378,7 @@ FROM d CROSS JOIN (SELECT quantile_cont(CAST(length({c}) AS DOUBLE), 0.25) AS q1
 @register("Q2_integrity_report", _q2_sql())
 def q_q2(spark, sf):
     rep = Q.integrity_report(doc_frame(spark, sf), Q2_TEXT, label="quality", numeric_cols=Q2_NUM, dup_cols=["text"])
-    return rep.withColumn("metric", F.round("metric", 6))
+    return rep.withColumn("metric", bround("metric", 6))
 
 
 @register("Q3_min_classes", "SELECT count(DISTINCT p_type) AS n_classes, count(DISTINCT p_type) >= 5 AS passed "

@@ -41,10 +41,31 @@ def q_build_master(spark, sf):
     return build_master(climate, soil)
 
 
+def climate_means(spark, sf):
+    """Yearly climate rows from ``obs``: means per (country, crop, year).
+
+    rainfall and yield are exact decimals (4 and 8 places); they are averaged
+    as exact integer units, so every sum is exact whatever the summation
+    order and both engines produce the same double.
+    """
+    o = V.obs(spark, sf).select(
+        "country", "crop_type", "year", "temperature",
+        F.round(F.col("rainfall") * 1e4).cast("long").alias("rain_u"),
+        F.round(F.col("crop_yield") * 1e8).cast("long").alias("yield_u"))
+    g = group_mean(o, ["country", "crop_type", "year"], ["temperature", "rain_u", "yield_u"])
+    return g.select("country", "crop_type", "year", F.col("temperature").alias("temperature_c"),
+                    (F.col("rain_u") / 1e4).alias("precipitation_mm"), (F.col("yield_u") / 1e8).alias("crop_yield"))
+
+
+CLIM_SQL = """clim AS (
+  SELECT country, crop_type, year, avg(temperature) AS temperature_c,
+         avg(CAST(round(rainfall * 1e4) AS BIGINT)) / 1e4 AS precipitation_mm,
+         avg(CAST(round(crop_yield * 1e8) AS BIGINT)) / 1e8 AS crop_yield
+  FROM obs WHERE country IS NOT NULL AND crop_type IS NOT NULL AND year IS NOT NULL GROUP BY ALL)"""
+
+
 def timeline_inputs(spark, sf):
-    o = V.obs(spark, sf)
-    climate = group_mean(o, ["country", "crop_type", "year"], ["temperature", "rainfall", "crop_yield"])
-    climate = climate.withColumnsRenamed({"temperature": "temperature_c", "rainfall": "precipitation_mm"})
+    climate = climate_means(spark, sf)
     w = V.weather(spark, sf)
     cache = (with_geo_key(w, "latitude", "longitude", "last_updated")
              .groupBy("lat_key", "lon_key", "day_key")
@@ -58,11 +79,7 @@ TIMELINE_COLUMNS = ["country", "crop_type", "year", "timestamp", "month", "quart
                     "crop_yield_lag1", "crop_yield_trend3", "latitude", "longitude", "nasa_temp_c",
                     "nasa_precip_mm", "nasa_rh2m", "temp_delta", "precip_delta", "yield_per_precip"]
 
-TIMELINE_SQL = """
-WITH clim AS (
-  SELECT country, crop_type, year, avg(temperature) AS temperature_c, avg(rainfall) AS precipitation_mm,
-         avg(crop_yield) AS crop_yield
-  FROM obs WHERE country IS NOT NULL AND crop_type IS NOT NULL AND year IS NOT NULL GROUP BY ALL),
+TIMELINE_SQL = "WITH " + CLIM_SQL + """,
 wy AS (
   SELECT country, CAST(year(last_updated) AS INTEGER) AS year, avg(temperature_celsius) AS weather_temp_c,
          avg(precip_mm) AS weather_precip_mm, avg(humidity) AS weather_humidity
@@ -110,10 +127,7 @@ def q_build_timeline(spark, sf):
     return round_doubles(t.select(*TIMELINE_COLUMNS), 6)
 
 
-@register("S9_write_point_extract", """
-WITH clim AS (
-  SELECT country, crop_type, year, avg(crop_yield) AS crop_yield
-  FROM obs GROUP BY ALL),
+@register("S9_write_point_extract", "WITH " + CLIM_SQL + """,
 cent AS (
   SELECT country, avg(latitude) AS latitude, avg(longitude) AS longitude FROM weather
   WHERE country IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY country)

@@ -8,7 +8,7 @@ from . import views as V
 from .demo_scalar import CROP_CASE_SQL, OBS_KEY, crop_name
 from .registry import register
 from .rules import band_rules, band_rules_sql
-from .util import round_doubles
+from .util import bround, round_doubles
 from ..operators import aggregates as A
 from ..operators import joins as J
 
@@ -68,9 +68,9 @@ def q_j4(spark, sf):
     v = e.where((F.col("event_type") == "view") & (F.col("value") < 200)).groupBy("day").agg(
         F.count(F.lit(1)).alias("n_view"))
     c = e.where((F.col("event_type") == "click") & (F.col("value") >= 20)).groupBy("day").agg(
-        F.round(F.sum("value"), 6).alias("click_value"))
+        bround(F.sum("value"), 6).alias("click_value"))
     er = e.where((F.col("event_type") == "error") & F.col("value").between(10, 400)).groupBy("day").agg(
-        F.round(F.avg("value"), 6).alias("error_mean"))
+        bround(F.avg("value"), 6).alias("error_mean"))
     return J.merge_by_key([v, c, er], "day")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import views as V
 from .demo_series import FILL_SQL, filled
 from .registry import register
-from .util import round_doubles
+from .util import bround, round_doubles
 from ..functions.scalar import climate_score, climate_zone
 from ..ml import arima as AR
 from ..ml import models as ML
@@ -169,7 +169,7 @@ def q_ml13f(spark, sf):
     fixed = PipelineModel(stages=[SQLTransformer(statement=(
         "SELECT *, 0.1 + 0.01 * temperature + 0.0001 * rainfall - 0.004 * humidity AS prediction FROM __THIS__"))])
     out = ML.predict_yield(fixed, t, "row_key")
-    return out.withColumn("predicted_yield", F.round("predicted_yield", 9))
+    return out.withColumn("predicted_yield", bround("predicted_yield", 9))
 
 
 @register("W7_arima_forecast")
@@ -186,7 +186,7 @@ FROM z1 WHERE z IS NOT NULL AND zl IS NOT NULL GROUP BY series_key
 """, views=("series_raw",))
 def q_w7b(spark, sf):
     out = AR.ar1_on_differences(filled(spark, sf))
-    return out.withColumns({"phi1": F.round("phi1", 6), "c": F.round("c", 4)})
+    return out.withColumns({"phi1": bround("phi1", 6), "c": bround("c", 4)})
 
 
 @register("W8_forecast_with_fallback")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import views as V
 from .demo_features import H, SPLIT
 from .registry import register
-from .util import round_doubles
+from .util import bround, round_doubles
 from ..operators import ranking as L
 from ..operators.aggregates import group_mean, regression_metrics
 
@@ -100,8 +100,8 @@ def region_models(spark, sf):
     d = random_split(d, "l_orderkey").where(F.col("dataset_split") == "test")
     m = regression_metrics(d, group="region")
     ordinal = F.substring("region", 1, 1)
-    return m.select(F.col("region").alias("model"), F.round("rmse", 6).alias("test_rmse"),
-                    F.round("r2", 6).alias("test_r2"), F.col("n"), ordinal.alias("ordinal"))
+    return m.select(F.col("region").alias("model"), bround("rmse", 6).alias("test_rmse"),
+                    bround("r2", 6).alias("test_r2"), F.col("n"), ordinal.alias("ordinal"))
 
 
 REGION_MODELS_SQL = f"""

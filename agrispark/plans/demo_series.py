@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import views as V
 from .registry import register
-from .util import round_doubles
+from .util import bround, round_doubles
 from ..operators import windows as W
 from ..operators.aggregates import series_summary
 from ..operators.ranking import history_forecast_union, shape_series_points
@@ -166,10 +166,10 @@ def metrics_history(spark, sf):
     g = e.groupBy(F.col("event_type").alias("model"), "generated_at").agg(F.avg("value").alias("m"))
     t = F.col("model")
     return g.select("model", "generated_at",
-                    F.when(t.isin("view", "click"), F.round("m", 6)).alias("rmse"),
+                    F.when(t.isin("view", "click"), bround("m", 6)).alias("rmse"),
                     F.lit(None).cast("double").alias("holdout_rmse"),
-                    F.when(t == "purchase", F.round(F.col("m") / 500.0, 6)).alias("holdout_accuracy"),
-                    F.when(t == "error", F.round(F.col("m") / 500.0, 6)).alias("accuracy"))
+                    F.when(t == "purchase", bround(F.col("m") / 500.0, 6)).alias("holdout_accuracy"),
+                    F.when(t == "error", bround(F.col("m") / 500.0, 6)).alias("accuracy"))
 
 
 @register("W11_metric_trend", """
@@ -257,6 +257,6 @@ WHERE date BETWEEN (SELECT max(date) FROM d) - 89 AND (SELECT max(date) FROM d)
 def q_ml15(spark, sf):
     w = V.weather(spark, sf)
     daily = w.groupBy("place_id", F.to_date("last_updated").alias("date")).agg(
-        F.round(F.sum("precip_mm"), 6).alias("rainfall"), F.round(F.avg("temperature_celsius"), 6).alias("temperature"),
-        F.round(F.avg("humidity"), 6).alias("humidity"))
+        bround(F.sum("precip_mm"), 6).alias("rainfall"), bround(F.avg("temperature_celsius"), 6).alias("temperature"),
+        bround(F.avg("humidity"), 6).alias("humidity"))
     return W.trailing_days(daily, "date", 90)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from . import views as V
 from .registry import register
-from .util import round_doubles
+from .util import bround, round_doubles
 from ..operators.aggregates import daily_to_point_climate
 from ..operators.schema import profile_columns
 from ..sources import files as S
@@ -65,7 +65,7 @@ def daily_docs(spark, sf):
     m = F.create_map(*[x for k, v in PARAM_OF_TYPE.items() for x in (F.lit(k), F.lit(v))])
     e = e.withColumn("param", F.element_at(m, F.col("event_type"))).where(F.col("param").isNotNull())
     daily = e.groupBy("user_id", "param", F.date_format("ts", "yyyyMMdd").alias("day")).agg(
-        F.round(F.avg("value"), 6).alias("v"))
+        bround(F.avg("value"), 6).alias("v"))
     per_param = daily.groupBy("user_id", "param").agg(
         F.map_from_entries(F.collect_list(F.struct("day", "v"))).alias("series"))
     doc = per_param.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("param", "series"))).alias("p"))
@@ -154,7 +154,7 @@ def snapshots(spark, sf):
     half = F.when(F.hour("ts") >= 12, F.lit(12)).otherwise(F.lit(0))
     gen = (F.date_trunc("day", F.col("ts")) + F.make_interval(hours=half)).cast("timestamp_ntz")
     return e.groupBy(gen.alias("generated_at"), F.col("event_type").alias("artifact")).agg(
-        F.round(F.avg("value"), 6).alias("value")).withColumn("metric", F.lit("mean_value"))
+        bround(F.avg("value"), 6).alias("value")).withColumn("metric", F.lit("mean_value"))
 
 
 @register("S11_metrics_append", """
@@ -191,9 +191,9 @@ def q_s13(spark, sf):
 def annual_docs(spark, sf):
     e = V.read(spark, sf, "events")
     t = F.col("event_type")
-    g = e.groupBy("user_id").agg(F.round(F.avg(F.when(t == "view", F.col("value"))), 6).alias("t2m"),
-                                 F.round(F.avg(F.when(t == "click", F.col("value") / 100.0)), 6).alias("pr"),
-                                 F.round(F.avg(F.when(t == "error", F.col("value") / 5.0)), 6).alias("rh"))
+    g = e.groupBy("user_id").agg(bround(F.avg(F.when(t == "view", F.col("value"))), 6).alias("t2m"),
+                                 bround(F.avg(F.when(t == "click", F.col("value") / 100.0)), 6).alias("pr"),
+                                 bround(F.avg(F.when(t == "error", F.col("value") / 5.0)), 6).alias("rh"))
     ann = lambda c: F.create_map(F.lit("ANN"), F.col(c))
     params = F.struct(ann("t2m").alias("T2M"), ann("pr").alias("PRECTOTCORR"))
     params_rh = F.struct(ann("t2m").alias("T2M"), ann("pr").alias("PRECTOTCORR"), ann("rh").alias("RH2M"))
