@@ -363,3 +363,19 @@ def test_exact_quantile_matches_percentile_with_a_hot_group(spark, small_group):
         clean = df.where(~F.isnan("v") | F.col("v").isNull())
         want = dict(rows(clean.groupBy("k").agg(F.percentile("v", F.lit(q)))))
         assert got == want
+
+
+def test_bounded_broadcast_refuses_large_tables(spark):
+    from agrispark.operators.joins import bounded_broadcast
+    assert bounded_broadcast(spark.range(10), max_rows=10).count() == 10
+    with pytest.raises(ValueError):
+        bounded_broadcast(spark.range(11), max_rows=10)
+
+
+def test_binary_rounding_matches_the_sql_engine_at_ties(spark, duck):
+    from agrispark.plans.util import bround
+    vals = [2.675, 1069.9843875, 243062.6053125, -2.5e-7, 0.125, 1.0000005]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(bround("x", 6)).collect()]
+    want = [duck.execute(f"SELECT round({v!r}::DOUBLE, 6)").fetchall()[0][0] for v in vals]
+    assert [g + 0.0 for g in got] == [w + 0.0 for w in want]
