@@ -114,13 +114,16 @@ def q_a7(spark, sf):
 
 
 @register("A8_mean_of_means", """
-WITH d AS (SELECT series_key, CAST(obs_date AS DATE) AS day, avg(value) AS day_mean
+WITH d AS (SELECT series_key, CAST(obs_date AS DATE) AS day, avg(CAST(round(value * 100) AS BIGINT)) AS day_mean
            FROM series_raw WHERE obs_date IS NOT NULL GROUP BY ALL)
-SELECT series_key, CAST(date_trunc('month', day) AS DATE) AS month, round(avg(day_mean), 6) AS value
+SELECT series_key, CAST(date_trunc('month', day) AS DATE) AS month, round(avg(day_mean) / 100.0, 6) AS value
 FROM d GROUP BY ALL
 """, views=("series_raw",))
 def q_a8(spark, sf):
-    return round_doubles(A.mean_of_means(V.series_raw(spark, sf), "series_key", "obs_date", "value"), 6)
+    # prices are exact cents: averaging integer cents keeps the day sums exact in any order
+    s = V.series_raw(spark, sf).withColumn("value", F.round(F.col("value") * 100).cast("long"))
+    out = A.mean_of_means(s, "series_key", "obs_date", "value")
+    return round_doubles(out.withColumn("value", F.col("value") / 100.0), 6)
 
 
 @register("A9_value_counts", """
