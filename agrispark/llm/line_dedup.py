@@ -17,13 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import columns, materialize, prepare, scratch_path
 
 SLOTS = 4
 #: Total bytes of filters that may be broadcast; beyond it every line is looked up in the exact table.
 FILTER_BYTES = 64 << 20
+#: Bytes of the exact table of repeated keys (24 a key) that may be broadcast; beyond it keys are looked up by a join.
+EXACT_BYTES = 64 << 20
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -177,62 +179,103 @@ def maybe_known(raw: list[bytes], digests: list[bytes]) -> np.ndarray:
     return out
 
 
+class ExactTable:
+    """Repeated keys and their holders, sorted: 24 bytes a key."""
+
+    def __init__(self, keys: list[bytes], holders: np.ndarray):
+        whole = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
+        order = np.lexsort((whole[:, 1], whole[:, 0]))
+        self.first, self.second, self.holders = whole[order, 0], whole[order, 1], holders[order]
+
+    def find(self, digests: list[bytes]) -> np.ndarray:
+        """Place of each digest in the table, -1 without one."""
+        whole = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+        at = np.searchsorted(self.first, whole[:, 0])
+        out = np.full(len(at), -1)
+        live = at < len(self.first)
+        while live.any():  # keys that share their first half stand next to each other
+            live[live] = self.first[at[live]] == whole[live, 0]
+            same = live & (self.second[np.minimum(at, len(self.first) - 1)] == whole[:, 1])
+            out[same] = at[same]
+            live &= ~same
+            at = at + live
+            live &= at < len(self.first)
+        return out
+
+
+def load_exact(repeated: DataFrame, limit: int = EXACT_BYTES) -> ExactTable | None:
+    """The exact table, if its ids are whole numbers and it has ``limit`` bytes at most; else None."""
+    if not isinstance(repeated.schema["holder"].dataType, (LongType, IntegerType)) or repeated.count() * 24 > limit:
+        return None
+    got = repeated.where("holder IS NOT NULL").toArrow()  # without a holder every id is null, and none loses a line
+    return ExactTable(got.column("key").to_pylist(), got.column("holder").to_numpy().astype(np.int64))
+
+
 def _apply(text: str, drop: set[bytes], min_chars: int) -> tuple[int, int, str]:
     lines = text.split("\n")
-    kept = [x for x in lines if not (len(k := line_key(x)) >= min_chars and key_digest(k) in drop)]
+    kept = [x for x in lines if not (len(k := line_key(x)) >= min_chars and key_digest(k) in drop)] if drop else lines
     return len(lines), len(lines) - len(kept), "\n".join(kept)
 
 
 def drop_repeated_lines(docs: DataFrame, refs: DataFrame, min_docs: int = 5, min_chars: int = 40, shards: int = 64,
-                        id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
+                        id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES, exact_bytes: int = EXACT_BYTES) -> DataFrame:
     """Documents without the lines that ``refs`` counts in ``min_docs`` or more documents, but for the holder's.
 
     Returns (id, n_lines, n_dropped, text). Filters over the repeated keys tell
-    documents that can't lose a line: those are finished where they were read.
-    Only the others, and their few keys in question, are shuffled for the
-    exact look-up.
+    which lines may be among them; those are looked up in the exact table:
+    where they were read while that table is small enough to go out, else by a
+    join that shuffles only documents with a line in question. Either way
+    gives the same rows.
     """
     repeated = materialize(refs.where(F.col("n_docs") >= min_docs).select("key", "holder"), "repeated")
     raw = load_filters(materialize(filters(repeated, shards), "filters"), shards, filter_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(raw) if raw is not None else None
+    exact = load_exact(repeated, exact_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast((raw, exact))
     kind = docs.schema[id_col].dataType
-    schema = StructType([StructField("id", kind), StructField("n_lines", LongType()), StructField("n_dropped", LongType()),
-                         StructField("text", StringType()), StructField("ask", ArrayType(BinaryType())), StructField("sure", BooleanType())])
+    schema = StructType([StructField("id", kind), StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("text", StringType()), StructField("ask", ArrayType(BinaryType()))])
+    arrow = [pa.int64(), pa.int64(), pa.string()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, exact = shared.value
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            n_lines, keys, owner = [], [], []
+            texts, ids = [x or "" for x in b.column(1).to_pylist()], b.column(0).to_pylist()
+            keys, owner = [], []
             for i, t in enumerate(texts):
-                lines = t.split("\n")
-                n_lines.append(len(lines))
-                own = {k for x in lines if len(k := line_key(x)) >= min_chars}
+                own = {k for x in t.split("\n") if len(k := line_key(x)) >= min_chars}
                 keys += map(key_digest, own)
                 owner += [i] * len(own)
-            ask: list[list[bytes]] = [[] for _ in texts]
-            hit = maybe_known(shared.value, keys) if shared is not None and keys else np.ones(len(keys), bool)
-            for j in np.flatnonzero(hit):
-                ask[owner[j]].append(keys[j])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_lines, pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts, pa.string()),
-                                              pa.array(ask, pa.list_(pa.binary())), pa.array([not a for a in ask])], schema.names)
+            hits = np.flatnonzero(maybe_known(raw, keys)) if raw is not None and keys else np.arange(len(keys))
+            ask: list[set[bytes]] = [set() for _ in texts]
+            if exact is not None and len(hits):
+                at = exact.find([keys[j] for j in hits])
+                hits = [j for j, k in zip(hits, at, strict=True) if k >= 0 and exact.holders[k] != ids[owner[j]]]
+            for j in hits:
+                ask[owner[j]].add(keys[j])
+            made = [_apply(t, a if exact is not None else set(), min_chars) for t, a in zip(texts, ask, strict=True)]
+            cols = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), arrow, strict=True)] if made else [pa.array([], k) for k in arrow]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([list(a) for a in ask], pa.list_(pa.binary()))], schema.names)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [_apply(t, set(d or ()), min_chars) for t, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]] if made else [b.column(0), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string())], ["id", "n_lines", "n_dropped", "text"])
-
-    scanned = materialize(columns(docs, id_col, text_col).mapInArrow(scan, schema), "scanned")
-    done = scanned.where("sure").select("id", "n_lines", "n_dropped", "text")
-    open_ = scanned.where("not sure")
+            cols = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), arrow, strict=True)] if made else [pa.array([], k) for k in arrow]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], schema.names[:4])
+
+    scanned = columns(docs, id_col, text_col).mapInArrow(scan, schema)
+    if exact is not None:
+        return scanned.drop("ask")
+    scanned = materialize(scanned, "scanned")
+    done = scanned.where("size(ask) = 0").drop("ask")
+    open_ = scanned.where("size(ask) > 0")
     asked = open_.select("id", F.explode("ask").alias("key")).distinct()
     lost = asked.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("holder"))).groupBy("id").agg(F.collect_set("key").alias("drop"))
     lost = materialize(lost.select(F.col("id").alias("lost_id"), "drop"), "lost")
     rest = open_.join(lost, F.col("id").eqNullSafe(F.col("lost_id")), "left").select("id", "text", "drop")
-    out = StructType([schema["id"], schema["n_lines"], schema["n_dropped"], schema["text"]])
-    return done.unionByName(rest.mapInArrow(finish, out))
+    return done.unionByName(rest.mapInArrow(finish, StructType(schema.fields[:4])))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text",
+                filter_bytes: int = FILTER_BYTES, exact_bytes: int = EXACT_BYTES) -> DataFrame:
     """Drop lines that occur in many documents from all but the largest id that has them.
 
     Returns (id, n_lines, n_dropped, text), a row for each input row. Lines
@@ -242,7 +285,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col:
     """
     prepare(docs.sparkSession)
     refs = references(postings(docs, min_chars, id_col, text_col))
-    return drop_repeated_lines(docs, refs, min_docs, min_chars, id_col=id_col, text_col=text_col, filter_bytes=filter_bytes)
+    return drop_repeated_lines(docs, refs, min_docs, min_chars, id_col=id_col, text_col=text_col, filter_bytes=filter_bytes, exact_bytes=exact_bytes)
 
 
 class LineIndex:

@@ -39,10 +39,17 @@ def shared_rows():
     return awkward() + more + [(None, LINE), (100, LINE), (100, LINE)]
 
 
-@pytest.mark.parametrize("room", [line_dedup.FILTER_BYTES, 0])
+@pytest.mark.parametrize("room", [(line_dedup.FILTER_BYTES, line_dedup.EXACT_BYTES), (line_dedup.FILTER_BYTES, 0), (0, line_dedup.EXACT_BYTES), (0, 0)])
 def test_awkward_rows(spark, room):
-    """With filters, and where they have no room: the same rows."""
-    assert digest(line_dedup.dedup_lines(docs(spark, shared_rows()), filter_bytes=room)) == slow(shared_rows())
+    """With filters and table sent out, and where either has no room: the same rows."""
+    assert digest(line_dedup.dedup_lines(docs(spark, shared_rows()), filter_bytes=room[0], exact_bytes=room[1])) == slow(shared_rows())
+
+
+def test_exact_table_tells_keys_with_one_first_half_apart():
+    keys = [bytes([a] * 8 + [b] * 8) for a in (1, 2) for b in (5, 3, 4)]
+    table = line_dedup.ExactTable(keys, np.arange(6))
+    assert [int(table.holders[i]) for i in table.find(keys)] == list(range(6))
+    assert (table.find([bytes([1] * 16), bytes([9] * 16), bytes([0] * 16)]) == -1).all()
 
 
 def test_whole_table(spark):
