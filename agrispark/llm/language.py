@@ -117,9 +117,9 @@ def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
                         total[x] = total[x] + counts[i] if x in total else counts[i]
         for x, n in total.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(at)), pa.array(at), pa.array(n[at])], schema.names)
-            if not len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([0]), pa.array([0])], schema.names)
+            if not len(at):  # the language is known, without any trigram
+                at = np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], schema.names)
 
     rows = docs.where(learn).where(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
     got = rows.mapInArrow(run, schema).groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()

@@ -145,7 +145,7 @@ def scan_text(text: str, machine) -> tuple[int, list[tuple[int, str]]]:
         before = n - len(carry)
         line = f" {b' '.join(carry + words).decode('latin-1')} "
         for last, (phrase, size) in machine.iter(line):
-            start = line.count(" ", 0, last - len(phrase))
+            start = line.count(" ", 0, last - len(phrase)) - 1
             if start + size > len(carry):
                 found.append((before + start, phrase))
         n += len(words)

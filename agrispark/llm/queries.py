@@ -83,9 +83,9 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS x,
              max(page_id) OVER (PARTITION BY html) AS top,
              row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS nth FROM p),
-v AS (SELECT *, list_transform(range(0, 8), i -> CAST('0x' || substr(x, CAST(1 + 5 * i AS INT), 5) AS BIGINT)) AS parts FROM h)
+v AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(x, CAST(1 + 5 * i AS INT), 5) AS BIGINT)) AS parts FROM h)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(parts, v ->
+       array_to_string(list_transform(parts, lambda v:
            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> 15) & 31) + 1 AS INT), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> 10) & 31) + 1 AS INT), 1)
            || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> 5) & 31) + 1 AS INT), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v & 31) + 1 AS INT), 1)), '') AS payload_digest,
        CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,

@@ -18,7 +18,7 @@ def slow_fingerprint(text, k=3):
 
 
 def slow_components(rows, distance=2):
-    """{position: smallest id reachable}"""
+    """Of each row: fingerprint, smallest id reachable, component."""
     fps = [slow_fingerprint(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -35,11 +35,11 @@ def slow_components(rows, distance=2):
     for i, (k, _) in enumerate(rows):
         if k is not None:
             least[find(i)] = min(k, least.get(find(i), k))
-    return fps, [least.get(find(i)) for i in range(len(rows))]
+    return fps, [least.get(find(i)) for i in range(len(rows))], [find(i) for i in range(len(rows))]
 
 
 def check(df, rows, **options):
-    fps, comp = slow_components(rows)
+    fps, comp, _ = slow_components(rows)
     got = sorted(((r["id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(df, **options).collect()), key=str)
     assert got == sorted(zip([k for k, _ in rows], fps, comp, strict=True), key=str)
 
