@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import columns, prepare
 
 #: Edits allowed for each character of an item (pieces have about 1 / ERRORS characters).
-ERRORS = 0.08
+ERRORS = 0.1
 #: Items with fewer characters (normalised) are not looked for: they occur in clean text.
 MIN_CHARS = 32
 #: Items of one pass over the documents: the bound on what is broadcast at a time.
@@ -109,16 +109,13 @@ class Matcher:
         self.made: dict[int, tuple[Myers, list[str]]] = {}
 
     def _near(self, i: int, window: str) -> tuple[int, int] | None:
-        """``Myers.search`` in a window, unless it shares too few runs of ``GRAM`` characters: an edit destroys at most ``GRAM`` of them."""
+        """``Myers.search`` in a window, unless too few of the item's side-by-side runs of ``GRAM`` characters are in it: each edit changes at most one."""
         _, p, k = self.items[i]
         if i not in self.made:
-            self.made[i] = Myers(p), [p[j:j + GRAM] for j in range(len(p) - GRAM + 1)]
+            self.made[i] = Myers(p), [p[j:j + GRAM] for j in range(0, len(p) - GRAM + 1, GRAM)]
         machine, grams = self.made[i]
-        least = len(grams) - k * GRAM
-        if least > 0:
-            there = {window[j:j + GRAM] for j in range(len(window) - GRAM + 1)}
-            if sum(map(there.__contains__, grams)) < least:
-                return None
+        if sum(map(window.__contains__, grams)) < len(grams) - k:
+            return None
         return machine.search(window)
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:

@@ -114,7 +114,7 @@ def text_bins(data: np.ndarray, offsets: np.ndarray, stamp: np.ndarray) -> Itera
 def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = SEED, n_bins: int = BINS) -> np.ndarray:
     """Weights (the last is the bias) that minimise |w|^2 / 2 + cost * hinge loss, by dual coordinate descent."""
     w, alpha = np.zeros(n_bins + 1), np.zeros(len(y))
-    square = np.array([v @ v + 1 for v in values])
+    square = np.array([float(v @ v) + 1 for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
@@ -219,13 +219,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def fit_model(table: pa.Table) -> pa.Table:
-        bins = [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("bins").to_pylist()]
-        order = sorted(range(len(bins)), key=lambda i: bins[i].tobytes())  # the same fit whatever the order of rows
-        bins, y = [bins[i] for i in order], np.where(table.column("y").to_numpy()[order] > 0, 1.0, -1.0)
+        raw, y = table.column("bins").to_pylist(), np.where(table.column("y").to_numpy() > 0, 1.0, -1.0)
+        order = sorted(range(len(raw)), key=lambda i: (raw[i], y[i]))  # the same fit whatever the order of rows
+        bins, y = [np.frombuffer(raw[i], "<u4") for i in order], y[order]
+        del raw
         values = []
         for at in bins:
-            r = shared.value[at].astype(np.float64)
-            values.append(r / (np.sqrt(r @ r) or 1.0))
+            r = shared.value[at]
+            values.append(r / np.float32(np.sqrt(r @ r) or 1.0))
         w = descend(bins, values, y)
         slope, offset = calibrate(np.array([w[at] @ v + w[-1] for at, v in zip(bins, values, strict=True)]), y)
         return pa.table({"weight": pa.array([w.tobytes()], pa.binary()), "slope": [slope], "offset": [offset]})
