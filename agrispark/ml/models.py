@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clamp_nonneg, is_finite, risk_from_sign
 from ..operators.aggregates import (classification_metrics, group_mode, label_centroids, ordinal_label_rmse,
                                     quantile_thresholds, regression_metrics)
-from ..operators.features import (class_weights, impute_median, quantile_bins, random_split, standardise,
+from ..operators.features import (class_weights, impute_median, impute_mode, quantile_bins, random_split, standardise,
                                   stratified_split)
 from ..operators.joins import collect_bounded
 from ..operators.quality import require_min_classes
@@ -56,10 +56,20 @@ def _rf_classifier(label_idx: str, num_trees: int, min_leaf: int, max_depth: int
     return RandomForestClassifier(**kw)
 
 
+def fitted_labels(model: PipelineModel) -> list[str]:
+    """Labels in the order of the model's class indexes: those of its own label indexer (the first stage)."""
+    return list(model.stages[0].labels)
+
+
+def _score(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Predictions without the label indexer: rows to score need no label, or one that training never saw."""
+    return PipelineModel(model.stages[1:]).transform(rows)
+
+
 def _classify_eval(model: PipelineModel, test: DataFrame, label: str, classes: list[str]) -> dict:
-    pred = model.transform(test)
-    lab = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("prediction").cast("int") + 1)
-    p = pred.select(F.col(label).alias("actual"), lab.alias("predicted"))
+    """Metrics on ``test``. Predictions are named by the fitted indexer; ``classes`` (all that occur) only order the index error."""
+    lab = F.element_at(F.array(*[F.lit(c) for c in fitted_labels(model)]), F.col("prediction").cast("int") + 1)
+    p = _score(model, test).select(F.col(label).alias("actual"), lab.alias("predicted"))
     m = _metrics_row(classification_metrics(p))
     m["index_rmse"] = _metrics_row(ordinal_label_rmse(p, classes))["rmse"]
     return m
@@ -82,17 +92,16 @@ def train_crop_recommender(df: DataFrame, label: str, key: str, feats: Sequence[
     train = d.where(F.col("dataset_split") == "train")
     model = pipe.fit(train)
     metrics = _classify_eval(model, d.where(F.col("dataset_split") == "test"), label, classes)
-    return {"model": model, "metrics": metrics, "classes": classes, "features": list(feats),
+    return {"model": model, "metrics": metrics, "classes": fitted_labels(model), "features": list(feats),
             "centroids": label_centroids(train, label, list(feats)),
             "thresholds": quantile_thresholds(train, [f for f in ("N", "P", "K", "rainfall", "temperature")
                                                       if f in feats])}
 
 
 def train_zone_classifier(df: DataFrame, label: str, key: str, numeric: Sequence[str], zone: str = "region_type",
-                          num_trees: int = 300, min_leaf: int = 1, max_depth: int = MAX_DEPTH, seed: int = 42) -> dict:
-    """ML2: balanced forest (class weights), sqrt feature subsets, numeric + one-hot zone."""
-    d = stratified_split(df.where(F.col(label).isNotNull()), label, key, 0.2, seed)
-    d = materialize(impute_median(materialize(d), list(numeric)))
+                          num_trees: int = 300, min_leaf: int = 2, max_depth: int = MAX_DEPTH, seed: int = 42) -> dict:
+    """ML2: balanced forest (class weights), sqrt feature subsets, numeric + one-hot zone; rows with a null are dropped."""
+    d = materialize(stratified_split(df.na.drop(subset=[label, *numeric, zone]), label, key, 0.2, seed))
     train = class_weights(d.where(F.col("dataset_split") == "train"), label, "weight")
     classes = _classes(d, label)
     stages = [StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc"),
@@ -102,7 +111,7 @@ def train_zone_classifier(df: DataFrame, label: str, key: str, numeric: Sequence
               _rf_classifier("label_idx", num_trees, min_leaf, max_depth, seed, "sqrt", "weight")]
     model = Pipeline(stages=stages).fit(train)
     metrics = _classify_eval(model, d.where(F.col("dataset_split") == "test"), label, classes)
-    return {"model": model, "metrics": metrics, "classes": classes, "features": [*numeric, zone]}
+    return {"model": model, "metrics": metrics, "classes": fitted_labels(model), "features": [*numeric, zone]}
 
 
 def train_label_classifier(df: DataFrame, label: str, key: str, feats: Sequence[str] = ("temperature", "rainfall",
@@ -120,7 +129,7 @@ def train_label_classifier(df: DataFrame, label: str, key: str, feats: Sequence[
                             _rf_classifier("label_idx", num_trees, 1, max_depth, seed, "auto", "weight")])
     model = pipe.fit(train)
     metrics = _classify_eval(model, d.where(F.col("dataset_split") == "test"), label, classes)
-    return {"model": model, "metrics": metrics, "classes": classes, "features": list(feats)}
+    return {"model": model, "metrics": metrics, "classes": fitted_labels(model), "features": list(feats)}
 
 
 def _regression_pipeline(numeric: Sequence[str], cats: Sequence[str], estimator) -> Pipeline:
@@ -142,7 +151,8 @@ def train_yield_regressors(df: DataFrame, target: str, key: str, numeric: Sequen
     """ML4: forest and linear regression on log1p(target); compare on test RMSE."""
     d = df.withColumn(target, F.col(target).cast("double")).where(is_finite(target))
     d = materialize(random_split(d, key, 0.2, seed))
-    d = materialize(impute_median(d, list(numeric)).withColumn("__y", F.log1p(target)))
+    d = impute_median(d, list(numeric)).withColumn("__y", F.log1p(target))
+    d = materialize(impute_mode(d, list(cats)) if cats else d)
     train = d.where(F.col("dataset_split") == "train")
     models = {
         "random_forest": RandomForestRegressor(labelCol="__y", featuresCol="features", numTrees=num_trees,
@@ -291,10 +301,10 @@ def pca_project(df: DataFrame, feats: Sequence[str], key: str, k: int = 2) -> Da
 # Scoring
 # --------------------------------------------------------------------------
 
-def predict_scores(model: PipelineModel, rows: DataFrame, key: str, classes: Sequence[str]) -> DataFrame:
-    """ML9: (row, label, p) from the probability vector; narrow (posexplode)."""
-    pr = model.transform(rows).select(key, vector_to_array("probability").alias("__p"))
-    lab = F.array(*[F.lit(c) for c in classes])
+def predict_scores(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame:
+    """ML9: (row, label, p) from the probability vector, named by the fitted label indexer; narrow (posexplode)."""
+    pr = _score(model, rows).select(key, vector_to_array("probability").alias("__p"))
+    lab = F.array(*[F.lit(c) for c in fitted_labels(model)])
     x = pr.select(key, F.posexplode("__p").alias("__i", "p"))
     return x.select(key, F.element_at(lab, F.col("__i") + 1).alias("label"), "p")
 
@@ -318,7 +328,7 @@ def metrics_rows(artifact: str, metrics: dict, generated_at) -> list[tuple]:
 
 def training_run(spark, soil: DataFrame, label: str, key: str, feats: Sequence[str], history_base: str,
                  version: int, num_trees: int = 20, max_depth: int = 8, seed: int = 42) -> DataFrame:
-    """ML18: run ML1, ML6 and ML3 in order, append one metrics snapshot (S11), keep 50."""
+    """ML18: run ML1, ML6 and ML3 in order, append one metrics snapshot."""
     import datetime as dt
     from ..sources.history import HISTORY_SCHEMA, metrics_append, read_history, write_history_version
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
@@ -333,7 +343,7 @@ def training_run(spark, soil: DataFrame, label: str, key: str, feats: Sequence[s
         rows.append((now, "classifier", "available", 0.0))
     snap = spark.createDataFrame(rows, HISTORY_SCHEMA)
     hist = read_history(spark, f"{history_base}/v{version - 1:06d}") if version > 1 else None
-    kept = metrics_append(hist, snap, keep=50)
+    kept = metrics_append(hist, snap)
     path = write_history_version(kept, history_base, version)
     return spark.read.parquet(path)
 

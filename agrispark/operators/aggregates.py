@@ -151,17 +151,18 @@ def annualised_city_mean(df: DataFrame, city: str, temp: str, rain: str, hum: st
                          days: float = 365.0) -> DataFrame:
     """Per-city means of snapshots; rainfall = mean daily value x 365.
 
-    The key is ``trim/lower(city)``; when several spellings collapse onto
-    one key the display name is the last in sorted order (trap T13).
+    Rows with any null are dropped and means are taken per exact spelling.
+    The key is ``trim/lower(city)``; when several spellings share a key, the
+    last one in sorted order gives the row (trap T13). Two partial
+    aggregations; the second sees one row per spelling.
     """
-    d = df.where(F.col(city).isNotNull()).withColumn("city_key", norm_key(city))
-    d = d.where(F.col("city_key") != "")
-    return d.groupBy("city_key").agg(
-        F.max(F.col(city)).alias("city"),
-        F.avg(temp).alias("temperature"),
-        (F.avg(rain) * days).alias("rainfall"),
-        F.avg(hum).alias("humidity"),
-        F.count(F.lit(1)).alias("n_snapshots"))
+    d = df.select(city, temp, rain, hum).na.drop()
+    per = d.groupBy(city).agg(
+        F.avg(temp).alias("temperature"), (F.avg(rain) * days).alias("rainfall"),
+        F.avg(hum).alias("humidity"), F.count(F.lit(1)).alias("n_snapshots"))
+    last = F.max(F.struct(F.col(city).alias("city"), "temperature", "rainfall", "humidity", "n_snapshots")).alias("last")
+    per = per.withColumn("city_key", norm_key(city)).where(F.col("city_key") != "")
+    return per.groupBy("city_key").agg(last).select("city_key", "last.*")
 
 
 def mean_of_means(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
@@ -253,13 +254,12 @@ def regression_metrics(df: DataFrame, actual: str = "actual", pred: str = "predi
                        group: str | None = None) -> DataFrame:
     """RMSE and R^2 (optionally per group, e.g. train/test).
 
-    One pass: sum of squared errors, sum and sum of squares of the actuals
-    (R^2 = 1 - SSE / SST with SST = sum(y^2) - n*mean^2 computed in the same
-    aggregate).
+    One pass over the scored rows (actual and prediction not null): R^2 =
+    1 - SSE / SST, and ``n`` counts the same rows.
     """
     e = F.col(actual) - F.col(pred)
     aggs = [F.avg(e * e).alias("mse"), F.sum(e * e).alias("sse"),
-            F.var_pop(actual).alias("var_y"), F.count(F.lit(1)).alias("n")]
+            F.var_pop(F.when(e.isNotNull(), F.col(actual))).alias("var_y"), F.count(e).alias("n")]
     g = df.groupBy(group).agg(*aggs) if group else df.agg(*aggs)
     out = g.withColumns({
         "rmse": F.sqrt("mse"),

@@ -134,10 +134,14 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, feats: Sequence[str]
     after a bounded count and inlined as a literal array, so scoring is a
     plain projection: no join, no shuffle. Ties go to the alphabetically
     first label (the array is sorted by label and ``array_min`` compares
-    (distance, label)). Rows with a null feature get null.
+    (distance, label)). Rows with a null feature get null; a centroid with a
+    null value is at no distance and is left out.
     """
     cs = collect_bounded(centroids.select(label, *feats), max_centroids, "centroid table")
-    cs = sorted(cs, key=lambda r: r[label])
+    cs = sorted((r for r in cs if all(r[f] is not None for f in feats)), key=lambda r: r[label])
+    if not cs:
+        return rows.withColumns({"rule_label": F.lit(None).cast(centroids.schema[label].dataType),
+                                 "rule_distance": F.lit(None).cast("double")})
     structs = []
     for r in cs:
         d2 = None
@@ -155,16 +159,24 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, feats: Sequence[str]
 
 def nearest_centroid_vec(rows: DataFrame, centroids: DataFrame, vec: str, centroid: str = "centroid",
                          label: str = "label", max_centroids: int = 10_000) -> DataFrame:
-    """J9 for array features (embeddings): same plan, distances via higher-order functions."""
+    """J9 for array features (embeddings): same plan, distances via higher-order functions.
+
+    A centroid of another length than the row's vector, or with a null in it,
+    has no distance and never wins; without any distance the label is null.
+    """
     cs = collect_bounded(centroids.select(label, centroid), max_centroids, "centroid table")
-    cs = sorted(cs, key=lambda r: r[label])
+    cs = sorted((r for r in cs if r[centroid] is not None and None not in r[centroid]), key=lambda r: r[label])
+    if not cs:
+        return rows.withColumns({"rule_label": F.lit(None).cast(centroids.schema[label].dataType),
+                                 "rule_distance": F.lit(None).cast("double")})
     structs = []
     for r in cs:
         c = F.array(*[F.lit(float(x)) for x in r[centroid]])
         sq = F.zip_with(F.col(vec), c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
         d = F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
         structs.append(F.struct(d.alias("dist"), F.lit(r[label]).alias("lab")))
-    best = F.when(F.col(vec).isNotNull(), F.array_min(F.array(*structs)))
+    known = F.filter(F.array(*structs), lambda s: s["dist"].isNotNull())
+    best = F.when(F.col(vec).isNotNull(), F.array_min(known))
     return rows.withColumns({"rule_label": best["lab"], "rule_distance": best["dist"]})
 
 

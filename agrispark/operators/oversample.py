@@ -43,12 +43,13 @@ def smote(df: DataFrame, label: str, key: str, feats: Sequence[str], k: int = 5,
     # 1. seeded projection on standardised features
     st = d.agg(*[F.avg(f).alias(f"m_{f}") for f in feats], *[F.stddev_pop(f).alias(f"s_{f}") for f in feats]).first()
     rng = random.Random(seed)
-    proj = None
+    proj, z = None, []
     for f in feats:
         s = st[f"s_{f}"] or 1.0
-        t = F.lit(rng.gauss(0.0, 1.0)) * (F.col(f) - F.lit(st[f"m_{f}"])) / F.lit(s)
+        z.append((F.col(f).cast("double") - F.lit(st[f"m_{f}"])) / F.lit(s))
+        t = F.lit(rng.gauss(0.0, 1.0)) * z[-1]
         proj = t if proj is None else proj + t
-    d = d.withColumn("__proj", proj)
+    d = d.withColumns({"__proj": proj, "__z": F.array(*z)})
     grid = 1024
     qs = d.groupBy(label).agg(F.count(F.lit(1)).alias("__n"),
                               F.percentile_approx("__proj", [i / grid for i in range(1, grid)], 10000).alias("__q"))
@@ -68,7 +69,8 @@ def smote(df: DataFrame, label: str, key: str, feats: Sequence[str], k: int = 5,
     qc = qc.withColumn("__ns", F.greatest(F.lit(1), F.ceil(F.col("__qn") / F.lit(rows_per_bucket))))
     d = d.drop("__q", "__edges").join(qc, [label, "__qb"])
     width = (F.col("__p1") - F.col("__p0")) / F.col("__ns")
-    sub = F.when((F.col("__ns") <= 1) | (width <= 0), F.lit(0)).otherwise(
+    # rows of one projection have no width to cut: a hash of the key deals them out
+    sub = F.when(F.col("__ns") <= 1, F.lit(0).cast("long")).when(width <= 0, F.pmod(F.xxhash64(key), F.col("__ns")).cast("long")).otherwise(
         F.least(F.col("__ns") - 1, F.floor((F.col("__proj") - F.col("__p0")) / width)).cast("long"))
     d = d.withColumn("__bucket", F.col("__qb") * F.lit(1 << 20) + sub).drop("__qn", "__p0", "__p1", "__ns")
 
@@ -76,13 +78,15 @@ def smote(df: DataFrame, label: str, key: str, feats: Sequence[str], k: int = 5,
     w = Window.partitionBy(label, "__bucket").orderBy("__proj", key)
     vec = F.array(*[F.col(f).cast("double") for f in feats])
     d = d.withColumn("__v", vec)
-    cands = [F.lag("__v", i).over(w) for i in range(1, k + 1)] + [F.lead("__v", i).over(w) for i in range(1, k + 1)]
+    pair = F.struct("__z", "__v")
+    cands = [F.lag(pair, i).over(w) for i in range(1, k + 1)] + [F.lead(pair, i).over(w) for i in range(1, k + 1)]
     d = d.withColumn("__cand", F.filter(F.array(*cands), lambda c: c.isNotNull()))
 
     def dist(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, z: acc + z)
 
-    keyed = F.transform("__cand", lambda c: F.struct(dist(c, F.col("__v")).alias("d"), c.alias("v")))
+    # neighbours by distance on standardised features, so no unit of measure decides
+    keyed = F.transform("__cand", lambda c: F.struct(dist(c["__z"], F.col("__z")).alias("d"), c["__v"].alias("v")))
     d = d.withColumn("__nbrs", F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: s["v"]))
 
     # 3. exact copy counts per class

@@ -125,7 +125,7 @@ def integrity_report(df: DataFrame, text_cols: Sequence[str], label: str | None
         low = F.lower(F.trim(col))
         aggs += [F.count_distinct(text_fingerprint(col)).alias(f"d{i}"),
                  F.count_if(low.isin("null", "nan", "")).alias(f"mn{i}"),
-                 F.avg(F.when(col.isNotNull(), (~col.rlike("[A-Za-z0-9]")).cast("double"))).alias(f"sp{i}"),
+                 F.avg(F.when(col.isNotNull(), (~col.rlike(r"[\p{L}\p{N}]")).cast("double"))).alias(f"sp{i}"),
                  F.count_distinct(text_fingerprint(norm_key(col))).alias(f"dn{i}")]
         structs += [row("single_value", c, F.col(f"d{i}"), F.col(f"d{i}") > 1),
                     row("mixed_nulls", c, F.col(f"mn{i}"), F.col(f"mn{i}") == 0),

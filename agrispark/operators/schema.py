@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 # fixed values: case-insensitive substrings that assign a column to a role
 ROLE_PATTERNS = {
     "label": ("crop", "label", "yield"),
-    "time": ("date", "time", "year"),
-    "location": ("country", "region", "location", "city", "lat", "lon"),
+    "time": ("date", "time", "year", "month", "season"),
+    "location": ("country", "state", "region", "location", "city", "lat", "lon"),
 }
 
 

@@ -140,16 +140,15 @@ def binary_above_median_eval(train: DataFrame, test: DataFrame, key: str, actual
     return g.select(key, "accuracy", f1.alias("f1"), "rmse")
 
 
-def trailing_days(df: DataFrame, time: str, n: int, end=None, cap: int = 3650) -> DataFrame:
+def trailing_days(df: DataFrame, time: str, n: int, end=None) -> DataFrame:
     """Rows in the last ``n`` whole days ending at ``end`` (inclusive).
 
     ``end`` is a date literal string / date; default: the max date in the data
-    (a scalar subquery). ``n <= 0`` is an error; ``n`` is capped
-    at ``cap`` days.
+    (a scalar subquery). ``n <= 0`` is an error; any other ``n`` is
+    taken as it is.
     """
     if n <= 0:
         raise ValueError("days must be positive")
-    n = min(n, cap)
     d = F.to_date(F.col(time))
     if end is None:
         end_c = df.agg(F.max(d)).scalar()
@@ -159,9 +158,9 @@ def trailing_days(df: DataFrame, time: str, n: int, end=None, cap: int = 3650) -
 
 
 def calendar_parts(df: DataFrame, time: str) -> DataFrame:
-    """Month, quarter (null -> 1) and year."""
+    """Month and quarter (null -> 1) and year."""
     return df.withColumns({
-        "month": F.month(time),
+        "month": F.coalesce(F.month(time), F.lit(1)),
         "quarter": F.coalesce(F.quarter(time), F.lit(1)),
         "year_of": F.year(time),
     })

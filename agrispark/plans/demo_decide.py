@@ -328,7 +328,7 @@ def q_q1(spark, sf):
 def doc_frame(spark, sf):
     d = V.read(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     lab = V.read(spark, sf, "labels")
-    return d.join(lab, "doc_id", "inner")
+    return d.join(lab, "doc_id", "left")
 
 
 Q2_TEXT = ["text", "lang", "source"]
@@ -344,8 +344,8 @@ SELECT 'single_value' AS "check", '{c}' AS "column", CAST(count(DISTINCT {c}) AS
 UNION ALL SELECT 'mixed_nulls', '{c}', CAST(count(*) FILTER (WHERE lower(trim({c})) IN ('null', 'nan', '')) AS DOUBLE),
        count(*) FILTER (WHERE lower(trim({c})) IN ('null', 'nan', '')) = 0 FROM d
 UNION ALL SELECT 'special_characters', '{c}',
-       round(coalesce(avg(CASE WHEN {c} IS NOT NULL THEN CASE WHEN regexp_matches({c}, '[A-Za-z0-9]') THEN 0.0 ELSE 1.0 END END), 0.0), 6),
-       coalesce(avg(CASE WHEN {c} IS NOT NULL THEN CASE WHEN regexp_matches({c}, '[A-Za-z0-9]') THEN 0.0 ELSE 1.0 END END), 0.0) < 0.1 FROM d
+       round(coalesce(avg(CASE WHEN {c} IS NOT NULL THEN CASE WHEN regexp_matches({c}, '[\\p{{L}}\\p{{N}}]') THEN 0.0 ELSE 1.0 END END), 0.0), 6),
+       coalesce(avg(CASE WHEN {c} IS NOT NULL THEN CASE WHEN regexp_matches({c}, '[\\p{{L}}\\p{{N}}]') THEN 0.0 ELSE 1.0 END END), 0.0) < 0.1 FROM d
 UNION ALL SELECT 'string_variants', '{c}', CAST(count(DISTINCT {c}) - count(DISTINCT lower(trim({c}))) AS DOUBLE),
        count(DISTINCT {c}) = count(DISTINCT lower(trim({c}))) FROM d""")
     for j, c in enumerate(Q2_NUM):
@@ -372,7 +372,7 @@ SELECT 'length_outliers', '{c}', round(coalesce(avg(CASE WHEN {c} IS NOT NULL TH
 FROM d CROSS JOIN (SELECT quantile_cont(CAST(length({c}) AS DOUBLE), 0.25) AS q1,
                           quantile_cont(CAST(length({c}) AS DOUBLE), 0.75) AS q3 FROM d)""")
     return ("WITH d AS (SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM documents "
-            "JOIN labels USING (doc_id))\n" + "\nUNION ALL".join(parts))
+            "LEFT JOIN labels USING (doc_id))\n" + "\nUNION ALL".join(parts))
 
 
 @register("Q2_integrity_report", _q2_sql())

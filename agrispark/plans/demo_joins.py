@@ -54,22 +54,23 @@ def q_j3(spark, sf):
 
 @register("J4_merge_by_key", """
 WITH v AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n_view FROM events
-           WHERE event_type = 'view' AND value < 200 GROUP BY 1),
+           WHERE event_type IN ('view', 'signup') GROUP BY 1),
      c AS (SELECT CAST(ts AS DATE) AS day, round(sum(value), 6) AS click_value FROM events
-           WHERE event_type = 'click' AND value >= 20 GROUP BY 1),
+           WHERE event_type IN ('click', 'purchase') GROUP BY 1),
      e AS (SELECT CAST(ts AS DATE) AS day, round(avg(value), 6) AS error_mean FROM events
-           WHERE event_type = 'error' AND value BETWEEN 10 AND 400 GROUP BY 1)
+           WHERE event_type NOT IN ('view', 'signup', 'click', 'purchase') GROUP BY 1)
 SELECT coalesce(v.day, c.day, e.day) AS day, n_view, click_value, error_mean
 FROM v FULL JOIN c ON v.day = c.day FULL JOIN e ON coalesce(v.day, c.day) = e.day
 """)
 def q_j4(spark, sf):
     e = V.read(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    # three sources, each covering the days where its own readings qualify
-    v = e.where((F.col("event_type") == "view") & (F.col("value") < 200)).groupBy("day").agg(
+    # three sources that share out all events, each covering the days on which it has any
+    t = F.col("event_type")
+    v = e.where(t.isin("view", "signup")).groupBy("day").agg(
         F.count(F.lit(1)).alias("n_view"))
-    c = e.where((F.col("event_type") == "click") & (F.col("value") >= 20)).groupBy("day").agg(
+    c = e.where(t.isin("click", "purchase")).groupBy("day").agg(
         bround(F.sum("value"), 6).alias("click_value"))
-    er = e.where((F.col("event_type") == "error") & F.col("value").between(10, 400)).groupBy("day").agg(
+    er = e.where(~t.isin("view", "signup", "click", "purchase")).groupBy("day").agg(
         bround(F.avg("value"), 6).alias("error_mean"))
     return J.merge_by_key([v, c, er], "day")
 

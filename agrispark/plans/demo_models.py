@@ -144,7 +144,7 @@ def q_ml9(spark, sf):
     soil = V.soil(spark, sf)
     r = ML.train_crop_recommender(soil, "label", "soil_id", SOIL_FEATS, min_leaf=2, **SMALL)
     rows = soil.fillna({"ph": 6.5})
-    return ML.predict_scores(r["model"], rows, "soil_id", r["classes"])
+    return ML.predict_scores(r["model"], rows, "soil_id")
 
 
 @register("ML13_predict_yield")

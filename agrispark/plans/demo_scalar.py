@@ -288,7 +288,8 @@ def model_metrics(spark, sf):
     d = V.read(spark, sf, "documents").select("doc_id", "lang")
     p = predictions(spark, sf).join(d, "doc_id")
     out = None
-    for lang in ("en", "fr", "de", "es"):
+    langs = collect_bounded(p.select("lang").where("lang IS NOT NULL").distinct(), 1000, "languages")
+    for lang in sorted(r["lang"] for r in langs):
         m = classification_metrics(p.where(F.col("lang") == lang)).select(F.lit(lang).alias("model"), "*")
         out = m if out is None else out.unionByName(m)
     return out
@@ -299,7 +300,7 @@ WITH p AS (
   SELECT lang AS model, 'q' || CAST(quality AS VARCHAR) || 't' || CAST(toxic AS VARCHAR) AS actual,
          CASE WHEN n_chars < 500 THEN 'q0t0' WHEN n_chars < 5000 THEN 'q1t0'
               WHEN lang = 'en' THEN 'q1t0' ELSE 'q1t1' END AS predicted
-  FROM labels JOIN documents USING (doc_id) WHERE lang IN ('en', 'fr', 'de', 'es'))
+  FROM labels JOIN documents USING (doc_id) WHERE lang IS NOT NULL)
 SELECT model, CASE WHEN acc IS NOT NULL THEN 'Acc ' || printf('%.2f', acc) || ' | F1 ' || printf('%.2f', 0.0)
                    ELSE 'Metrics tracked' END AS label
 FROM (SELECT model, avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END) AS acc FROM p GROUP BY model)

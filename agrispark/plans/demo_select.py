@@ -129,9 +129,9 @@ def q_l7(spark, sf):
 
 
 @register("U3_key_union", """
-SELECT DISTINCT strftime(ts, '%Y%m%d') AS day_key FROM events WHERE event_type IN ('view', 'click', 'error')
+SELECT DISTINCT strftime(ts, '%Y%m%d') AS day_key FROM events
 """)
 def q_u3(spark, sf):
     e = V.read(spark, sf, "events").withColumn("day_key", F.date_format("ts", "yyyyMMdd"))
-    parts = [e.where(F.col("event_type") == t) for t in ("view", "click", "error")]
+    parts = [e.where(F.col("event_type") == t) for t in ("view", "click", "error", "signup", "purchase")]
     return L.key_union(parts, "day_key")

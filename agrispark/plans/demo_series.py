@@ -203,7 +203,7 @@ def q_w11(spark, sf):
 
 
 @register("W12_calendar_parts", """
-SELECT o_orderkey, CAST(month(o_orderdate) AS INTEGER) AS month,
+SELECT o_orderkey, CAST(coalesce(month(o_orderdate), 1) AS INTEGER) AS month,
        CAST(coalesce(quarter(o_orderdate), 1) AS INTEGER) AS quarter, CAST(year(o_orderdate) AS INTEGER) AS year_of
 FROM orders
 """)

@@ -56,7 +56,7 @@ def q_s4(spark, sf):
 
 
 PARAMS = {"T2M": "temperature", "PRECTOTCORR": "rainfall", "RH2M": "humidity"}
-PARAM_OF_TYPE = {"view": "T2M", "click": "PRECTOTCORR", "error": "RH2M"}
+PARAM_OF_TYPE = {"view": "T2M", "signup": "T2M", "click": "PRECTOTCORR", "purchase": "PRECTOTCORR", "error": "RH2M"}
 
 
 def daily_docs(spark, sf):
@@ -75,10 +75,10 @@ def daily_docs(spark, sf):
 
 @register("S6_keyed_maps_to_rows", """
 SELECT user_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date,
-       round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS temperature,
-       round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS rainfall,
+       round(avg(value) FILTER (WHERE event_type IN ('view', 'signup')), 6) AS temperature,
+       round(avg(value) FILTER (WHERE event_type IN ('click', 'purchase')), 6) AS rainfall,
        round(avg(value) FILTER (WHERE event_type = 'error'), 6) AS humidity
-FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY ALL
+FROM events GROUP BY ALL
 """)
 def q_s6(spark, sf):
     return JM.keyed_maps_to_rows(daily_docs(spark, sf), "user_id", "doc", PARAMS)
@@ -89,8 +89,8 @@ def array_docs(spark, sf):
     t = F.col("event_type")
     val = F.when(F.col("event_id") % 10 == 0, F.lit(None).cast("double")).otherwise(F.col("value"))
     g = e.groupBy("user_id").agg(
-        F.collect_list(F.when(t == "view", F.struct(val.alias("x")))).alias("a"),
-        F.collect_list(F.when(t == "click", F.struct(F.col("value").alias("x")))).alias("b"),
+        F.collect_list(F.when(t.isin("view", "signup"), F.struct(val.alias("x")))).alias("a"),
+        F.collect_list(F.when(t.isin("click", "purchase"), F.struct(F.col("value").alias("x")))).alias("b"),
         F.collect_list(F.when((t == "error") & (F.col("user_id") % 7 != 0),
                               F.struct((F.col("value") / 5.0).alias("x")))).alias("c"))
     xs = lambda c: F.transform(c, lambda s: s["x"])
@@ -101,8 +101,8 @@ def array_docs(spark, sf):
 
 @register("S7_parallel_arrays_reduce", """
 SELECT user_id,
-       round(coalesce(avg(value) FILTER (WHERE event_type = 'view' AND event_id % 10 <> 0), 25.0), 6) AS temperature,
-       round(coalesce(sum(value) FILTER (WHERE event_type = 'click'), 500.0), 6) AS rainfall,
+       round(coalesce(avg(value) FILTER (WHERE event_type IN ('view', 'signup') AND event_id % 10 <> 0), 25.0), 6) AS temperature,
+       round(coalesce(sum(value) FILTER (WHERE event_type IN ('click', 'purchase')), 500.0), 6) AS rainfall,
        round(coalesce(avg(value / 5.0) FILTER (WHERE event_type = 'error' AND user_id % 7 <> 0), 60.0), 6) AS humidity
 FROM events GROUP BY user_id
 """)
@@ -191,8 +191,8 @@ def q_s13(spark, sf):
 def annual_docs(spark, sf):
     e = V.read(spark, sf, "events")
     t = F.col("event_type")
-    g = e.groupBy("user_id").agg(bround(F.avg(F.when(t == "view", F.col("value"))), 6).alias("t2m"),
-                                 bround(F.avg(F.when(t == "click", F.col("value") / 100.0)), 6).alias("pr"),
+    g = e.groupBy("user_id").agg(bround(F.avg(F.when(t.isin("view", "signup"), F.col("value"))), 6).alias("t2m"),
+                                 bround(F.avg(F.when(t.isin("click", "purchase"), F.col("value") / 100.0)), 6).alias("pr"),
                                  bround(F.avg(F.when(t == "error", F.col("value") / 5.0)), 6).alias("rh"))
     ann = lambda c: F.create_map(F.lit("ANN"), F.col(c))
     params = F.struct(ann("t2m").alias("T2M"), ann("pr").alias("PRECTOTCORR"))
@@ -203,8 +203,8 @@ def annual_docs(spark, sf):
 
 
 @register("S14_climatology_extract", """
-SELECT user_id, coalesce(round(avg(value) FILTER (WHERE event_type = 'view'), 6), 25.0) AS temperature,
-       coalesce(round(avg(value / 100.0) FILTER (WHERE event_type = 'click'), 6), 2.0) * 365.0 AS rainfall,
+SELECT user_id, coalesce(round(avg(value) FILTER (WHERE event_type IN ('view', 'signup')), 6), 25.0) AS temperature,
+       coalesce(round(avg(value / 100.0) FILTER (WHERE event_type IN ('click', 'purchase')), 6), 2.0) * 365.0 AS rainfall,
        CASE WHEN user_id % 4 = 0 THEN 60.0
             ELSE coalesce(round(avg(value / 5.0) FILTER (WHERE event_type = 'error'), 6), 60.0) END AS humidity
 FROM events GROUP BY user_id
@@ -221,7 +221,7 @@ WITH p AS (SELECT place_id, CASE WHEN place_id % 3 = 0 THEN NULL ELSE temp END A
                   CASE WHEN place_id % 3 = 0 THEN NULL ELSE rain END AS rainfall,
                   CASE WHEN place_id % 3 = 0 THEN NULL ELSE humidity END AS humidity FROM places),
 s AS (SELECT place_id, round(avg(temperature_celsius), 6) AS temperature, round(sum(precip_mm), 6) AS rainfall,
-             round(avg(humidity), 6) AS humidity FROM weather WHERE temperature_celsius < 200 GROUP BY place_id)
+             round(avg(humidity), 6) AS humidity FROM weather GROUP BY place_id)
 SELECT p.place_id,
   CASE WHEN coalesce(p.temperature, p.rainfall, p.humidity) IS NOT NULL THEN coalesce(p.temperature, 25.0)
        WHEN coalesce(s.temperature, s.rainfall, s.humidity) IS NOT NULL THEN coalesce(s.temperature, 25.0)
@@ -241,7 +241,7 @@ def q_s15(spark, sf):
     nul = F.col("place_id") % 3 == 0
     prim = p.select("place_id", *[F.when(nul, F.lit(None).cast("double")).otherwise(F.col(a)).alias(b)
                                   for a, b in (("temp", "temperature"), ("rain", "rainfall"), ("humidity", "humidity"))])
-    w = V.weather(spark, sf).where(F.col("temperature_celsius") < 200)
+    w = V.weather(spark, sf)
     sec = round_doubles(daily_to_point_climate(w, ["place_id"], "temperature_celsius", "precip_mm", "humidity"))
     return JM.source_fallback(prim, sec, "place_id", ["temperature", "rainfall", "humidity"],
                               {"temperature": 25.0, "rainfall": 500.0, "humidity": 60.0})

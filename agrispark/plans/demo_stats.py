@@ -103,10 +103,13 @@ def q_a6(spark, sf):
 
 
 @register("A7_annualised_city_mean", """
-SELECT lower(trim(location_name)) AS city_key, max(location_name) AS city,
-       round(avg(temperature_celsius), 6) AS temperature, round(avg(precip_mm) * 365.0, 6) AS rainfall,
-       round(avg(humidity), 6) AS humidity, count(*) AS n_snapshots
-FROM weather WHERE location_name IS NOT NULL AND lower(trim(location_name)) <> '' GROUP BY 1
+WITH c AS (
+  SELECT location_name AS city, avg(temperature_celsius) AS t, avg(precip_mm) * 365.0 AS r, avg(humidity) AS h, count(*) AS n
+  FROM weather WHERE location_name IS NOT NULL AND temperature_celsius IS NOT NULL AND precip_mm IS NOT NULL
+                 AND humidity IS NOT NULL GROUP BY 1)
+SELECT lower(trim(c.city)) AS city_key, max(c.city) AS city, round(arg_max(t, c.city), 6) AS temperature,
+       round(arg_max(r, c.city), 6) AS rainfall, round(arg_max(h, c.city), 6) AS humidity, arg_max(n, c.city) AS n_snapshots
+FROM c WHERE lower(trim(c.city)) <> '' GROUP BY 1
 """, views=("weather",))
 def q_a7(spark, sf):
     return round_doubles(A.annualised_city_mean(V.weather(spark, sf), "location_name", "temperature_celsius",
@@ -208,8 +211,9 @@ def yield_predictions(spark, sf):
 
 @register("A16_regression_metrics", """
 SELECT region, round(sqrt(avg((actual - prediction) * (actual - prediction))), 6) AS rmse,
-       round(1.0 - sum((actual - prediction) * (actual - prediction)) / (var_pop(actual) * count(*)), 6) AS r2,
-       count(*) AS n
+       round(1.0 - sum((actual - prediction) * (actual - prediction))
+                    / (var_pop(actual) FILTER (WHERE prediction IS NOT NULL) * count(actual - prediction)), 6) AS r2,
+       count(actual - prediction) AS n
 FROM (SELECT region, crop_yield AS actual, 0.05 + 0.004 * temperature + 0.00012 * rainfall AS prediction FROM obs)
 GROUP BY region
 """, views=("obs",))

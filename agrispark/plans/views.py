@@ -165,7 +165,8 @@ weather AS (
 def series_raw(spark: SparkSession, sf_dir: str, with_gaps: bool = True) -> DataFrame:
     """Raw (series_key, obs_date, value) rows: one per order, keyed by nation.
 
-    ``with_gaps`` drops April of odd years so month bucketing has holes to fill.
+    ``with_gaps`` books the readings of April of odd years 30 days later, in May
+    (all rows stay), so month bucketing has holes to fill.
     """
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -173,7 +174,8 @@ def series_raw(spark: SparkSession, sf_dir: str, with_gaps: bool = True) -> Data
     j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(
         n, F.col("c_nationkey") == F.col("n_nationkey"))
     if with_gaps:
-        j = j.where(~((F.month("o_orderdate") == 4) & (F.year("o_orderdate") % 2 == 1)))
+        late = (F.month("o_orderdate") == 4) & (F.year("o_orderdate") % 2 == 1)
+        j = j.withColumn("o_orderdate", F.when(late, F.expr("o_orderdate + INTERVAL 30 DAYS")).otherwise(F.col("o_orderdate")))
     return j.select(F.col("n_name").alias("series_key"),
                     F.col("o_orderdate").alias("obs_date"),
                     F.col("o_totalprice").alias("value"))
@@ -181,10 +183,11 @@ def series_raw(spark: SparkSession, sf_dir: str, with_gaps: bool = True) -> Data
 
 SERIES_RAW_SQL = """
 series_raw AS (
-  SELECT n_name AS series_key, o_orderdate AS obs_date, o_totalprice AS value
+  SELECT n_name AS series_key,
+         CASE WHEN month(o_orderdate) = 4 AND year(o_orderdate) % 2 = 1 THEN o_orderdate + INTERVAL 30 DAY
+              ELSE o_orderdate END AS obs_date, o_totalprice AS value
   FROM orders JOIN customer ON o_custkey = c_custkey
               JOIN nation ON c_nationkey = n_nationkey
-  WHERE NOT (month(o_orderdate) = 4 AND year(o_orderdate) % 2 = 1)
 )"""
 
 

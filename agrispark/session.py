@@ -48,7 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set one only if unset.
 
     A cluster names a shared, fault-tolerant folder in ``spark.checkpoint.dir``.
-    When the setting is missing (local tests) a fresh scratch folder is used.
+    When the setting is missing a local master (tests) gets a fresh scratch folder;
+    any other master is an error, since its machines share no local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         configured = tempfile.mkdtemp(prefix="agrispark-ckpt-")
     sc.setCheckpointDir(configured)
     return configured

@@ -1,7 +1,8 @@
 """Metrics history (S11) and model bundles.
 
 History is a long table ``(generated_at, artifact, metric, value)`` written
-as a new version on every append: the newest ``keep`` snapshots survive. A
+as a new version on every append; old snapshots go only when the caller says
+how many to ``keep``. A
 bundle is an MLlib ``PipelineModel`` directory plus parquet side tables
 (feature list, rule tables, metrics); a missing or broken bundle reads as
 "unavailable" with the error text instead of failing the caller.
@@ -13,33 +14,31 @@ import json
 import posixpath
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HISTORY_SCHEMA = "generated_at timestamp_ntz, artifact string, metric string, value double"
 
 
-def metrics_append(history: DataFrame | None, snapshot: DataFrame, keep: int = 50) -> DataFrame:
-    """Union the new snapshot and keep the newest ``keep`` snapshot times.
+def metrics_append(history: DataFrame | None, snapshot: DataFrame, keep: int | None = None) -> DataFrame:
+    """Union the new snapshot; with ``keep``, only the newest ``keep`` snapshot times stay.
 
-    An unreadable history (``None``) starts empty. The keep-set is computed
-    over the **distinct snapshot times** only (tiny), then semi-joined back.
+    A missing history (``None``) starts empty. The keep-set is a top-k over
+    the **distinct snapshot times**, semi-joined back.
     """
     allrows = snapshot if history is None else history.unionByName(snapshot)
-    times = allrows.select("generated_at").distinct()
-    newest = times.withColumn("__r", F.row_number().over(Window.orderBy(F.col("generated_at").desc()))) \
-        .where(F.col("__r") <= keep).drop("__r")
-    return allrows.join(F.broadcast(newest), "generated_at", "left_semi")
+    if keep is None:
+        return allrows
+    newest = allrows.select("generated_at").distinct().orderBy(F.col("generated_at").desc()).limit(keep)
+    return allrows.join(newest, "generated_at", "left_semi")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame | None:
+    """The history at ``path``, ``None`` if there is none; a failing read raises (it must not restart the history)."""
     from .files import path_exists
-    try:
-        if not path_exists(spark, path):
-            return None
-        return spark.read.schema(HISTORY_SCHEMA).parquet(path)
-    except Exception:
+    if not path_exists(spark, path):
         return None
+    return spark.read.schema(HISTORY_SCHEMA).parquet(path)
 
 
 def write_history_version(df: DataFrame, base: str, version: int) -> str:
