@@ -207,3 +207,56 @@ SELECT place_id, lat, lng FROM places WHERE lat BETWEEN -30 AND 30 AND lng BETWE
 """, views=("places",))
 def q_f8(spark, sf):
     return FL.in_box(V.places(spark, sf).select("place_id", "lat", "lng"), "lat", "lng", -30, 30, -100, 100)
+
+
+@register("P2_resolve_alias", """
+SELECT o_orderkey, o_totalprice AS total_price, o_orderstatus AS status FROM orders
+""")
+def q_p2(spark, sf):
+    o = V.read(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("Total  PRICE"),
+                                           F.col("o_orderstatus").alias(" Status"))
+    return S.rename_aliases(o, {"total_price": ["total price"], "status": ["state", "status"], "absent": ["no such name"]})
+
+
+@register("P3_rename_present", "SELECT o_orderkey, o_totalprice AS price FROM orders")
+def q_p3(spark, sf):
+    o = V.read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return S.rename_present(o, {"o_totalprice": "price", "no_such_column": "x"})
+
+
+@register("P4_normalise_headers", """
+SELECT o_orderkey AS order_key, o_orderstatus AS crop_type, o_totalprice AS price FROM orders
+""")
+def q_p4(spark, sf):
+    o = V.read(spark, sf, "orders").select(F.col("o_orderkey").alias(" ORDER_KEY "), F.col("o_orderstatus").alias("Label"),
+                                           F.col("o_totalprice").alias("Price"))
+    return S.normalise_headers(o)
+
+
+@register("P5_require_columns", "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders")
+def q_p5(spark, sf):
+    o = V.read(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    return S.require_columns(o, ["o_orderkey", "o_totalprice", "o_orderdate"], "orders")
+
+
+@register("P6_infer_feature_kinds", """
+SELECT 'o_orderkey' AS feature, 'numeric' AS kind, count(o_orderkey) AS n_values FROM orders
+UNION ALL SELECT 'o_custkey', 'numeric', count(o_custkey) FROM orders
+UNION ALL SELECT 'o_orderstatus', 'categorical', count(o_orderstatus) FROM orders
+UNION ALL SELECT 'o_orderdate', 'categorical', count(o_orderdate) FROM orders
+UNION ALL SELECT 'is_open', 'numeric', count(o_orderstatus) FROM orders
+""")
+def q_p6(spark, sf):
+    o = V.read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                                           (F.col("o_orderstatus") == "O").alias("is_open"))
+    num, cat = S.infer_feature_kinds(o, target="o_totalprice")
+    counts = o.agg(*[F.count(c).alias(c) for c in num + cat])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(kind).alias("kind"), F.col(c).alias("n_values"))
+        for kind, names in (("numeric", num), ("categorical", cat)) for c in names])))
+
+
+@register("F2_drop_columns_strict", "SELECT o_orderkey, o_totalprice FROM orders")
+def q_f2(spark, sf):
+    o = V.read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return S.drop_columns_strict(o, ["o_orderstatus"])

@@ -245,3 +245,29 @@ def q_s15(spark, sf):
     sec = round_doubles(daily_to_point_climate(w, ["place_id"], "temperature_celsius", "precip_mm", "humidity"))
     return JM.source_fallback(prim, sec, "place_id", ["temperature", "rainfall", "humidity"],
                               {"temperature": 25.0, "rainfall": 500.0, "humidity": 60.0})
+
+
+@register("S5_first_available_source", "SELECT o_orderkey, o_totalprice FROM orders")
+def q_s5(spark, sf):
+    path = S.first_available_source(spark, [table_path(sf, "no_such_table"), table_path(sf, "orders")])
+    return S.scan_columns(spark, path, ["o_orderkey", "o_totalprice"])
+
+
+@register("S12_model_bundle", """
+SELECT o_orderkey, o_totalprice AS price, CAST(o_custkey AS DOUBLE) AS customer, n AS n_status, 2 AS n_features
+FROM orders JOIN (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) USING (o_orderstatus)
+""")
+def q_s12(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    o = V.read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    feats = ["o_totalprice", "o_custkey"]
+    model = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")]).fit(o)
+    side = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    path = H.save_model_bundle(spark, S.scratch_path(spark, "bundle"), model, feats, {"rows": 1.0}, {"status": side})
+    b = H.load_model_bundle(spark, path, ("status",))
+    x = vector_to_array("features")
+    scored = b.model.transform(o).join(b.tables["status"], "o_orderstatus")
+    return scored.select("o_orderkey", x[0].alias("price"), x[1].alias("customer"), F.col("n").alias("n_status"),
+                         F.lit(len(b.features)).alias("n_features"))

@@ -58,7 +58,7 @@ def test_probability_rows_sum_to_one_and_metrics_in_range(spark):
     soil = V.soil(spark, SF_SMALL)
     r = ML.train_crop_recommender(soil, "label", "soil_id", SOIL_FEATS, num_trees=5, max_depth=4)
     assert 0.0 <= r["metrics"]["accuracy"] <= 1.0 and 0.0 <= r["metrics"]["f1_weighted"] <= 1.0
-    scores = ML.predict_scores(r["model"], soil.fillna({"ph": 6.5}), "soil_id", r["classes"])
+    scores = ML.predict_scores(r["model"], soil.fillna({"ph": 6.5}), "soil_id")
     sums = scores.groupBy("soil_id").agg(F.sum("p").alias("s")).agg(F.min("s"), F.max("s")).first()
     assert abs(sums[0] - 1.0) < 1e-9 and abs(sums[1] - 1.0) < 1e-9
 
@@ -96,3 +96,28 @@ def test_bundle_roundtrip_and_missing(spark, tmp_path):
     assert b.available and b.features == SOIL_FEATS and b.tables["centroids"].count() == 6
     missing = load_model_bundle(spark, str(tmp_path / "nope"))
     assert not missing.available
+
+
+def _separable(spark):
+    """100 rows of each of two classes far apart, and one class of a single row that sorts first."""
+    rows = [(i, "m" if i % 2 else "z", float(i % 2) * 100 + i % 7, float(i % 2) * 50 + i % 5, 1.0) for i in range(200)]
+    return spark.createDataFrame([*rows, (999, "aaa", 500.0, 500.0, 1.0)], "k long, label string, temperature double, rainfall double, humidity double")
+
+
+def test_a_class_that_training_misses_shifts_no_label(spark):
+    df = _separable(spark)
+    r = ML.train_crop_recommender(df, "label", "k", ["temperature", "rainfall"], num_trees=5, max_depth=4)
+    test = r["metrics"]["accuracy"]
+    assert test >= 0.95  # the lone row alone can be missed
+    top = {x["k"]: x["label"] for x in ML.predict_scores(r["model"], df.drop("label"), "k").where("p > 0.5").collect()}
+    want = {x["k"]: x["label"] for x in df.where("k < 999").collect()}
+    assert {k: v for k, v in top.items() if k < 999} == want
+
+
+def test_smote_deals_out_rows_of_one_projection(spark):
+    """Copies have no width to cut into buckets; neighbours still come from their own class."""
+    df = spark.range(900).select(F.col("id").alias("k"), F.when(F.col("id") < 300, "rare").otherwise("common").alias("c"),
+                                 F.lit(3.0).alias("x"), F.when(F.col("id") < 300, 1.0).otherwise(2.0).alias("y"))
+    out = smote(df, "c", "k", ["x", "y"], k=3, seed=1, rows_per_bucket=50)
+    assert {(r["c"], r["count"]) for r in out.groupBy("c").count().collect()} == {("rare", 600), ("common", 600)}
+    assert {(r["x"], r["y"]) for r in out.where("synthetic").collect()} == {(3.0, 1.0)}

@@ -259,6 +259,9 @@ def test_metrics_history_keeps_newest_50(spark):
     vals = sorted(r[0] for r in kept.select("value").collect())
     assert len(vals) == 50 and vals[0] == 1.0 and vals[-1] == 50.0
     assert metrics_append(None, new, keep=50).count() == 1
+    more = spark.range(100, 109).select(F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("generated_at"),
+                                        F.lit("yield").alias("artifact"), F.lit("rmse").alias("metric"), F.col("id").cast("double").alias("value"))
+    assert metrics_append(snaps, more).count() == 60  # nothing goes unless the caller asks
 
 
 def test_nearest_centroid_tie_goes_to_first_label(spark):
@@ -379,3 +382,72 @@ def test_binary_rounding_matches_the_sql_engine_at_ties(spark, duck):
     got = [r[0] for r in df.select(bround("x", 6)).collect()]
     want = [duck.execute(f"SELECT round({v!r}::DOUBLE, 6)").fetchall()[0][0] for v in vals]
     assert [g + 0.0 for g in got] == [w + 0.0 for w in want]
+
+
+# --- wrong readings put right ----------------------------------------------------
+
+def test_trailing_days_takes_any_length(spark):
+    df = spark.range(6000).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    assert W.trailing_days(df, "d", 5000).count() == 5000
+
+
+def test_city_means_per_spelling(spark):
+    df = spark.createDataFrame([("Lahore", 10.0, 1.0, 5.0), ("lahore", 30.0, 2.0, 5.0), ("lahore", None, 9.0, 9.0)],
+                               "city string, t double, r double, h double")
+    got = rows(A.annualised_city_mean(df, "city", "t", "r", "h"))
+    assert got == [("lahore", "lahore", 30.0, 730.0, 5.0, 1)]
+
+
+def test_regression_metrics_over_scored_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 2.0), (100.0, None), (None, 5.0)], "actual double, prediction double")
+    r = A.regression_metrics(df).first()
+    assert (r["rmse"], r["r2"], r["n"]) == (1.0, 0.0, 2)
+
+
+def test_calendar_parts_of_null(spark):
+    df = spark.createDataFrame([(None,)], "d date")
+    r = W.calendar_parts(df, "d").first()
+    assert (r["month"], r["quarter"], r["year_of"]) == (1, 1, None)
+
+
+def test_role_words(spark):
+    roles = S.column_roles(["Month", "season", "State", "crop", "x"])
+    assert roles["time"] == ["Month", "season"] and roles["location"] == ["State"]
+
+
+def test_nearest_centroid_without_a_distance(spark):
+    cents = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0]), ("c", None)], "label string, centroid array<double>")
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0])], "id int, v array<double>")
+    assert rows(J.nearest_centroid_vec(df, cents, "v").orderBy("id"), "rule_label", "rule_distance") == [("b", 0.0), (None, None)]
+    flat = spark.createDataFrame([("a", None), ("b", 4.0)], "label string, x double")
+    one = spark.createDataFrame([(1.0,)], "x double")
+    assert rows(J.nearest_centroid(one, flat, ["x"]), "rule_label") == [("b",)]
+
+
+def test_text_in_any_script_is_text(spark):
+    df = spark.createDataFrame([("\u043f\u0440\u0438\u0432\u0435\u0442",), ("!!!",)], "t string")
+    got = {r["check"]: r["metric"] for r in Q.integrity_report(df, ["t"]).where("column = 't'").collect()}
+    assert got["special_characters"] == 0.5
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from agrispark import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
