@@ -118,7 +118,10 @@ def train_label_classifier(df: DataFrame, label: str, key: str, feats: Sequence[
                                                                                       "humidity"),
                            num_trees: int = 200, min_classes: int = 5, max_depth: int = MAX_DEPTH,
                            seed: int = 42) -> dict:
-    """ML3: balanced forest on the climate features; at least ``min_classes`` classes (Q3)."""
+    """ML3: balanced forest on the climate features; at least ``min_classes`` classes (Q3).
+
+    The metrics also tell the table's size: rows, classes and the largest class's share.
+    """
     require_min_classes(df, label, min_classes)
     d = stratified_split(df.where(F.col(label).isNotNull()), label, key, 0.2, seed)
     d = materialize(impute_median(materialize(d), list(feats)))
@@ -129,6 +132,9 @@ def train_label_classifier(df: DataFrame, label: str, key: str, feats: Sequence[
                             _rf_classifier("label_idx", num_trees, 1, max_depth, seed, "auto", "weight")])
     model = pipe.fit(train)
     metrics = _classify_eval(model, d.where(F.col("dataset_split") == "test"), label, classes)
+    size = d.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_classes"), F.max("n").alias("top")).first()
+    metrics |= {"n_rows": size["n_rows"], "n_classes": size["n_classes"], "top_class_ratio": size["top"] / size["n_rows"]}
     return {"model": model, "metrics": metrics, "classes": fitted_labels(model), "features": list(feats)}
 
 

@@ -121,3 +121,10 @@ def test_smote_deals_out_rows_of_one_projection(spark):
     out = smote(df, "c", "k", ["x", "y"], k=3, seed=1, rows_per_bucket=50)
     assert {(r["c"], r["count"]) for r in out.groupBy("c").count().collect()} == {("rare", 600), ("common", 600)}
     assert {(r["x"], r["y"]) for r in out.where("synthetic").collect()} == {(3.0, 1.0)}
+
+
+def test_label_classifier_tells_the_tables_size(spark):
+    rows = [(i, f"c{i % 5}" if i < 50 else "c0", float(i % 5), float(i % 5) * 2, 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, label string, temperature double, rainfall double, humidity double")
+    m = ML.train_label_classifier(df, "label", "k", num_trees=3, max_depth=3)["metrics"]
+    assert (m["n_rows"], m["n_classes"], m["top_class_ratio"]) == (60, 5, 20 / 60)
