@@ -182,12 +182,16 @@ def _midpoint_links(fps: DataFrame, max_distance: int) -> DataFrame:
 
     Two of them are at distance 2 or less just when both have some word within
     one bit. So each is filed under itself and its 64 one-bit neighbours; a
-    word gets 65 fingerprints at most, however large the group is.
+    word gets 65 fingerprints at most, however large the group is. For a
+    distance of 1 a word links its neighbours only where it is a fingerprint
+    itself; different fingerprints have no link at distance 0.
     """
-    if max_distance != 2:
-        raise ValueError("nodes over the limit are searched for a distance of 2")
+    if max_distance == 0:
+        return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where(F.lit(False))
     flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     near = fps.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
+    if max_distance == 1:
+        return near.where("fp <> word").join(fps.select(F.col("fp").alias("word")), "word").where("fp > word").select(F.col("fp").alias("u"), F.col("word").alias("v"))
     met = near.groupBy("word").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return met.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u <> v").select("u", "v")
 
@@ -204,8 +208,8 @@ def links(fps: DataFrame, max_distance: int = 2, node_limit: int = NODE_LIMIT) -
     entries = fps.select("fp", F.explode(F.array(*[node(i, *b) for i, b in enumerate(BLOCKS)])).alias("node"))
     sizes = materialize(entries.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     entries = materialize(entries.join(sizes, "node"), "nodes")
-    out = _index_links(entries.where(F.col("n") <= node_limit).select("node", "fp"), max_distance)
-    return out.unionByName(_midpoint_links(entries.where(F.col("n") > node_limit).select("fp").distinct(), max_distance)) if max_distance == 2 else out
+    searched = _index_links(entries.where(F.col("n") <= node_limit).select("node", "fp"), max_distance)
+    return searched.unionByName(_midpoint_links(entries.where(F.col("n") > node_limit).select("fp").distinct(), max_distance))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, id_col: str = "doc_id", text_col: str = "text",

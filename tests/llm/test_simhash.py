@@ -58,8 +58,9 @@ def test_empty_table(spark):
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2])
 @pytest.mark.parametrize("limit", [5000, 4])
-def test_links_reach_what_all_pairs_reach(spark, limit):
+def test_links_reach_what_all_pairs_reach(spark, limit, distance):
     """Dense clusters of planted fingerprints: same components as brute force, by the index and by midpoints."""
     rng = random.Random(5)
     fps = set()
@@ -69,7 +70,7 @@ def test_links_reach_what_all_pairs_reach(spark, limit):
     fps |= {rng.getrandbits(64) for _ in range(40)}
     signed = [int(np.uint64(x).view(np.int64)) for x in fps]
     from agrispark.llm.components import connected_components
-    links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 2, node_limit=limit)
+    links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), distance, node_limit=limit)
     made = {r["node"]: r["component"] for r in connected_components(links).collect()}
     root = {x: x for x in signed}
 
@@ -80,7 +81,7 @@ def test_links_reach_what_all_pairs_reach(spark, limit):
 
     for a in signed:
         for b in signed:
-            if bin((a ^ b) & (1 << 64) - 1).count("1") <= 2:
+            if bin((a ^ b) & (1 << 64) - 1).count("1") <= distance:
                 lo, hi = sorted((find(a), find(b)))
                 root[hi] = lo
     assert {x: made.get(x, x) for x in signed} == {x: find(x) for x in signed}
