@@ -10,7 +10,8 @@ Spark work:
   partition, so a long series is never pulled into one task);
 * stage-1 residuals are computed by joining the per-series coefficients back;
 * only the tiny (p+q+1)-square solves and the h-step recursion run in Python,
-  in ``applyInPandas`` over **one aggregated row per series**.
+  in ``mapInPandas`` over **one aggregated row per series**, a batch of series
+  at a time (stacked solves, no further shuffle).
 
 ``forecast_with_fallback`` (W8) falls back to the tail mean (W6) per series
 when the fit fails (too short, singular, non-finite) and records which model
@@ -19,12 +20,15 @@ produced each forecast.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.windows import tail_mean_forecast
+from ..operators.windows import binary_above_median_eval, chrono_split, tail_mean_forecast, with_steps
 
 
 def _lags(df: DataFrame, key: str, order: str, col: str, n: int, prefix: str) -> DataFrame:
@@ -47,33 +51,41 @@ def _normal_eq_sums(df: DataFrame, key: str, y: str, xs: list[str]) -> DataFrame
     return d.groupBy(key).agg(*aggs)
 
 
-def _solve(row: pd.Series, m: int) -> np.ndarray | None:
-    a = np.zeros((m, m))
-    b = np.zeros(m)
+def _normal_matrices(pdf: pd.DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stacked X'X (series, m, m) and X'y (series, m) from the columns of ``_normal_eq_sums``."""
+    a = np.zeros((len(pdf), m, m))
     for i in range(m):
-        b[i] = row[f"xy{i}"]
         for j in range(i, m):
-            a[i, j] = a[j, i] = row[f"xx{i}_{j}"]
-    try:
-        beta = np.linalg.solve(a, b)
-    except np.linalg.LinAlgError:
-        return None
-    return beta if np.all(np.isfinite(beta)) else None
-
-
-def _coef_udf(key: str, m: int, names: list[str]):
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            beta = _solve(row, m) if row["n"] > m else None
-            out.append([row[key]] + ([None] * m if beta is None else [float(v) for v in beta]))
-        return pd.DataFrame(out, columns=[key, *names])
+            a[:, i, j] = a[:, j, i] = pdf[f"xx{i}_{j}"].to_numpy(np.float64)
+    return a, np.stack([pdf[f"xy{i}"].to_numpy(np.float64) for i in range(m)], axis=1)
+
+
+def _solve(a: np.ndarray, b: np.ndarray, enough: np.ndarray) -> np.ndarray:
+    """Coefficients of every series at once; NaN where there are too few rows, or a singular or non-finite system."""
+    beta = np.full(b.shape, np.nan)
+    ok = enough & np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=1)
+    ok[ok] = np.linalg.slogdet(a[ok])[0] != 0
+    beta[ok] = np.linalg.solve(a[ok], b[ok][..., None])[..., 0]
+    beta[~np.isfinite(beta).all(axis=1)] = np.nan
+    return beta
+
+
+def _coef_batches(key: str, m: int, names: list[str]):
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            beta = _solve(*_normal_matrices(pdf, m), pdf["n"].to_numpy() > m)
+            yield pd.DataFrame({key: pdf[key]} | {n: beta[:, i] for i, n in enumerate(names)})
     return f
 
 
 def arima_forecast(series: DataFrame, key: str = "series_key", order_col: str = "month", value: str = "value",
-                   order: tuple[int, int, int] = (1, 1, 1), steps: int = 12, long_ar: int | None = None) -> DataFrame:
-    """Per series ARIMA(p, d, q) -> (key, step, month, forecast, aic, model_ok)."""
+                   order: tuple[int, int, int] = (1, 1, 1), steps: int | DataFrame = 12,
+                   long_ar: int | None = None) -> DataFrame:
+    """Per series ARIMA(p, d, q) -> (key, step, month, forecast, aic, model_ok).
+
+    ``steps``: one number for all series, or a frame (key, steps) with one for
+    each. A series that can't be fitted has one row, step 0, not ok.
+    """
     p, d, q = order
     kt = series.schema[key].dataType.simpleString()
     s = series.where(F.col(value).isNotNull()).select(key, order_col, F.col(value).cast("double").alias("y"))
@@ -88,7 +100,7 @@ def arima_forecast(series: DataFrame, key: str = "series_key", order_col: str =
     ar_names = ["c"] + [f"phi{i}" for i in range(1, m + 1)]
     eq1 = _normal_eq_sums(z1, key, "z", [f"a{i}" for i in range(1, m + 1)])
     schema1 = f"{key} {kt}, " + ", ".join(f"{n} double" for n in ar_names)
-    c1 = eq1.groupBy(key).applyInPandas(_coef_udf(key, m + 1, ar_names), schema1)
+    c1 = eq1.mapInPandas(_coef_batches(key, m + 1, ar_names), schema1)
     fit1 = F.col("c")
     for i in range(1, m + 1):
         fit1 = fit1 + F.col(f"phi{i}") * F.col(f"a{i}")
@@ -99,71 +111,57 @@ def arima_forecast(series: DataFrame, key: str = "series_key", order_col: str =
     xs = [f"zl{i}" for i in range(1, p + 1)] + [f"el{i}" for i in range(1, q + 1)]
     eq2 = _normal_eq_sums(z2, key, "z", xs)
 
-    # tail state for the recursion: last max(p, q, d) rows (bounded per series)
+    # tail state for the recursion: last max(p, q, d) rows (bounded per series), the latest first
     lastn = max(p, q, d, 1)
     wd = Window.partitionBy(key).orderBy(F.col(order_col).desc())
     tail = (z2.withColumn("__r", F.row_number().over(wd)).where(F.col("__r") <= lastn)
-              .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("__r"), "y", "z", "e"))).alias("tail"),
+              .groupBy(key).agg(*[F.max(F.when(F.col("__r") == i, F.col(c))).alias(f"{c}_{i}")
+                                  for c in ("y", "z", "e") for i in range(1, lastn + 1)],
                                 F.max(order_col).alias("last_month")))
-    inp = eq2.join(tail, key)
-    names2 = ["c", *[f"phi{i}" for i in range(1, p + 1)], *[f"theta{i}" for i in range(1, q + 1)]]
-    k2 = len(names2)
-
-    def fit_and_forecast(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            beta = _solve(row, k2) if row["n"] > k2 + 2 else None
-            if beta is None:
-                out.append([row[key], 0, row["last_month"], None, None, False])
-                continue
-            n = float(row["n"])
+    inp = with_steps(eq2.join(tail, key), key, steps)
+    k2 = p + q + 1
+    undo = [(-1) ** (i + 1) * math.comb(d, i) for i in range(1, d + 1)]  # y_t = z_t + sum of undo_i * y_{t-i}
+    out_cols = [key, "step", "last_month", "forecast", "aic", "model_ok"]
+
+    def fit_and_forecast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = pdf["n"].to_numpy(np.float64)
+            xx, xy = _normal_matrices(pdf, k2)
+            beta = _solve(xx, xy, n > k2 + 2)
             # SSE = y'y - 2 b'X'y + b'X'Xb from the same sums
-            xx = np.zeros((k2, k2))
-            xy = np.zeros(k2)
-            for i in range(k2):
-                xy[i] = row[f"xy{i}"]
-                for j in range(i, k2):
-                    xx[i, j] = xx[j, i] = row[f"xx{i}_{j}"]
-            sse = max(float(row["yy"] - 2 * beta @ xy + beta @ xx @ beta), 1e-12)
-            aic = n * np.log(sse / n) + 2 * (p + q + 1)
-            tl = sorted(row["tail"], key=lambda t: t["__r"])  # most recent first
-            zs = [t["z"] for t in tl]
-            es = [t["e"] if t["e"] is not None else 0.0 for t in tl]
-            levels = [t["y"] for t in tl]
-            if any(v is None for v in zs[:p]) or any(v is None for v in levels[:max(d, 1)]):
-                out.append([row[key], 0, row["last_month"], None, aic, False])
-                continue
-            c, phi, theta = beta[0], beta[1:1 + p], beta[1 + p:]
-            hist_z, hist_e = list(zs), list(es)
-            last_level = levels[0]
-            prev_levels = list(levels)
-            for h in range(1, steps + 1):
-                zhat = c + sum(phi[i] * hist_z[i] for i in range(p)) + sum(theta[j] * hist_e[j] for j in range(q))
-                hist_z.insert(0, zhat)
-                hist_e.insert(0, 0.0)
-                if d == 0:
-                    yhat = zhat
-                else:  # d == 1 (d == 2 integrates twice)
-                    yhat = last_level + zhat if d == 1 else 2 * prev_levels[0] - prev_levels[1] + zhat
-                prev_levels.insert(0, yhat)
-                last_level = yhat
-                ok = bool(np.isfinite(yhat))
-                out.append([row[key], h, row["last_month"], float(yhat) if ok else None, float(aic), ok])
-        return pd.DataFrame(out, columns=[key, "step", "last_month", "forecast", "aic", "model_ok"])
+            sse = pdf["yy"].to_numpy(np.float64) - 2 * (beta * xy).sum(axis=1) + np.einsum("si,sij,sj->s", beta, xx, beta)
+            aic = n * np.log(np.maximum(sse, 1e-12) / n) + 2 * k2
+            ys, zs, es = ([pdf[f"{c}_{i}"].to_numpy(np.float64) for i in range(1, lastn + 1)] for c in ("y", "z", "e"))
+            es = [np.nan_to_num(e) for e in es]
+            fitted = np.isfinite(np.stack([beta[:, 0], *zs[:p], *ys[:max(d, 1)]])).all(axis=0)
+            want = pdf["__steps"].to_numpy(np.int64)
+            parts = [pd.DataFrame({key: pdf[key], "step": 0, "last_month": pdf["last_month"], "forecast": np.nan,
+                                   "aic": aic, "model_ok": False})[~fitted]]
+            for h in range(1, int(want[fitted].max(initial=0)) + 1):
+                zhat = beta[:, 0] + sum(beta[:, 1 + i] * zs[i] for i in range(p)) + sum(beta[:, 1 + p + j] * es[j] for j in range(q))
+                yhat = zhat + sum(u * ys[i] for i, u in enumerate(undo))
+                zs, es, ys = [zhat, *zs], [np.zeros(len(pdf)), *es], [yhat, *ys]
+                ok = np.isfinite(yhat)
+                parts.append(pd.DataFrame({key: pdf[key], "step": h, "last_month": pdf["last_month"],
+                                           "forecast": np.where(ok, yhat, np.nan), "aic": aic, "model_ok": ok})[fitted & (want >= h)])
+            yield from (x[out_cols] for x in parts if len(x))
 
     lm_type = series.schema[order_col].dataType.simpleString()
-    res = inp.groupBy(key).applyInPandas(
+    res = inp.mapInPandas(
         fit_and_forecast, f"{key} {kt}, step int, last_month {lm_type}, forecast double, aic double, model_ok boolean")
-    return res.select(key, "step", F.add_months("last_month", F.col("step")).alias("month"), "forecast", "aic",
-                      "model_ok")
+    return res.select(key, "step", F.add_months("last_month", F.col("step")).alias("month"),
+                      *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("forecast", "aic")], "model_ok")
 
 
 def forecast_with_fallback(series: DataFrame, key: str = "series_key", order_col: str = "month",
-                           value: str = "value", order=(1, 1, 1), steps: int = 12) -> DataFrame:
-    """ARIMA where it fits, else the tail mean of the last 6 points; ``model_type`` records which."""
+                           value: str = "value", order=(1, 1, 1), steps: int | DataFrame = 12) -> DataFrame:
+    """ARIMA where it fits, else the tail mean of the last 6 points; ``model_type`` records which.
+
+    ``steps``: one number for all series, or a frame (key, steps).
+    """
     ar = arima_forecast(series, key, order_col, value, order, steps)
-    good = ar.where(F.col("model_ok")).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(
-        F.col("__n") == steps).select(key)
+    good = with_steps(ar.where(F.col("model_ok")).groupBy(key).agg(F.count(F.lit(1)).alias("__n")), key, steps).where(
+        F.col("__n") == F.col("__steps")).select(key)
     arima_rows = ar.join(good, key, "left_semi").select(key, "step", "month", "forecast",
                                                         F.lit(f"arima{order}").alias("model_type"))
     fb = tail_mean_forecast(series.where(F.col(value).isNotNull()), key, order_col, value, 6, steps)
@@ -172,6 +170,28 @@ def forecast_with_fallback(series: DataFrame, key: str = "series_key", order_col
     return arima_rows.unionByName(fb_rows)
 
 
+def forecast_holdout(series: DataFrame, key: str = "series_key", order_col: str = "month", value: str = "value",
+                     order: tuple[int, int, int] | None = (2, 1, 2), frac: float = 0.8) -> DataFrame:
+    """Rainfall training job (W5, W8, W9): each series' model scored on its own holdout months.
+
+    The first ``frac`` of a series' months train, the rest are forecast, as many
+    steps as there are (``order=None``: by the tail mean only). Returns (key,
+    model_type, steps, accuracy, f1, rmse). Series with too little history for
+    W5's rule have no row.
+    """
+    s = chrono_split(series, key, order_col, frac).where("series_ok")
+    train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    steps = test.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("steps"))
+    known = train.where(F.col(value).isNotNull())
+    if order is None:
+        fc = tail_mean_forecast(known, key, order_col, value, 6, steps).withColumn("model_type", F.lit("tail_mean"))
+    else:
+        fc = forecast_with_fallback(known, key, order_col, value, order, steps)
+    scored = test.join(fc.select(key, order_col, "forecast", "model_type"), [key, order_col])
+    named = scored.groupBy(key).agg(F.max("model_type").alias("model_type"), F.count(F.lit(1)).alias("steps"))
+    return named.join(binary_above_median_eval(train, scored, key, value, "forecast"), key)
+
+
 def ar1_on_differences(series: DataFrame, key: str = "series_key", order_col: str = "month",
                        value: str = "value") -> DataFrame:
     """ARIMA(1, 1, 0) special case in closed form: slope / intercept of z_t on z_{t-1}."""

@@ -110,14 +110,21 @@ def chrono_split(df: DataFrame, key: str, order: str, frac: float = 0.8,
     }).drop("__rn", "__n")
 
 
+def with_steps(df: DataFrame, key: str, steps: int | DataFrame) -> DataFrame:
+    """Add ``__steps``: one number for all rows, or each key's own from a frame (key, steps)."""
+    if isinstance(steps, DataFrame):
+        return df.join(steps.select(key, F.col("steps").cast("int").alias("__steps")), key)
+    return df.withColumn("__steps", F.lit(int(steps)))
+
+
 def tail_mean_forecast(train: DataFrame, key: str, order: str, value: str, last: int = 6,
-                       steps: int = 12) -> DataFrame:
-    """Mean of the last ``last`` points repeated over the next ``steps`` months."""
+                       steps: int | DataFrame = 12) -> DataFrame:
+    """Mean of the last ``last`` points repeated over the next ``steps`` months (a number, or a frame (key, steps))."""
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
     t = train.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= last)
-    g = t.groupBy(key).agg(F.avg(value).alias("forecast"), F.max(order).alias("__last"))
-    g = g.select(key, "forecast", F.posexplode(F.sequence(
-        F.add_months("__last", 1), F.add_months("__last", steps), F.expr("interval 1 month"))).alias("step0", "month"))
+    g = with_steps(t.groupBy(key).agg(F.avg(value).alias("forecast"), F.max(order).alias("__last")), key, steps)
+    g = g.where(F.col("__steps") > 0).select(key, "forecast", F.posexplode(F.sequence(
+        F.add_months("__last", 1), F.add_months("__last", F.col("__steps")), F.expr("interval 1 month"))).alias("step0", "month"))
     return g.select(key, (F.col("step0") + 1).alias("step"), "month", "forecast")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import views as V
-from .demo_series import FILL_SQL, filled
+from .demo_series import FC_SQL, FILL_SQL, filled
 from .registry import register
 from .util import bround, round_doubles
 from ..functions.scalar import climate_score, climate_zone
@@ -195,6 +195,48 @@ def q_w8(spark, sf):
     return AR.forecast_with_fallback(filled(spark, sf), "series_key", "month", "value", (2, 1, 2), 12)
 
 
+@register("W7_arima_110_forecast", "WITH " + FILL_SQL + """,
+z0 AS (SELECT series_key, month, value AS y, value - lag(value) OVER (PARTITION BY series_key ORDER BY month) AS z
+       FROM f WHERE value IS NOT NULL),
+z1 AS (SELECT *, lag(z) OVER (PARTITION BY series_key ORDER BY month) AS zl,
+              row_number() OVER (PARTITION BY series_key ORDER BY month DESC) AS rd FROM z0),
+co AS (SELECT series_key, regr_slope(z, zl) AS phi, regr_intercept(z, zl) AS c FROM z1
+       WHERE z IS NOT NULL AND zl IS NOT NULL GROUP BY 1 HAVING count(*) > 4 AND regr_sxx(z, zl) > 0),
+s1 AS (SELECT series_key, month, phi, c, y, c + phi * z AS a FROM z1 JOIN co USING (series_key) WHERE rd = 1),
+s2 AS (SELECT *, c + phi * a AS b FROM s1),
+s3 AS (SELECT *, c + phi * b AS d FROM s2),
+u AS (SELECT series_key, month, 1 AS step, y + a AS forecast FROM s3
+      UNION ALL SELECT series_key, month, 2, y + a + b FROM s3
+      UNION ALL SELECT series_key, month, 3, y + a + b + d FROM s3)
+SELECT series_key, CAST(step AS INTEGER) AS step, CAST(month + to_months(CAST(step AS INTEGER)) AS DATE) AS month,
+       round(forecast, 3) AS forecast FROM u
+""", views=("series_raw",))
+def q_w7c(spark, sf):
+    out = AR.arima_forecast(filled(spark, sf), "series_key", "month", "value", (1, 1, 0), 3)
+    return out.where("model_ok").select("series_key", "step", "month", bround("forecast", 3).alias("forecast"))
+
+
+@register("W8_rainfall_holdout")
+def q_w8h(spark, sf):
+    return AR.forecast_holdout(filled(spark, sf))
+
+
+@register("W9_rainfall_holdout_tail_mean", "WITH " + FC_SQL + """,
+med AS (SELECT series_key, quantile_cont(value, 0.5) AS med FROM s WHERE split = 'train' GROUP BY 1),
+d AS (SELECT s.series_key, CAST(s.value >= med.med AS INTEGER) AS y, CAST(tm.forecast >= med.med AS INTEGER) AS p,
+             s.value - tm.forecast AS e
+      FROM s JOIN tm ON s.series_key = tm.series_key JOIN med ON s.series_key = med.series_key
+      WHERE s.split = 'test' AND s.series_ok),
+g AS (SELECT series_key, count(*) AS steps, avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) AS accuracy,
+             sum(CASE WHEN y = 1 AND p = 1 THEN 1.0 ELSE 0.0 END) AS tp,
+             sum(CASE WHEN y <> p THEN 1.0 ELSE 0.0 END) AS wrong, sqrt(avg(e * e)) AS rmse FROM d GROUP BY 1)
+SELECT series_key, 'tail_mean' AS model_type, steps, round(accuracy, 6) AS accuracy,
+       round(coalesce(2 * tp / nullif(2 * tp + wrong, 0), 0.0), 6) AS f1, round(rmse, 6) AS rmse FROM g
+""", views=("series_raw",))
+def q_w9h(spark, sf):
+    return round_doubles(AR.forecast_holdout(filled(spark, sf), order=None), 6)
+
+
 def imbalanced_soil(spark, sf):
     s = V.soil(spark, sf)
     lab = F.when(F.col("soil_id") % 10 == 0, "rare").when(F.col("soil_id") % 3 == 0, "mid").otherwise("common")

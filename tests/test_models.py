@@ -54,6 +54,34 @@ def test_short_series_falls_back_to_tail_mean(spark):
     assert all(r["forecast"] == 2.0 for r in fc)
 
 
+def _months(spark, n, key, value):
+    return spark.range(n).select(F.lit(key).alias("series_key"),
+                                 F.add_months(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("month"), value.alias("value"))
+
+
+def test_each_series_gets_its_own_steps_and_a_line_goes_on(spark):
+    """Steps per series; d = 2 continues a noisy parabola; a flat series (singular) falls back."""
+    a = _months(spark, 60, "a", F.col("id") * F.col("id") + F.sin(F.col("id")))
+    df = a.unionByName(_months(spark, 40, "flat", F.lit(7.0))).unionByName(_months(spark, 40, "b", F.sin(F.col("id") * 1.7) + F.col("id")))
+    steps = spark.createDataFrame([("a", 3), ("flat", 2), ("b", 5)], "series_key string, steps int")
+    rows = AR.forecast_with_fallback(df, order=(1, 2, 1), steps=steps).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r["step"]):
+        got.setdefault(r["series_key"], []).append(r)
+    assert {k: [r["step"] for r in v] for k, v in got.items()} == {"a": [1, 2, 3], "flat": [1, 2], "b": [1, 2, 3, 4, 5]}
+    assert {r["model_type"] for r in got["flat"]} == {"tail_mean"} and {r["forecast"] for r in got["flat"]} == {7.0}
+    assert all(r["model_type"].startswith("arima") and abs(r["forecast"] - (59 + r["step"]) ** 2) < 40 for r in got["a"])
+
+
+def test_holdout_scores_every_holdout_month(spark):
+    df = _months(spark, 60, "long", F.sin(F.col("id") / 3) * 5 + F.col("id")).unionByName(_months(spark, 20, "short", F.col("id").cast("double")))
+    got = AR.forecast_holdout(df, order=(2, 1, 2)).collect()
+    assert [(r["series_key"], r["steps"]) for r in got] == [("long", 12)]
+    assert got[0]["model_type"] == "arima(2, 1, 2)" and 0 <= got[0]["accuracy"] <= 1 and got[0]["rmse"] < 30
+    flat = AR.forecast_holdout(df, order=None).collect()
+    assert [(r["model_type"], r["steps"]) for r in flat] == [("tail_mean", 12)]
+
+
 def test_probability_rows_sum_to_one_and_metrics_in_range(spark):
     soil = V.soil(spark, SF_SMALL)
     r = ML.train_crop_recommender(soil, "label", "soil_id", SOIL_FEATS, num_trees=5, max_depth=4)
