@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clamp_nonneg, is_finite, risk_from_sign
 from ..operators.aggregates import (classification_metrics, group_mode, label_centroids, ordinal_label_rmse,
                                     quantile_thresholds, regression_metrics)
-from ..operators.features import (class_weights, impute_median, impute_mode, quantile_bins, random_split, standardise,
-                                  stratified_split)
+from ..operators.features import (class_weights, impute_median, impute_mode, one_hot, quantile_bins, random_split,
+                                  standardise, stratified_split)
 from ..operators.joins import collect_bounded
 from ..operators.quality import require_min_classes
 
@@ -182,55 +182,81 @@ def train_yield_regressors(df: DataFrame, target: str, key: str, numeric: Sequen
     return {"models": fitted, "metrics": table, "best": best, "best_model": fitted[best]}
 
 
-def train_yield_band_classifier(df: DataFrame, target: str, key: str, feats: Sequence[str], draws: int = 6,
-                                folds: int = 3, seed: int = 42, grid: dict | None = None,
-                                oversample: bool = True) -> dict:
-    """ML5: 3 quantile bands (M9, train edges), SMOTE inside each fold, random search x k-fold.
+#: The yield-band forest's search space (``min_samples_split`` has no MLlib twin; unbounded depth is MLlib's limit).
+YIELD_BAND_GRID = {"numTrees": [300, 500, 800], "maxDepth": [MAX_DEPTH, 6, 10, 14], "minInstancesPerNode": [1, 2, 4, 6],
+                   "featureSubsetStrategy": ["sqrt", "log2", "all"]}
+
+
+def encode_features(df: DataFrame, numeric: Sequence[str], cats: Sequence[str], keep: Sequence[str],
+                    split_col: str = "dataset_split") -> tuple[DataFrame, list[str]]:
+    """Median-imputed, standardised numerics and mode-imputed, one-hot categories, all fit on the train rows.
 
-    The search is our own fold loop so oversampling touches only the fold's
-    training part (``CrossValidator`` would oversample before splitting).
-    ``min_samples_split`` has no MLlib twin and is not searched.
+    Returns (``keep`` columns plus features ``x0``, ``x1``, ..., feature names);
+    unseen categories are all zeros.
     """
+    d = df.withColumns({c: F.col(c).cast("double") for c in numeric})
+    d = standardise(impute_median(d, list(numeric), split_col), list(numeric), split_col, "num__") if numeric else d
+    d = one_hot(impute_mode(d, list(cats), split_col), list(cats), split_col) if cats else d
+    made = [c for c in d.columns if c.startswith(("num__", "cat__"))]
+    feats = [f"x{i}" for i in range(len(made))]
+    return d.select(*keep, *[F.col(f"`{c}`").alias(f) for c, f in zip(made, feats)]), feats
+
+
+def train_yield_band_classifier(df: DataFrame, target: str, key: str, numeric: Sequence[str], cats: Sequence[str] = (),
+                                draws: int = 6, folds: int = 3, seed: int = 42, grid: dict | None = None,
+                                oversample: bool = True) -> dict:
+    """ML5: 3 quantile bands (M9, train edges), encode, SMOTE, balanced forest; random search x k-fold by weighted F1.
+
+    The search is our own fold loop, so imputation, scaling, categories and
+    oversampling are fit on a fold's training part alone (``CrossValidator``
+    would oversample before splitting). SMOTE works on the encoded features;
+    rows are weighted by class after it. ``draws`` different points of the
+    grid are tried (all, if there are fewer); the first best one wins. Metrics:
+    accuracy, weighted and macro F1 on train and test, and the search's best.
+    """
+    import itertools
     import random
     from ..operators.oversample import smote
-    grid = grid or {"numTrees": [100, 200, 300], "maxDepth": [5, 10, 20, 30], "minInstancesPerNode": [1, 2, 4],
-                    "featureSubsetStrategy": ["sqrt", "log2", "all"]}
-    d = materialize(random_split(df.where(is_finite(target)), key, 0.2, seed))
-    d = materialize(impute_median(d, list(feats)))
-    d = materialize(quantile_bins(d, target, 3, out="band", labels=["low", "medium", "high"]))
+    grid = grid or YIELD_BAND_GRID
+    d = random_split(df.where(is_finite(target)), key, 0.2, seed)
+    d = quantile_bins(materialize(d), target, 3, out="band", labels=["low", "medium", "high"])
+    fold = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(folds))
+    d = materialize(d.select(key, *numeric, *cats, "dataset_split", "band", fold.alias("__fold")))
     classes = ["high", "low", "medium"]
-    train = materialize(d.where(F.col("dataset_split") == "train").withColumn(
-        "__fold", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(folds))))
-    rng = random.Random(seed)
-    params = [{k: rng.choice(v) for k, v in grid.items()} for _ in range(draws)]
-
-    balanced = {}
-
-    def fit(part, prm, fold=None):
-        if oversample:
-            if fold not in balanced:  # oversample each fold's training part once, reuse across draws
-                balanced[fold] = materialize(smote(part, "band", key, list(feats), k=5, seed=seed))
-            part = balanced[fold]
-        rf = RandomForestClassifier(labelCol="label_idx", featuresCol="features", seed=seed,
-                                    numTrees=prm["numTrees"], maxDepth=min(prm["maxDepth"], MAX_DEPTH),
-                                    minInstancesPerNode=prm["minInstancesPerNode"],
-                                    featureSubsetStrategy=prm["featureSubsetStrategy"])
+    space = list(itertools.product(*grid.values()))
+    params = [dict(zip(grid, p)) for p in random.Random(seed).sample(space, min(draws, len(space)))]
+
+    def prepared(rows):
+        """(balanced training rows, all rows encoded, feature names): the same for all draws."""
+        rows, feats = encode_features(rows, numeric, cats, [key, "band", "dataset_split"])
+        rows = materialize(rows)
+        part = rows.where(F.col("dataset_split") == "train")
+        part = smote(part, "band", key, feats, k=5, seed=seed) if oversample else part
+        return materialize(class_weights(part, "band", "weight")), rows, feats
+
+    def fit(part, feats, prm):
+        rf = _rf_classifier("label_idx", prm["numTrees"], prm["minInstancesPerNode"], prm["maxDepth"], seed,
+                            prm["featureSubsetStrategy"], "weight")
         pipe = Pipeline(stages=[StringIndexer(inputCol="band", outputCol="label_idx", stringOrderType="alphabetAsc"),
-                                VectorAssembler(inputCols=list(feats), outputCol="features"), rf])
+                                VectorAssembler(inputCols=feats, outputCol="features"), rf])
         return pipe.fit(part)
 
-    scores = []
-    for prm in params:
-        f1s = []
-        for f in range(folds):
-            m = fit(train.where(F.col("__fold") != f), prm, f)
-            f1s.append(_classify_eval(m, train.where(F.col("__fold") == f), "band", classes)["f1_weighted"])
-        scores.append(sum(f1s) / len(f1s))
+    f1s = [[] for _ in params]
+    train = d.where(F.col("dataset_split") == "train")
+    for f in range(folds):
+        part, rows, feats = prepared(train.withColumn("dataset_split", F.when(F.col("__fold") == f, "test").otherwise("train")))
+        for i, prm in enumerate(params):
+            m = _classify_eval(fit(part, feats, prm), rows.where(F.col("dataset_split") == "test"), "band", classes)
+            f1s[i].append(m["f1_weighted"])
+    scores = [sum(x) / len(x) for x in f1s]
     best_i = max(range(len(params)), key=lambda i: (scores[i], -i))
-    model = fit(train, params[best_i], "all")
-    metrics = _classify_eval(model, d.where(F.col("dataset_split") == "test"), "band", classes)
-    metrics["cv_f1_weighted"] = scores[best_i]
-    return {"model": model, "metrics": metrics, "params": params[best_i], "search": list(zip(params, scores))}
+    part, rows, feats = prepared(d)
+    model = fit(part, feats, params[best_i])
+    metrics = {"cv_f1_weighted": scores[best_i]}
+    for split in ("train", "test"):
+        m = _classify_eval(model, rows.where(F.col("dataset_split") == split), "band", classes)
+        metrics |= {f"{split}_{k}": m[k] for k in ("accuracy", "f1_weighted", "f1_macro")}
+    return {"model": model, "metrics": metrics, "params": params[best_i], "search": list(zip(params, scores)), "features": feats}
 
 
 # --------------------------------------------------------------------------
@@ -333,20 +359,32 @@ def metrics_rows(artifact: str, metrics: dict, generated_at) -> list[tuple]:
 
 
 def training_run(spark, soil: DataFrame, label: str, key: str, feats: Sequence[str], history_base: str,
-                 version: int, num_trees: int = 20, max_depth: int = 8, seed: int = 42) -> DataFrame:
-    """ML18: run ML1, ML6 and ML3 in order, append one metrics snapshot."""
+                 version: int, num_trees: int = 20, max_depth: int = 8, seed: int = 42,
+                 yield_bundle: str | None = None) -> DataFrame:
+    """ML18: run ML1, ML6 and ML3 in order, append one metrics snapshot.
+
+    The snapshot has the recommender's metrics, clustering inertia and
+    alignment with rainfall (ML7: accuracy, F1, RMSE), the classifier's metrics,
+    and those of the yield model saved at ``yield_bundle``. A classifier
+    that can't be trained, or a yield model that isn't there, has ``available`` 0.
+    """
     import datetime as dt
-    from ..sources.history import HISTORY_SCHEMA, metrics_append, read_history, write_history_version
+    from ..sources.history import HISTORY_SCHEMA, load_model_bundle, metrics_append, read_history, write_history_version
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
     rec = train_crop_recommender(soil, label, key, feats, num_trees, 2, max_depth, seed)
     km = kmeans_fit(soil, feats, 3, seed)
     rows = metrics_rows("crop_recommender", rec["metrics"], now) + [(now, "clustering", "inertia", km["inertia"])]
+    if "rainfall" in feats:
+        aligned = cluster_alignment(materialize(km["assigned"].select("cluster", "rainfall")), "cluster", "rainfall")
+        rows += metrics_rows("clustering", _metrics_row(aligned), now)
     try:
         clf = train_label_classifier(soil, label, key, [f for f in ("temperature", "rainfall", "humidity")
                                                         if f in feats], num_trees, 5, max_depth, seed)
         rows += metrics_rows("classifier", clf["metrics"], now)
     except ValueError:
         rows.append((now, "classifier", "available", 0.0))
+    saved = load_model_bundle(spark, yield_bundle) if yield_bundle else None
+    rows += metrics_rows("yield", saved.metrics, now) if saved and saved.available else [(now, "yield", "available", 0.0)]
     snap = spark.createDataFrame(rows, HISTORY_SCHEMA)
     hist = read_history(spark, f"{history_base}/v{version - 1:06d}") if version > 1 else None
     kept = metrics_append(hist, snap)

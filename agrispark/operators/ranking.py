@@ -73,15 +73,16 @@ def pick_best_model(metrics: DataFrame, kind: str = "regression", ordinal: str =
 
     Regression: lowest test RMSE; RMSEs within 1e-12 are equal and then the
     higher R^2 wins; the earlier model wins exact ties. Classification:
-    highest weighted F1, then accuracy, then earlier. ``metrics`` holds one row
-    per model; the within-1e-12 rule is applied by comparing each model with
-    the minimum RMSE (a scalar subquery).
+    highest weighted F1 (within 1e-12 likewise), then accuracy, then earlier.
+    ``metrics`` holds one row per model; the within-1e-12 rule is applied by
+    comparing each model with the best value (a scalar subquery).
     """
     if kind == "regression":
         best_rmse = metrics.agg(F.min("test_rmse")).scalar()
         cand = metrics.where(F.col("test_rmse") <= best_rmse + F.lit(1e-12))
         return cand.orderBy(F.col("test_r2").desc(), F.col("test_rmse"), F.col(ordinal)).limit(1)
-    return metrics.orderBy(F.col("f1_weighted").desc(), F.col("accuracy").desc(), F.col(ordinal)).limit(1)
+    cand = metrics.where(F.col("f1_weighted") >= metrics.agg(F.max("f1_weighted")).scalar() - F.lit(1e-12))
+    return cand.orderBy(F.col("accuracy").desc(), F.col(ordinal)).limit(1)
 
 
 def leaderboard(metrics: DataFrame, kind: str = "regression", name: str = "model") -> DataFrame:

@@ -102,18 +102,32 @@ def linear_yield(coefs: dict, intercept: float):
     return expr
 
 
+#: What scenarios change.
+CLIMATE = ("temperature", "rainfall", "humidity")
+
+
 def simulate_climate_risk(rows: DataFrame, key: str, scenarios, predict) -> tuple[DataFrame, DataFrame]:
     """ML14: scenarios (J8) -> predict -> percent change vs baseline (X11) -> worst change (A19) -> risk.
 
     ``predict`` maps a DataFrame with temperature / rainfall / humidity to a
-    ``prediction`` column. Returns (per-scenario rows, per-row risk).
+    ``prediction`` column and keeps the rows. Each scenario is scored once, side
+    by side in the row, so the baseline is at hand without a join or shuffle.
+    The first scenario named 'baseline' is the one that changes are told against.
+    Returns (per-scenario rows, per-row risk).
     """
-    x = apply_scenarios(rows, scenarios)
-    y = predict(x).withColumn("predicted_yield", X.clamp_nonneg("prediction")).drop("prediction")
-    base = y.where(F.col("scenario") == "baseline").select(key, F.col("predicted_yield").alias("__base"))
-    z = y.join(base, key).withColumn("change_pct", X.pct_change("predicted_yield", "__base")).drop("__base")
-    risk = worst_change(z, key)
-    return z, risk
+    names = [s[0] for s in scenarios]
+    cols, y = rows.columns, rows
+    for i, scenario in enumerate(scenarios):
+        x = apply_scenarios(y.select(*cols, *[f"__y{j}" for j in range(i)], F.struct(*[F.col(c) for c in CLIMATE]).alias("__was")), [scenario])
+        x = predict(x).withColumn(f"__y{i}", F.struct(*[F.col(c) for c in CLIMATE], X.clamp_nonneg("prediction").alias("predicted_yield")))
+        y = x.withColumns({c: F.col("__was")[c] for c in CLIMATE}).select(*cols, *[f"__y{j}" for j in range(i + 1)])
+    base = F.col(f"__y{names.index('baseline')}")["predicted_yield"]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.col(f"__y{i}").alias("y")) for i, n in enumerate(names)])).alias("__s")
+    z = y.select(*[c for c in cols if c not in CLIMATE], base.alias("__base"), each)
+    z = z.select(*[F.col("__s.y")[c].alias(c) if c in CLIMATE else F.col(c) for c in cols], F.col("__s.scenario").alias("scenario"),
+                 F.col("__s.y")["predicted_yield"].alias("predicted_yield"), "__base")
+    z = z.withColumn("change_pct", X.pct_change("predicted_yield", "__base")).drop("__base")
+    return z, worst_change(z, key)
 
 
 def merge_results(keys: DataFrame, key: str, sources: Sequence[tuple[DataFrame, dict]], defaults: dict) -> DataFrame:

@@ -70,8 +70,8 @@ def q_ml5(spark, sf):
     grid = {"numTrees": [10, 20], "maxDepth": [4, 6], "minInstancesPerNode": [1, 2],
             "featureSubsetStrategy": ["sqrt", "all"]}
     r = ML.train_yield_band_classifier(yield_table(spark, sf), "crop_yield", "row_key",
-                                       ["temperature", "rainfall", "humidity", "N", "P", "K"], draws=6, folds=3,
-                                       grid=grid)
+                                       ["temperature", "rainfall", "humidity", "N", "P", "K"], ["country", "crop_type"],
+                                       draws=6, folds=3, grid=grid)
     row = dict(r["metrics"])
     row.update({f"param_{k}": v for k, v in r["params"].items() if not isinstance(v, str)})
     return _one_row(spark, row)
@@ -250,10 +250,14 @@ def q_m11(spark, sf):
 
 @register("ML18_training_run", heavy=True)
 def q_ml18(spark, sf):
-    base = S.scratch_path(spark, "metrics-history")
+    base, bundle = S.scratch_path(spark, "metrics-history"), S.scratch_path(spark, "bundle-yield")
     ML.training_run(spark, V.soil(spark, sf), "label", "soil_id", SOIL_FEATS, base, 1, num_trees=10, max_depth=6)
+    y = ML.train_yield_regressors(yield_table(spark, sf), "crop_yield", "row_key",
+                                  ["temperature", "rainfall", "humidity", "N", "P", "K"], ["crop_type"], num_trees=10, max_depth=6)
+    best = y["metrics"].where(F.col("model") == y["best"]).drop("model", "ordinal").first().asDict()
+    save_model_bundle(spark, bundle, y["best_model"], [], best)
     return ML.training_run(spark, V.soil(spark, sf), "label", "soil_id", SOIL_FEATS, base, 2, num_trees=10,
-                           max_depth=6)
+                           max_depth=6, yield_bundle=bundle)
 
 
 @register("ML19_metrics_snapshot")

@@ -121,6 +121,37 @@ def q_l6(spark, sf):
     return L.pick_best_model(region_models(spark, sf), "regression", "ordinal")
 
 
+REGION_CLASSIFIERS_SQL = """
+rc AS (SELECT region, crop_yield >= 0.3 AS y, 0.05 + 0.004 * temperature + 0.00012 * rainfall >= 0.3 AS p FROM obs
+       WHERE crop_yield IS NOT NULL AND temperature IS NOT NULL AND rainfall IS NOT NULL AND region IS NOT NULL),
+rt AS (SELECT region, CAST(count(*) FILTER (WHERE y AND p) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE NOT y AND NOT p) AS DOUBLE) AS tn,
+              CAST(count(*) FILTER (WHERE y <> p) AS DOUBLE) AS wrong, CAST(count(*) FILTER (WHERE y) AS DOUBLE) AS pos,
+              CAST(count(*) AS DOUBLE) AS n FROM rc GROUP BY region),
+rm AS (SELECT region AS model, round((tp + tn) / n, 6) AS accuracy,
+              round((pos * coalesce(2 * tp / nullif(2 * tp + wrong, 0), 0.0)
+                     + (n - pos) * coalesce(2 * tn / nullif(2 * tn + wrong, 0), 0.0)) / n, 6) AS f1_weighted,
+              substr(region, 1, 1) AS ordinal FROM rt)"""
+
+
+@register("L6_pick_best_classifier", "WITH " + REGION_CLASSIFIERS_SQL + """
+SELECT * FROM rm WHERE f1_weighted >= (SELECT max(f1_weighted) FROM rm) - 1e-12 ORDER BY accuracy DESC, ordinal LIMIT 1
+""", views=("obs",))
+def q_l6c(spark, sf):
+    """One 'classifier' per region: yield of at least 0.3 by a fixed formula; class measures from its counts alone."""
+    pred = F.lit(0.05) + F.lit(0.004) * F.col("temperature") + F.lit(0.00012) * F.col("rainfall")
+    d = V.obs(spark, sf).select("region", (F.col("crop_yield") >= 0.3).alias("y"), (pred >= 0.3).alias("p")).na.drop()
+    g = d.groupBy("region").agg(*[F.count_if(c).cast("double").alias(n) for n, c in (
+        ("tp", F.col("y") & F.col("p")), ("tn", ~F.col("y") & ~F.col("p")), ("wrong", F.col("y") != F.col("p")), ("pos", F.col("y")))],
+        F.count(F.lit(1)).cast("double").alias("n"))
+
+    def f1(t):
+        return F.coalesce(F.try_divide(2 * F.col(t), 2 * F.col(t) + F.col("wrong")), F.lit(0.0))
+    m = g.select(F.col("region").alias("model"), bround((F.col("tp") + F.col("tn")) / F.col("n"), 6).alias("accuracy"),
+                 bround((F.col("pos") * f1("tp") + (F.col("n") - F.col("pos")) * f1("tn")) / F.col("n"), 6).alias("f1_weighted"),
+                 F.substring("region", 1, 1).alias("ordinal"))
+    return L.pick_best_model(m, "classification", "ordinal")
+
+
 @register("L7_leaderboard", "WITH " + REGION_MODELS_SQL + """
 SELECT *, CAST(row_number() OVER (ORDER BY test_rmse, model) AS INTEGER) AS rank FROM rm
 """, views=("obs",))

@@ -156,3 +156,44 @@ def test_label_classifier_tells_the_tables_size(spark):
     df = spark.createDataFrame(rows, "k long, label string, temperature double, rainfall double, humidity double")
     m = ML.train_label_classifier(df, "label", "k", num_trees=3, max_depth=3)["metrics"]
     assert (m["n_rows"], m["n_classes"], m["top_class_ratio"]) == (60, 5, 20 / 60)
+
+
+def test_yield_bands_from_numbers_and_categories(spark):
+    """A category alone decides the band: the forest must use it; all six metrics are there."""
+    rows = [(i, "abc"[i % 3], float(i % 7) if i % 11 else None, (i % 3) * 10.0) for i in range(180)]
+    df = spark.createDataFrame(rows, "k long, crop string, temp double, y double")
+    grid = {"numTrees": [5], "maxDepth": [4, 5], "minInstancesPerNode": [1], "featureSubsetStrategy": ["all"]}
+    r = ML.train_yield_band_classifier(df, "y", "k", ["temp"], ["crop"], draws=6, folds=2, grid=grid)
+    assert len(r["search"]) == 2 and len(r["features"]) == 4
+    assert {f"{s}_{m}" for s in ("train", "test") for m in ("accuracy", "f1_weighted", "f1_macro")} <= set(r["metrics"])
+    assert r["metrics"]["test_accuracy"] == r["metrics"]["train_accuracy"] == 1.0
+
+
+def test_best_classifier_within_tolerance(spark):
+    from agrispark.operators.ranking import pick_best_model
+    m = spark.createDataFrame([("a", 0.9, 0.5, 1), ("b", 0.9 - 1e-13, 0.7, 2), ("c", 0.8, 1.0, 0), ("d", 0.9, 0.7, 3)],
+                              "model string, f1_weighted double, accuracy double, ordinal int")
+    assert pick_best_model(m, "classification").first()["model"] == "b"
+
+
+def test_training_run_has_every_artifact(spark, tmp_path):
+    soil = V.soil(spark, SF_SMALL)
+    got = ML.training_run(spark, soil, "label", "soil_id", SOIL_FEATS, str(tmp_path / "h"), 1, num_trees=3, max_depth=3).collect()
+    names = {}
+    for r in got:
+        names.setdefault(r[1], set()).add(r[2])
+    assert {"inertia", "accuracy", "f1", "rmse"} <= names["clustering"] and names["yield"] == {"available"}
+    assert "accuracy" in names["crop_recommender"] and "classifier" in names
+
+
+def test_scenarios_are_scored_without_join_or_shuffle(spark):
+    from agrispark.plans.decide import simulate_climate_risk
+    rows = spark.range(50).select(F.col("id").alias("k"), (F.col("id") + 1.0).alias("temperature"), F.lit(100.0).alias("rainfall"), F.lit(40.0).alias("humidity"))
+    z, risk = simulate_climate_risk(rows, "k", [("baseline", 0, 1, 1, None), ("dry", 2, 0.5, 0.9, 38.0)],
+                                    lambda d: d.withColumn("prediction", F.col("rainfall") / 10 + F.col("temperature")))
+    got = {(r["k"], r["scenario"]): r for r in z.collect()}
+    assert len(got) == 100 and got[0, "dry"]["predicted_yield"] == 8.0 and got[0, "dry"]["humidity"] == 38.0
+    assert abs(got[0, "dry"]["change_pct"] - (8.0 / 11.0 - 1) * 100) < 1e-9 and got[3, "baseline"]["change_pct"] == 0.0
+    plan = z._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert risk.count() == 50
