@@ -216,38 +216,52 @@ def confusion_matrix(pred: DataFrame, actual: str = "actual", predicted: str = "
     return pred.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("n"))
 
 
-def classification_report(pred: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """Per class precision / recall / F1 / support; zero division -> 0.
+def _class_counts(pred: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Per class: true positives, support, predictions, and rows of it with both labels known, from one confusion matrix.
 
-    Built from the confusion matrix (tiny after aggregation): true positives,
-    predicted totals and actual totals per class.
+    Every cell counts for its actual and for its predicted class, so the
+    predictions are read once and nothing is joined.
     """
     cm = confusion_matrix(pred, actual, predicted)
-    tp = cm.where(F.col(actual) == F.col(predicted)).select(F.col(actual).alias("cls"), F.col("n").alias("tp"))
-    sup = cm.groupBy(F.col(actual).alias("cls")).agg(F.sum("n").alias("support"))
-    prd = cm.groupBy(F.col(predicted).alias("cls")).agg(F.sum("n").alias("n_pred"))
-    j = sup.join(prd, "cls", "full").join(tp, "cls", "left")
-    tpc = F.coalesce(F.col("tp"), F.lit(0)).cast("double")
-    prec = F.coalesce(F.try_divide(tpc, F.col("n_pred").cast("double")), F.lit(0.0))
-    rec = F.coalesce(F.try_divide(tpc, F.col("support").cast("double")), F.lit(0.0))
+    zero, n, a, p = F.lit(0).cast("long"), F.col("n"), F.col(actual), F.col(predicted)
+    cells = F.array(
+        F.struct(a.alias("cls"), F.when(a == p, n).otherwise(zero).alias("tp"), n.alias("support"), zero.alias("n_pred"),
+                 F.when((a == p).isNotNull(), n).otherwise(zero).alias("known")),
+        F.struct(p.alias("cls"), zero.alias("tp"), zero.alias("support"), n.alias("n_pred"), zero.alias("known")))
+    return cm.select(F.inline(cells)).groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "n_pred", "known")])
+
+
+def _class_measures(counts: DataFrame) -> DataFrame:
+    tp = F.col("tp").cast("double")
+    prec = F.coalesce(F.try_divide(tp, F.col("n_pred").cast("double")), F.lit(0.0))
+    rec = F.coalesce(F.try_divide(tp, F.col("support").cast("double")), F.lit(0.0))
     f1 = F.when(prec + rec == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
-    return j.select("cls", prec.alias("precision"), rec.alias("recall"), f1.alias("f1"),
-                    F.coalesce(F.col("support"), F.lit(0)).cast("long").alias("support"))
+    return counts.select("cls", prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), "support", "tp", "known")
+
+
+def classification_report(pred: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """Per class precision / recall / F1 / support; zero division -> 0. One pass over the predictions.
+
+    A null label is a class of its own without true positives.
+    """
+    return _class_measures(_class_counts(pred, actual, predicted)).drop("tp", "known")
 
 
 def classification_metrics(pred: DataFrame, actual: str = "actual", predicted: str = "predicted",
                            positive=None) -> DataFrame:
-    """Accuracy, weighted F1, macro F1 (and binary F1 for ``positive``)."""
-    rep = classification_report(pred, actual, predicted)
+    """Accuracy, weighted F1, macro F1 (and binary F1 for ``positive``), all from one confusion matrix.
+
+    Accuracy is over the rows with both labels.
+    """
     total = F.sum("support").cast("double")
     agg = [
-        (F.sum(F.col("f1") * F.col("support")) / total).alias("f1_weighted"),
+        F.try_divide(F.sum("tp").cast("double"), F.sum("known").cast("double")).alias("accuracy"),
+        F.try_divide(F.sum(F.col("f1") * F.col("support")), total).alias("f1_weighted"),
         F.avg("f1").alias("f1_macro"),
     ]
     if positive is not None:
         agg.append(F.max(F.when(F.col("cls") == F.lit(positive), F.col("f1"))).alias("f1_binary"))
-    acc = pred.agg(F.avg((F.col(actual) == F.col(predicted)).cast("double"))).scalar()
-    return rep.agg(*agg).select(acc.alias("accuracy"), "*")
+    return _class_measures(_class_counts(pred, actual, predicted)).agg(*agg)
 
 
 def regression_metrics(df: DataFrame, actual: str = "actual", pred: str = "prediction",
@@ -271,11 +285,12 @@ def regression_metrics(df: DataFrame, actual: str = "actual", pred: str = "predi
 
 def ordinal_label_rmse(pred: DataFrame, classes: Sequence[str], actual: str = "actual",
                        predicted: str = "predicted") -> DataFrame:
-    """RMSE over alphabetical class indexes (J10 twice + A16)."""
+    """RMSE over alphabetical class indexes (J10 twice + A16), looked up per cell of the confusion matrix."""
     idx = {c: float(i) for i, c in enumerate(sorted(classes))}
     m = F.create_map(*[x for k, v in idx.items() for x in (F.lit(k), F.lit(v))])
-    d = pred.select(F.element_at(m, F.col(actual)).alias("a"), F.element_at(m, F.col(predicted)).alias("p"))
-    return d.agg(F.sqrt(F.avg(F.pow(F.col("a") - F.col("p"), 2))).alias("rmse"))
+    e2 = F.pow(F.element_at(m, F.col(actual)) - F.element_at(m, F.col(predicted)), 2)
+    cells = confusion_matrix(pred, actual, predicted).select(e2.alias("e2"), "n").where("e2 IS NOT NULL")
+    return cells.agg(F.sqrt(F.try_divide(F.sum(F.col("e2") * F.col("n")), F.sum("n"))).alias("rmse"))
 
 
 def evaluation_matrix(metrics: DataFrame, model: str = "model", metric: str = "metric",

@@ -451,3 +451,18 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_class_measures_from_one_confusion_matrix(spark):
+    """Hand-made: a null prediction counts for support but not for accuracy; the predictions are scanned once."""
+    from agrispark.operators.aggregates import classification_metrics, classification_report, ordinal_label_rmse
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a"), ("b", None)], "actual string, predicted string")
+    m = classification_metrics(df).first()
+    assert m["accuracy"] == 0.5
+    rep = {r["cls"]: r for r in classification_report(df).collect()}
+    assert (rep["a"]["precision"], rep["a"]["recall"], rep["a"]["support"]) == (0.5, 0.5, 2)
+    assert (rep["b"]["precision"], rep["b"]["recall"]) == (0.5, 0.5) and rep["c"]["f1"] == 0.0 and rep[None]["support"] == 0
+    assert abs(m["f1_weighted"] - (0.5 * 2 + 0.5 * 2) / 5) < 1e-12
+    assert abs(ordinal_label_rmse(df, ["a", "b", "c"]).first()[0] - ((0 + 1 + 0 + 4) / 4) ** 0.5) < 1e-12
+    plan = classification_metrics(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
