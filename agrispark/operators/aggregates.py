@@ -349,135 +349,107 @@ def counts_with_all_classes(df: DataFrame, col: str, classes: Sequence) -> DataF
         "class_order", col, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
 
 
-def add_share(df: DataFrame, n: str = "n", out: str = "share") -> DataFrame:
-    """Share of each row in the column total (for small, aggregated tables)."""
-    return df.withColumn(out, F.col(n) / F.sum(n).over(Window.partitionBy()))
-
-
 # --------------------------------------------------------------------------
 # Exact quantiles by distributed selection (skew-safe)
 # --------------------------------------------------------------------------
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a small intermediate (one row per group or a shrunken subset)."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def _order_stats(vc: DataFrame, gk: list, qs: Sequence[float], outs: Sequence[str], st: DataFrame | None) -> DataFrame:
-    """Exact order statistics from per-(group, value) counts: one running sum, all quantiles."""
-    w = Window.partitionBy(*gk).orderBy(F.col("__x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    vc = vc.withColumn("__cum", F.sum("__c").over(w))
-    if st is not None:  # bracketed: ranks are relative to the rows below the bracket
-        vc = vc.join(st, gk)
-        n = F.col("__n")
-    else:
-        vc = vc.withColumn("__off", F.lit(0).cast("long"))
-        n = F.sum("__c").over(Window.partitionBy(*gk))
-        vc = vc.withColumn("__n", n)
-    aggs = []
-    for i, q in enumerate(qs):
-        pos = F.lit(float(q)) * (F.col("__n") - 1)
-        r0 = F.floor(pos) - F.col("__off")
-        r1 = F.ceil(pos) - F.col("__off")
-        aggs += [F.min(F.when(F.col("__cum") > r0, F.col("__x"))).alias(f"__v0_{i}"),
-                 F.min(F.when(F.col("__cum") > r1, F.col("__x"))).alias(f"__v1_{i}"),
-                 F.max(pos).alias(f"__pos_{i}")]
-    res = vc.groupBy(*gk).agg(*aggs)
-    vals = []
-    for i, o in enumerate(outs):
-        p, v0, v1 = F.col(f"__pos_{i}"), F.col(f"__v0_{i}"), F.col(f"__v1_{i}")
-        lo_r, hi_r = F.floor(p), F.ceil(p)
-        # the same interpolation form as Spark's percentile: (hi - pos) * lower + (pos - lo) * upper
-        vals.append(F.when(lo_r == hi_r, v0).otherwise((hi_r - p) * v0 + (p - lo_r) * v1).alias(o))
-    return res.select(*gk, *vals)
+#: Widths around a quantile, as shares of a group, from which each group takes the narrowest that surely holds it.
+_WIDTHS = (1e-3, 1e-2, 1e-1)
+#: Equal-width parts of a bracket; only those that hold a wanted rank are sorted.
+_PARTS = 4096
+
+
+def _brackets(d: DataFrame, qs: Sequence[float], accuracy: int) -> DataFrame:
+    """(__grp, __n, __br): rows of each group and, per quantile, values between which its ranks lie.
+
+    One mergeable sketch serves all quantiles. Its rank error is n / accuracy;
+    a bracket reaches 4 / accuracy of the group and two rows further on each
+    side, at the next of the fixed widths, or to the least and largest value.
+    """
+    widths = (8 / accuracy, *[w for w in _WIDTHS if w > 8 / accuracy])
+    points = sorted({p for q in qs for w in widths for p in (q - w, q + w) if 0 < p < 1})
+    # a value in the middle, so that there always is a point
+    points = points or [0.5]
+    st = d.groupBy("__grp").agg(F.count("__x").alias("__n"), F.min("__x").alias("__min"), F.max("__x").alias("__max"),
+                                F.percentile_approx("__x", points, accuracy).alias("__sk"))
+    need = F.lit(4 / accuracy) + F.lit(2.0) / F.greatest(F.col("__n"), F.lit(1))
+
+    def end(q: float, sign: int, rest: str):
+        out = F.col(rest)
+        for w in reversed(widths):
+            if 0 < q + sign * w < 1:
+                out = F.when(F.lit(w) >= need, F.element_at("__sk", points.index(q + sign * w) + 1)).otherwise(out)
+            else:
+                out = F.when(F.lit(w) >= need, F.col(rest)).otherwise(out)
+        return out
+
+    br = [F.struct(F.lit(i).alias("i"), end(q, -1, "__min").alias("lo"), end(q, 1, "__max").alias("hi")) for i, q in enumerate(qs)]
+    return st.select("__grp", "__n", F.array(*br).alias("__br"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float],
-                    outs: Sequence[str] | None = None, grid: int = 1000, accuracy: int = 20000, passes: int = 3,
-                    small_group: int = 1_000_000) -> DataFrame:
+                    outs: Sequence[str] | None = None, accuracy: int = 100_000) -> DataFrame:
     """Exact linear-interpolated quantiles per group, without holding a big group in one task.
 
     Spark's exact ``percentile`` merges all distinct values of a group in one
     task, so a group holding a third of the data would have to fit in one
-    executor. Distributed selection instead:
-
-    1. counts rows per group (null and NaN skipped);
-    2. groups of at most ``small_group`` rows: counts per distinct value and
-       reads all requested order statistics with one running sum;
-    3. larger groups, per quantile, ``passes`` times: a ``grid``-point
-       ``percentile_approx`` sketch of the current subset (bounded memory,
-       mergeable) gives the grid values one step outside the target ranks as
-       a bracket (the sketch's rank error ``1/accuracy`` is below the grid
-       step, so the bracket always holds the targets); rows below it are
-       counted exactly and only rows inside it are kept (about 3/grid of the
-       subset per pass; state and subset are checkpointed); then step 2 runs
-       on the few remaining rows.
-
-    Equals ``percentile(col, q)`` (numpy / pandas linear rule). Groups whose
-    values are all null come back with nulls.
+    executor. Distributed selection instead, the same at every size and with
+    two passes over the rows for any number of quantiles:
+
+    1. one aggregation: the group's count and a ``percentile_approx`` sketch,
+       which brackets the wanted ranks of each quantile between two values
+       (``_brackets``; a row per group, written, joined by its measured size);
+    2. one aggregation with map-side combine: per group and quantile the count
+       of rows below the bracket and the counts of the values in it (about
+       16 / ``accuracy`` of a big group), by equal-width part of the bracket.
+       Running totals over the parts name the one or two parts that hold the
+       wanted ranks, and only values of these are ranked.
+
+    Equals ``percentile(col, q)`` (numpy / pandas linear rule). Null and NaN
+    don't count; groups whose values are all null come back with nulls. A
+    null key is a group of its own. It fails rather than return a value from outside a bracket.
     """
+    from .joins import join_measured, written
     keys = list(keys)
-    qs = list(qs)
+    qs = [float(q) for q in qs]
     outs = list(outs or [f"q{i}" for i in range(len(qs))])
-    gk = [*keys, "__g"]
-    base = df.withColumn("__g", F.lit(0))
     xv = F.col(col).cast("double")
-    # NaN counts as missing (pandas rule); null rows stay so all-null groups survive
-    d_all = base.select(*gk, F.when(F.isnan(xv), F.lit(None).cast("double")).otherwise(xv).alias("__x"))
-    st = d_all.groupBy(*gk).agg(F.count("__x").alias("__m"))
-    if passes <= 0 or st.where(F.col("__m") > small_group).isEmpty():
-        vc = d_all.groupBy(*gk, "__x").agg(F.count(F.lit(1)).alias("__c0"))
-        vc = vc.withColumn("__c", F.when(F.col("__x").isNotNull(), F.col("__c0")).otherwise(F.lit(0)))
-        return _order_stats(vc, gk, qs, outs, None).drop("__g")
-    st = _cut(st)
-    small_keys = st.where(F.col("__m") <= small_group).select(*gk)
-    big = st.where(F.col("__m") > small_group)
-    vc_small = (d_all.join(small_keys, gk, "left_semi").groupBy(*gk, "__x")
-                .agg(F.count(F.lit(1)).alias("__c0")))
-    vc_small = vc_small.withColumn("__c", F.when(F.col("__x").isNotNull(), F.col("__c0")).otherwise(F.lit(0)))
-    out = _order_stats(vc_small, gk, qs, outs, None)
-    d = d_all.where(F.col("__x").isNotNull())
-    big_res = None
-    for q, o in zip(qs, outs):
-        one = _bracketed_quantile(d, big, gk, q, o, grid, accuracy, passes)
-        big_res = one if big_res is None else big_res.join(one, gk)
-    return out.unionByName(big_res).drop("__g")
-
-
-def _bracketed_quantile(d: DataFrame, big: DataFrame, gk: list, q: float, out: str, grid: int, accuracy: int,
-                        passes: int) -> DataFrame:
-    st = big.select(*gk, (F.lit(float(q)) * (F.col("__m") - 1)).alias("__pos"), "__m",
-                    F.lit(0).cast("long").alias("__off"))
-    st = st.withColumns({"__r0": F.floor("__pos").cast("long"), "__r1": F.ceil("__pos").cast("long"),
-                         "__n": F.col("__m")})
-    cur = d.join(big.select(*gk), gk, "left_semi")
-    pts = [i / grid for i in range(grid + 1)]
-    for _ in range(passes):
-        sk = cur.groupBy(*gk).agg(F.percentile_approx("__x", pts, accuracy).alias("__sk"))
-        denom = F.greatest(F.col("__m") - 1, F.lit(1)).cast("double")
-        i0 = F.floor((F.col("__r0") - F.col("__off")) / denom * grid).cast("int") - 1
-        i1 = F.ceil((F.col("__r1") - F.col("__off")) / denom * grid).cast("int") + 1
-        lo = F.when(i0 <= 0, F.lit(None).cast("double")).otherwise(F.element_at("__sk", i0 + 1))
-        hi = F.when(i1 >= grid, F.lit(None).cast("double")).otherwise(F.element_at("__sk", i1 + 1))
-        br = _cut(st.join(sk, gk).select(*gk, "__pos", "__r0", "__r1", "__off", "__m", "__n",
-                                         lo.alias("__lo"), hi.alias("__hi")))
-        jn = cur.join(br.select(*gk, "__lo", "__hi"), gk)
-        below = F.col("__lo").isNotNull() & (F.col("__x") < F.col("__lo"))
-        inside = (F.col("__lo").isNull() | (F.col("__x") >= F.col("__lo"))) & \
-                 (F.col("__hi").isNull() | (F.col("__x") <= F.col("__hi")))
-        cnt = jn.groupBy(*gk).agg(F.count_if(below).alias("__below"), F.count_if(inside).alias("__m2"))
-        st = _cut(br.join(cnt, gk).select(*gk, "__pos", "__r0", "__r1", "__n",
-                                          (F.col("__off") + F.col("__below")).alias("__off"),
-                                          F.col("__m2").alias("__m")))
-        cur = _cut(jn.where(inside).select(*gk, "__x"))
-    vc = cur.groupBy(*gk, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    return _order_stats(vc, gk, [q], [out], st.select(*gk, "__n", "__off"))
-
-
-def exact_quantile(df: DataFrame, keys: Sequence[str], col: str, q: float, grid: int = 1000,
-                   accuracy: int = 20000, passes: int = 3, small_group: int = 1_000_000,
-                   out: str | None = None) -> DataFrame:
+    # without keys: one group, named by a value that is 0 for every row but no constant, so the joins stay equi-joins
+    grp = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.pmod(F.xxhash64(xv), F.lit(1)).alias("__all"))
+    d = df.select(grp.alias("__grp"), F.when(~F.isnan(xv), xv).alias("__x"))
+    st = written(_brackets(d, qs, accuracy))
+
+    # rows below a bracket count under a null value in part -1; rows above it don't count
+    at = join_measured(d.where(F.col("__x").isNotNull()), st.select("__grp", "__br"), ["__grp"], "inner")
+    at = at.select("__grp", "__x", F.inline("__br")).where(F.col("__x") <= F.col("hi"))
+    span = F.col("hi") - F.col("lo")
+    cut = F.when((span > 0) & (span < float("inf")), F.least(F.floor((F.col("__x") - F.col("lo")) / span * _PARTS), F.lit(_PARTS - 1))).otherwise(F.lit(0))
+    inside = F.col("__x") >= F.col("lo")
+    counts = at.groupBy("__grp", "i", F.when(inside, cut).otherwise(F.lit(-1)).cast("int").alias("__part"), F.when(inside, F.col("__x")).alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+
+    before = F.sum("__m").over(Window.partitionBy("__grp", "i").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = counts.groupBy("__grp", "i", "__part").agg(F.sum("__c").alias("__m")).withColumn("__before", F.coalesce(before, F.lit(0)))
+    pos = F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("i") + 1) * (F.col("__n") - 1)
+    parts = parts.join(st.select("__grp", "__n"), "__grp").withColumn("__pos", pos)
+    wanted = (F.col("__before") <= F.ceil("__pos")) & (F.col("__before") + F.col("__m") > F.floor("__pos"))
+    parts = parts.where(wanted).select("__grp", "i", "__part", "__before", "__pos")
+
+    running = F.sum("__c").over(Window.partitionBy("__grp", "i", "__part").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.col("__before") + F.col("__run")
+    ranked = counts.join(parts, ["__grp", "i", "__part"]).withColumn("__run", running)
+    got = ranked.groupBy("__grp", "i").agg(
+        F.max("__pos").alias("p"), F.min("__part").alias("least"),
+        F.min(F.when(upto > F.floor("__pos"), F.col("__x"))).alias("v0"), F.min(F.when(upto > F.ceil("__pos"), F.col("__x"))).alias("v1"))
+    lo_r, hi_r = F.floor("p"), F.ceil("p")
+    # the same interpolation form as Spark's percentile: (hi - pos) * lower + (pos - lo) * upper
+    value = F.when(lo_r == hi_r, F.col("v0")).otherwise((hi_r - F.col("p")) * F.col("v0") + (F.col("p") - lo_r) * F.col("v1"))
+    sound = (F.col("least") >= 0) & F.col("v0").isNotNull() & F.col("v1").isNotNull()
+    got = got.select("__grp", "i", F.when(sound, value).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket"))).alias("v"))
+    wide = got.groupBy("__grp").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"__v{i}") for i in range(len(qs))])
+    res = st.select("__grp").join(wide, "__grp", "left")
+    return res.select(*[F.col("__grp")[k].alias(k) for k in keys], *[F.col(f"__v{i}").alias(o) for i, o in enumerate(outs)])
+
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], col: str, q: float, accuracy: int = 100_000, out: str | None = None) -> DataFrame:
     """One exact quantile per group (see ``exact_quantiles``)."""
-    return exact_quantiles(df, keys, col, [q], [out or col], grid, accuracy, passes, small_group)
+    return exact_quantiles(df, keys, col, [q], [out or col], accuracy)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import collect_bounded
+from .joins import collect_bounded, join_measured, written
 from .ranking import sample_key
 
 TWO32 = float(2 ** 32)
@@ -29,30 +29,44 @@ def random_split(df: DataFrame, key: str, test_frac: float = 0.2, seed: int = 42
 
 def first_k_by_hash(df: DataFrame, group: str, key: str, k_per_group: DataFrame, seed: int = 42,
                     buckets: int = 65536, out: str = "__take") -> DataFrame:
-    """Flag exactly the first ``k`` rows per group in md5(key|seed) order, skew-safe.
+    """Flag the first ``k`` rows per group in md5(key|seed) order; the rows themselves are not shuffled.
 
     ``k_per_group`` has columns (group, k). Equivalent to
-    ``row_number() over (partition by group order by h, key) <= k`` without a
-    per-group sort: the 32-bit hash is bucketed, per-(group, bucket) counts
-    (at most groups x ``buckets`` rows) give running totals, whole buckets are
-    decided at once and only the boundary bucket of each group is ranked row
-    by row (a handful of rows, since the hash of unique keys is uniform).
+    ``row_number() over (partition by group order by h, key) <= k`` for unique
+    keys (rows of one key stand or fall together). It finds the k-th row's
+    (hash, key) of each group and compares every row with it:
+
+    1. counts per (group, hash bucket) and their running total give the one
+       bucket that holds the k-th row;
+    2. the rows of those buckets (one in ``buckets``) are written, counted per
+       hash in the same way, and only rows of the one hash are ranked by key;
+    3. the thresholds, a row per group, are joined to the rows by
+       ``join_measured``.
+
+    A null group is a group of its own; a group without ``k`` takes none.
     """
-    h = sample_key(key, seed)
-    d = df.withColumns({"__h": h, "__b": (h / F.lit(TWO32 / buckets)).cast("long")})
-    cnt = d.groupBy(group, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    wl = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    cnt = cnt.withColumn("__cum", F.sum("__c").over(wl)).join(
-        k_per_group.select(group, F.col("k").cast("long").alias("__k")), group, "left")
-    cnt = cnt.withColumns({"__k": F.coalesce("__k", F.lit(0)), "__before": F.col("__cum") - F.col("__c")})
-    j = d.join(cnt.select(group, "__b", "__k", "__before", "__cum"), [group, "__b"])
-    inner = Window.partitionBy(group, "__b").orderBy("__h", key)
-    boundary = (F.col("__before") < F.col("__k")) & (F.col("__cum") > F.col("__k"))
-    rank = F.when(boundary, F.row_number().over(inner))
-    take = (F.when(F.col("__cum") <= F.col("__k"), True)
-            .when(F.col("__before") >= F.col("__k"), False)
-            .otherwise(F.col("__before") + rank <= F.col("__k")))
-    return j.withColumn(out, take).drop("__h", "__b", "__k", "__before", "__cum")
+    g, h = F.struct(F.col(group).alias("g")).alias("__grp"), F.coalesce(sample_key(key, seed).cast("long"), F.lit(-1))
+    bucket = F.floor(F.greatest(F.col("__h"), F.lit(0)) / F.lit(TWO32 / buckets))
+    d = df.select(g, h.alias("__h"), F.col(key).alias("__key")).withColumn("__b", bucket)
+    ks = k_per_group.select(g, F.col("k").cast("long").alias("__k"))
+
+    def holder(counted: DataFrame, by: str) -> DataFrame:
+        """(__grp, by, __k less what lies before): the place in the order of ``by`` that holds the k-th row."""
+        w = Window.partitionBy("__grp").orderBy(by)
+        to = counted.withColumn("__to", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(Window.partitionBy("__grp")))
+        k = F.least("__k", "__all")
+        at = (F.col("__to") >= k) & (F.col("__to") - F.col("__n") < k)
+        return to.where(at).select("__grp", by, (k - F.col("__to") + F.col("__n")).alias("__k"))
+
+    at = holder(d.groupBy("__grp", "__b").agg(F.count(F.lit(1)).alias("__n")).join(ks, "__grp"), "__b")
+    near = written(join_measured(d, at, ["__grp", "__b"], "inner"))
+    at = holder(near.groupBy("__grp", "__h").agg(F.count(F.lit(1)).alias("__n"), F.first("__k").alias("__k")), "__h")
+    keys = near.drop("__k").join(at, ["__grp", "__h"])
+    nth = F.row_number().over(Window.partitionBy("__grp").orderBy("__key"))
+    last = keys.withColumn("__nth", nth).where(F.col("__nth") == F.col("__k")).select("__grp", F.struct("__h", "__key").alias("__last"))
+    j = join_measured(df.withColumn("__grp", g), last, ["__grp"])
+    here = F.struct(h.alias("__h"), F.col(key).alias("__key"))
+    return j.withColumn(out, F.coalesce(here <= F.col("__last"), F.lit(False))).drop("__grp", "__last")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: int = 42,
@@ -128,12 +142,16 @@ def one_hot(df: DataFrame, cols: Sequence[str], split_col: str = "dataset_split"
     return df.withColumns(out)
 
 
-def label_encode(df: DataFrame, col: str, out: str | None = None, max_classes: int = 100_000) -> DataFrame:
-    """M7: sorted distinct labels (train + test) -> 0..k-1 via a literal map."""
-    classes = sorted(r[0] for r in collect_bounded(df.select(col).where(F.col(col).isNotNull()).distinct(),
-                                                   max_classes, f"classes of {col}"))
-    m = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
-    return df.withColumn(out or f"{col}_encoded", F.element_at(m, F.col(col)))
+def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    """M7: sorted distinct labels (train + test) -> 0..k-1, joined to the rows from the class table (null stays null).
+
+    The class table, a row per label, is what the one sort looks at, not the rows.
+    """
+    out = out or f"{col}_encoded"
+    classes = df.select(col).where(F.col(col).isNotNull()).distinct()
+    codes = classes.select(F.col(col).alias("__label"), (F.row_number().over(Window.orderBy(col)) - 1).alias("__code"))
+    keyed = df.withColumn("__label", F.col(col))
+    return join_measured(keyed, codes, ["__label"]).select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.col("__code").alias(out))
 
 
 def quantile_bins(df: DataFrame, col: str, n_bins: int = 3, split_col: str = "dataset_split",
@@ -161,11 +179,11 @@ def quantile_bins(df: DataFrame, col: str, n_bins: int = 3, split_col: str = "da
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weights n / (k * n_c), attached per row (weightCol for MLlib)."""
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
+    counts = written(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__nc")))
     n = counts.agg(F.sum("__nc")).scalar().cast("double")
     k = counts.agg(F.count(F.lit(1))).scalar().cast("double")
     w = counts.select(label, (n / (k * F.col("__nc"))).alias(out))
-    return df.join(w, label, "left")
+    return join_measured(df, w, [label])
 
 
 def preprocess_table(df: DataFrame, target: str, key: str, regression: bool = False, test_frac: float = 0.2,

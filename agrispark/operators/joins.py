@@ -5,11 +5,14 @@ Broadcast policy
 * Rule tables built from Python literals (zones, bands, scenarios, boxes)
   have a size known on the driver; they are broadcast explicitly or inlined
   as literal arrays (no join at all).
-* Sides derived from data (per-label medians, per-country centroids, yearly
-  means) are **not** hinted: their size grows with the data. AQE measures the
-  shuffle output at runtime and turns the join into a broadcast only when the
-  measured side is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``;
-  beyond it the sort-merge / shuffled-hash plan stays. That is the size check.
+* A reduced side that meets a fact table on a few hot keys (per-label medians,
+  class weights, quantile brackets) goes through ``join_measured``: it is
+  written, its bytes are summed, and only then is it broadcast, so the fact
+  rows never move; a larger one is joined on (key, salt).
+* Other sides derived from data (per-country centroids, yearly means) are
+  **not** hinted: AQE measures the shuffle output at runtime and turns the join
+  into a broadcast only when the measured side is below
+  ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 * ``collect_bounded`` is the one place a small derived table is brought to the
   driver (model parameters such as centroids), and only after a bounded
   ``limit(n + 1)`` count proves the bound.
@@ -21,9 +24,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import norm_key, geo_key_part
 
+#: Measured bytes up to which ``join_measured`` broadcasts a side.
+BROADCAST_BYTES = 32 << 20
+#: Parts into which it cuts each key of the fact side when the other side is larger.
+SALTS = 32
+#: Centroids that one expression compares a row with; more go in further blocks.
+CENTROID_BLOCK = 10_000
+
 
 def collect_bounded(df: DataFrame, max_rows: int, what: str = "table") -> list:
     """Collect a small derived table only after proving it has <= max_rows rows."""
@@ -44,16 +55,59 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000, what: str = "rule
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of a small intermediate in the shared folder."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of a table's values, about: text and binary by length, arrays by 64 an element, others 8; 8 more a value."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            n = F.octet_length(c)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            n = F.size(c) * 64
+        elif isinstance(f.dataType, T.StructType):
+            n = F.octet_length(F.to_json(c))
+        else:
+            n = F.lit(8)
+        size = size + F.coalesce(n, F.lit(0)) + 8
+    return df.agg(F.sum(size)).first()[0] or 0
+
+
+def join_measured(fact: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left",
+                  limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
+    """Join a reduced ``side`` (one row per key) to a fact table whose keys may be hot.
+
+    The side is written and its bytes are summed. Up to ``limit`` it is
+    broadcast and the fact rows stay where they are. Beyond that the side is
+    copied ``salts`` times and the join is on (key, salt), the salt being a
+    hash of the whole fact row, so no key's rows meet in one task. Both give
+    the same rows (``how``: inner, left or left_semi).
+    """
+    on = list(on)
+    side = written(side)
+    if measured_bytes(side) <= limit:
+        return fact.join(F.broadcast(side), on, how)
+    row = [F.col(f"`{f.name}`") for f in fact.schema.fields if "map<" not in f.dataType.simpleString()]
+    salted = fact.withColumn("__salt", F.pmod(F.xxhash64(*row), F.lit(salts)).cast("int"))
+    copies = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
 def join_priors(fact: DataFrame, priors: DataFrame, fact_key: str, prior_key: str) -> DataFrame:
     """Left join per-label priors on the normalised key; keep the original label.
 
     ``priors`` is keyed by ``prior_key`` (already normalised or not); unmatched
-    rows get nulls. The priors side is aggregated (one row per label) so AQE
-    broadcasts it after measuring it.
+    rows get nulls. The priors are written, measured and broadcast
+    (``join_measured``): the fact is not shuffled on its few labels.
     """
-    p = priors.withColumn("__pk", norm_key(prior_key)).drop(prior_key)
-    j = fact.withColumn("__fk", norm_key(fact_key)).join(p, F.col("__fk") == F.col("__pk"), "left")
-    return j.drop("__fk", "__pk")
+    p = priors.withColumn("__k", norm_key(prior_key)).drop(prior_key)
+    return join_measured(fact.withColumn("__k", norm_key(fact_key)), p, ["__k"]).drop("__k")
 
 
 def join_yearly(fact: DataFrame, yearly: DataFrame, keys: Sequence[str] = ("country", "year")) -> DataFrame:
@@ -126,64 +180,80 @@ def apply_scenarios(rows: DataFrame, scenarios: Sequence[tuple],
     }).drop("d_temp", "f_rain", "f_hum", "hum_floor")
 
 
+def _nearest(rows: DataFrame, centroids: DataFrame, label: str, dist, known: Column, block: int) -> DataFrame:
+    """Nearest centroid of every row by a loop over the centroids, held as one array per ``block`` of them.
+
+    ``dist(c)`` is the distance of the row to a centroid struct, null if there is none.
+    """
+    cents = written(centroids)
+    n_blocks = max(1, -(-cents.count() // block))
+    held, bests = {}, []
+    for i in range(n_blocks):
+        part = cents if n_blocks == 1 else cents.where(F.pmod(F.xxhash64(label), F.lit(n_blocks)) == i)
+        held[f"__cents{i}"] = part.agg(F.collect_list(F.struct(F.col(label).alias("lab"), F.struct(*[c for c in cents.columns if c != label]).alias("c")))).scalar()
+        near = F.transform(f"__cents{i}", lambda s: F.struct(dist(s["c"]).alias("dist"), s["lab"].alias("lab")))
+        bests.append(F.array_min(F.filter(near, lambda s: s["dist"].isNotNull())))
+    best = F.when(known, F.least(*bests) if n_blocks > 1 else bests[0])
+    return (rows.withColumns(held).withColumn("__best", best).withColumns({"rule_label": F.col("__best.lab"), "rule_distance": F.col("__best.dist")})
+            .drop("__best", *held))
+
+
 def nearest_centroid(rows: DataFrame, centroids: DataFrame, feats: Sequence[str],
-                     label: str = "label", max_centroids: int = 10_000) -> DataFrame:
+                     label: str = "label", block: int = CENTROID_BLOCK) -> DataFrame:
     """Nearest centroid label (Euclidean, raw feature space) and its distance.
 
-    Centroids are model parameters (one row per class): they are collected
-    after a bounded count and inlined as a literal array, so scoring is a
-    plain projection: no join, no shuffle. Ties go to the alphabetically
-    first label (the array is sorted by label and ``array_min`` compares
-    (distance, label)). Rows with a null feature get null; a centroid with a
-    null value is at no distance and is left out.
+    Centroids are model parameters (one row per class): they reach the rows as
+    one array (a scalar subquery) for each ``block`` of them, so scoring is a
+    plain projection whose code does not grow with the centroids: no join, no
+    shuffle, no limit on their number. Ties go to the first label
+    (``array_min`` compares (distance, label)). Rows with a null feature get
+    null; a centroid with a null value is at no distance and is left out.
     """
-    cs = collect_bounded(centroids.select(label, *feats), max_centroids, "centroid table")
-    cs = sorted((r for r in cs if all(r[f] is not None for f in feats)), key=lambda r: r[label])
-    if not cs:
-        return rows.withColumns({"rule_label": F.lit(None).cast(centroids.schema[label].dataType),
-                                 "rule_distance": F.lit(None).cast("double")})
-    structs = []
-    for r in cs:
+    feats = list(feats)
+    cents = centroids.select(label, *[F.col(f).cast("double").alias(f) for f in feats])
+
+    def dist(c):
         d2 = None
         for f in feats:
-            diff = F.col(f) - F.lit(float(r[f]))
-            term = diff * diff
-            d2 = term if d2 is None else d2 + term
-        structs.append(F.struct(F.sqrt(d2).alias("dist"), F.lit(r[label]).alias("lab")))
-    any_null = F.lit(False)
+            diff = F.col(f) - c[f]
+            d2 = diff * diff if d2 is None else d2 + diff * diff
+        return F.sqrt(d2)
+
+    known = F.lit(True)
     for f in feats:
-        any_null = any_null | F.col(f).isNull()
-    best = F.when(~any_null, F.array_min(F.array(*structs)))
-    return rows.withColumns({"rule_label": best["lab"], "rule_distance": best["dist"]})
+        known = known & F.col(f).isNotNull()
+    return _nearest(rows, cents, label, dist, known, block)
 
 
 def nearest_centroid_vec(rows: DataFrame, centroids: DataFrame, vec: str, centroid: str = "centroid",
-                         label: str = "label", max_centroids: int = 10_000) -> DataFrame:
+                         label: str = "label", block: int = CENTROID_BLOCK) -> DataFrame:
     """J9 for array features (embeddings): same plan, distances via higher-order functions.
 
     A centroid of another length than the row's vector, or with a null in it,
     has no distance and never wins; without any distance the label is null.
     """
-    cs = collect_bounded(centroids.select(label, centroid), max_centroids, "centroid table")
-    cs = sorted((r for r in cs if r[centroid] is not None and None not in r[centroid]), key=lambda r: r[label])
-    if not cs:
-        return rows.withColumns({"rule_label": F.lit(None).cast(centroids.schema[label].dataType),
-                                 "rule_distance": F.lit(None).cast("double")})
-    structs = []
-    for r in cs:
-        c = F.array(*[F.lit(float(x)) for x in r[centroid]])
-        sq = F.zip_with(F.col(vec), c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
-        d = F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
-        structs.append(F.struct(d.alias("dist"), F.lit(r[label]).alias("lab")))
-    known = F.filter(F.array(*structs), lambda s: s["dist"].isNotNull())
-    best = F.when(F.col(vec).isNotNull(), F.array_min(known))
-    return rows.withColumns({"rule_label": best["lab"], "rule_distance": best["dist"]})
+    cents = centroids.select(label, F.col(centroid).cast("array<double>").alias("v"))
+
+    def dist(c):
+        sq = F.zip_with(F.col(vec), c["v"], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
+        return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
+
+    return _nearest(rows, cents, label, dist, F.col(vec).isNotNull(), block)
 
 
 def map_label(df: DataFrame, col: str, mapping: dict, out: str | None = None) -> DataFrame:
-    """Dictionary replacement via a literal map (no join)."""
-    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-    return df.withColumn(out or col, F.element_at(m, F.col(col)))
+    """Dictionary replacement: a hash join with the dictionary, which lies on the driver already (its size is known).
+
+    A value without an entry, and a null, become null; a null key of the dictionary is ignored.
+    """
+    first = next((v for v in mapping.values() if v is not None), None)
+    small = isinstance(first, int) and not isinstance(first, bool) and all(v is None or -2**31 <= v < 2**31 for v in mapping.values())
+    kind = T.BooleanType() if isinstance(first, bool) else T.IntegerType() if small else T.LongType() if isinstance(first, int) else T.DoubleType() if isinstance(first, float) else T.StringType()
+    schema = T.StructType([T.StructField("__from", df.schema[col].dataType), T.StructField("__to", kind)])
+    table = df.sparkSession.createDataFrame([(k, v) for k, v in mapping.items() if k is not None], schema)
+    names = df.columns if (out or col) in df.columns else [*df.columns, out or col]
+    j = df.join(F.broadcast(table), F.col(f"`{col}`") == F.col("__from"), "left")
+    return j.select(*[F.col("__to").alias(n) if n == (out or col) else F.col(f"`{n}`") for n in names])
 
 
 def range_rule_weight(df: DataFrame, rules: DataFrame, crop: str, temp: str, rain: str,
@@ -206,12 +276,12 @@ def tiered_match(queries: DataFrame, places: DataFrame, q_key: str, q_text: str,
     All three tiers are **equi-joins**: the place side emits its lower-cased
     names (tier 1), all their prefixes (tier 2) and all their substrings
     (tier 3) as join keys, so the query side is matched by hash join instead
-    of a nested loop. A name of length L yields L prefixes and L(L+1)/2
-    substrings; only lengths that occur among the queries are generated, so
-    the fan-out is L x (number of distinct query lengths). The winner per query is the
-    lowest (tier, ordinal): ``min_by`` over a struct, one aggregation
-    partitioned by query. Queries without any match are absent (callers use
-    a left-anti join to report them).
+    of a nested loop. Only lengths that occur among the queries are generated
+    (fan-out: L x number of distinct query lengths), and a semi join with the
+    distinct query texts drops every other key where it is made. Each key then
+    keeps its lowest (tier, ordinal), so one row per key enters the join with
+    the queries, however many places hold it or queries ask for it. Queries
+    without any match are absent (callers use a left-anti join to report them).
     """
     names = None
     for c in name_cols:
@@ -240,7 +310,7 @@ def tiered_match(queries: DataFrame, places: DataFrame, q_key: str, q_text: str,
         F.col("s.k").alias("__key"),
         F.when((F.col("s.st") == 1) & (F.col("s.ln") == F.length("__nm")), F.lit(1))
          .when(F.col("s.st") == 1, F.lit(2)).otherwise(F.lit(3)).alias("__tier"))
-    keyed = keyed.groupBy("__key", "__ord").agg(F.min("__tier").alias("__tier"))
-    j = q.join(keyed, on="__key", how="inner")
-    best = j.groupBy(q_key).agg(F.min(F.struct("__tier", "__ord")).alias("__b"))
+    keyed = join_measured(keyed, q.select("__key").where(F.col("__key").isNotNull()).distinct(), ["__key"], "left_semi")
+    first = keyed.groupBy("__key").agg(F.min(F.struct("__tier", "__ord")).alias("__b"))
+    best = q.join(first, "__key").groupBy(q_key).agg(F.min("__b").alias("__b"))
     return best.select(q_key, F.col("__b.__tier").alias("tier"), F.col("__b.__ord").alias(ordinal))

@@ -23,6 +23,13 @@ def rows(df, *cols):
     return [tuple(r) for r in df.select(*cols).collect()] if cols else [tuple(r) for r in df.collect()]
 
 
+def final_plan(df):
+    """The adaptive plan as it ran."""
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    return p.split("== Initial Plan ==")[0]
+
+
 # --- zones and scores: the service's golden cases --------------------------------
 
 @pytest.mark.parametrize("t,rain,hum,zone", [(30, 150, 40, "arid"), (27, 2300, 85, "tropical"),
@@ -354,18 +361,83 @@ def test_streaming_frames_are_refused(spark):
         require_bounded(s)
 
 
-@pytest.mark.parametrize("small_group", [10**9, 500])
-def test_exact_quantile_matches_percentile_with_a_hot_group(spark, small_group):
-    # group 0 holds two thirds of the rows, many duplicates; group 5 is all null
+@pytest.mark.parametrize("accuracy", [100_000, 1000, 100])
+def test_exact_quantile_matches_percentile_with_a_hot_group(spark, accuracy):
+    # group 0 holds two thirds of the rows, many duplicates; group 5 is all null; a null key is a group
     df = spark.range(6000).select((F.col("id") % 3).alias("k"), (F.rand(7) * 100).alias("v"))
     df = df.union(spark.range(6000).select(F.lit(0).cast("long").alias("k"), F.floor(F.rand(3) * 7).cast("double")))
-    df = df.union(spark.createDataFrame([(5, None), (5, float("nan"))], "k long, v double"))
-    for q in (0.5, 0.25, 1 / 3, 1.0):
-        got = dict(rows(A.exact_quantile(df, ["k"], "v", q, grid=50, accuracy=1000, passes=2,
-                                         small_group=small_group)))
-        clean = df.where(~F.isnan("v") | F.col("v").isNull())
-        want = dict(rows(clean.groupBy("k").agg(F.percentile("v", F.lit(q)))))
-        assert got == want
+    df = df.union(spark.createDataFrame([(5, None), (5, float("nan")), (6, 2.5), (7, 1.0), (7, 4.0), (None, 3.0), (8, float("inf")), (8, 1.0), (8, float("-inf"))], "k long, v double"))
+    qs = [0.0, 0.5, 0.25, 1 / 3, 0.999, 1.0]
+    got = {r[0]: r[1:] for r in rows(A.exact_quantiles(df, ["k"], "v", qs, accuracy=accuracy))}
+    clean = df.where(~F.isnan("v") | F.col("v").isNull())
+    want = {r[0]: r[1:] for r in rows(clean.groupBy("k").agg(*[F.percentile("v", F.lit(q)) for q in qs]))}
+    assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in want.items()}
+
+
+def test_exact_quantiles_read_the_rows_twice_for_any_number_of_quantiles(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(20000).select(F.lit("hot").alias("k"), F.rand(5).alias("v")).write.parquet(path)
+    sketch = A._brackets(spark.read.parquet(path).select(F.struct("k").alias("__grp"), F.col("v").alias("__x")), [0.1, 0.5, 0.9], 1000)
+    out = A.exact_quantiles(spark.read.parquet(path), ["k"], "v", [0.1, 0.5, 0.9])
+    assert final_plan(sketch).count("FileScan parquet") == 1
+    p = final_plan(out)
+    assert p.count("FileScan parquet") == 1 and "ReusedExchange" in p
+
+
+def test_measured_join_gives_the_same_rows_broadcast_or_salted(spark):
+    fact = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
+    side = spark.createDataFrame([("hot", 1), ("k0", 2), ("k6", 3), ("unused", 4)], "k string, w int")
+    for how in ("left", "inner", "left_semi"):
+        right = side.select("k") if how == "left_semi" else side
+        want = sorted(map(repr, rows(fact.join(right, ["k"], how))))
+        assert sorted(map(repr, rows(J.join_measured(fact, right, ["k"], how)))) == want
+        assert sorted(map(repr, rows(J.join_measured(fact, right, ["k"], how, limit=0, salts=4)))) == want
+
+
+def test_rows_are_not_shuffled_on_their_label(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    spark.range(5000).select("id", F.when(F.col("id") % 4 > 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 12)).alias("y")).write.parquet(path)
+    fact = spark.read.parquet(path)
+    priors = spark.createDataFrame([("HOT", 1.0), ("c0", 2.0)], "p string, m double")
+    for df in (J.join_priors(fact, priors, "y", "p"), M.class_weights(fact, "y"), M.label_encode(fact, "y"), M.stratified_split(fact, "y", "id"),
+               J.map_label(fact, "y", {"hot": 1}, "c")):
+        p = final_plan(df)
+        assert "BroadcastHashJoin" in p and "hashpartitioning" not in p and "SortMergeJoin" not in p
+
+
+def test_first_k_equals_row_number_with_hot_null_and_small_groups(spark):
+    from agrispark.operators.ranking import sample_key
+    from pyspark.sql import Window
+    df = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 100 == 1, None).otherwise("b").alias("g"))
+    df = df.union(spark.createDataFrame([(9001, "one"), (None, "none")], "id long, g string"))
+    ks = spark.createDataFrame([("a", 700), ("b", 10**9), (None, 3), ("one", 1), ("none", 0)], "g string, k long")
+    for buckets in (65536, 4):
+        got = sorted(r[0] for r in rows(M.first_k_by_hash(df, "g", "id", ks, 3, buckets).where("__take"), "id"))
+        rn = F.row_number().over(Window.partitionBy("g").orderBy(sample_key("id", 3), "id"))
+        want = df.withColumn("rn", rn).join(ks.withColumnRenamed("g", "g2"), F.col("g").eqNullSafe(F.col("g2"))).where("rn <= k")
+        assert got == sorted(r[0] for r in rows(want, "id"))
+
+
+def test_five_thousand_classes(spark):
+    df = spark.range(6000).select("id", F.format_string("c%05d", F.col("id") % 5000).alias("y"))
+    assert rows(M.label_encode(df, "y").agg(F.max("y_encoded"), F.sum((F.col("y_encoded") == F.substring("y", 2, 5).cast("int")).cast("int")))) == [(4999, 6000)]
+    m = {f"c{i:05d}": i for i in range(1, 5000)}
+    assert rows(J.map_label(df, "y", m, "c").agg(F.count("c"), F.count("y"), F.max("c"))) == [(5998, 6000, 4999)]
+    one = J.map_label(df.select("y", "id"), "y", m)
+    assert one.columns == ["y", "id"] and one.schema["y"].dataType.simpleString() == "int"
+    cents = df.where("id < 5000").select(F.col("y").alias("label"), F.col("id").cast("double").alias("x"), F.array(F.col("id").cast("double")).alias("centroid"))
+    pts = spark.createDataFrame([(17.2,), (4999.0,), (None,), (2.5,)], "x double").withColumn("v", F.when(F.col("x").isNotNull(), F.array("x")))
+    want = [("c00017",), ("c04999",), (None,), ("c00002",)]
+    for block in (10_000, 700):
+        assert rows(J.nearest_centroid(pts, cents, ["x"], block=block), "rule_label") == want
+        assert rows(J.nearest_centroid_vec(pts, cents, "v", block=block), "rule_label") == want
+
+
+def test_one_row_per_key_enters_the_place_join(spark):
+    places = spark.range(2000).select(F.col("id").alias("ord"), F.concat(F.lit("a place "), F.col("id")).alias("name"))
+    q = spark.range(50).select(F.col("id").alias("qid"), F.lit("a").alias("q"))
+    out = J.tiered_match(q, places, "qid", "q", ["name"], "ord")
+    assert sorted(rows(out)) == [(i, 2, 0) for i in range(50)]
 
 
 def test_bounded_broadcast_refuses_large_tables(spark):
