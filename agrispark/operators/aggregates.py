@@ -216,27 +216,27 @@ def confusion_matrix(pred: DataFrame, actual: str = "actual", predicted: str = "
     return pred.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _class_counts(pred: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """Per class: true positives, support, predictions, and rows of it with both labels known, from one confusion matrix.
+def _class_counts(pred: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per class (and ``by``): true positives, support, predictions, and rows of it with both labels known, from one confusion matrix.
 
     Every cell counts for its actual and for its predicted class, so the
     predictions are read once and nothing is joined.
     """
-    cm = confusion_matrix(pred, actual, predicted)
+    cm = pred.groupBy(*by, actual, predicted).agg(F.count(F.lit(1)).alias("n"))
     zero, n, a, p = F.lit(0).cast("long"), F.col("n"), F.col(actual), F.col(predicted)
     cells = F.array(
         F.struct(a.alias("cls"), F.when(a == p, n).otherwise(zero).alias("tp"), n.alias("support"), zero.alias("n_pred"),
                  F.when((a == p).isNotNull(), n).otherwise(zero).alias("known")),
         F.struct(p.alias("cls"), zero.alias("tp"), zero.alias("support"), n.alias("n_pred"), zero.alias("known")))
-    return cm.select(F.inline(cells)).groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "n_pred", "known")])
+    return cm.select(*by, F.inline(cells)).groupBy(*by, "cls").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "n_pred", "known")])
 
 
-def _class_measures(counts: DataFrame) -> DataFrame:
+def _class_measures(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     tp = F.col("tp").cast("double")
     prec = F.coalesce(F.try_divide(tp, F.col("n_pred").cast("double")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(tp, F.col("support").cast("double")), F.lit(0.0))
     f1 = F.when(prec + rec == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
-    return counts.select("cls", prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), "support", "tp", "known")
+    return counts.select(*by, "cls", prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), "support", "tp", "known")
 
 
 def classification_report(pred: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
@@ -248,11 +248,13 @@ def classification_report(pred: DataFrame, actual: str = "actual", predicted: st
 
 
 def classification_metrics(pred: DataFrame, actual: str = "actual", predicted: str = "predicted",
-                           positive=None) -> DataFrame:
+                           positive=None, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, weighted F1, macro F1 (and binary F1 for ``positive``), all from one confusion matrix.
 
-    Accuracy is over the rows with both labels.
+    Accuracy is over the rows with both labels. With ``by`` (columns of
+    ``pred``, such as a model's name) a row for each of its values, still in one pass.
     """
+    by = list(by)
     total = F.sum("support").cast("double")
     agg = [
         F.try_divide(F.sum("tp").cast("double"), F.sum("known").cast("double")).alias("accuracy"),
@@ -261,7 +263,7 @@ def classification_metrics(pred: DataFrame, actual: str = "actual", predicted: s
     ]
     if positive is not None:
         agg.append(F.max(F.when(F.col("cls") == F.lit(positive), F.col("f1"))).alias("f1_binary"))
-    return _class_measures(_class_counts(pred, actual, predicted)).agg(*agg)
+    return _class_measures(_class_counts(pred, actual, predicted, by), by).groupBy(*by).agg(*agg)
 
 
 def regression_metrics(df: DataFrame, actual: str = "actual", pred: str = "prediction",
@@ -388,7 +390,7 @@ def _brackets(d: DataFrame, qs: Sequence[float], accuracy: int) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float],
-                    outs: Sequence[str] | None = None, accuracy: int = 100_000) -> DataFrame:
+                    outs: Sequence[str] | None = None, accuracy: int = 10_000) -> DataFrame:
     """Exact linear-interpolated quantiles per group, without holding a big group in one task.
 
     Spark's exact ``percentile`` merges all distinct values of a group in one
@@ -409,7 +411,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[f
     don't count; groups whose values are all null come back with nulls. A
     null key is a group of its own. It fails rather than return a value from outside a bracket.
     """
-    from .joins import join_measured, written
+    from .joins import join_measured, written_measured
     keys = list(keys)
     qs = [float(q) for q in qs]
     outs = list(outs or [f"q{i}" for i in range(len(qs))])
@@ -417,10 +419,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[f
     # without keys: one group, named by a value that is 0 for every row but no constant, so the joins stay equi-joins
     grp = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.pmod(F.xxhash64(xv), F.lit(1)).alias("__all"))
     d = df.select(grp.alias("__grp"), F.when(~F.isnan(xv), xv).alias("__x"))
-    st = written(_brackets(d, qs, accuracy))
+    st, size = written_measured(_brackets(d, qs, accuracy))
 
     # rows below a bracket count under a null value in part -1; rows above it don't count
-    at = join_measured(d.where(F.col("__x").isNotNull()), st.select("__grp", "__br"), ["__grp"], "inner")
+    at = join_measured(d.where(F.col("__x").isNotNull()), st.select("__grp", "__br"), ["__grp"], "inner", size=size)
     at = at.select("__grp", "__x", F.inline("__br")).where(F.col("__x") <= F.col("hi"))
     span = F.col("hi") - F.col("lo")
     cut = F.when((span > 0) & (span < float("inf")), F.least(F.floor((F.col("__x") - F.col("lo")) / span * _PARTS), F.lit(_PARTS - 1))).otherwise(F.lit(0))
@@ -450,6 +452,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[f
     return res.select(*[F.col("__grp")[k].alias(k) for k in keys], *[F.col(f"__v{i}").alias(o) for i, o in enumerate(outs)])
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], col: str, q: float, accuracy: int = 100_000, out: str | None = None) -> DataFrame:
+def exact_quantile(df: DataFrame, keys: Sequence[str], col: str, q: float, accuracy: int = 10_000, out: str | None = None) -> DataFrame:
     """One exact quantile per group (see ``exact_quantiles``)."""
     return exact_quantiles(df, keys, col, [q], [out or col], accuracy)

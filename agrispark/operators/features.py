@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import collect_bounded, join_measured, written
+from .joins import collect_bounded, join_measured, written, written_measured
 from .ranking import sample_key
 
 TWO32 = float(2 ** 32)
@@ -179,11 +179,11 @@ def quantile_bins(df: DataFrame, col: str, n_bins: int = 3, split_col: str = "da
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weights n / (k * n_c), attached per row (weightCol for MLlib)."""
-    counts = written(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__nc")))
+    counts, size = written_measured(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__nc")))
     n = counts.agg(F.sum("__nc")).scalar().cast("double")
     k = counts.agg(F.count(F.lit(1))).scalar().cast("double")
     w = counts.select(label, (n / (k * F.col("__nc"))).alias(out))
-    return join_measured(df, w, [label])
+    return join_measured(df, w, [label], size=size)
 
 
 def preprocess_table(df: DataFrame, target: str, key: str, regression: bool = False, test_frac: float = 0.2,

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Column
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,8 +62,8 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of a table's values, about: text and binary by length, arrays by 64 an element, others 8; 8 more a value."""
+def value_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values, about: text and binary by length, arrays by 64 an element, others 8; 8 more a value."""
     size = F.lit(0).cast("long")
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -76,22 +76,31 @@ def measured_bytes(df: DataFrame) -> int:
         else:
             n = F.lit(8)
         size = size + F.coalesce(n, F.lit(0)) + 8
-    return df.agg(F.sum(size)).first()[0] or 0
+    return size
+
+
+def written_measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """``written(df)`` and the bytes of its values, summed while it is written (task retries can only add to the sum)."""
+    seen = Observation()
+    out = written(df.observe(seen, F.sum(value_bytes(df)).alias("size")))
+    return out, seen.get["size"] or 0
 
 
 def join_measured(fact: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left",
-                  limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
+                  limit: int = BROADCAST_BYTES, salts: int = SALTS, size: int | None = None) -> DataFrame:
     """Join a reduced ``side`` (one row per key) to a fact table whose keys may be hot.
 
-    The side is written and its bytes are summed. Up to ``limit`` it is
-    broadcast and the fact rows stay where they are. Beyond that the side is
-    copied ``salts`` times and the join is on (key, salt), the salt being a
-    hash of the whole fact row, so no key's rows meet in one task. Both give
-    the same rows (``how``: inner, left or left_semi).
+    The side is written and its bytes are summed (``size``: the side is written
+    already and has that many). Up to ``limit`` it is broadcast and the fact
+    rows stay where they are. Beyond that the side is copied ``salts`` times
+    and the join is on (key, salt), the salt being a hash of the whole fact
+    row, so no key's rows meet in one task. Both give the same rows (``how``:
+    inner, left or left_semi).
     """
     on = list(on)
-    side = written(side)
-    if measured_bytes(side) <= limit:
+    if size is None:
+        side, size = written_measured(side)
+    if size <= limit:
         return fact.join(F.broadcast(side), on, how)
     row = [F.col(f"`{f.name}`") for f in fact.schema.fields if "map<" not in f.dataType.simpleString()]
     salted = fact.withColumn("__salt", F.pmod(F.xxhash64(*row), F.lit(salts)).cast("int"))

@@ -286,13 +286,8 @@ def model_metrics(spark, sf):
     from .demo_stats import predictions
     from ..operators.aggregates import classification_metrics
     d = V.read(spark, sf, "documents").select("doc_id", "lang")
-    p = predictions(spark, sf).join(d, "doc_id")
-    out = None
-    langs = collect_bounded(p.select("lang").where("lang IS NOT NULL").distinct(), 1000, "languages")
-    for lang in sorted(r["lang"] for r in langs):
-        m = classification_metrics(p.where(F.col("lang") == lang)).select(F.lit(lang).alias("model"), "*")
-        out = m if out is None else out.unionByName(m)
-    return out
+    p = predictions(spark, sf).join(d, "doc_id").where("lang IS NOT NULL").withColumnRenamed("lang", "model")
+    return classification_metrics(p, by=["model"])
 
 
 @register("X24_metric_label", """
