@@ -40,6 +40,7 @@ TAG = "spdx license identifier"
 BASE_SCORE, TAG_SCORE = 0.8, 1.0
 #: Order of binding in licence expressions, loosest first.
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
+OPERAND = re.compile(r"[a-z0-9][a-z0-9.:-]*\+?")
 #: Other bytes than digits, letters and those of non-ASCII characters part words; A-Z becomes lower case.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 STEP = 1 << 22
@@ -71,7 +72,7 @@ def postfix(expression: str) -> list[str]:
             stack.append(token)
             want_operand = True
         else:
-            if not want_operand or not re.fullmatch(r"[a-z0-9][a-z0-9.:-]*\+?", token):
+            if not want_operand or not OPERAND.fullmatch(token):
                 raise ValueError(expression)
             out.append(token)
             want_operand = False
@@ -102,7 +103,12 @@ def licences(tokens: list[str]) -> set[str]:
     for t in tokens:
         if t in PRECEDENCE:
             b, a = stack.pop(), stack.pop()
-            stack.append({f"{x} with {y}" for x in a for y in b} if t == "with" else a | b)
+            if t == "with":
+                stack.append({f"{x} with {y}" for x in a for y in b})
+            else:  # the larger set takes the other in, so a long expression isn't copied for each operator
+                more, fewer = (a, b) if len(a) >= len(b) else (b, a)
+                more |= fewer
+                stack.append(more)
         else:
             stack.append({t})
     return stack[0]
@@ -110,14 +116,22 @@ def licences(tokens: list[str]) -> set[str]:
 
 def tag_expression(line: str) -> tuple[set[str], list[str]] | None:
     """Licences and postfix form of the longest well-formed expression at the start of a tag's line."""
-    tokens = re.findall(r"[()]|[A-Za-z0-9][A-Za-z0-9.:-]*\+?|\S", line)[:200]
-    for n in range(len(tokens), 0, -1):
-        try:
-            made = postfix(" ".join(tokens[:n]).rstrip("."))
-        except ValueError:
-            continue
-        return licences(made), made
-    return None
+    tokens: list[str] = []
+    whole, depth, want_operand = 0, 0, True
+    for m in re.finditer(r"[()]|[A-Za-z0-9][A-Za-z0-9.:-]*\+?|\S", line):
+        token = m[0].lower()
+        operand = token not in ("(", ")") and token not in PRECEDENCE
+        if want_operand != (operand or token == "(") or token == ")" and not depth or operand and not OPERAND.fullmatch(token):
+            break  # no well-formed expression goes on like this
+        depth += (token == "(") - (token == ")")
+        want_operand = token == "(" or token in PRECEDENCE
+        tokens.append(token)
+        if not depth and not want_operand and token.rstrip(".") not in PRECEDENCE:
+            whole = len(tokens)
+    if not whole:
+        return None
+    made = postfix(" ".join(tokens[:whole]).rstrip("."))
+    return licences(made), made
 
 
 def automaton():

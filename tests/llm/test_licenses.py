@@ -67,3 +67,17 @@ def test_evaluation_equals_python():
         for values in itertools.product([True, False], repeat=3):
             known = dict(zip("abc", values, strict=True))
             assert licenses.evaluate(licenses.postfix(source), known.get) == eval(source.lower(), {}, known)
+
+
+@pytest.mark.parametrize("n", [110, 20_000])
+def test_long_tag_expressions_are_read_whole(n):
+    ids = [f"l-{i}" for i in range(n)]
+    for source in (" OR ".join(ids), f"({' AND '.join(ids)})", " OR (".join(ids) + ")" * (n - 1)):
+        found = licenses.scan(f"/* SPDX-License-Identifier: {source} */", licenses.automaton())
+        assert set(found[5].split(",")) == set(ids) and found[6] == 1.0 and found[7] == [" ".join(licenses.postfix(source))]
+
+
+@pytest.mark.parametrize("line, want", [("MIT OR (a AND", "mit"), ("MIT) OR a", "mit"), ("(a OR b) c", "a b or"), ("a AND or.", "a"), ("a OR b.", "a b or"), ("(a", None), ("", None), ("* a", None), ("a OR ) b", "a")])
+def test_longest_well_formed_start_of_a_line(line, want):
+    made = licenses.tag_expression(line)
+    assert (made and " ".join(made[1])) == want
