@@ -37,6 +37,9 @@ NOTICES = {
     "all rights reserved": ("proprietary", 0.6),
 }
 TAG = "spdx license identifier"
+#: The tag as it stands in a text; its expression ends with the line or where the next tag starts.
+TAG_TEXT = re.compile(r"(?ai)spdx[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+license[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+identifier[ \t]*:?[ \t]*")
+LINE = re.compile(r"[^\n\r]*")
 BASE_SCORE, TAG_SCORE = 0.8, 1.0
 #: Order of binding in licence expressions, loosest first.
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -115,7 +118,7 @@ def licences(tokens: list[str]) -> set[str]:
 
 
 def tag_expression(line: str) -> tuple[set[str], list[str]] | None:
-    """Licences and postfix form of the longest well-formed expression at the start of a tag's line."""
+    """Licences and postfix form of the longest well-formed expression at the start of the text behind a tag."""
     tokens: list[str] = []
     whole, depth, want_operand = 0, 0, True
     for m in re.finditer(r"[()]|[A-Za-z0-9][A-Za-z0-9.:-]*\+?|\S", line):
@@ -180,8 +183,9 @@ def scan(text: str, machine) -> tuple:
             labels.add(NOTICES[p][0])
             score = max(score, NOTICES[p][1])
     if any(p == TAG for _, p in found):
-        for m in re.finditer(r"(?ai)spdx[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+license[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+identifier[ \t]*:?[ \t]*([^\n\r]*)", text):
-            if made := tag_expression(m[1]):
+        tags = list(TAG_TEXT.finditer(text))
+        for m, following in zip(tags, [*(t.start() for t in tags[1:]), len(text)], strict=True):
+            if made := tag_expression(LINE.match(text, m.end(), following)[0]):
                 labels |= made[0]
                 expressions.append(" ".join(made[1]))
                 score = TAG_SCORE

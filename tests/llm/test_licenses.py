@@ -81,3 +81,15 @@ def test_long_tag_expressions_are_read_whole(n):
 def test_longest_well_formed_start_of_a_line(line, want):
     made = licenses.tag_expression(line)
     assert (made and " ".join(made[1])) == want
+
+
+@pytest.mark.parametrize("text, want", [
+    ("/* SPDX-License-Identifier: MIT */ int a; /* SPDX-License-Identifier: Apache-2.0 */", ["mit", "apache-2.0"]),
+    ("SPDX-License-Identifier: MIT SPDX-License-Identifier: a OR b\nSPDX-License-Identifier: c", ["mit", "a b or", "c"]),
+    ("SPDX-License-Identifier: SPDX-License-Identifier: MIT OR SPDX-License-Identifier: a", ["mit", "a"]),
+    (" ".join(f"# SPDX-License-Identifier: l-{i} # x" for i in range(20_000)), [f"l-{i}" for i in range(20_000)]),
+])
+def test_every_tag_of_a_line_is_read(text, want):
+    found = licenses.scan(text, licenses.automaton())
+    assert found[7] == want and found[6] == 1.0
+    assert set(found[5].split(",")) == {x for e in want for x in e.split()} - {"or"}
