@@ -3,7 +3,8 @@
 An item of m characters may occur with up to k edits. Cut into k + 1 pieces,
 at least one piece is then found unchanged. One automaton finds all pieces of
 all items; each hit fixes where the item would lie, and Myers' bit-parallel
-distance decides on that window.
+distance decides on that window. A short item has no edits and must stand
+between word bounds.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from .common import columns, prepare
 
 #: Edits allowed for each character of an item (pieces have about 1 / ERRORS characters).
 ERRORS = 0.1
-#: Items with fewer characters (normalised) are not looked for: they occur in clean text.
+#: Items with fewer characters (normalised) are found unedited and as whole words only: with edits, or inside words, they occur in clean text.
 MIN_CHARS = 32
 #: Items of one pass over the documents: the bound on what is broadcast at a time.
 BLOCK = 20_000
 _RUNS, _ODD = re.compile(r"[\W_]+"), re.compile(r"[^\x00-\x7f\w]")
+#: Scripts written without spaces: their characters bound a word wherever they stand.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _ASCII = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: Length of the runs that a window must share with an item before its distance is worked out.
 GRAM = 4
@@ -93,11 +96,17 @@ def pieces(pattern: str, budget: int) -> list[tuple[int, str]]:
     return [(a, pattern[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def bound(text: str, at: int) -> bool:
+    """Whether no word goes on over this place of a normalised text."""
+    return not 0 < at < len(text) or any(c == " " or _UNSPACED.match(c) for c in text[at - 1:at + 1])
+
+
 class Matcher:
     """Finds a block of items in texts."""
 
-    def __init__(self, items: list[tuple[object, str]], errors: float):
-        self.items = [(k, p, int(len(p) * errors)) for k, p in items]
+    def __init__(self, items: list[tuple[object, str]], errors: float, min_chars: int = MIN_CHARS):
+        self.items = [(k, p, int(len(p) * errors) if len(p) >= min_chars else 0) for k, p in items]
+        self.min_chars = min_chars
         self.machine = ahocorasick.Automaton()
         filed = defaultdict(list)
         for i, (_, p, budget) in enumerate(self.items):
@@ -119,14 +128,18 @@ class Matcher:
         return machine.search(window)
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, distance, start, end) in the normalised text: the best place of each item within its budget."""
-        spans = defaultdict(list)
+        """(item, distance, start, end) in the normalised text: the best place of each item within its budget; of a short one the first."""
+        spans, short = defaultdict(list), {}
         for last, where in self.machine.iter(text) if self.items else ():
             for i, start, length in where:
                 _, p, k = self.items[i]
                 begin = last + 1 - length - start
+                if len(p) < self.min_chars:
+                    if i not in short and bound(text, begin) and bound(text, last + 1):
+                        short[i] = begin
+                    continue
                 spans[i].append((max(0, begin - k), min(len(text), begin + len(p) + k)))
-        out = []
+        out = [(i, 0, begin, begin + len(self.items[i][1])) for i, begin in short.items()]
         for i, windows in spans.items():
             _, p, k = self.items[i]
             best = (k + 1, 0)
@@ -147,11 +160,11 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, min_chars: int, block: int) -> Iterator[list[tuple[object, str]]]:
-    """The items, normalised, a block at a time; short, empty and null ones are left out."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block: int) -> Iterator[list[tuple[object, str]]]:
+    """The items, normalised, a block at a time; those without a letter or digit and null ones are left out."""
     part: list[tuple[object, str]] = []
     for r in columns(items, id_col, text_col).toLocalIterator():
-        if len(p := normalise(r[1] or "")) >= min_chars:
+        if p := normalise(r[1] or ""):
             part.append((r[0], p))
         if len(part) == block:
             yield part
@@ -167,20 +180,21 @@ def find_benchmark(docs: DataFrame, items: DataFrame, errors: float = ERRORS, mi
     A row per input row and item that occurs in its whole text with at most
     ``int(errors * length)`` edits (both normalised: lower case, runs of non-letters and non-digits
     as one space), with the least distance and the stretch of the
-    original text where it is found. Clean documents have no row. Items go out in blocks of ``block``; more
+    original text where it is found. An item shorter than ``min_chars`` has budget 0 and must
+    stand between word bounds. Clean documents have no row. Items go out in blocks of ``block``; more
     items mean more passes, not a larger broadcast. A null text or item matches
-    nothing, nor does an item shorter than ``min_chars``; null and repeated ids
+    nothing, nor does an item without a letter or digit; null and repeated ids
     keep their rows; an empty table gives none; other columns are not read.
     """
     spark = prepare(docs.sparkSession)
     kind, item_kind = docs.schema[id_col].dataType, items.schema[item_col].dataType
     schema = StructType([StructField("id", kind), StructField("item_id", item_kind), *[StructField(n, LongType()) for n in ("distance", "budget", "start", "end")]])
     out = None
-    for part in item_blocks(items, item_col, item_text_col, min_chars, block):
+    for part in item_blocks(items, item_col, item_text_col, block):
         shared = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, errors)
+            matcher = Matcher(shared.value, errors, min_chars)
             for b in batches:
                 rows, cols = [], [[] for _ in range(5)]
                 for i, x in enumerate(b.column(1)):
@@ -208,11 +222,11 @@ def clean_rows(docs: DataFrame, items: DataFrame, errors: float = ERRORS, min_ch
     """The rows of ``docs``, all columns, in whose text no item is found (as by ``find_benchmark``). Nothing is shuffled."""
     spark = prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
-    for part in item_blocks(items, item_col, item_text_col, min_chars, block):
+    for part in item_blocks(items, item_col, item_text_col, block):
         shared = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, errors)
+            matcher = Matcher(shared.value, errors, min_chars)
             for b in batches:
                 yield b.filter(pa.array([not matcher.find(normalise(x.as_py() or "")) for x in b.column(at)], pa.bool_()))
 

@@ -88,3 +88,12 @@ def test_awkward_rows(spark):
     assert dc.find_benchmark(docs(spark, []), items).collect() == [] and dc.clean_rows(docs(spark, []), items).collect() == []
     none = items.where("false")
     assert dc.find_benchmark(df, none).collect() == [] and dc.clean_rows(df, none).count() == len(awkward())
+
+
+def test_short_items_are_found_unedited_between_word_bounds(spark):
+    items = spark.createDataFrame([(1, "What is 2 + 2?"), (2, "cat"), (3, "中国的首都是什么"), (4, "?!"), (5, "the cat sat on the mat and what is 2 2 all about")], "item_id long, text string")
+    rows = [(1, "So: WHAT is\n2 + 2? Four."), (2, "what is 2 22"), (3, "concat, cats"), (4, "concat a Cat"), (5, "请问中国的首都是什么呢"), (6, "the cat sat on the mat and what is 2 2 all abouts"), (7, "?!"), (8, None), (9, "what was 2 2"), (10, "cat")]
+    got = {(r["id"], r["item_id"]): (r["distance"], r["budget"], r["start"], r["end"]) for r in dc.find_benchmark(docs(spark, rows), items).collect()}
+    assert set(got) == {(1, 1), (4, 2), (5, 3), (6, 1), (6, 2), (6, 5), (10, 2)}
+    assert got[(1, 1)] == (0, 0, 4, 17) and got[(4, 2)] == (0, 0, 9, 12) and got[(5, 3)] == (0, 0, 2, 10)
+    assert {r["doc_id"] for r in dc.clean_rows(docs(spark, rows), items, block=2).collect()} == {2, 3, 7, 8, 9}
