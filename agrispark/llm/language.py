@@ -49,6 +49,12 @@ def gram_counts(data: np.ndarray, step: int = 1 << 22) -> tuple[np.ndarray, np.n
     return bins, total[1:][bins]
 
 
+def known_counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``gram_counts``; a text without a trigram of its own is read as a word between spaces."""
+    bins, counts = gram_counts(data)
+    return (bins, counts) if len(bins) else gram_counts(np.pad(data, 1, constant_values=32))
+
+
 class Mixture:
     """Languages with their trigram log-likelihoods."""
 
@@ -146,7 +152,8 @@ def identify(docs: DataFrame, learn=None, id_col: str = "doc_id", text_col: str
 
     Returns (id, lang_pred, score, langs): the language with the largest
     proportion, that proportion, and the chosen set in order. ``und`` with
-    score 0 if the text is null or has no letter, or if nothing was learned.
+    score 0 if the text is null or has no letter, or if nothing was learned;
+    a text too short for a trigram ("a", "ñ") counts as a word between spaces.
     Neither language, source nor id is read for a prediction. With
     ``keep_above`` it returns the rows themselves, all columns, without those that
     are ``und`` or whose score is lower (no language makes up that much of them).
@@ -169,7 +176,7 @@ def identify(docs: DataFrame, learn=None, id_col: str = "doc_id", text_col: str
                     raw = data[offsets[i - first]:offsets[i - first + 1]]
                     ascii_letter = ((raw | 32) >= 97) & ((raw | 32) <= 122)
                     known = bool(model.langs) and (bool(ascii_letter.any()) or has_letter(texts[i].as_py() or ""))
-                    made.append(model.infer(*gram_counts(raw)) if known else [(UNKNOWN, 0.0)])
+                    made.append(model.infer(*known_counts(raw)) if known else [(UNKNOWN, 0.0)])
             if keep_above is not None:
                 yield b.filter(pa.array([m[0][0] != UNKNOWN and m[0][1] >= keep_above for m in made], pa.bool_()))
             else:

@@ -83,3 +83,13 @@ def test_long_text_in_steps():
     data = np.frombuffer(("Wörter und words " * 300).encode(), np.uint8)
     one, two = language.gram_counts(data), language.gram_counts(data, step=101)
     assert all((a == b).all() for a, b in zip(one, two, strict=True))
+
+
+@pytest.mark.parametrize("n_langs", [2, 3, 5])
+def test_texts_too_short_for_a_trigram_are_told_whatever_the_number_of_languages(spark, n_langs):
+    rows = [(i, f"{w} und {w} " * 30, lang) for i, (lang, w) in enumerate([("x", "on"), ("y", "y"), ("z", "zu"), ("v", "va"), ("w", "we")][:n_langs])]
+    short = [(10, "y", None), (11, "on", None), (12, "  y", None), (13, "ñ", None), (14, "1", None)]
+    df = docs(spark, rows + short)
+    got = {r["id"]: (r["lang_pred"], r["score"]) for r in language.identify(df, F.lit(True)).collect()}
+    assert got[10] == got[12] == ("y", 1.0) and got[11] == ("x", 1.0) and got[13][1] == 1.0 and got[14] == ("und", 0.0)
+    assert {r["doc_id"] for r in language.identify(df, F.lit(True), keep_above=0.4).collect()} >= {10, 11, 12, 13}
