@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,10 +56,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000, what: str = "rule
 
 
 def written(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a small intermediate in the shared folder."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """An intermediate as a Parquet table in the shared folder: cuts the lineage, survives lost executors, keeps its column statistics."""
+    from ..session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, "side")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def value_bytes(df: DataFrame) -> Column:
@@ -80,10 +82,14 @@ def value_bytes(df: DataFrame) -> Column:
 
 
 def written_measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """``written(df)`` and the bytes of its values, summed while it is written (task retries can only add to the sum)."""
-    seen = Observation()
-    out = written(df.observe(seen, F.sum(value_bytes(df)).alias("size")))
-    return out, seen.get["size"] or 0
+    """``written(df)`` and the bytes of its values, summed from the written table.
+
+    No ``Observation``: one of those stays registered with the session, and a
+    fitted forest of two classes, whose training summary holds the session,
+    can't be sent to tasks after that.
+    """
+    out = written(df)
+    return out, out.agg(F.sum(value_bytes(out)).alias("size")).first()["size"] or 0
 
 
 def join_measured(fact: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left",
