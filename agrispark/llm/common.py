@@ -68,6 +68,25 @@ def text_slices(batch: pa.RecordBatch, column: int, step: int = STEP_BYTES) -> I
         first = last
 
 
+def cut_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of a slice of texts, the maximal runs of bytes that the table ``inside`` marks: (start of each in the bytes, first word of each text, words).
+
+    ``inside`` must hold all bytes over 127 or none, so that characters stay whole.
+    """
+    held = inside[data]
+    head = held.copy()
+    head[1:] &= ~held[:-1]
+    firsts = offsets[:-1][offsets[:-1] < len(data)]
+    head[firsts] = held[firsts]  # a text's first word starts with the text
+    start = np.flatnonzero(head)
+    letters = data[held]
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(held, out=before[1:])
+    ends = np.append(before[start], len(letters))
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+    return start, np.searchsorted(start, offsets), words
+
+
 def hash_order(spark: SparkSession, *cols: str):
     """(bucket, order): a fixed pseudo-random order of rows by the hash of ``cols``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import decontaminate, exact_dedup, language, licenses, line_dedup, packing, quality, sharding, simhash, warc
+from . import decontaminate, exact_dedup, language, licenses, line_dedup, packing, quality, ranked, repetition, sharding, simhash, warc, whitening
 from .common import prepare, scratch_path
 
 SEQUENCE = 2048
@@ -78,6 +78,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE).withColumnRenamed("id", "doc_id").drop("ids")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition.judge(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), wanted=4).withColumnRenamed("id", "vec_id")
+
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS x,
@@ -112,6 +125,41 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(lost AS INT)) AS BIGINT) AS n_
 FROM m GROUP BY doc_id
 """
 
+OP11_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS a FROM documents),
+d AS (SELECT r, doc_id, CAST(len(a) AS BIGINT) AS n, a FROM t WHERE len(a) > 0),
+s AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(a) AS term FROM d) GROUP BY r, term),
+p AS (SELECT * FROM w WHERE term IN (SELECT term FROM q)),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * s.nn + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, s GROUP BY term, s.nn),
+c AS (SELECT q.item_id, d.r, d.doc_id, CAST(sum(f.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * d.n * s.nn) // s.l)))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN p USING (term) JOIN d ON d.r = p.r, s GROUP BY q.item_id, d.r, d.doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rk FROM c WHERE score > 0)
+SELECT item_id, CAST(rk AS INT) AS rank, doc_id, score FROM o WHERE rk <= 50
+"""
+
+#: The longest repeat is over 50 words if some run of 51 words occurs twice.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS a FROM d),
+w AS (SELECT r, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS word, len(a) AS n FROM a),
+g AS (SELECT r, i, n, word, CASE WHEN i + 4 <= n THEN string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) END AS five,
+             CASE WHEN i + 50 <= n THEN string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING) END AS long FROM w),
+h AS (SELECT r, i, word, five IS NOT NULL AND count(*) OVER (PARTITION BY r, five) > 1 AS twice, long IS NOT NULL AND count(*) OVER (PARTITION BY r, long) > 1 AS over FROM g),
+c AS (SELECT r, word, over, max(CAST(twice AS INT)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 1 AS covered FROM h),
+s AS (SELECT r, count(*) AS n_words, sum(length(word)) AS chars, count(*) FILTER (WHERE covered) AS rep, coalesce(sum(length(word)) FILTER (WHERE covered), 0) AS rep_chars, bool_or(over) AS over FROM c GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS dups FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+f AS (SELECT d.r, doc_id, t, coalesce(n_words, 0) AS n_words, coalesce(chars, 0) AS chars, coalesce(rep, 0) AS rep, coalesce(rep_chars, 0) AS rep_chars, coalesce(over, false) AS over, coalesce(dups, 0) AS dups
+      FROM d LEFT JOIN s ON s.r = d.r LEFT JOIN l ON l.r = d.r)
+SELECT doc_id, n_words, CAST(chars AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, dups AS n_dup_lines, rep AS n_repeat_words,
+       n_words < 10 OR 100 * rep > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * rep > 20 * n_words) AND rep_chars <= 0.25 * chars AND NOT over AS kept
+FROM f
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1,
     "op2_warc_archive": op2,
@@ -123,5 +171,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8,
     "op9_language_id": op9,
     "op10_curve_packing": op10,
+    "op11_ranked_search": op11,
+    "op12_repetition_rules": op12,
+    "op13_whitening": op13,
 }
-SQL = {"op2_warc_archive": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL}
+SQL = {"op2_warc_archive": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL, "op11_ranked_search": OP11_SQL, "op12_repetition_rules": OP12_SQL}
