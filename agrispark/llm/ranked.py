@@ -145,7 +145,7 @@ def index_terms(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str, text
                     lengths.append(n[hit[a:z]])
                     ids.append(b.column(0).take(pa.array(first + hit[a:z])))
                     held += z - a
-        if found:
+        if found or held:
             yield from segment()
 
     return materialize(columns(docs, id_col, text_col).mapInArrow(run, schema), "search-index")
