@@ -1,8 +1,13 @@
 """ARIMA(p, d, q) forecasts for many series at once.
 
-Estimation is Hannan-Rissanen (two-stage least squares), re-aimed from the
-reference's single-series maximum-likelihood fit so that the heavy work is
-Spark work:
+Two ways to estimate. ``method="likelihood"`` (the default) maximises the exact
+Gaussian likelihood of the differenced series (``statespace``): a series is one
+row, an array of 8 bytes a point, and a task fits its series in batches. A
+monthly series has as many points as the calendar has months, so such rows are
+small; Spark deals the series to the tasks.
+
+``method="least_squares"`` is Hannan-Rissanen (two-stage least squares), which
+never needs a series in one place:
 
 * differencing and all lags are window functions partitioned by series;
 * least squares uses per-series **normal equations**: sums of cross products
@@ -29,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.windows import binary_above_median_eval, chrono_split, tail_mean_forecast, with_steps
+from .statespace import Fit, ahead, fit
 
 
 def _lags(df: DataFrame, key: str, order: str, col: str, n: int, prefix: str) -> DataFrame:
@@ -80,12 +86,18 @@ def _coef_batches(key: str, m: int, names: list[str]):
 
 def arima_forecast(series: DataFrame, key: str = "series_key", order_col: str = "month", value: str = "value",
                    order: tuple[int, int, int] = (1, 1, 1), steps: int | DataFrame = 12,
-                   long_ar: int | None = None) -> DataFrame:
+                   method: str = "likelihood", constant: bool | None = None, long_ar: int | None = None) -> DataFrame:
     """Per series ARIMA(p, d, q) -> (key, step, month, forecast, aic, model_ok).
 
     ``steps``: one number for all series, or a frame (key, steps) with one for
-    each. A series that can't be fitted has one row, step 0, not ok.
+    each. A series that can't be fitted has one row, step 0, not ok. ``method``:
+    "likelihood" (``constant``: with a mean of the differenced series; by default only
+    where nothing is differenced) or "least_squares" (always with one; ``long_ar``: lags of its first regression).
     """
+    if method == "likelihood":
+        return _likelihood_forecast(series, key, order_col, value, order, steps, constant)
+    if method != "least_squares":
+        raise ValueError(f"unknown method {method!r}")
     p, d, q = order
     kt = series.schema[key].dataType.simpleString()
     s = series.where(F.col(value).isNotNull()).select(key, order_col, F.col(value).cast("double").alias("y"))
@@ -153,6 +165,83 @@ def arima_forecast(series: DataFrame, key: str = "series_key", order_col: str =
                       *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("forecast", "aic")], "model_ok")
 
 
+#: Series that one batch of fits holds, and points (with what pads the shorter ones).
+FIT_SERIES, FIT_POINTS = 256, 1 << 20
+
+
+def _packed(series: DataFrame, key: str, order_col: str, value: str) -> DataFrame:
+    """(key, y, last): each series as one array in the order of time, nulls left out; dealt to all tasks, however small the rows are."""
+    s = series.where(F.col(value).isNotNull()).select(key, F.struct(F.col(order_col).alias("t"), F.col(value).cast("double").alias("v")).alias("__p"))
+    dealt = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    rows = dealt.groupBy(key).agg(F.sort_array(F.collect_list("__p")).alias("__p"))
+    return rows.select(key, F.col("__p.v").alias("y"), F.element_at("__p.t", -1).alias("last"))
+
+
+def _fit_groups(ys: list[np.ndarray]) -> Iterator[list[int]]:
+    """Rows to fit together: series of about equal length, within the bounds of a batch."""
+    group: list[int] = []
+    for i in sorted(range(len(ys)), key=lambda i: len(ys[i])):
+        if group and (len(group) >= FIT_SERIES or (len(group) + 1) * len(ys[i]) > FIT_POINTS):
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
+def _likelihood_fits(pdf: pd.DataFrame, order: tuple[int, int, int], constant: bool) -> Iterator[tuple[list[int], list[np.ndarray], Fit, np.ndarray]]:
+    """(rows, their values, fits, AIC) of a batch of packed series."""
+    p, d, q = order
+    ys = [np.asarray(y, np.float64) for y in pdf["y"]]
+    for rows in _fit_groups(ys):
+        own = [ys[i] for i in rows]
+        fitted = fit([np.diff(y, d) if len(y) > d else y[:0] for y in own], p, q, constant)
+        yield rows, own, fitted, -2 * fitted.loglik + 2 * (p + q + constant + 1)
+
+
+def arima_fit(series: DataFrame, key: str = "series_key", order_col: str = "month", value: str = "value",
+              order: tuple[int, int, int] = (1, 1, 1), constant: bool | None = None) -> DataFrame:
+    """The maximum-likelihood models: (key, n, mean, ar, ma, sigma2, loglik, aic, model_ok), a row per series with a value."""
+    kt, with_mean = series.schema[key].dataType.simpleString(), order[1] == 0 if constant is None else constant
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for rows, own, f, aic in _likelihood_fits(pdf, order, with_mean):
+                none = ~f.ok
+                yield pd.DataFrame({key: pdf[key].iloc[rows], "n": [max(0, len(y) - order[1]) for y in own], "mean": np.where(none, np.nan, f.mean), "ar": [x.tolist() for x in f.phi],
+                                    "ma": [x.tolist() for x in f.theta], "sigma2": np.where(none, np.nan, f.sigma2), "loglik": np.where(none, np.nan, f.loglik), "aic": np.where(none, np.nan, aic), "model_ok": f.ok})
+
+    out = _packed(series, key, order_col, value).mapInPandas(run, f"{key} {kt}, n long, mean double, ar array<double>, ma array<double>, sigma2 double, loglik double, aic double, model_ok boolean")
+    return out.select(key, "n", *[F.when(F.col("model_ok"), F.col(c)).alias(c) for c in ("mean", "ar", "ma", "sigma2", "loglik", "aic")], "model_ok")
+
+
+def _likelihood_forecast(series: DataFrame, key: str, order_col: str, value: str, order: tuple[int, int, int], steps: int | DataFrame, constant: bool | None) -> DataFrame:
+    d, with_mean = order[1], order[1] == 0 if constant is None else constant
+    undo = [(-1) ** (i + 1) * math.comb(d, i) for i in range(1, d + 1)]  # y_t = z_t + sum of undo_i * y_{t-i}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for rows, own, f, aic in _likelihood_fits(pdf, order, with_mean):
+                keys, last, want = (pdf[c].iloc[rows].to_numpy() for c in (key, "last", "__steps"))
+                zs = ahead(f, int(want[f.ok].max(initial=0)))
+                past = [np.array([y[-i] if len(y) >= i else np.nan for y in own]) for i in range(1, d + 1)]
+                made = np.full(zs.shape, np.nan)
+                for h in range(zs.shape[1]):
+                    made[:, h] = zs[:, h] + sum(u * y for u, y in zip(undo, past))
+                    past = [made[:, h], *past][:d]
+                ok = f.ok & np.isfinite(made).all(axis=1)
+                n = np.where(ok, want, 0)  # rows of a series; a series without a model has one, step 0
+                at = np.repeat(np.arange(len(rows)), np.maximum(n, ~ok))
+                step = np.arange(len(at)) - np.repeat(np.cumsum(np.maximum(n, ~ok)) - np.maximum(n, ~ok), np.maximum(n, ~ok)) + ok[at]
+                value_at = np.where(ok[at], made[at, np.maximum(step - 1, 0)] if zs.shape[1] else np.nan, np.nan)
+                yield pd.DataFrame({key: keys[at], "step": step.astype(np.int32), "last_month": last[at], "forecast": value_at, "aic": np.where(ok, aic, np.nan)[at], "model_ok": ok[at]})
+
+    kt, lt = series.schema[key].dataType.simpleString(), series.schema[order_col].dataType.simpleString()
+    res = with_steps(_packed(series, key, order_col, value), key, steps).mapInPandas(run, f"{key} {kt}, step int, last_month {lt}, forecast double, aic double, model_ok boolean")
+    return res.select(key, "step", F.add_months("last_month", F.col("step")).alias("month"),
+                      *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("forecast", "aic")], "model_ok")
+
+
 def forecast_with_fallback(series: DataFrame, key: str = "series_key", order_col: str = "month",
                            value: str = "value", order=(1, 1, 1), steps: int | DataFrame = 12) -> DataFrame:
     """ARIMA where it fits, else the tail mean of the last 6 points; ``model_type`` records which.

@@ -189,6 +189,11 @@ def q_w7b(spark, sf):
     return out.withColumns({"phi1": bround("phi1", 6), "c": bround("c", 4)})
 
 
+@register("W7_arima_fit")
+def q_w7f(spark, sf):
+    return AR.arima_fit(filled(spark, sf), "series_key", "month", "value", (1, 1, 1))
+
+
 @register("W8_forecast_with_fallback")
 def q_w8(spark, sf):
     # series that cannot be fitted fall back to the tail mean (see the unit tests)
@@ -212,7 +217,7 @@ SELECT series_key, CAST(step AS INTEGER) AS step, CAST(month + to_months(CAST(st
        round(forecast, 3) AS forecast FROM u
 """, views=("series_raw",))
 def q_w7c(spark, sf):
-    out = AR.arima_forecast(filled(spark, sf), "series_key", "month", "value", (1, 1, 0), 3)
+    out = AR.arima_forecast(filled(spark, sf), "series_key", "month", "value", (1, 1, 0), 3, method="least_squares")
     return out.where("model_ok").select("series_key", "step", "month", bround("forecast", 3).alias("forecast"))
 
 
