@@ -1,111 +1,62 @@
 """SMOTE-style oversampling until every class has the majority size.
 
-Distributed design (no all-pairs, no per-class single task):
-
-1. Each row is projected on a seeded random direction of the standardised
-   features. Per class, equal-count buckets of that projection come from a
-   1024-point ``percentile_approx`` grid (one small aggregate); a bucket that
-   is still larger than ``rows_per_bucket`` (a class of many billions of rows)
-   is split into equal-width sub-buckets sized from its exact count, so no
-   window partition grows with the data.
-2. Inside (class, bucket), rows are ordered by the projection; the ``k``
-   preceding and ``k`` following rows are the neighbour *candidates*; exact
-   Euclidean distances pick the ``k`` nearest of them. This is an
-   approximate kNN (the reference's exact kNN is quadratic per class); the
-   candidate set is bounded by 2k per row.
-3. A class with ``n_c`` rows needs ``m_c = n_max - n_c`` synthetic rows: every
+1. The ``k`` nearest of the same class, by distance on standardised features,
+   come from ``nearest_neighbours``: exact for classes that fit in a leaf, by
+   several projection trees for larger ones. Classes of the majority size make
+   no copies and are not searched.
+2. A class with ``n_c`` rows needs ``m_c = n_max - n_c`` synthetic rows: every
    row makes ``m_c div n_c`` copies and exactly ``m_c mod n_c`` rows (first in
    hash order, skew-safe ``first_k_by_hash``) make one more.
-4. Copy ``j`` of a row interpolates towards a hash-chosen neighbour with a
+3. Copy ``j`` of a row interpolates towards a hash-chosen neighbour with a
    hash-derived gap in [0, 1): reproducible for a seed.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import TWO32, first_k_by_hash
+from .joins import join_measured, written_measured
+from .neighbours import LEAF, nearest_neighbours
 from .ranking import sample_key
 
 
 def smote(df: DataFrame, label: str, key: str, feats: Sequence[str], k: int = 5, seed: int = 42,
-          rows_per_bucket: int = 20_000) -> DataFrame:
+          rows_per_bucket: int = LEAF, **search) -> DataFrame:
+    """``df``'s labelled rows (key, label, features) and the synthetic ones (null key), told apart by ``synthetic``.
+
+    ``rows_per_bucket`` (rows of a class that are compared with each other) and
+    ``search`` go to ``nearest_neighbours``. A row without another of its class is copied as it is.
+    """
     feats = list(feats)
-    d = df.where(F.col(label).isNotNull())
+    d = df.where(F.col(label).isNotNull()).select(key, label, *[F.col(f).cast("double").alias(f) for f in feats])
     counts = d.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
     n_max = counts.agg(F.max("n_c")).scalar()
-    need = counts.select(label, "n_c", (n_max - F.col("n_c")).alias("m_c"))
+    need, size = written_measured(counts.select(label, "n_c", (n_max - F.col("n_c")).alias("m_c")).where("m_c > 0"))
 
-    # 1. seeded projection on standardised features
+    # 1. neighbours on standardised features, so no unit of measure decides
     st = d.agg(*[F.avg(f).alias(f"m_{f}") for f in feats], *[F.stddev_pop(f).alias(f"s_{f}") for f in feats]).first()
-    rng = random.Random(seed)
-    proj, z = None, []
-    for f in feats:
-        s = st[f"s_{f}"] or 1.0
-        z.append((F.col(f).cast("double") - F.lit(st[f"m_{f}"])) / F.lit(s))
-        t = F.lit(rng.gauss(0.0, 1.0)) * z[-1]
-        proj = t if proj is None else proj + t
-    d = d.withColumns({"__proj": proj, "__z": F.array(*z)})
-    grid = 1024
-    qs = d.groupBy(label).agg(F.count(F.lit(1)).alias("__n"),
-                              F.percentile_approx("__proj", [i / grid for i in range(1, grid)], 10000).alias("__q"))
-    # equal-count buckets from the quantile grid (as many as the class size asks for, up to the grid) ...
-    d = d.join(qs, label).withColumn(
-        "__nb", F.least(F.lit(grid), F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(rows_per_bucket)))))
-    edges = F.when(F.col("__nb") > 1, F.transform(
-        F.sequence(F.lit(1), F.col("__nb") - 1),
-        lambda i: F.element_at(F.col("__q"), (i * grid / F.col("__nb")).cast("int")))).otherwise(
-        F.array().cast("array<double>"))
-    d = d.withColumns({"__edges": edges}).withColumn(
-        "__qb", F.size(F.filter("__edges", lambda e: e <= F.col("__proj"))))
-    # ... then equal-width sub-buckets inside a quantile bucket that is still too large
-    # (a class far above grid x rows_per_bucket rows); sizes come from exact counts
-    qc = d.groupBy(label, "__qb").agg(F.count(F.lit(1)).alias("__qn"), F.min("__proj").alias("__p0"),
-                                      F.max("__proj").alias("__p1"))
-    qc = qc.withColumn("__ns", F.greatest(F.lit(1), F.ceil(F.col("__qn") / F.lit(rows_per_bucket))))
-    d = d.drop("__q", "__edges").join(qc, [label, "__qb"])
-    width = (F.col("__p1") - F.col("__p0")) / F.col("__ns")
-    # rows of one projection have no width to cut: a hash of the key deals them out
-    sub = F.when(F.col("__ns") <= 1, F.lit(0).cast("long")).when(width <= 0, F.pmod(F.xxhash64(key), F.col("__ns")).cast("long")).otherwise(
-        F.least(F.col("__ns") - 1, F.floor((F.col("__proj") - F.col("__p0")) / width)).cast("long"))
-    d = d.withColumn("__bucket", F.col("__qb") * F.lit(1 << 20) + sub).drop("__qn", "__p0", "__p1", "__ns")
-
-    # 2. candidates: k before / k after in projection order within (class, bucket)
-    w = Window.partitionBy(label, "__bucket").orderBy("__proj", key)
-    vec = F.array(*[F.col(f).cast("double") for f in feats])
-    d = d.withColumn("__v", vec)
-    pair = F.struct("__z", "__v")
-    cands = [F.lag(pair, i).over(w) for i in range(1, k + 1)] + [F.lead(pair, i).over(w) for i in range(1, k + 1)]
-    d = d.withColumn("__cand", F.filter(F.array(*cands), lambda c: c.isNotNull()))
-
-    def dist(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, z: acc + z)
-
-    # neighbours by distance on standardised features, so no unit of measure decides
-    keyed = F.transform("__cand", lambda c: F.struct(dist(c["__z"], F.col("__z")).alias("d"), c["__v"].alias("v")))
-    d = d.withColumn("__nbrs", F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: s["v"]))
+    z = [(F.col(f) - F.lit(st[f"m_{f}"])) / F.lit(st[f"s_{f}"] or 1.0) for f in feats]
+    few = join_measured(d, need, [label], "inner", size=size).withColumns({"__v": F.array(*feats), "__z": F.array(*z)})
+    near = nearest_neighbours(few, label, key, "__z", k, seed, leaf=rows_per_bucket, **search)
 
-    # 3. exact copy counts per class
-    d = d.join(need, label)
+    # 2. exact copy counts per class
     extra = need.select(label, (F.col("m_c") % F.col("n_c")).alias("k"))
-    d = first_k_by_hash(d, label, key, extra, seed + 1, out="__extra")
+    few = first_k_by_hash(few, label, key, extra, seed + 1, out="__extra")
     copies = (F.floor(F.col("m_c") / F.col("n_c")) + F.col("__extra").cast("long")).cast("int")
-    syn = d.where(copies > 0).select("*", F.explode(F.sequence(F.lit(1), copies)).alias("__copy"))
+    syn = few.where(copies > 0).select(label, key, "__v", copies.alias("__copies")).join(near, [label, key], "left")
+    syn = syn.select("*", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
 
-    # 4. interpolation towards a hash-chosen neighbour
+    # 3. interpolation towards a hash-chosen neighbour
     hk = F.concat(F.col(key).cast("string"), F.lit("#"), F.col("__copy").cast("string"))
-    pick = F.pmod(sample_key(hk, seed), F.greatest(F.size("__nbrs"), F.lit(1))).cast("int") + 1
+    pick = F.pmod(sample_key(hk, seed), F.greatest(F.size("neighbours"), F.lit(1))).cast("int") + 1
     gap = sample_key(hk, seed + 7).cast("double") / F.lit(TWO32)
-    other = F.when(F.size("__nbrs") > 0, F.element_at("__nbrs", pick)).otherwise(F.col("__v"))
-    newv = F.zip_with(F.col("__v"), other, lambda a, b: a + gap * (b - a))
-    syn = syn.withColumn("__new", newv)
-    syn_rows = syn.select(F.lit(None).cast(df.schema[key].dataType).alias(key), label,
-                          *[F.col("__new")[i].alias(f) for i, f in enumerate(feats)],
-                          F.lit(True).alias("synthetic"))
-    orig = df.where(F.col(label).isNotNull()).select(key, label, *[F.col(f).cast("double").alias(f) for f in feats],
-                                                     F.lit(False).alias("synthetic"))
-    return orig.unionByName(syn_rows)
+    syn = syn.select(label, "__v", gap.alias("__gap"), F.try_element_at("neighbours", pick)["key"].alias("__other"))
+    others = few.select(label, F.col(key).alias("__other"), F.col("__v").alias("__w"))
+    syn = syn.join(others, [label, "__other"], "left")
+    new = F.zip_with("__v", F.coalesce("__w", "__v"), lambda a, b: a + F.col("__gap") * (b - a))
+    syn = syn.withColumn("__new", new).select(F.lit(None).cast(df.schema[key].dataType).alias(key), label, *[F.col("__new")[i].alias(f) for i, f in enumerate(feats)], F.lit(True).alias("synthetic"))
+    return d.select(key, label, *feats, F.lit(False).alias("synthetic")).unionByName(syn)
