@@ -284,19 +284,27 @@ def range_rule_weight(df: DataFrame, rules: DataFrame, crop: str, temp: str, rai
         "__rc", "tmin", "tmax", "rmin", "rmax")
 
 
+def _grams(text: Column, short: bool) -> Column:
+    """Different character trigrams of a text; with ``short`` also its single characters, pairs and the empty text."""
+    n = F.length(text)
+    if not short:
+        return F.when(n < 3, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))))
+    each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array(*[F.substring(text, i, F.lit(w)) for w in (1, 2, 3)]))
+    return F.array_union(F.array(F.lit("")), F.flatten(each))
+
+
 def tiered_match(queries: DataFrame, places: DataFrame, q_key: str, q_text: str,
                  name_cols: Sequence[str], ordinal: str) -> DataFrame:
     """Best place per query: exact name, else prefix, else substring.
 
-    All three tiers are **equi-joins**: the place side emits its lower-cased
-    names (tier 1), all their prefixes (tier 2) and all their substrings
-    (tier 3) as join keys, so the query side is matched by hash join instead
-    of a nested loop. Only lengths that occur among the queries are generated
-    (fan-out: L x number of distinct query lengths), and a semi join with the
-    distinct query texts drops every other key where it is made. Each key then
-    keeps its lowest (tier, ordinal), so one row per key enters the join with
-    the queries, however many places hold it or queries ask for it. Queries
-    without any match are absent (callers use a left-anti join to report them).
+    An inverted index of the names' character trigrams (and shorter grams,
+    for query texts under three characters), of which only grams that some
+    query holds are kept. Each distinct query text probes its rarest gram, so the
+    names to verify are those with that gram, and a text that holds a gram of
+    no name costs nothing. The probes go to the index by measured size
+    (``join_measured``), hot grams stay where they are; the lowest (tier,
+    ordinal) per text is a mergeable minimum. Queries without any match are
+    absent (callers use a left-anti join to report them); null texts and empty names match nothing.
     """
     names = None
     for c in name_cols:
@@ -304,28 +312,14 @@ def tiered_match(queries: DataFrame, places: DataFrame, q_key: str, q_text: str,
         names = s if names is None else names.unionByName(s)
     names = names.where(F.col("__nm").isNotNull() & (F.length("__nm") > 0))
     q = queries.select(F.col(q_key), F.lower(F.trim(F.col(q_text))).alias("__key"))
-    # only substring lengths that some query has (a bounded set: <= longest text)
-    lens = [r[0] for r in collect_bounded(q.select(F.length("__key")).distinct(), 100_000, "query lengths")
-            if r[0] is not None]
-    if not lens:
-        return q.select(q_key, F.lit(None).cast("int").alias("tier"),
-                        F.lit(None).cast(places.schema[ordinal].dataType).alias(ordinal)).limit(0)
-    n = F.length("__nm")
-    want = F.array(*[F.lit(int(x)) for x in sorted(lens)])
-    starts = F.sequence(F.lit(1), n)
-    # every (start, length) pair -> substring; tier 1 / 2 flags from position
-    subs = names.select(
-        "__ord", "__nm",
-        F.explode(F.flatten(F.transform(starts, lambda i: F.transform(
-            F.filter(want, lambda ln: ln <= n - i + 1),
-            lambda ln: F.struct(F.substring(F.col("__nm"), i, ln).alias("k"), i.alias("st"), ln.alias("ln"))))))
-        .alias("s"))
-    keyed = subs.select(
-        "__ord",
-        F.col("s.k").alias("__key"),
-        F.when((F.col("s.st") == 1) & (F.col("s.ln") == F.length("__nm")), F.lit(1))
-         .when(F.col("s.st") == 1, F.lit(2)).otherwise(F.lit(3)).alias("__tier"))
-    keyed = join_measured(keyed, q.select("__key").where(F.col("__key").isNotNull()).distinct(), ["__key"], "left_semi")
-    first = keyed.groupBy("__key").agg(F.min(F.struct("__tier", "__ord")).alias("__b"))
+    probes = written(q.select("__key").where(F.col("__key").isNotNull()).distinct().select("__key", F.explode(_grams(F.col("__key"), False)).alias("__gram")))
+    grams = names.select("__ord", "__nm", F.explode(_grams(F.col("__nm"), True)).alias("__gram"))
+    index = written(join_measured(grams, probes.select("__gram").distinct(), ["__gram"], "left_semi"))
+    counts = index.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = probes.join(counts, "__gram", "left").groupBy("__key").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__gram").alias("g"))).alias("__p"))
+    rarest = rarest.where("__p.n > 0").select("__key", F.col("__p.g").alias("__gram"))
+    tier = F.when(F.col("__nm") == F.col("__key"), 1).when(F.startswith("__nm", "__key"), 2).otherwise(3)
+    hits = join_measured(index, rarest, ["__gram"], "inner").where(F.contains("__nm", "__key"))
+    first = hits.groupBy("__key").agg(F.min(F.struct(tier.alias("__tier"), "__ord")).alias("__b"))
     best = q.join(first, "__key").groupBy(q_key).agg(F.min("__b").alias("__b"))
     return best.select(q_key, F.col("__b.__tier").alias("tier"), F.col("__b.__ord").alias(ordinal))

@@ -3,7 +3,8 @@
 Windows always partition by a series key; an un-partitioned window would pull
 the whole table into one task. Where the reference works on one series, the
 table form carries a ``series_key`` so many series run in parallel. W1 and W2
-share one window spec so one sort serves both.
+go through ``look_back``: one sort serves both, and a key with very many rows is
+cut into segments that carry over the last rows of the one before.
 """
 
 from __future__ import annotations
@@ -20,31 +21,68 @@ def _spec(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def lag_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, n: int = 1,
-           out: str | None = None) -> DataFrame:
-    """Previous value in key order of time (order must include a tiebreak).
+#: Rows of one key from which its window is cut into segments.
+SEGMENT_ROWS = 2_000_000
+
+
+def look_back(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int, made: dict,
+              segment_rows: int = SEGMENT_ROWS, counted: DataFrame | None = None) -> DataFrame:
+    """Add window columns that look at a row and at most ``back`` rows before it, in ``order`` within ``keys``.
 
-    Rows with a null key keep their row and get a null lag (trap T1).
+    ``made``: name -> function of the window spec. Rows with a null key keep
+    their row and get null (trap T1). A window on the keys is one sorted task
+    per key, so the rows of each key are counted first: if a key has more than ``segment_rows``, the
+    table is range-split by (keys, order) into segments of about half as many rows, written,
+    and each segment's window starts with the last ``back`` rows of the key before it.
+    Equal order values must not be told apart by the result (give a tiebreak).
+    ``counted``: a table with the same rows per key that is cheaper to count.
     """
     require_bounded(df)
-    w = _spec(keys, order)
+    keys, order = list(keys), list(order)
     nk = F.lit(False)
     for k in keys:
         nk = nk | F.col(k).isNull()
-    return df.withColumn(out or f"{col}_lag{n}",
-                         F.when(nk, F.lit(None)).otherwise(F.lag(col, n).over(w)))
+
+    def add(d: DataFrame, spec) -> DataFrame:
+        return d.withColumns({name: F.when(nk, F.lit(None)).otherwise(fn(spec)) for name, fn in made.items()})
+
+    size = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("rows")).first()
+    if (size["top"] or 0) <= segment_rows:
+        return add(df, _spec(keys, order))
+    rows = segments(df, keys, order, -(-size["rows"] * 2 // segment_rows))
+    tail = F.row_number().over(Window.partitionBy(*keys, "__seg").orderBy(*[F.col(c).desc() for c in order]))
+    tails = rows.withColumn("__at", tail).where(F.col("__at") <= back)  # a few rows for each segment of a key
+    held = F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])).over(Window.partitionBy(*keys).orderBy("__seg", *order).rowsBetween(-back, -1))
+    first = F.max("__at").over(Window.partitionBy(*keys, "__seg")) == F.col("__at")
+    carried = tails.select("__seg", held.alias("__held"), first.alias("__first")).where("__first").select("__seg", F.inline("__held"))
+    both = rows.withColumn("__own", F.lit(True)).unionByName(carried.withColumn("__own", F.lit(False)))
+    return add(both, _spec([*keys, "__seg"], order)).where("__own").drop("__seg", "__own")
+
+
+def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int) -> DataFrame:
+    """``df`` with ``__seg``: the range of (keys, order) that a row is in, in about ``parts`` ranges; written, so the ranges stay."""
+    from .joins import written
+    return written(df.repartitionByRange(max(1, int(parts)), *keys, *order).withColumn("__seg", F.spark_partition_id()))
+
+
+def lag_column(col: str, n: int = 1):
+    return lambda w: F.lag(col, n).over(w)
+
+
+def rolling_mean_column(col: str, n: int = 3):
+    return lambda w: F.avg(col).over(w.rowsBetween(-(n - 1), 0))
+
+
+def lag_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, n: int = 1,
+           out: str | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Previous value in key order of time (order must include a tiebreak); hot keys in segments (``look_back``)."""
+    return look_back(df, keys, order, n, {out or f"{col}_lag{n}": lag_column(col, n)}, segment_rows)
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, n: int = 3,
-                 out: str | None = None) -> DataFrame:
-    """Mean over the current and n-1 previous rows, min_periods 1."""
-    require_bounded(df)
-    w = _spec(keys, order).rowsBetween(-(n - 1), 0)
-    nk = F.lit(False)
-    for k in keys:
-        nk = nk | F.col(k).isNull()
-    return df.withColumn(out or f"{col}_trend{n}",
-                         F.when(nk, F.lit(None)).otherwise(F.avg(col).over(w)))
+                 out: str | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Mean over the current and n-1 previous rows, min_periods 1; hot keys in segments (``look_back``)."""
+    return look_back(df, keys, order, n - 1, {out or f"{col}_trend{n}": rolling_mean_column(col, n)}, segment_rows)
 
 
 def month_bucket(df: DataFrame, key: str, time: str, value: str, agg: str = "avg") -> DataFrame:

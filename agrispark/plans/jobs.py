@@ -22,7 +22,7 @@ from ..operators.aggregates import exact_quantile, geo_centroid, group_mean, gro
 from ..operators.filters import drop_null_rows
 from ..operators.joins import join_centroid, join_priors, join_yearly, lookup_cached, with_geo_key
 from ..operators.schema import normalise_headers, rename_present, require_columns
-from ..operators.windows import calendar_parts, lag_by, rolling_mean
+from ..operators.windows import SEGMENT_ROWS, calendar_parts, lag_column, look_back, rolling_mean_column
 
 # fixed values: source header spellings -> canonical names
 CLIMATE_RENAMES = {
@@ -104,7 +104,7 @@ def normalise_weather(raw: DataFrame) -> DataFrame:
 
 
 def build_timeline(climate: DataFrame, weather_raw: DataFrame, cache: DataFrame | None = None,
-                   tiebreak: tuple = ()) -> DataFrame:
+                   tiebreak: tuple = (), segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """ML17: climate timeline + yearly weather, lag, rolling mean, centroids, cache, deltas.
 
     ``climate`` columns: country, year, crop_type, temperature_c,
@@ -122,8 +122,7 @@ def build_timeline(climate: DataFrame, weather_raw: DataFrame, cache: DataFrame
     t = join_yearly(c, yearly, ["country", "year"])
     t = calendar_parts(t, "timestamp").drop("year_of")
     order = ["timestamp", *tiebreak]
-    t = lag_by(t, ["country", "crop_type"], order, "crop_yield", 1, "crop_yield_lag1")
-    t = rolling_mean(t, ["country", "crop_type"], order, "crop_yield", 3, "crop_yield_trend3")
+    t = look_back(t, ["country", "crop_type"], order, 2, {"crop_yield_lag1": lag_column("crop_yield"), "crop_yield_trend3": rolling_mean_column("crop_yield", 3)}, segment_rows, counted=c)
     cents = geo_centroid(weather, "country", "latitude", "longitude")
     t = join_centroid(t, cents, "country")
     if cache is not None:
