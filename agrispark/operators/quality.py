@@ -100,15 +100,56 @@ def reject_counts(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFra
     return wide.select(F.inline(F.array(*rows))).withColumn("rejected", F.col("rows_in") - F.col("rows_out"))
 
 
+#: What a text must look like to count as a number or a date.
+NUMBER_LIKE = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+DATE_LIKE = r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?\s*$"
+
+
+def type_census(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, n_number, n_date, n_word, n_blank) of text columns: what their non-null values look like, in one pass."""
+    aggs, rows = [], []
+    for i, c in enumerate(cols):
+        v = F.col(f"`{c}`").cast("string")
+        number, date, blank = v.rlike(NUMBER_LIKE), v.rlike(DATE_LIKE), F.trim(v) == ""
+        aggs += [F.count_if(number).alias(f"n{i}"), F.count_if(date).alias(f"d{i}"), F.count_if(blank).alias(f"b{i}"), F.count(v).alias(f"all{i}")]
+        rest = F.col(f"all{i}") - F.col(f"n{i}") - F.col(f"d{i}") - F.col(f"b{i}")
+        rows.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_number"), F.col(f"d{i}").alias("n_date"), rest.alias("n_word"), F.col(f"b{i}").alias("n_blank")))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def associations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, n, association) of each pair of categorical columns: Cramer's V from their contingency table.
+
+    The tables of all pairs are one aggregation (rows where both have a value);
+    totals and the statistic come from the tables, a row per occurring combination. A pair of which
+    one side has a single category has no association (0).
+    """
+    from .joins import written
+    pairs = [F.struct(F.lit(f"{a}|{b}").alias("column"), F.col(f"`{a}`").cast("string").alias("a"), F.col(f"`{b}`").cast("string").alias("b"))
+             for i, a in enumerate(cols) for b in cols[i + 1:]]
+    cells = written(df.select(F.inline(F.array(*pairs))).where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("column", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    by_a = cells.groupBy("column", "a").agg(F.sum("n").alias("na"))
+    by_b = cells.groupBy("column", "b").agg(F.sum("n").alias("nb"))
+    sides = by_a.groupBy("column").agg(F.sum("na").alias("total"), F.count(F.lit(1)).alias("ka")).join(by_b.groupBy("column").agg(F.count(F.lit(1)).alias("kb")), "column")
+    share = F.col("n") * F.col("n") / (F.col("na").cast("double") * F.col("nb"))
+    phi = cells.join(by_a, ["column", "a"]).join(by_b, ["column", "b"]).groupBy("column").agg((F.sum(share) - 1).alias("phi2"))
+    least = F.least("ka", "kb") - 1
+    v = F.when(least > 0, F.sqrt(F.greatest(F.col("phi2"), F.lit(0.0)) / least)).otherwise(0.0)
+    return sides.join(phi, "column").select("column", F.col("total").alias("n"), v.alias("association"))
+
+
 def integrity_report(df: DataFrame, text_cols: Sequence[str], label: str | None = None,
                      numeric_cols: Sequence[str] = (), dup_cols: Sequence[str] | None = None,
-                     special_max: float = 0.1, outlier_max: float = 0.05, corr_max: float = 0.95) -> DataFrame:
+                     special_max: float = 0.1, outlier_max: float = 0.05, corr_max: float = 0.95,
+                     categorical_cols: Sequence[str] = (), mixed_max: float = 0.01) -> DataFrame:
     """Q2: integrity checks as one table ``(check, column, metric, passed)``; warns, never fails.
 
     Checks: single-value columns, mixed null spellings ('null', 'nan', ''),
-    special-character-only share, string variants after trim/lower,
+    mixed types (share of values that don't look like the column's commonest kind:
+    number, date or word), special-character-only share, string variants after trim/lower,
     duplicate rows, string-length outliers (IQR rule), conflicting labels for
-    identical rows, and feature-feature / feature-label correlations. Each
+    identical rows, feature-feature / feature-label correlations, and the
+    association (Cramer's V) of each pair of ``categorical_cols``. Each
     family is one aggregation (partial + final), unioned at the end. Texts
     are compared through 128-bit fingerprints, so documents are never
     shuffled whole.
@@ -175,16 +216,14 @@ def integrity_report(df: DataFrame, text_cols: Sequence[str], label: str | None
     share = F.coalesce(F.col("__s"), F.lit(0.0))
     parts.append(flagged.select(F.lit("length_outliers").alias("check"), F.col("__col").alias("column"),
                                 share.alias("metric"), (share < outlier_max).alias("passed")))
+    census = type_census(df, text_cols)
+    kinds = [F.col(c) for c in ("n_number", "n_date", "n_word")]
+    odd = F.coalesce(F.try_divide((sum(kinds[1:], kinds[0]) - F.greatest(*kinds)).cast("double"), sum(kinds[1:], kinds[0]).cast("double")), F.lit(0.0))
+    parts.append(census.select(F.lit("mixed_types").alias("check"), "column", odd.alias("metric"), (odd < mixed_max).alias("passed")))
+    if len(categorical_cols) > 1:
+        tied = associations(df, list(categorical_cols))
+        parts.append(tied.select(F.lit("association").alias("check"), "column", F.col("association").alias("metric"), (F.col("association") < corr_max).alias("passed")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def numeric_like_share(df: DataFrame, col: str) -> DataFrame:
-    """Mixed-type helper: share of values in a string column that parse as numbers."""
-    c = F.col(col)
-    if not isinstance(df.schema[col].dataType, T.StringType):
-        return df.agg(F.lit(1.0).alias("numeric_share"))
-    return df.agg(F.avg(F.when(c.isNotNull(), F.trim(c).try_cast("double").isNotNull().cast("double")))
-                  .alias("numeric_share"))

@@ -37,12 +37,12 @@ def profile_columns(df: DataFrame, patterns: Mapping[str, Sequence[str]] = ROLE_
                     approx_distinct: bool = False) -> DataFrame:
     """One row per column: roles, row count, null share, distinct, min, max.
 
-    All statistics come from **one** aggregation pass (partial aggregation on
-    every partition, one small final merge), then are unpivoted with
-    ``stack``. Exact ``count(distinct)`` keeps a per-column hash set in the
-    partial aggregate and Spark expands rows once per distinct column;
-    ``approx_distinct=True`` uses ``approx_count_distinct`` (HyperLogLog++,
-    no expansion) for very wide or very large tables.
+    Counts, nulls and extremes come from one aggregation. Exact distinct counts
+    come from a second one for all columns together: each row gives its
+    columns' (column, 128-bit hash) pairs, equal pairs fold in the task that makes them, and what is
+    shuffled is 16 bytes per different value (no ``Expand`` per column).
+    ``approx_distinct=True`` counts with HyperLogLog++ in the first pass instead.
+    Arrays, maps and structs have neither distinct count nor extremes.
     """
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("__n")]
@@ -58,7 +58,7 @@ def profile_columns(df: DataFrame, patterns: Mapping[str, Sequence[str]] = ROLE_
                      F.lit(None).cast("string").alias(f"__min{i}"),
                      F.lit(None).cast("string").alias(f"__max{i}")]
         else:
-            dist = F.approx_count_distinct(col) if approx_distinct else F.count_distinct(col)
+            dist = F.approx_count_distinct(col) if approx_distinct else F.lit(None).cast("long")
             aggs += [dist.alias(f"__dist{i}"),
                      F.min(col).cast("string").alias(f"__min{i}"),
                      F.max(col).cast("string").alias(f"__max{i}")]
@@ -77,10 +77,25 @@ def profile_columns(df: DataFrame, patterns: Mapping[str, Sequence[str]] = ROLE_
             F.col(f"__min{i}").alias("min_value"),
             F.col(f"__max{i}").alias("max_value")))
     out = wide.select(F.inline(F.array(*pieces)))
+    plain = [i for i, c in enumerate(cols) if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
+    if plain and not approx_distinct:
+        found = distinct_counts(df, [cols[i] for i in plain]).select(F.element_at(F.array(*[F.lit(i) for i in plain]), F.col("position") + 1).alias("position"), F.col("n_distinct").alias("__d"))
+        exact = F.when(F.col("position").isin(plain), F.coalesce("__d", F.lit(0))).cast("long")
+        out = out.join(found, "position", "left").withColumn("n_distinct", exact).drop("__d")
     return out.withColumn("null_share", F.try_divide(F.col("n_null").cast("double"),
                                                       F.col("n_rows").cast("double")))
 
 
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(position, n_distinct) of each column that has a value: different non-null values, told apart by two 64-bit hashes."""
+    pairs = []
+    for i, c in enumerate(cols):
+        col = F.col(f"`{c}`")
+        pairs.append(F.struct(F.lit(i).alias("position"), F.when(col.isNotNull(), F.struct(F.xxhash64(col).alias("a"), F.xxhash64(F.lit("#"), col).alias("b"))).alias("h")))
+    values = df.select(F.inline(F.array(*pairs))).where(F.col("h").isNotNull())
+    return values.groupBy("position", "h").agg(F.lit(1)).groupBy("position").agg(F.count(F.lit(1)).alias("n_distinct"))
+
+
 # --------------------------------------------------------------------------
 # Metadata-only helpers (no Spark job)
 # --------------------------------------------------------------------------

@@ -333,6 +333,7 @@ def doc_frame(spark, sf):
 
 Q2_TEXT = ["text", "lang", "source"]
 Q2_NUM = ["n_chars", "toxic"]
+Q2_CATEGORIES = ["lang", "source", "quality"]
 
 
 def _q2_sql():
@@ -371,13 +372,28 @@ SELECT 'length_outliers', '{c}', round(coalesce(avg(CASE WHEN {c} IS NOT NULL TH
          CASE WHEN length({c}) < q1 - 1.5 * (q3 - q1) OR length({c}) > q3 + 1.5 * (q3 - q1) THEN 1.0 ELSE 0.0 END END), 0.0) < 0.05
 FROM d CROSS JOIN (SELECT quantile_cont(CAST(length({c}) AS DOUBLE), 0.25) AS q1,
                           quantile_cont(CAST(length({c}) AS DOUBLE), 0.75) AS q3 FROM d)""")
+    for c in Q2_TEXT:
+        parts.append(f"""
+SELECT 'mixed_types', '{c}', round(coalesce(odd, 0.0), 6), coalesce(odd, 0.0) < 0.01
+FROM (SELECT (nn + nd + nw - greatest(nn, nd, nw)) / nullif(CAST(nn + nd + nw AS DOUBLE), 0) AS odd
+      FROM (SELECT nn, nd, n - nn - nd - nb AS nw
+            FROM (SELECT count({c}) AS n, count(*) FILTER (WHERE regexp_matches({c}, '{Q.NUMBER_LIKE}')) AS nn,
+                         count(*) FILTER (WHERE regexp_matches({c}, '{Q.DATE_LIKE}')) AS nd, count(*) FILTER (WHERE trim({c}) = '') AS nb FROM d)))""")
+    for i, a in enumerate(Q2_CATEGORIES):
+        for b in Q2_CATEGORIES[i + 1:]:
+            parts.append(f"""
+SELECT 'association', '{a}|{b}', round(v, 6), v < 0.95
+FROM (SELECT CASE WHEN least(max(ka), max(kb)) > 1 THEN sqrt(greatest(sum(n * n / (CAST(na AS DOUBLE) * nb)) - 1, 0.0) / (least(max(ka), max(kb)) - 1)) ELSE 0.0 END AS v
+      FROM (SELECT n, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb,
+                   (SELECT count(DISTINCT {a}) FROM d WHERE {b} IS NOT NULL) AS ka, (SELECT count(DISTINCT {b}) FROM d WHERE {a} IS NOT NULL) AS kb
+            FROM (SELECT {a} AS a, {b} AS b, count(*) AS n FROM d WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL)))""")
     return ("WITH d AS (SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM documents "
             "LEFT JOIN labels USING (doc_id))\n" + "\nUNION ALL".join(parts))
 
 
 @register("Q2_integrity_report", _q2_sql())
 def q_q2(spark, sf):
-    rep = Q.integrity_report(doc_frame(spark, sf), Q2_TEXT, label="quality", numeric_cols=Q2_NUM, dup_cols=["text"])
+    rep = Q.integrity_report(doc_frame(spark, sf), Q2_TEXT, label="quality", numeric_cols=Q2_NUM, dup_cols=["text"], categorical_cols=Q2_CATEGORIES)
     return rep.withColumn("metric", bround("metric", 6))
 
 

@@ -65,3 +65,58 @@ def test_tiered_match_verifies_only_names_with_the_rarest_gram(spark):
     places = spark.createDataFrame(names, "ord int, name string")
     got = J.tiered_match(spark.createDataFrame([(1, "common qxz"), (2, "common"), (3, "mon tow"), (4, "common qqq")], "q int, text string"), places, "q", "text", ["name"], "ord")
     assert sorted(map(tuple, got.collect())) == [(1, 2, 300), (2, 2, 0), (3, 3, 0)]
+
+
+def test_codes_of_many_labels_are_numbered_range_by_range(spark, capsys):
+    from agrispark.operators import features as M
+    rows = [(f"L{(i * 7919) % 5000:05d}é" if i % 17 else None,) for i in range(8000)]
+    df = spark.createDataFrame(rows, "lab string").repartition(5)
+    order = {v: i for i, v in enumerate(sorted({r[0] for r in rows} - {None}))}
+    for small in (0, 10, 10_000):
+        codes = M.sorted_codes(df, "lab", small)
+        assert {r["lab"]: r["code"] for r in codes.collect()} == order
+        codes.explain()
+        assert "SinglePartition" not in capsys.readouterr().out
+    got = M.label_encode(df, "lab").collect()
+    assert len(got) == len(rows) and all(r["lab_encoded"] == (None if r["lab"] is None else order[r["lab"]]) for r in got)
+
+
+def test_one_hot_of_a_million_categories_is_a_sparse_vector(spark):
+    from agrispark.operators import features as M
+    n = 1_000_000
+    df = spark.range(n + 40).select(F.concat(F.lit("v"), F.lpad((F.col("id") % (n + 20)).cast("string"), 7, "0")).alias("c"), (F.col("id") % 3).cast("string").alias("d"),
+                                    F.when(F.col("id") < n, "train").otherwise("test").alias("dataset_split"), F.col("id"))
+    out = M.one_hot(df, ["c", "d"])
+    assert [c for c in out.columns if c.startswith("cat__")] == ["cat__d_0", "cat__d_1", "cat__d_2", "cat__c"]
+    rows = {r["id"]: r["cat__c"] for r in out.where(F.col("id").isin(0, 777_777, n - 1, n, n + 25)).select("id", "cat__c").collect()}
+    assert {i: (v.size, v.indices.tolist(), v.values.tolist()) for i, v in rows.items()} == {
+        0: (n, [0], [1.0]), 777_777: (n, [777_777], [1.0]), n - 1: (n, [n - 1], [1.0]), n: (n, [], []), n + 25: (n, [5], [1.0])}
+
+
+def test_sparse_and_wide_forms_agree(spark):
+    from agrispark.operators import features as M
+    df = spark.createDataFrame([("b", "train"), ("a", "train"), (None, "train"), ("z", "test"), ("a", "test"), ("c", "train")], "c string, dataset_split string")
+    wide = {(r["c"], r["dataset_split"]): [r["cat__c_a"], r["cat__c_b"], r["cat__c_c"]] for r in M.one_hot(df, ["c"]).collect()}
+    thin = {(r["c"], r["dataset_split"]): r["cat__c"].toArray().tolist() for r in M.one_hot(df, ["c"], max_categories=2).collect()}
+    assert wide == thin and thin["z", "test"] == [0, 0, 0] == thin[None, "train"]
+
+
+def test_profile_counts_distinct_values_without_expanding(spark, capsys):
+    from agrispark.operators import schema as S
+    df = spark.createDataFrame([(1, "a", 0.0, [1]), (1, "b", -0.0, [2]), (None, None, float("nan"), None), (2, "a", float("nan"), [1])], "i int, s string, d double, arr array<int>")
+    out = S.profile_columns(df)
+    assert {r["column"]: (r["n_rows"], r["n_null"], r["n_distinct"]) for r in out.collect()} == {"i": (4, 1, 2), "s": (4, 1, 2), "d": (4, 2, 2), "arr": (4, 1, None)}
+    out.explain()
+    assert "Expand" not in capsys.readouterr().out
+    assert {r["n_distinct"] for r in S.profile_columns(df.limit(0)).collect()} == {0, None}
+
+
+def test_type_census_and_associations(spark):
+    from agrispark.operators import quality as Q
+    df = spark.createDataFrame([("1", "x", "p"), ("2.5e3", "x", "p"), (" -7 ", "y", "q"), ("2020-01-31", "y", "q"), ("word", "x", "p"), ("", "y", None), (None, None, "q")], "a string, b string, c string")
+    assert tuple(Q.type_census(df, ["a"]).first()) == ("a", 3, 1, 1, 1)
+    got = {r["column"]: (r["n"], round(r["association"], 9)) for r in Q.associations(df, ["b", "c"]).collect()}
+    assert got == {"b|c": (5, 1.0)}
+    assert Q.associations(df.withColumn("k", F.lit("same")), ["b", "k"]).first()["association"] == 0.0
+    rep = {(r["check"], r["column"]): (round(r["metric"], 6), r["passed"]) for r in Q.integrity_report(df, ["a", "b"], categorical_cols=["b", "c"]).collect()}
+    assert rep["mixed_types", "a"] == (0.4, False) and rep["mixed_types", "b"] == (0.0, True) and rep["association", "b|c"] == (1.0, False)
