@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import OneHotEncoder, PCA, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -43,6 +43,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def together(spark, calls: Sequence, at_once: int = 4) -> list:
+    """Results of independent jobs, ``at_once`` of them running at a time, each in a scheduler pool of its own.
+
+    Small jobs of several fits fill each other's idle cores; with
+    ``spark.scheduler.mode=FAIR`` the pools share the cluster evenly. The first error is raised.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    from pyspark import inheritable_thread_target
+
+    def run(i, call):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i % at_once}")
+        try:
+            return call()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(run), i, call) for i, call in enumerate(calls)]]
+
+
 def _metrics_row(df: DataFrame) -> dict:
     return collect_bounded(df, 1, "metrics")[0].asDict()
 
@@ -211,7 +231,7 @@ def train_yield_band_classifier(df: DataFrame, target: str, key: str, numeric: S
     oversampling are fit on a fold's training part alone (``CrossValidator``
     would oversample before splitting). SMOTE works on the encoded features;
     rows are weighted by class after it. ``draws`` different points of the
-    grid are tried (all, if there are fewer); the first best one wins. Metrics:
+    grid are tried (all, if there are fewer), several at a time; the first best one wins. Metrics:
     accuracy, weighted and macro F1 on train and test, and the search's best.
     """
     import itertools
@@ -241,13 +261,15 @@ def train_yield_band_classifier(df: DataFrame, target: str, key: str, numeric: S
                                 VectorAssembler(inputCols=feats, outputCol="features"), rf])
         return pipe.fit(part)
 
+    def score(part, rows, feats, prm):
+        return _classify_eval(fit(part, feats, prm), rows.where(F.col("dataset_split") == "test"), "band", classes)["f1_weighted"]
+
     f1s = [[] for _ in params]
     train = d.where(F.col("dataset_split") == "train")
     for f in range(folds):
         part, rows, feats = prepared(train.withColumn("dataset_split", F.when(F.col("__fold") == f, "test").otherwise("train")))
-        for i, prm in enumerate(params):
-            m = _classify_eval(fit(part, feats, prm), rows.where(F.col("dataset_split") == "test"), "band", classes)
-            f1s[i].append(m["f1_weighted"])
+        for i, f1 in enumerate(together(df.sparkSession, [lambda prm=prm: score(part, rows, feats, prm) for prm in params])):
+            f1s[i].append(f1)
     scores = [sum(x) / len(x) for x in f1s]
     best_i = max(range(len(params)), key=lambda i: (scores[i], -i))
     part, rows, feats = prepared(d)
@@ -317,16 +339,46 @@ def cluster_alignment(df: DataFrame, cluster: str, target: str, qs=(0.33, 0.66))
     return m.select("accuracy", F.col("f1_weighted").alias("f1"), r.scalar().alias("rmse"))
 
 
+def covariances(df: DataFrame, feats: Sequence[str]) -> DataFrame:
+    """(a, b, covariance): population covariance of each pair of features (a <= b by place), from one aggregation."""
+    pairs = [(i, j) for i in range(len(feats)) for j in range(i, len(feats))]
+    aggs = [F.covar_pop(F.col(feats[i]), F.col(feats[j])).alias(f"c{i}_{j}") for i, j in pairs]
+    rows = [F.struct(F.lit(feats[i]).alias("a"), F.lit(feats[j]).alias("b"), F.col(f"c{i}_{j}").alias("covariance")) for i, j in pairs]
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def principal_components(df: DataFrame, feats: Sequence[str], k: int = 2) -> list[tuple[float, list[float]]]:
+    """(variance, loadings) of the ``k`` first components of the features, by falling variance.
+
+    Only the covariances, a number per pair of features, reach the driver. The
+    sign is fixed: the loading of the largest size (of equal ones the first) is positive.
+    """
+    import numpy as np
+    m, at = np.zeros((len(feats), len(feats))), {f: i for i, f in enumerate(feats)}
+    for r in collect_bounded(covariances(df, feats), len(feats) ** 2, "covariances"):
+        m[at[r["a"]], at[r["b"]]] = m[at[r["b"]], at[r["a"]]] = r["covariance"]
+    value, vector = np.linalg.eigh(m)
+    out = []
+    for i in range(len(feats) - 1, max(-1, len(feats) - 1 - k), -1):
+        v = vector[:, i]
+        size = np.abs(v)
+        lead = int(np.flatnonzero(size >= size.max() - 1e-9)[0])
+        out.append((float(value[i]), (v if v[lead] > 0 else -v).tolist()))
+    return out
+
+
 def pca_project(df: DataFrame, feats: Sequence[str], key: str, k: int = 2) -> DataFrame:
-    """ML8: 2-D projection of imputed + standardised features (centred first: MLlib's PCA
-    does not subtract the mean). The sign of each component is arbitrary."""
+    """ML8: projection of imputed + standardised features on their first components, whose sign is fixed
+    (``principal_components``). The features are centred, so the projections are too."""
     d = _prepared(df, feats)
     z = [f"z_{f}" for f in feats]
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=z, outputCol="features"),
-                            PCA(k=k, inputCol="features", outputCol="pc")])
-    out = pipe.fit(d).transform(d)
-    arr = vector_to_array("pc")
-    return out.select(key, *[arr[i].alias(f"pc{i + 1}") for i in range(k)])
+    parts = principal_components(d, z, k)
+
+    def on(loadings):
+        terms = [F.col(c) * F.lit(v) for c, v in zip(z, loadings)]
+        return sum(terms[1:], terms[0])
+
+    return d.select(key, *[on(w).alias(f"pc{i + 1}") for i, (_, w) in enumerate(parts)])
 
 
 # --------------------------------------------------------------------------
@@ -359,9 +411,11 @@ def metrics_rows(artifact: str, metrics: dict, generated_at) -> list[tuple]:
 
 
 def training_run(spark, soil: DataFrame, label: str, key: str, feats: Sequence[str], history_base: str,
-                 version: int, num_trees: int = 20, max_depth: int = 8, seed: int = 42,
+                 version: int = 1, num_trees: int = 20, max_depth: int = 8, seed: int = 42,
                  yield_bundle: str | None = None) -> DataFrame:
-    """ML18: run ML1, ML6 and ML3 in order, append one metrics snapshot.
+    """ML18: run ML1, ML6 and ML3 in order, append one metrics snapshot (S11) to the log at ``history_base``.
+
+    ``version`` is not needed by the log any more; every run adds its own snapshot.
 
     The snapshot has the recommender's metrics, clustering inertia and
     alignment with rainfall (ML7: accuracy, F1, RMSE), the classifier's metrics,
@@ -369,7 +423,7 @@ def training_run(spark, soil: DataFrame, label: str, key: str, feats: Sequence[s
     that can't be trained, or a yield model that isn't there, has ``available`` 0.
     """
     import datetime as dt
-    from ..sources.history import HISTORY_SCHEMA, load_model_bundle, metrics_append, read_history, write_history_version
+    from ..sources.history import HISTORY_SCHEMA, append_snapshot, load_model_bundle, read_log
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
     rec = train_crop_recommender(soil, label, key, feats, num_trees, 2, max_depth, seed)
     km = kmeans_fit(soil, feats, 3, seed)
@@ -386,10 +440,8 @@ def training_run(spark, soil: DataFrame, label: str, key: str, feats: Sequence[s
     saved = load_model_bundle(spark, yield_bundle) if yield_bundle else None
     rows += metrics_rows("yield", saved.metrics, now) if saved and saved.available else [(now, "yield", "available", 0.0)]
     snap = spark.createDataFrame(rows, HISTORY_SCHEMA)
-    hist = read_history(spark, f"{history_base}/v{version - 1:06d}") if version > 1 else None
-    kept = metrics_append(hist, snap)
-    path = write_history_version(kept, history_base, version)
-    return spark.read.parquet(path)
+    append_snapshot(history_base, snap)
+    return read_log(spark, history_base)
 
 
 def metrics_snapshot(spark, bundles: dict[str, str]) -> DataFrame:

@@ -167,11 +167,11 @@ SELECT s.generated_at, artifact, metric, value FROM s JOIN t ON s.generated_at =
 def q_s11(spark, sf):
     s = snapshots(spark, sf).select("generated_at", "artifact", "metric", "value")
     newest = s.agg(F.max("generated_at")).scalar()
-    history = s.where(F.col("generated_at") < newest)
-    snap = s.where(F.col("generated_at") == newest)
-    kept = H.metrics_append(history, snap, keep=50)
-    path = H.write_history_version(kept, S.scratch_path(spark, "metrics-history"), 1)
-    return spark.read.parquet(path)
+    base = S.scratch_path(spark, "metrics-history")
+    H.append_snapshot(base, s.where(F.col("generated_at") < newest))
+    H.append_snapshot(base, s.where(F.col("generated_at") == newest))
+    H.drop_snapshots(spark, base, keep=50)
+    return H.read_log(spark, base)
 
 
 @register("S13_schema_report", """

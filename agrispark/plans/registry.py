@@ -37,6 +37,7 @@ DEMO_MODULES = [
     "agrispark.plans.demo_features",
     "agrispark.plans.demo_decide",
     "agrispark.plans.demo_models",
+    "agrispark.plans.demo_fits",
     "agrispark.plans.demo_jobs",
 ]
 

@@ -1,8 +1,11 @@
 """Metrics history (S11) and model bundles.
 
-History is a long table ``(generated_at, artifact, metric, value)`` written
-as a new version on every append; old snapshots go only when the caller says
-how many to ``keep``. A
+History is a long table ``(generated_at, artifact, metric, value)`` kept as an
+append-only log: an append writes its own rows and one manifest entry, both
+under names of their own, so it costs what the snapshot costs and two writers
+never touch the same file. Old snapshots go only when the caller says how
+many to ``keep``: a cut is one more entry, and readers open only the files that
+the manifest says hold a newer time. A
 bundle is an MLlib ``PipelineModel`` directory plus parquet side tables
 (feature list, rule tables, metrics); a missing or broken bundle reads as
 "unavailable" with the error text instead of failing the caller.
@@ -12,6 +15,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +45,76 @@ def read_history(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(HISTORY_SCHEMA).parquet(path)
 
 
+#: One manifest entry: an appended file with the snapshot times in it, or (no file) a time before which all snapshots are dropped.
+MANIFEST_SCHEMA = "file string, n_rows long, times array<timestamp_ntz>, dropped_before timestamp_ntz"
+
+
+def append_snapshot(base: str, snapshot: DataFrame) -> str:
+    """Add a snapshot's rows to the log at ``base``; returns the new file's name.
+
+    The rows are written first, then the entry that makes them part of the
+    log: a reader sees all of an append or nothing, and a writer that dies in
+    between leaves only a file that no entry names. An empty snapshot adds nothing.
+    """
+    name = uuid.uuid4().hex
+    path = posixpath.join(base, "data", name)
+    rows = snapshot.select("generated_at", "artifact", "metric", "value")
+    rows.write.parquet(path)
+    back = snapshot.sparkSession.read.schema(HISTORY_SCHEMA).parquet(path)
+    seen = back.groupBy("generated_at").agg(F.count(F.lit(1)).alias("n"))
+    entry = seen.agg(F.lit(name).alias("file"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.array_sort(F.collect_set("generated_at")).alias("times"),
+                     F.lit(None).cast("timestamp_ntz").alias("dropped_before")).where("n_rows > 0")
+    _enter(base, entry)
+    return name
+
+
+def _enter(base: str, entry: DataFrame) -> None:
+    entry.coalesce(1).write.parquet(posixpath.join(base, "manifest", uuid.uuid4().hex))
+
+
+def manifest(spark: SparkSession, base: str) -> DataFrame | None:
+    """Every entry of the log, ``None`` if there is no log."""
+    from .files import path_exists
+    path = posixpath.join(base, "manifest")
+    if not path_exists(spark, path):
+        return None
+    return spark.read.schema(MANIFEST_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+
+
+def drop_snapshots(spark: SparkSession, base: str, keep: int) -> None:
+    """Only the newest ``keep`` snapshot times stay; one entry, no rows are read or written."""
+    from datetime import datetime
+    entries = manifest(spark, base)
+    if entries is None:
+        return
+    times = entries.select(F.explode("times").alias("t")).distinct().orderBy(F.desc("t")).limit(keep)
+    first = times.agg(F.min("t").alias("t")).first()["t"]
+    cut = first if keep > 0 and first is not None else datetime(9999, 12, 31)
+    _enter(base, spark.createDataFrame([(None, 0, [], cut)], MANIFEST_SCHEMA))
+
+
+def read_log(spark: SparkSession, base: str) -> DataFrame | None:
+    """The history of the log at ``base``, ``None`` if there is none.
+
+    The manifest alone tells which files hold a snapshot that is not
+    dropped; only those are opened. Rows without a time stay until something is dropped.
+    """
+    entries = manifest(spark, base)
+    if entries is None:
+        return None
+    cut = entries.agg(F.max("dropped_before").alias("t")).first()["t"]
+    live = entries.where(F.col("file").isNotNull())
+    if cut is not None:
+        live = live.where(F.array_max("times") >= F.lit(cut).cast("timestamp_ntz"))
+    files = [posixpath.join(base, "data", r["file"]) for r in live.select("file").toLocalIterator()]
+    if not files:
+        return spark.createDataFrame([], HISTORY_SCHEMA)
+    rows = spark.read.schema(HISTORY_SCHEMA).parquet(*files)
+    return rows if cut is None else rows.where(F.col("generated_at") >= F.lit(cut).cast("timestamp_ntz"))
+
+
 def write_history_version(df: DataFrame, base: str, version: int) -> str:
-    """Write a new immutable version (readers never see a half-written table)."""
+    """Write a whole history as a new immutable version (an export; the log is what is appended to)."""
     path = posixpath.join(base, f"v{version:06d}")
     df.write.mode("errorifexists").parquet(path)
     return path

@@ -197,3 +197,34 @@ def test_scenarios_are_scored_without_join_or_shuffle(spark):
     plan = z._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert risk.count() == 50
+
+
+def test_principal_components_are_checked_against_the_covariances(spark):
+    import numpy as np
+    feats = ["N", "P", "K", "rainfall"]
+    d = ML._prepared(V.soil(spark, SF_SMALL), feats)
+    z = [f"z_{f}" for f in feats]
+    x = np.array([[r[c] for c in z] for r in d.select(*z).collect()])
+    cov = np.cov(x.T, bias=True)
+    got = {(r["a"], r["b"]): r["covariance"] for r in ML.covariances(d, z).collect()}
+    assert len(got) == 10 and all(abs(cov[z.index(a), z.index(b)] - v) < 1e-9 for (a, b), v in got.items())
+    parts = ML.principal_components(d, z, 4)
+    for value, w in parts:
+        assert np.allclose(cov @ w, value * np.array(w), atol=1e-9)
+        size = np.abs(w)
+        assert w[int(np.flatnonzero(size >= size.max() - 1e-9)[0])] > 0  # of equal sizes the first
+    proj = np.array([[r["pc1"], r["pc2"]] for r in ML.pca_project(V.soil(spark, SF_SMALL), feats, "soil_id", 2).collect()])
+    assert np.allclose(np.cov(proj.T, bias=True), np.diag([parts[0][0], parts[1][0]]), atol=1e-9)
+
+
+def test_independent_fits_run_together_and_keep_their_order(spark):
+    import threading
+    meet = threading.Barrier(3, timeout=60)
+
+    def call(i):
+        meet.wait()  # three at once, or this times out
+        return spark.range(10 * i).count()
+
+    assert ML.together(spark, [lambda i=i: call(i) for i in range(6)], at_once=3) == [0, 10, 20, 30, 40, 50]
+    with pytest.raises(ZeroDivisionError):
+        ML.together(spark, [lambda: 1, lambda: 1 // 0])
