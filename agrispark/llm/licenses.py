@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from .common import columns, prepare
 
@@ -36,6 +36,8 @@ NOTICES = {
     "cc0": ("cc0", 0.9),
     "all rights reserved": ("proprietary", 0.6),
 }
+#: Licences that a text may be under to count as permissive, unless the caller names others.
+PERMISSIVE = ("0bsd", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc0-1.0", "isc", "mit", "unlicense", "zlib")
 TAG = "spdx license identifier"
 #: The tag as it stands in a text; its expression ends with the line or where the next tag starts.
 TAG_TEXT = re.compile(r"(?ai)spdx[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+license[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+identifier[ \t]*:?[ \t]*")
@@ -161,8 +163,10 @@ def scan_text(text: str, machine) -> tuple[int, list[tuple[int, str]]]:
         at = end + 1
         before = n - len(carry)
         line = f" {b' '.join(carry + words).decode('latin-1')} "
+        seen = ended = 0  # a hit's last word is the one before its last space; spaces are counted on from the hit before
         for last, (phrase, size) in machine.iter(line):
-            start = line.count(" ", 0, last - len(phrase)) - 1
+            ended += line.count(" ", seen, last)
+            seen, start = last, ended - size
             if start + size > len(carry):
                 found.append((before + start, phrase))
         n += len(words)
@@ -170,14 +174,18 @@ def scan_text(text: str, machine) -> tuple[int, list[tuple[int, str]]]:
     return n, found
 
 
-def scan(text: str, machine) -> tuple:
-    """(n_words, n_base, first_word, last_word, base_labels, labels, score, expressions) of one text."""
+def scan(text: str, machine, accepted=PERMISSIVE) -> tuple:
+    """(n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, satisfied) of one text.
+
+    ``satisfied``: whether the accepted licences satisfy the expression of every tag (a licence "or
+    later" counts as its own); None without an expression.
+    """
     n, found = scan_text(text, machine)
     if not found:
-        return n, 0, None, None, "", "", 0.0, []
+        return n, 0, None, None, "", "", 0.0, [], None
     base = sorted({(at, p) for at, p in found if p in BASE})
     base_labels = {BASE[p] for _, p in base}
-    labels, score, expressions = set(base_labels), BASE_SCORE if base else 0.0, []
+    labels, score, expressions, satisfied = set(base_labels), BASE_SCORE if base else 0.0, [], None
     for _, p in found:
         if p in NOTICES:
             labels.add(NOTICES[p][0])
@@ -189,18 +197,21 @@ def scan(text: str, machine) -> tuple:
                 labels |= made[0]
                 expressions.append(" ".join(made[1]))
                 score = TAG_SCORE
+                satisfied = satisfied is not False and evaluate(made[1], lambda name: name.removesuffix("+") in accepted)
     starts = [at for at, _ in base]
-    return n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, expressions
+    return n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, expressions, satisfied
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accepted: Iterable[str] = PERMISSIVE) -> DataFrame:
     """License findings of every whole text, a row for each input row.
 
     (id, n_words, n_base, first_word, last_word, base_labels, labels, score,
-    expressions). n_base counts all places of base phrases, first_word and
+    expressions, satisfied). n_base counts all places of base phrases, first_word and
     last_word are their least and greatest start (words from 0; null without
     any). labels adds those of other notices and of identifier tags;
-    expressions (joined by newlines) are the tags' expressions in postfix order. score is
+    expressions (joined by newlines) are the tags' expressions in postfix order;
+    satisfied tells whether the ``accepted`` licences (lower case) are enough for
+    every one of them, so ``a or b`` needs one and ``a and b`` both (null without a tag). score is
     the surest finding's: tag 1, notice 0.6 to 0.95, base phrase 0.8, none 0.
     A null or empty text has no words; null and repeated ids are rows like
     others; an empty table gives none; other columns are not read. A narrow
@@ -208,14 +219,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prepare(docs.sparkSession)
     schema = StructType([StructField("id", docs.schema[id_col].dataType), *[StructField(n, LongType()) for n in ("n_words", "n_base", "first_word", "last_word")],
-                         StructField("base_labels", StringType()), StructField("labels", StringType()), StructField("score", DoubleType()), StructField("expressions", StringType())])
-    kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), pa.string()]
+                         StructField("base_labels", StringType()), StructField("labels", StringType()), StructField("score", DoubleType()), StructField("expressions", StringType()), StructField("satisfied", BooleanType())])
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), pa.string(), pa.bool_()]
+    known = frozenset(accepted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()
         for b in batches:
-            rows = [(*(r := scan(x.as_py() or "", machine))[:7], "\n".join(r[7])) for x in b.column(1)]
-            cols = list(zip(*rows, strict=True)) or [()] * 8
+            rows = [(*(r := scan(x.as_py() or "", machine, known))[:7], "\n".join(r[7]), r[8]) for x in b.column(1)]
+            cols = list(zip(*rows, strict=True)) or [()] * 9
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], schema.names)
 
     return columns(docs, id_col, text_col).mapInArrow(run, schema)

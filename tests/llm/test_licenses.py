@@ -93,3 +93,30 @@ def test_every_tag_of_a_line_is_read(text, want):
     found = licenses.scan(text, licenses.automaton())
     assert found[7] == want and found[6] == 1.0
     assert set(found[5].split(",")) == {x for e in want for x in e.split()} - {"or"}
+
+
+def test_time_goes_with_the_length_of_a_text_full_of_phrases():
+    import time
+    machine, took = licenses.automaton(), []
+    for n in (100_000, 200_000):
+        text = "mit license x " * n  # 1.4 and 2.8 MB, one step each
+        best = []
+        for _ in range(3):
+            start = time.perf_counter()
+            words, found = licenses.scan_text(text, machine)
+            best.append(time.perf_counter() - start)
+        assert words == 3 * n and len(found) == n and found[-1] == (3 * n - 3, "mit license")
+        took.append(min(best))
+    assert took[1] < 3.2 * took[0] and took[1] < 10
+
+
+@pytest.mark.parametrize("expression, want", [("mit or gpl-3.0-only", True), ("mit and gpl-3.0-only", False), ("gpl-2.0-only or gpl-3.0-only", False), ("mit and isc", True), ("apache-2.0 with llvm-exception", True),
+                                              ("(mit and gpl-3.0-only) or bsd-3-clause", True), ("apache-2.0+", True)])
+def test_or_and_with_decide_whether_permissive_licences_are_enough(expression, want):
+    assert licenses.scan(f"SPDX-License-Identifier: {expression.upper()}", licenses.automaton())[8] is want
+
+
+def test_every_tag_must_be_satisfied_and_the_accepted_set_is_a_choice(spark):
+    rows = [(1, "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: GPL-2.0-only"), (2, "SPDX-License-Identifier: MIT OR GPL-2.0-only"), (3, "mit license"), (4, None)]
+    assert {r["id"]: r["satisfied"] for r in licenses.scan_licenses(docs(spark, rows)).collect()} == {1: False, 2: True, 3: None, 4: None}
+    assert {r["id"]: r["satisfied"] for r in licenses.scan_licenses(docs(spark, rows), accepted=["mit", "gpl-2.0-only"]).collect()} == {1: True, 2: True, 3: None, 4: None}
