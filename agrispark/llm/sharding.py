@@ -16,32 +16,50 @@ from .common import columns, gapless, materialize, prepare
 WEIGHT_BITS = 14
 
 
+def level_run(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of up to ``n`` groups of one size each shard gets before the order of equal loads matters.
+
+    Dealt one by one, the groups go to the ``n`` smallest of the values load + j *
+    size. All of them below a level are dealt at once; the highest level that
+    takes no more than ``n`` is found by halving.
+    """
+    def below(level: int) -> list[int]:
+        return [max(0, -((load - level) // size)) for load in loads]
+
+    low, high = min(loads), min(loads) + (n + 1) * size
+    while high - low > 1:
+        middle = (low + high) // 2
+        if sum(below(middle)) <= n:
+            low = middle
+        else:
+            high = middle
+    return below(low)
+
+
 def schedule(classes: Iterable[tuple[int, int]], n_shards: int) -> list[tuple[int, int, int]]:
     """Longest processing time first, a run of groups of one size at a time.
 
-    ``classes``: (size, number of groups), largest size first. Each group goes
-    to the least-loaded shard (the lowest one of those) through a heap. Long
-    runs of one size are dealt in whole rounds once the shards are within one
-    size of each other, where each of ``n_shards`` groups in turn gets a shard
-    of its own; that is what the heap would do one by one.
+    ``classes``: (size, number of groups), largest size first, sizes over 0. Each group goes
+    to the least-loaded shard (the lowest one of those) through a heap. Of a
+    run longer than the shards, those below a common level go in one step
+    (``level_run``), which is what the heap would do one by one however
+    unequal the loads are; the heap deals the few that are left.
     Returns (size, shard, groups) with groups > 0.
     """
     heap = [(0, s) for s in range(n_shards)]
     out = []
     for size, n in classes:
         got = [0] * n_shards
-        while n:
-            if size == 0 or (n >= n_shards and max(heap)[0] - heap[0][0] <= size):
-                rounds = n // n_shards if n >= n_shards else 0
-                if rounds:
-                    heap = [(load + rounds * size, s) for load, s in heap]
-                    got = [g + rounds for g in got]
-                    n -= rounds * n_shards
-                    continue
+        if n > n_shards:
+            loads = [load for load, _ in sorted(heap, key=lambda x: x[1])]
+            got = level_run(loads, size, n)
+            heap = [(load + g * size, s) for s, (load, g) in enumerate(zip(loads, got, strict=True))]
+            heapq.heapify(heap)
+            n -= sum(got)
+        for _ in range(n):
             load, s = heap[0]
             heapq.heapreplace(heap, (load + size, s))
             got[s] += 1
-            n -= 1
         out += [(size, s, g) for s, g in enumerate(got) if g]
     return out
 

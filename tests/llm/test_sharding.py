@@ -59,3 +59,30 @@ def test_whole_table_is_balanced(spark):
         groups[t or ""] += len((t or "").encode()) + 1
     best = slow_schedule(groups.values(), 8)
     assert max(loads.values()) <= best[-1] * 1.001 + 16 and min(loads.values()) >= best[0] * 0.999 - 16
+
+
+def test_one_giant_group_beside_very_many_small_ones():
+    import time
+    start = time.perf_counter()
+    dealt = sharding.schedule([(10**9, 1), (7, 10**9), (1, 10**9)], 8)
+    assert time.perf_counter() - start < 1
+    loads, n = [0] * 8, 0
+    for size, shard, k in dealt:
+        loads[shard] += size * k
+        n += k
+    assert n == 2 * 10**9 + 1 and max(loads) - min(loads) <= 7
+
+
+def test_unequal_loads_equal_one_by_one_shard_by_shard():
+    rng = random.Random(9)
+    for _ in range(80):
+        n = rng.randint(1, 7)
+        runs = sorted({(rng.choice([1, 2, 5, 900, 4000]), rng.randint(1, 200 if _ % 2 else 3)) for _ in range(4)}, reverse=True)
+        runs = [r for i, r in enumerate(runs) if r[0] not in {x for x, _ in runs[:i]}]
+        heap, want = [(0, s) for s in range(n)], defaultdict(int)
+        for size, k in runs:
+            for _ in range(k):
+                load, s = heapq.heappop(heap)
+                heapq.heappush(heap, (load + size, s))
+                want[size, s] += 1
+        assert {(size, s): k for size, s, k in sharding.schedule(runs, n)} == want
