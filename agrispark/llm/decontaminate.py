@@ -24,8 +24,8 @@ from .common import columns, prepare
 ERRORS = 0.1
 #: Items with fewer characters (normalised) are found unedited and as whole words only: with edits, or inside words, they occur in clean text.
 MIN_CHARS = 32
-#: Items of one pass over the documents: the bound on what is broadcast at a time.
-BLOCK = 20_000
+#: Items and characters of one pass over the documents: the bound on what is broadcast at a time (a longer item is a block of its own).
+BLOCK, BLOCK_CHARS = 20_000, 8 << 20
 _RUNS, _ODD = re.compile(r"[\W_]+"), re.compile(r"[^\x00-\x7f\w]")
 #: Scripts written without spaces: their characters bound a word wherever they stand.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -43,17 +43,20 @@ def normalise(text: str) -> str:
 
 
 def places(text: str) -> tuple[str, list[int]]:
-    """``normalise(text)`` and the place in ``text`` of each of its characters and of its end."""
+    """``normalise(text)`` and the place in ``text`` of each of its characters and of its end.
+
+    Both come from the lower-cased text, in which one letter can be two
+    characters, of which the second can be one that parts words.
+    """
+    low = text.lower()
+    origin = range(len(text)) if len(low) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()]
     out, at = [], []
-    for m in re.finditer(r"[^\W_]+", text):
+    for m in re.finditer(r"[^\W_]+", low):
         if out:
-            out.append(" ")
-            at.append(m.start() - 1)
-        for i in range(m.start(), m.end()):
-            for c in text[i].lower():  # one character can become two
-                out.append(c)
-                at.append(i)
-    return "".join(out), [*at, (at[-1] + 1) if at else 0]
+            at.append(origin[m.start() - 1])
+        out.append(m[0])
+        at += origin[m.start():m.end()]
+    return " ".join(out), [*at, (at[-1] + 1) if at else 0]
 
 
 class Myers:
@@ -160,15 +163,18 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block: int) -> Iterator[list[tuple[object, str]]]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block: int, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
     """The items, normalised, a block at a time; those without a letter or digit and null ones are left out."""
     part: list[tuple[object, str]] = []
+    size = 0
     for r in columns(items, id_col, text_col).toLocalIterator():
-        if p := normalise(r[1] or ""):
-            part.append((r[0], p))
-        if len(part) == block:
+        if not (p := normalise(r[1] or "")):
+            continue
+        if part and (len(part) == block or size + len(p) > chars):
             yield part
-            part = []
+            part, size = [], 0
+        part.append((r[0], p))
+        size += len(p)
     if part:
         yield part
 
@@ -181,8 +187,8 @@ def find_benchmark(docs: DataFrame, items: DataFrame, errors: float = ERRORS, mi
     ``int(errors * length)`` edits (both normalised: lower case, runs of non-letters and non-digits
     as one space), with the least distance and the stretch of the
     original text where it is found. An item shorter than ``min_chars`` has budget 0 and must
-    stand between word bounds. Clean documents have no row. Items go out in blocks of ``block``; more
-    items mean more passes, not a larger broadcast. A null text or item matches
+    stand between word bounds. Clean documents have no row. Items go out in blocks of ``block`` items or
+    ``BLOCK_CHARS`` characters; more items mean more passes, not a larger broadcast. A null text or item matches
     nothing, nor does an item without a letter or digit; null and repeated ids
     keep their rows; an empty table gives none; other columns are not read.
     """
@@ -199,8 +205,9 @@ def find_benchmark(docs: DataFrame, items: DataFrame, errors: float = ERRORS, mi
                 rows, cols = [], [[] for _ in range(5)]
                 for i, x in enumerate(b.column(1)):
                     text = x.as_py() or ""
-                    for item, d, a, e in matcher.find(normalise(text)):
-                        at = places(text)[1]
+                    found = matcher.find(normalise(text))
+                    at = places(text)[1] if found else []
+                    for item, d, a, e in found:
                         rows.append(i)
                         key, _, budget = matcher.items[item]
                         for c, v in zip(cols, (key, d, budget, at[a], at[e - 1] + 1), strict=True):

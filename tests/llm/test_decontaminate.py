@@ -97,3 +97,29 @@ def test_short_items_are_found_unedited_between_word_bounds(spark):
     assert set(got) == {(1, 1), (4, 2), (5, 3), (6, 1), (6, 2), (6, 5), (10, 2)}
     assert got[(1, 1)] == (0, 0, 4, 17) and got[(4, 2)] == (0, 0, 9, 12) and got[(5, 3)] == (0, 0, 2, 10)
     assert {r["doc_id"] for r in dc.clean_rows(docs(spark, rows), items, block=2).collect()} == {2, 3, 7, 8, 9}
+
+
+def test_normalised_text_and_its_places_agree_on_every_code_point():
+    import sys
+    for first in range(0, sys.maxunicode + 1, 4096):
+        text = "x ".join(f"a{chr(c)}b {chr(c)}" for c in range(first, min(first + 4096, sys.maxunicode + 1)) if not 0xD800 <= c < 0xE000)
+        made, at = dc.places(text)
+        assert made == dc.normalise(text) and len(at) == len(made) + 1
+        assert all(a <= b for a, b in zip(at, at[1:]))
+
+
+@pytest.mark.parametrize("lead", ["\u0130", "\u0130 \u0130", "\u0130\u0130\u0130\u0130\u0130 ", "ΟΔΟΣ \u0130x ", "\u00df\ufb01 "])
+def test_a_verbatim_passage_comes_back_exactly_behind_letters_that_grow(spark, lead):
+    passage = "The quick brown fox jumps over the lazy dog \u0130 and runs away from it"
+    text = f"{lead} so, {passage}; end \u0130"
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    r = dc.find_benchmark(docs(spark, [(1, text)]), items).first()
+    assert r["distance"] == 0 and text[r["start"]:r["end"]] == passage
+
+
+def test_long_passages_make_more_blocks(spark):
+    items = spark.createDataFrame([(i, f"item {i} " + "x y " * 200) for i in range(9)], "item_id long, text string")
+    blocks = list(dc.item_blocks(items, "item_id", "text", 100, chars=2000))
+    assert [len(b) for b in blocks] == [2, 2, 2, 2, 1] and [k for b in blocks for k, _ in b] == list(range(9))
+    assert [len(b) for b in dc.item_blocks(items, "item_id", "text", 100, chars=10)] == [1] * 9
+    assert [len(b) for b in dc.item_blocks(items, "item_id", "text", 4)] == [4, 4, 1]
