@@ -326,8 +326,8 @@ def kmeans_assign(df: DataFrame, feats: Sequence[str], centres: Sequence[Sequenc
 
 def cluster_alignment(df: DataFrame, cluster: str, target: str, qs=(0.33, 0.66)) -> DataFrame:
     """ML7: pseudo labels from target quantiles; cluster -> majority pseudo label; accuracy, F1, RMSE."""
-    from ..operators.aggregates import exact_quantiles
-    qq = exact_quantiles(df, [], target, list(qs), ["lo", "hi"])
+    from ..operators.aggregates import quantiles
+    qq = quantiles(df, [], target, list(qs), ["lo", "hi"])
     lo = qq.select("lo").scalar()
     hi = qq.select("hi").scalar()
     d = df.withColumn("pseudo", F.when(F.col(target) <= lo, 0).when(F.col(target) >= hi, 2).otherwise(1))

@@ -26,7 +26,7 @@ def _not_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 # Quantile methods:
-#   "distributed"  exact, skew-safe (``exact_quantile``): the default for data-sized inputs
+#   "distributed"  exact, skew-safe (``quantiles``): the default for data-sized inputs
 #   "exact"        Spark ``percentile``: one aggregate, but a group's distinct values meet in one task
 #   "approx"       ``percentile_approx`` (bounded sketch, rank error 1/accuracy)
 DEFAULT_QUANTILE_METHOD = "distributed"
@@ -57,7 +57,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], q:
     stack = "stack({}, {}) as (__col, __v)".format(
         len(cols), ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols))
     long = df.select(*keys, F.expr(stack))
-    qv = exact_quantile(long, [*keys, "__col"], "__v", q, out="__q")
+    qv = quantiles(long, [*keys, "__col"], "__v", [q], ["__q"])
     pv = qv.groupBy(*keys).pivot("__col", cols).agg(F.first("__q")) if keys else \
         qv.groupBy().pivot("__col", cols).agg(F.first("__q"))
     return pv.select(*keys, *[F.col(c).alias(c + suffix) for c in cols])
@@ -134,7 +134,7 @@ def quantile_thresholds(df: DataFrame, feats: Sequence[str], qs: Sequence[float]
     if m == "distributed":
         stack = "stack({}, {}) as (feature, __v)".format(
             len(feats), ", ".join(f"'{f}', cast(`{f}` as double)" for f in feats))
-        return exact_quantiles(df.select(F.expr(stack)), ["feature"], "__v", list(qs), list(names))
+        return quantiles(df.select(F.expr(stack)), ["feature"], "__v", list(qs), list(names))
     aggs = []
     for f in feats:
         if approx:
@@ -455,3 +455,27 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[f
 def exact_quantile(df: DataFrame, keys: Sequence[str], col: str, q: float, accuracy: int = 10_000, out: str | None = None) -> DataFrame:
     """One exact quantile per group (see ``exact_quantiles``)."""
     return exact_quantiles(df, keys, col, [q], [out or col], accuracy)
+
+
+#: Values of the largest group up to which ``percentile`` holds a group in one task (some ten MB).
+WHOLE_GROUP = 200_000
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float], outs: Sequence[str] | None = None,
+              whole_group: int = WHOLE_GROUP) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, by the way that suits the largest group.
+
+    The values of each group are counted first (partial sums; a row per group
+    is shuffled). If the largest has at most ``whole_group``, Spark's ``percentile`` does all groups in one
+    aggregation; else ``exact_quantiles`` selects them without a group in one
+    task. Both give the same values: null and NaN don't count, a group without values has nulls.
+    """
+    keys, qs = list(keys), [float(q) for q in qs]
+    outs = list(outs or [f"q{i}" for i in range(len(qs))])
+    xv = F.col(col).cast("double")
+    d = df.select(*keys, F.when(~F.isnan(xv), xv).alias("__x"))
+    largest = d.groupBy(*keys).agg(F.count("__x").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest > whole_group:
+        return exact_quantiles(df, keys, col, qs, outs)
+    got = d.groupBy(*keys).agg(F.percentile("__x", F.array(*[F.lit(q) for q in qs])).alias("__p"))
+    return got.select(*keys, *[F.col("__p")[i].alias(o) for i, o in enumerate(outs)])

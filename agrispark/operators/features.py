@@ -229,12 +229,12 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 def quantile_bins(df: DataFrame, col: str, n_bins: int = 3, split_col: str = "dataset_split",
                   out: str | None = None, labels: Sequence[str] | None = None) -> DataFrame:
     """M9: bins at train quantiles; a value equal to an inner edge goes up; clipped; duplicate edges merge."""
-    from .aggregates import exact_quantiles
+    from .aggregates import quantiles
     tr = df.where(_is_train(split_col))
     qs = [i / n_bins for i in range(1, n_bins)]
     row = collect_bounded(tr.agg(F.min(col).alias("lo"), F.max(col).alias("hi")), 1, "edge row")[0]
     names = [f"e{i}" for i in range(len(qs))]
-    er = collect_bounded(exact_quantiles(tr, [], col, qs, names), 1, "edge row")[0]
+    er = collect_bounded(quantiles(tr, [], col, qs, names), 1, "edge row")[0]
     edges = [row["lo"], *[er[n] for n in names], row["hi"]]
     merged = [edges[0]]
     for e in edges[1:]:

@@ -203,11 +203,11 @@ def integrity_report(df: DataFrame, text_cols: Sequence[str], label: str | None
 
     # string length outliers (IQR rule): lengths of all text columns unpivoted to
     # (column, length); one distributed quartile pass per quartile, keyed by column
-    from .aggregates import exact_quantiles
+    from .aggregates import quantiles
     stack = "stack({}, {}) as (__col, __len)".format(
         len(text_cols), ", ".join(f"'{c}', cast(length(`{c}`) as double)" for c in text_cols))
     lens = df.select(F.expr(stack))
-    qq = exact_quantiles(lens, ["__col"], "__len", [0.25, 0.75], ["__q1", "__q3"])
+    qq = quantiles(lens, ["__col"], "__len", [0.25, 0.75], ["__q1", "__q3"])
     bounds = qq.select("__col", (F.col("__q1") - 1.5 * (F.col("__q3") - F.col("__q1"))).alias("__lo"),
                                          (F.col("__q3") + 1.5 * (F.col("__q3") - F.col("__q1"))).alias("__hi"))
     flagged = lens.join(bounds, "__col", "left").groupBy("__col").agg(F.avg(F.when(

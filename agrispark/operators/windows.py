@@ -169,8 +169,8 @@ def tail_mean_forecast(train: DataFrame, key: str, order: str, value: str, last:
 def binary_above_median_eval(train: DataFrame, test: DataFrame, key: str, actual: str,
                              pred: str) -> DataFrame:
     """actual/pred >= the **train** median -> accuracy, F1 (positive=1); plus RMSE."""
-    from .aggregates import exact_quantile
-    med = exact_quantile(train, [key], actual, 0.5, out="__med")
+    from .aggregates import quantiles
+    med = quantiles(train, [key], actual, [0.5], ["__med"])
     d = test.join(med, key, "inner").select(
         key, (F.col(actual) >= F.col("__med")).cast("int").alias("y"),
         (F.col(pred) >= F.col("__med")).cast("int").alias("p"),

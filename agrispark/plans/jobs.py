@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import (coerce_double_in, coerce_int_in, delta, norm_key, safe_ratio, year_start_ts_int)
-from ..operators.aggregates import exact_quantile, geo_centroid, group_mean, group_median
+from ..operators.aggregates import quantiles, geo_centroid, group_mean, group_median
 from ..operators.filters import drop_null_rows
-from ..operators.joins import join_centroid, join_priors, join_yearly, lookup_cached, with_geo_key
+from ..operators.joins import join_centroid, join_priors, join_yearly, lookup_cached, with_geo_key, written
 from ..operators.schema import normalise_headers, rename_present, require_columns
 from ..operators.windows import SEGMENT_ROWS, calendar_parts, lag_column, look_back, rolling_mean_column
 
@@ -76,7 +76,7 @@ def build_master(climate_raw: DataFrame, soil_raw: DataFrame, default_humidity:
     priors = priors.withColumnsRenamed({"n": "N", "p": "P", "k": "K"}).withColumnRenamed("crop_type", "prior_key")
     out = join_priors(climate, priors, "crop_type", "prior_key")
     if "humidity" in soil.columns:
-        gh = exact_quantile(soil, [], "humidity", 0.5, out="gh").scalar()
+        gh = quantiles(soil, [], "humidity", [0.5], ["gh"]).scalar()
         hum = F.coalesce(F.col("humidity"), gh, F.lit(default_humidity)) if "humidity" in out.columns \
             else F.coalesce(gh, F.lit(default_humidity))
     else:
@@ -113,7 +113,7 @@ def build_timeline(climate: DataFrame, weather_raw: DataFrame, cache: DataFrame
     nasa_rh2m.
     """
     weather = normalise_weather(weather_raw)
-    c = climate.withColumn("timestamp", year_start_ts_int(coerce_int_in(climate, "year")))
+    c = written(climate).withColumn("timestamp", year_start_ts_int(coerce_int_in(climate, "year")))
     wd = weather.where(F.col("country").isNotNull() & F.col("timestamp").isNotNull()).withColumn(
         "year", F.year("timestamp"))
     yearly = group_mean(wd, ["country", "year"], ["temperature_c", "precipitation_mm", "humidity"])

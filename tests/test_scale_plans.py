@@ -120,3 +120,16 @@ def test_type_census_and_associations(spark):
     assert Q.associations(df.withColumn("k", F.lit("same")), ["b", "k"]).first()["association"] == 0.0
     rep = {(r["check"], r["column"]): (round(r["metric"], 6), r["passed"]) for r in Q.integrity_report(df, ["a", "b"], categorical_cols=["b", "c"]).collect()}
     assert rep["mixed_types", "a"] == (0.4, False) and rep["mixed_types", "b"] == (0.0, True) and rep["association", "b|c"] == (1.0, False)
+
+
+def test_quantiles_agree_whichever_way_the_groups_go(spark):
+    from agrispark.operators import aggregates as A
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), (F.rand(7) * 100).alias("v"))
+    df = df.union(spark.range(4000).select(F.lit(0).cast("long"), F.floor(F.rand(3) * 7).cast("double")))
+    df = df.union(spark.createDataFrame([(5, None), (5, float("nan")), (6, 2.5), (7, 1.0), (7, 4.0), (None, 3.0), (8, float("inf")), (8, 1.0), (8, float("-inf"))], "k long, v double"))
+    qs = [0.0, 0.5, 0.25, 1 / 3, 0.999, 1.0]
+    for keys in (["k"], []):
+        whole, parts = (sorted(map(repr, A.quantiles(df, keys, "v", qs, whole_group=n).collect())) for n in (10**6, 10))
+        assert whole == parts
+    assert [tuple(r) for r in A.quantiles(df.limit(0), [], "v", [0.5]).collect()] == [(None,)]
+    assert A.quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
