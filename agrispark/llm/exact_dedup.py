@@ -24,6 +24,8 @@ from .common import columns, materialize, prepare, text_slices
 PRIMES = ((2147483647, 1048583), (2147483629, 1299721))
 #: Bytes of a chunk. 65,536 products of a byte and a residue sum to less than 2^55.
 CHUNK = 1 << 16
+#: Bytes from which a text's chunks are dealt out and hashed in different tasks.
+HUGE = 8 << 20
 #: Bits of the table of fingerprints that occur more than once (a bound: 4 MB, whatever the corpus).
 FILTER_BITS = 1 << 25
 
@@ -115,11 +117,12 @@ def combine_chunks(chunks: DataFrame, key: list[str], primes=PRIMES) -> DataFram
     return hashed.groupBy(*key).agg(F.sum("n").alias("n_bytes"), *[F.expr(f"cast(pmod(sum({n}), {p}) as long)").alias(n) for n, (p, _) in zip(names, primes, strict=True)])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", primes=PRIMES, chunk_rows: bytes | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", primes=PRIMES, chunk_rows: bytes | None = None, huge: int = HUGE) -> DataFrame:
     """(id, n_bytes, h1, h2, sha): length, fingerprint and SHA-256 of every whole text in UTF-8.
 
-    With ``chunk_rows`` (the table of repeated fingerprints) it returns the
-    chunks of texts that are in it instead: (n_bytes, h1, h2, sha, chunk, data).
+    Texts of more than ``huge`` bytes have no fingerprint yet (``huge_chunks`` makes it). With
+    ``chunk_rows`` (the table of repeated fingerprints) it returns the chunks of the
+    other texts that are in it instead: (n_bytes, h1, h2, sha, chunk, data).
     """
     primes = [tuple(map(int, p)) for p in primes]
     shared = docs.sparkSession.sparkContext.broadcast(chunk_rows) if chunk_rows is not None else None
@@ -132,13 +135,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         table = np.frombuffer(shared.value, np.uint8) if shared is not None else None
         for b in batches:
             for first, last, data, offsets in text_slices(b, 1):
-                fp, sizes, view = fingerprint_slice(polys, data, offsets), np.diff(offsets), memoryview(data)
+                sizes, view = np.diff(offsets), memoryview(data)
+                far = sizes > huge
+                fp = np.zeros((len(sizes), len(polys)), np.int64) if far.all() else fingerprint_slice(polys, data, offsets)
                 sha = lambda i: hashlib.sha256(view[offsets[i]:offsets[i + 1]]).hexdigest()  # noqa: B023, E731
                 if table is None:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(sizes), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array([sha(i) for i in range(last - first)])], schema.names)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(sizes), pa.array(fp[:, 0], mask=far), pa.array(fp[:, 1], mask=far), pa.array([sha(i) for i in range(last - first)])], schema.names)
                     continue
                 slot = filter_slot(sizes, fp[:, 0], fp[:, 1])
-                for i in np.flatnonzero(table[slot >> 3] >> (slot & 7) & 1):
+                for i in np.flatnonzero(table[slot >> 3] >> (slot & 7) & 1 & ~far):
                     parts = range(0, max(1, int(sizes[i])), CHUNK)
                     k, lo = len(parts), int(offsets[i])
                     yield pa.RecordBatch.from_arrays([pa.array([int(x)] * k, pa.int64()) for x in (sizes[i], fp[i, 0], fp[i, 1])] + [pa.array([sha(i)] * k), pa.array(range(k), pa.int64()), pa.array([bytes(view[lo + at:min(lo + at + CHUNK, int(offsets[i + 1]))]) for at in parts], pa.binary())], schema.names)
@@ -146,6 +151,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return columns(docs, id_col, text_col).mapInArrow(run, schema)
 
 
+def huge_chunks(docs: DataFrame, text_col: str, huge: int = HUGE) -> DataFrame:
+    """(sha, row, chunk, after, data): the chunks of every text of more than ``huge`` bytes, written, so that any task can take any of them."""
+    raw = columns(docs, text_col).toDF("text").where(F.octet_length("text") > huge).select(
+        F.sha2("text", 256).alias("sha"), F.monotonically_increasing_id().alias("row"), F.octet_length("text").cast("long").alias("n"), F.col("text").cast("binary").alias("raw"))
+    count = ((F.col("n") + CHUNK - 1) / CHUNK).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
+        i.cast("long").alias("chunk"), F.greatest(F.col("n") - (i + 1).cast("long") * CHUNK, F.lit(0)).alias("after"), F.substring("raw", i * CHUNK + 1, F.lit(CHUNK)).alias("data")))
+    return materialize(raw.select("sha", "row", F.inline(parts)), "huge-chunks")
+
+
 def filter_slot(n_bytes, h1, h2):
     """Bit of a fingerprint in the table of repeated ones (the same sum as in ``_repeated``)."""
     return (n_bytes + h1 + h2) % FILTER_BITS
@@ -165,7 +180,7 @@ def _repeated(groups: DataFrame) -> bytes:
     return bytes(table)
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", primes=PRIMES) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", primes=PRIMES, huge: int = HUGE) -> DataFrame:
     """Group of equal texts of every row: (id, keep_id, group_size, kept, text_sha256).
 
     Rows are equal when their texts are identical (null counts as empty). Of
@@ -174,13 +189,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     verified by comparing their texts chunk by chunk (least and greatest chunk
     at each place, combined before the shuffle, so a group never meets in one
     task); a group that holds different texts is split by SHA-256. Empty table:
-    no rows. Other columns are not read.
+    no rows. Other columns are not read. Chunks of a text of more than ``huge``
+    bytes are hashed in different tasks and combined (``combine_chunks``).
     """
     prepare(docs.sparkSession)
-    rows = materialize(fingerprints(docs, id_col, text_col, primes), "fingerprints")
+    rows = materialize(fingerprints(docs, id_col, text_col, primes, huge=huge), "fingerprints")
     key = ["n_bytes", "h1", "h2"]
+    parts = None
+    if rows.where("h1 IS NULL").limit(1).count():
+        parts = huge_chunks(docs, text_col, huge)
+        made = combine_chunks(parts, ["sha", "row"], primes).groupBy("sha").agg(F.max("h1").alias("m1"), F.max("h2").alias("m2"))  # copies have the same
+        made = materialize(made, "huge-fingerprints")
+        rows = materialize(rows.join(made, "sha", "left").select("id", "n_bytes", F.coalesce("h1", "m1").alias("h1"), F.coalesce("h2", "m2").alias("h2"), "sha"), "all-fingerprints")
+        sized = parts.groupBy("sha", "row").agg(F.sum(F.octet_length("data")).cast("long").alias("n_bytes")).groupBy("sha").agg(F.max("n_bytes").alias("n_bytes"))
+        parts = parts.join(made.join(sized, "sha").select("sha", "n_bytes", F.col("m1").alias("h1"), F.col("m2").alias("h2")), "sha").select(*key, "chunk", "data")
     groups = materialize(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), F.max("id").alias("keep_id")), "groups")
-    chunks = fingerprints(docs, id_col, text_col, primes, _repeated(groups)).drop("sha")
+    chunks = fingerprints(docs, id_col, text_col, primes, _repeated(groups), huge).drop("sha")
+    if parts is not None:
+        chunks = chunks.unionByName(parts)
     unequal = (chunks.groupBy(*key, "chunk").agg(F.min("data").alias("least"), F.max("data").alias("greatest"))
                .where("least <> greatest").select(*key).distinct().withColumn("split", F.lit(True)))
     unequal = materialize(unequal, "unequal")

@@ -78,3 +78,20 @@ def test_keep_rows_keeps_one_of_each(spark):
     assert left.columns == df.columns
     want = sorted(((r[0], r[4]) for r in slow(awkward()) if r[3]), key=str)
     assert sorted(((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in left.collect()), key=str) == want
+
+
+@pytest.mark.parametrize("primes", [exact_dedup.PRIMES, ((3, 2), (2, 1))])
+@pytest.mark.parametrize("huge", [0, 60, 70_000])
+def test_texts_whose_chunks_go_to_different_tasks(spark, huge, primes):
+    """The same groups whatever counts as huge: all texts, some, or those of several chunks; also where fingerprints collide."""
+    long = "a line of some length é\n" * 12_000  # five chunks
+    rows = awkward() + [(20, long), (21, long), (22, long + "x"), (23, long[:-1] + "y"), (24, "z" * 131_072), (25, "z" * 131_072)]
+    assert run(docs(spark, rows), primes=primes, huge=huge) == slow(rows)
+
+
+def test_huge_fingerprints_are_those_of_one_task(spark):
+    df = docs(spark, [(1, "some text " * 20_000), (2, "ü" * 65_536), (3, "short")])
+    one = {r["id"]: (r["n_bytes"], r["h1"], r["h2"]) for r in exact_dedup.fingerprints(df).collect()}
+    parts = exact_dedup.combine_chunks(exact_dedup.huge_chunks(df, "text", 100), ["sha", "row"]).collect()
+    assert sorted((r["n_bytes"], r["h1"], r["h2"]) for r in parts) == sorted(one[i] for i in (1, 2))
+    assert [r["h1"] for r in exact_dedup.fingerprints(df, huge=100).orderBy("id").collect()] == [None, None, one[3][1]]
