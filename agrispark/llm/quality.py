@@ -23,6 +23,9 @@ BINS = 1 << 18
 #: Bound on the labelled rows that the hinge-loss model is fitted to (about; a fixed hash of the id chooses them).
 #: Class counts are always those of all labelled rows.
 FIT_ROWS = 20_000
+#: Bound on the n-gram bins of these rows together (8 bytes each while fitting), so long texts don't fill the task:
+#: rows are taken in the order of the same hash until it is reached.
+FIT_BINS = 40_000_000
 #: Up to so many labels (16 bytes each) go to the texts by broadcast, more by a shuffle join.
 BROADCAST_LABELS = 1_000_000
 COST, EPOCHS, SEED = 1.0, 12, 11
@@ -171,7 +174,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality",
-          fit_rows: int = FIT_ROWS, broadcast_labels: int = BROADCAST_LABELS) -> Model:
+          fit_rows: int = FIT_ROWS, broadcast_labels: int = BROADCAST_LABELS, fit_bins: int = FIT_BINS) -> Model:
     """Fit the model to the documents that ``labels`` (one row per id) has.
 
     One pass over the labelled texts adds up class counts per bin in each task,
@@ -181,27 +184,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = known.count()
     side = F.broadcast(known) if n <= broadcast_labels else known
     share = min(1.0, fit_rows / n) if n else 1.0
-    chosen = F.pmod(F.xxhash64("lid"), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = columns(docs, id_col, text_col).toDF("id", "text").join(side, F.col("id") == F.col("lid")).select("text", "y", chosen.alias("fit"))
-    schema = StructType([StructField("bin", LongType()), StructField("ones", LongType()), StructField("zeros", LongType()), StructField("y", LongType()), StructField("bins", BinaryType())])
+    place = F.pmod(F.xxhash64("lid"), F.lit(1 << 30))
+    rows = columns(docs, id_col, text_col).toDF("id", "text").join(side, F.col("id") == F.col("lid")).select("text", "y", F.when(place < int(share * (1 << 30)), place).alias("fit"))
+    schema = StructType([*[StructField(c, LongType()) for c in ("bin", "ones", "zeros", "y", "place")], StructField("bins", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stamp, counts, docs_of = np.zeros(BINS, np.int32), np.zeros((2, BINS), np.int64), np.zeros(2, np.int64)
         for b in batches:
             y, fit = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
             for first, last, data, offsets in text_slices(b, 0):
-                own_y, own = [], []
+                own_y, own_place, own = [], [], []
                 for i, bins in enumerate(text_bins(data, offsets, stamp), first):
                     counts[y[i], bins] += 1
                     docs_of[y[i]] += 1
-                    if fit[i]:
+                    if fit[i] is not None:
                         own_y.append(int(y[i]))
+                        own_place.append(fit[i])
                         own.append(np.sort(bins).astype("<u4").tobytes())
                 none = pa.nulls(len(own), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(own_y, pa.int64()), pa.array(own, pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(own_y, pa.int64()), pa.array(own_place, pa.int64()), pa.array(own, pa.binary())], schema.names)
         at = np.flatnonzero(counts.any(axis=0))
         cols = [np.append(at, -1), np.append(counts[1, at], docs_of[1]), np.append(counts[0, at], docs_of[0])]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(at) + 1, pa.int64()), pa.nulls(len(at) + 1, pa.binary())], schema.names)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(at) + 1, pa.int64()), pa.nulls(len(at) + 1, pa.int64()), pa.nulls(len(at) + 1, pa.binary())], schema.names)
 
     seen = materialize(rows.mapInArrow(run, schema), "quality-counts")
     got = seen.where("bin IS NOT NULL").groupBy("bin").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toArrow()
@@ -231,8 +235,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         slope, offset = calibrate(np.array([w[at] @ v + w[-1] for at, v in zip(bins, values, strict=True)]), y)
         return pa.table({"weight": pa.array([w.tobytes()], pa.binary()), "slope": [slope], "offset": [offset]})
 
-    sample = seen.where("bins IS NOT NULL").select("y", "bins", F.lit(0).alias("one"))
+    picked = seen.where("bins IS NOT NULL")
+    upto, total_bins = 1 << 30, 0
+    for r in picked.groupBy("place").agg(F.sum(F.octet_length("bins") / 4).cast("long").alias("n")).orderBy("place").toLocalIterator():  # at most about ``fit_rows`` rows of two numbers
+        total_bins += r["n"]
+        if total_bins > fit_bins:
+            upto = r["place"]
+            break
+    sample = picked.where(F.col("place") < upto).select("y", "bins", F.lit(0).alias("one"))
     made = sample.groupBy("one").applyInArrow(fit_model, "weight binary, slope double, offset double").first()
+    if made is None:  # no row is within the bound
+        return Model(ratio, np.zeros(BINS, np.float32), 0.0, 1.0, float(np.log((total[1] + 0.5) / (total[0] + 0.5))))
     w = np.frombuffer(made["weight"], np.float64)
     return Model(ratio, w[:-1].astype(np.float32), float(w[-1]), made["slope"], made["offset"])
 

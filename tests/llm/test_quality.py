@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from agrispark.llm import quality
-from helpers import awkward, docs
+from helpers import SF, awkward, docs
 from pyspark.sql import functions as F
 
 
@@ -94,3 +94,13 @@ def test_long_text_in_steps(monkeypatch):
     steps = set(next(quality.text_bins(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), stamp)).tolist())
     shapes = {int(x) for x in whole}  # steps may cut a word in two, which only adds shapes
     assert shapes <= steps
+
+
+def test_the_fit_is_bounded_in_bins(spark):
+    """Rows are taken in the order of the hash until the bound; the class counts stay whole, and a bound under the first row leaves the prior."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    whole, tight, none = (quality.train(df, labels, fit_bins=n) for n in (quality.FIT_BINS, 20_000, 1))
+    assert (whole.ratio == tight.ratio).all() and (whole.ratio == none.ratio).all()
+    assert np.abs(whole.weight).sum() > 0 and (whole.weight != tight.weight).any()
+    assert not none.weight.any() and 0 < none.score(np.array([1, 2])) < 1
