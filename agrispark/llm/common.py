@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,45 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex}"
 
 
+#: Tables written inside open ``scratch`` blocks, innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the tables that ``materialize`` writes inside the block when it ends well, except those taken off the yielded list.
+
+    For steps whose result has been written elsewhere by then. After an error
+    everything stays, and nothing outside the shared folder is touched.
+    """
+    _OPEN.append(made := [])
+    try:
+        yield made
+    except BaseException:
+        made.clear()
+        raise
+    finally:
+        _OPEN.pop()
+        remove(spark, made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``materialize`` wrote."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/llm-"
+    for path in paths:
+        if path.startswith(base):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back (cuts lineage, survives lost executors)."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -78,6 +78,19 @@ def test_run_is_the_stages_in_turn(spark, table):
     assert key(got) == key(want)
 
 
+def test_scratch_of_the_stages_is_deleted(spark, table):
+    import glob
+    base = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(glob.glob(f"{base}/llm-*"))
+    out = corpus_pipeline.run(spark, table)
+    left = set(glob.glob(f"{base}/llm-*")) - before
+    stages = [x for x in left if "/llm-stage-" in x]
+    assert len(stages) == 1 and "decontamination" in stages[0]
+    last = {p.split("/llm-")[1].split("/")[0] for p in out.inputFiles()}
+    assert last <= {x.split("/llm-")[1] for x in left} and not [x for x in left if any(t in x for t in ("fingerprints", "kept-keys", "groups"))]
+    assert out.count() > 0
+
+
 def test_empty_tables(spark):
     path = scratch_path(spark, "empty-data")
     for name in ("documents", "benchmark", "labels"):
