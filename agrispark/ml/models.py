@@ -60,7 +60,7 @@ def together(spark, calls: Sequence, at_once: int = 4) -> list:
             spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
 
     with ThreadPoolExecutor(at_once) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(run), i, call) for i, call in enumerate(calls)]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(run), i, call) for i, call in enumerate(calls)]]
 
 
 def _metrics_row(df: DataFrame) -> dict:
