@@ -1,18 +1,24 @@
-"""Fitted models whose results SQL can work out by itself: the fitted path of ML3, ML4, ML6, ML8, ML9 and ML13.
+"""Fitted models whose results SQL can work out by itself: the fitted path of ML3, ML4, ML6, ML8, ML9, ML13, ML19, W7, W8 and M11.
 
 Each fits with the same functions as the larger demos, on features for which
 the best model is known in closed form: trees of one cut over a feature with two values, a line
-through one feature, clusters far apart, components of two features.
+through one feature, clusters far apart, components of two features, a random walk with drift.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..ml import arima as AR
 from ..ml import models as ML
+from ..operators.oversample import smote
+from ..sources.files import scratch_path
+from ..sources.history import save_model_bundle
 from . import views as V
 from .demo_features import H, SPLIT
-from .demo_models import yield_table
+from .demo_models import filled, imbalanced_soil, yield_table
+from .demo_series import FILL_SQL
 from .registry import register
 from .util import bround, round_doubles
 
@@ -126,3 +132,61 @@ SELECT soil_id, round(CASE WHEN r > 0 THEN za + zb ELSE za - zb END / sqrt(2), 6
 """, views=("soil",))
 def q_two_features(spark, sf):
     return round_doubles(ML.pca_project(V.soil(spark, sf), ["N", "rainfall"], "soil_id", 2), 6)
+
+
+@register("ML19_snapshot_of_a_line", "WITH " + LINE_SQL + """,
+m AS (SELECT split, sqrt(avg((y - raw) * (y - raw))) AS rmse FROM p GROUP BY split)
+SELECT 'line' AS artifact, true AS available, round(max(rmse) FILTER (WHERE split = 'train'), 6) AS train_rmse, round(max(rmse) FILTER (WHERE split = 'test'), 6) AS test_rmse FROM m
+UNION ALL SELECT 'nothing', false, NULL, NULL
+""", views=("obs",))
+def q_line_snapshot(spark, sf):
+    fitted = fit_line(spark, sf)
+    metrics = fitted["metrics"].where("model = 'linear_regression'").drop("model", "ordinal").first().asDict()
+    path = scratch_path(spark, "bundle-line")
+    save_model_bundle(spark, path, fitted["models"]["linear_regression"], ["temperature"], metrics)
+    snap = ML.metrics_snapshot(spark, {"line": path, "nothing": scratch_path(spark, "bundle-missing")})
+    return snap.select("artifact", "available", *[bround(F.get_json_object("metrics", f"$.{m}").cast("double"), 6).alias(m) for m in ("train_rmse", "test_rmse")])
+
+
+WALK_SQL = FILL_SQL + """,
+z0 AS (SELECT series_key, month, value AS y, value - lag(value) OVER (PARTITION BY series_key ORDER BY month) AS z FROM f WHERE value IS NOT NULL),
+w AS (SELECT series_key, count(z) AS n, avg(z) AS mean, var_pop(z) AS sigma2, max(month) AS last, arg_max(y, month) AS y FROM z0 GROUP BY series_key HAVING count(z) >= 4 AND var_pop(z) > 0)"""
+
+
+@register("W7_random_walk_fit", "WITH " + WALK_SQL + """
+SELECT series_key, n, round(mean, 6) AS mean, round(sigma2, 4) AS sigma2, round(-0.5 * n * (ln(2 * pi() * sigma2) + 1), 4) AS loglik,
+       round(n * (ln(2 * pi() * sigma2) + 1) + 4, 4) AS aic FROM w
+""", views=("series_raw",))
+def q_walk_fit(spark, sf):
+    got = AR.arima_fit(filled(spark, sf), order=(0, 1, 0), constant=True).where("model_ok")
+    return got.select("series_key", "n", bround("mean", 6).alias("mean"), *[bround(c, 4).alias(c) for c in ("sigma2", "loglik", "aic")])
+
+
+@register("W7_random_walk_forecast", "WITH " + WALK_SQL + """
+SELECT series_key, CAST(h AS INTEGER) AS step, CAST(last + to_months(CAST(h AS INTEGER)) AS DATE) AS month, round(y + h * mean, 4) AS forecast
+FROM w, (SELECT unnest(range(1, 7)) AS h)
+""", views=("series_raw",))
+def q_walk_forecast(spark, sf):
+    got = AR.arima_forecast(filled(spark, sf), order=(0, 1, 0), steps=6, constant=True).where("model_ok")
+    return got.select("series_key", "step", "month", bround("forecast", 4).alias("forecast"))
+
+
+@register("W8_short_series_fall_back", "WITH " + FILL_SQL + """,
+s AS (SELECT series_key, month, value FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY month) AS r FROM f) WHERE r <= 5),
+t AS (SELECT series_key, avg(value) AS forecast, max(month) AS last FROM s WHERE value IS NOT NULL GROUP BY series_key)
+SELECT series_key, CAST(h AS INTEGER) AS step, CAST(last + to_months(CAST(h AS INTEGER)) AS DATE) AS month, round(forecast, 6) AS forecast, 'tail_mean' AS model_type
+FROM t, (SELECT unnest(range(1, 5)) AS h)
+""", views=("series_raw",))
+def q_short_series(spark, sf):
+    first = F.row_number().over(Window.partitionBy("series_key").orderBy("month"))
+    young = filled(spark, sf).withColumn("r", first).where("r <= 5").drop("r")  # each series as it stood after five months
+    return AR.forecast_with_fallback(young, order=(2, 1, 2), steps=4).withColumn("forecast", bround("forecast", 6))
+
+
+@register("M11_balanced_counts", """
+WITH c AS (SELECT CASE WHEN soil_id % 10 = 0 THEN 'rare' WHEN soil_id % 3 = 0 THEN 'mid' ELSE 'common' END AS cls, count(*) AS n FROM soil GROUP BY 1)
+SELECT cls, n AS n_real, (SELECT max(n) FROM c) - n AS n_synthetic FROM c
+""", views=("soil",))
+def q_balanced(spark, sf):
+    out = smote(imbalanced_soil(spark, sf), "cls", "soil_id", ["N", "P", "K", "rainfall"], k=5, seed=42)
+    return out.groupBy("cls").agg(F.count_if(~F.col("synthetic")).alias("n_real"), F.count_if(F.col("synthetic")).alias("n_synthetic"))
