@@ -5,7 +5,7 @@ cuckoo filter per shard of keys answers "certainly not in the table" in
 memory, takes deletions as well as insertions, and so spares most lines a
 look-up in the exact tables: a filter only says which rows must be looked up, never
 what to drop. ``LineIndex`` keeps both across batches of new and withdrawn
-documents.
+documents, as tables of changes; ``dedup_lines`` is one insertion and a pass over the documents.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, L
 from .common import columns, materialize, prepare, scratch_path
 
 SLOTS = 4
+#: Bytes that a filter takes for each key at most (slots of two bytes, at least two fifths of them full), and keys of one shard.
+KEY_BYTES, SHARD_KEYS = 5, 500_000
+#: Changes of an index that are read together before they are written as one.
+COMPACT = 24
 #: Total bytes of filters that may be broadcast; beyond it every line is looked up in the exact table.
 FILTER_BYTES = 64 << 20
 #: Bytes of the exact table of repeated keys (24 a key) that may be broadcast; beyond it keys are looked up by a join.
@@ -158,12 +162,17 @@ def filters(keys: DataFrame, shards: int) -> DataFrame:
     return digest.groupBy("shard").applyInArrow(build, "shard int, filter binary")
 
 
-def load_filters(made: DataFrame, shards: int, limit: int = FILTER_BYTES) -> list[bytes] | None:
-    """The filters, if they have ``limit`` bytes at most; else None."""
-    if (made.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) > limit:
+def make_filters(keys: DataFrame, shards: int, limit: int = FILTER_BYTES) -> list[bytes] | None:
+    """The filters of a written table of keys, or None, and none built, if they could pass ``limit`` bytes.
+
+    There are as many shards as keep each at some ``SHARD_KEYS`` keys, ``shards`` at least.
+    """
+    n = keys.count()
+    if n * KEY_BYTES > limit:
         return None
+    shards = max(shards, -(-n // SHARD_KEYS))
     out = [b""] * shards
-    for r in made.collect():
+    for r in filters(keys, shards).toLocalIterator():
         out[r["shard"]] = bytes(r["filter"])
     return out
 
@@ -228,7 +237,7 @@ def drop_repeated_lines(docs: DataFrame, refs: DataFrame, min_docs: int = 5, min
     gives the same rows.
     """
     repeated = materialize(refs.where(F.col("n_docs") >= min_docs).select("key", "holder"), "repeated")
-    raw = load_filters(materialize(filters(repeated, shards), "filters"), shards, filter_bytes)
+    raw = make_filters(repeated, shards, filter_bytes)
     exact = load_exact(repeated, exact_bytes)
     shared = docs.sparkSession.sparkContext.broadcast((raw, exact))
     kind = docs.schema[id_col].dataType
@@ -283,29 +292,59 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col:
     different id, null being one id (the lowest); rows that repeat an id count
     once and lose or keep lines alike. Empty table: no rows. Other columns are not read.
     """
-    prepare(docs.sparkSession)
-    refs = references(postings(docs, min_chars, id_col, text_col))
-    return drop_repeated_lines(docs, refs, min_docs, min_chars, id_col=id_col, text_col=text_col, filter_bytes=filter_bytes, exact_bytes=exact_bytes)
+    index = LineIndex(docs.sparkSession, min_chars, filter_bytes=filter_bytes)
+    index.insert(docs, id_col, text_col)
+    return index.apply(docs, min_docs, id_col, text_col, exact_bytes)
 
 
 class LineIndex:
-    """Incremental, reversible line index: exact postings and cuckoo filters, a table version per change.
+    """Incremental, reversible line index: exact postings and reference counts as tables of changes, cuckoo filters over the keys.
 
-    ``insert`` and ``delete`` write a new version in the shared folder and
-    leave the old ones, so a lost executor or a failed run changes nothing.
-    Ids must be unique; inserting a known id again has no effect.
+    ``insert`` writes the postings and counts of its documents, ``delete`` the
+    ids it takes back and the counts that go with them; nothing written
+    before is touched, so a lost executor or a failed run changes nothing. Readers add the changes up.
+    After ``COMPACT`` changes they are written as one. Ids must be unique (rows
+    of one id in one insertion count once); inserting a known id again has no effect.
     """
 
     def __init__(self, spark: SparkSession, min_chars: int = 40, shards: int = 64, filter_bytes: int = FILTER_BYTES):
         self.spark, self.min_chars, self.shards, self.filter_bytes = prepare(spark), min_chars, shards, filter_bytes
-        self.path, self.posts, self.refs, self.raw = scratch_path(spark, "line-index"), None, None, [b""] * shards
-        self.version = 0
-
-    def _save(self, posts: DataFrame, refs: DataFrame) -> None:
-        self.version += 1
-        for name, df in (("posts", posts), ("refs", refs)):
-            df.write.parquet(f"{self.path}/{self.version}/{name}")
-            setattr(self, name, self.spark.read.parquet(f"{self.path}/{self.version}/{name}"))
+        self.path, self.raw, self.version = scratch_path(spark, "line-index"), None, 0
+        self.built = False  # filters are made when an insertion first needs them
+        self.tables: dict[str, list[str]] = {"posts": [], "counts": [], "gone": []}
+
+    def _add(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{self.version}/{name}"
+        df.write.parquet(path)
+        self.tables[name].append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(*self.tables[name])
+
+    @property
+    def posts(self) -> DataFrame:
+        """(key, id) of the documents that are in the index."""
+        posts = self._read("posts")
+        if not self.tables["gone"]:
+            return posts.select("key", "id")
+        last = self._read("gone").groupBy("gone").agg(F.max("until").alias("until"))
+        live = posts.join(last, F.col("id").eqNullSafe(F.col("gone")), "left").where(F.col("until").isNull() | (F.col("version") > F.col("until")))
+        return live.select("key", "id")
+
+    @property
+    def refs(self) -> DataFrame:
+        """Exact reference counts: (key, n_docs, holder) of every key with a document, all changes added up.
+
+        Only keys that a deletion has touched have their holder looked up in the postings.
+        """
+        total = self._read("counts").groupBy("key").agg(F.sum("n").alias("n_docs"), F.max("holder").alias("holder"), F.max("touched").alias("touched")).where("n_docs > 0")
+        if not self.tables["gone"]:
+            return total.drop("touched")
+        total = materialize(total, "line-counts")
+        touched = total.where("touched").select("key", "n_docs")
+        again = self.posts.join(touched.select("key"), "key", "left_semi").groupBy("key").agg(F.max("id").alias("holder"))
+        return total.where("not touched").drop("touched").unionByName(touched.join(again, "key"))
 
     def _known(self, posts: DataFrame) -> DataFrame:
         """posts with ``known``: False where the key is certainly not in the exact table."""
@@ -320,37 +359,59 @@ class LineIndex:
 
         return posts.mapInArrow(run, StructType([*posts.schema.fields, StructField("known", BooleanType())]))
 
+    def _count(self, posts: DataFrame) -> DataFrame:
+        return posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("holder"))
+
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Count the documents' lines. Only keys that a filter may have are looked up in the exact tables."""
-        new = materialize(self._known(postings(docs, self.min_chars, id_col, text_col).distinct()), "new-lines")
-        if self.posts is None:
-            self._save(new.drop("known"), references(new.drop("known")))
-            keys = self.refs
-            self.raw = load_filters(materialize(filters(keys, self.shards), "filters"), self.shards, self.filter_bytes)
-            return
-        old = new.where("known").drop("known").join(self.posts, ["key", "id"], "left_anti")
-        add = materialize(old.unionByName(new.where("not known").drop("known")), "added-lines")
-        counts = references(add).withColumnRenamed("n_docs", "n").withColumnRenamed("holder", "h")
-        refs = self.refs.join(counts, "key", "full").select("key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("holder", "h").alias("holder"))
-        fresh = materialize(add.select("key").distinct().join(self.refs, "key", "left_anti"), "fresh-lines")
-        self._save(self.posts.unionByName(add), refs)
-        self._change(fresh, "insert")
+        new = postings(docs, self.min_chars, id_col, text_col).distinct()
+        fresh = None
+        if self.tables["posts"]:
+            if not self.built:
+                self.raw, self.built = make_filters(materialize(self.refs.select("key"), "index-keys"), self.shards, self.filter_bytes), True
+            new = materialize(self._known(new), "new-lines")
+            old = new.where("known").drop("known").join(self.posts, ["key", "id"], "left_anti")
+            new = materialize(old.unionByName(new.where("not known").drop("known")), "added-lines")
+            fresh = materialize(new.select("key").distinct().join(self.refs.select("key"), "key", "left_anti"), "fresh-lines") if self.raw is not None else None
+        self.version += 1
+        added = self._add("posts", new.withColumn("version", F.lit(self.version)))
+        self._add("counts", self._count(added).withColumn("touched", F.lit(False)))
+        if fresh is not None:
+            self._change(fresh, "insert")
+        self._compact()
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
-        """Take documents back: their references go, and keys without any leave table and filter."""
-        gone = columns(ids, id_col).toDF("gone").distinct()
-        stay = materialize(self.posts.join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_anti"), "kept-lines")
-        old = self.refs
-        self._save(stay, references(stay))
-        self._change(materialize(old.select("key").join(self.refs, "key", "left_anti"), "gone-lines"), "delete")
+        """Take documents back: their references go, and keys without any leave the filters. Writes only what goes with them."""
+        if not self.tables["posts"]:
+            return
+        gone = materialize(columns(ids, id_col).toDF("gone").distinct(), "gone-ids")
+        lost = self._count(self.posts.join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_semi"))
+        lost = materialize(lost.select("key", (-F.col("n")).alias("n"), F.lit(None).cast(lost.schema["holder"].dataType).alias("holder"), F.lit(True).alias("touched")), "lost-counts")
+        until, self.version = self.version, self.version + 1
+        self._add("counts", lost)
+        self._add("gone", gone.withColumn("until", F.lit(until)))
+        if self.raw is not None:
+            left = self._read("counts").join(lost.select("key"), "key", "left_semi").groupBy("key").agg(F.sum("n").alias("n"))
+            self._change(materialize(left.where("n <= 0").select("key"), "gone-lines"), "delete")
+        self._compact()
+
+    def _compact(self) -> None:
+        """Write all changes as one, now and then, so that readers open few files."""
+        if len(self.tables["counts"]) < COMPACT:
+            return
+        posts, refs = self.posts.withColumn("version", F.lit(self.version)), self.refs
+        self.version += 1
+        old, self.tables = self.tables, {"posts": [], "counts": [], "gone": []}
+        try:
+            self._add("posts", posts)
+            self._add("counts", refs.select("key", F.col("n_docs").alias("n"), "holder", F.lit(False).alias("touched")))
+        except BaseException:
+            self.tables = old
+            raise
 
     def _change(self, keys: DataFrame, how: str) -> None:
-        """Insert or delete keys in the filters, a shard at a time in parallel; a full shard is built again from the exact table."""
-        if self.raw is None:
-            return
-        shared = self.spark.sparkContext.broadcast(self.raw)
-        shards = self.shards
-        tagged = keys.select("key", _shard(shards))
+        """Insert or delete keys in the filters, a shard at a time in parallel; where a shard is full, all are built again from the exact table."""
+        shared, shards = self.spark.sparkContext.broadcast(self.raw), len(self.raw)
 
         def run(table: pa.Table) -> pa.Table:
             s = table.column("shard")[0].as_py()
@@ -360,15 +421,15 @@ class LineIndex:
             done = made.insert(hashes) if how == "insert" else made.delete(hashes) is None
             return pa.table({"shard": pa.array([s], pa.int32()), "filter": pa.array([made.buckets.tobytes() if done else None], pa.binary())})
 
-        changed = tagged.groupBy("shard").applyInArrow(run, "shard int, filter binary").collect()
-        full = [r["shard"] for r in changed if r["filter"] is None]
-        for r in changed:
-            if r["filter"] is not None:
+        full = False
+        for r in keys.select("key", _shard(shards)).groupBy("shard").applyInArrow(run, "shard int, filter binary").toLocalIterator():
+            if r["filter"] is None:
+                full = True
+            else:
                 self.raw[r["shard"]] = bytes(r["filter"])
         if full:
-            again = load_filters(materialize(filters(self.refs, self.shards), "filters"), self.shards, self.filter_bytes)
-            self.raw = again
+            self.raw = make_filters(materialize(self.refs.select("key"), "index-keys"), self.shards, self.filter_bytes)
 
-    def apply(self, docs: DataFrame, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def apply(self, docs: DataFrame, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", exact_bytes: int = EXACT_BYTES) -> DataFrame:
         """``drop_repeated_lines`` with this index's counts."""
-        return drop_repeated_lines(docs, self.refs, min_docs, self.min_chars, self.shards, id_col, text_col, self.filter_bytes)
+        return drop_repeated_lines(docs, self.refs, min_docs, self.min_chars, self.shards, id_col, text_col, self.filter_bytes, exact_bytes)

@@ -94,3 +94,34 @@ def test_index_is_incremental_and_reversible(spark):
     assert refs(index) == []
     index.insert(docs(spark, rows))
     assert refs(index) == refs(whole)
+
+
+def test_an_insertion_writes_its_own_lines_and_a_deletion_restores_the_earlier_result(spark, monkeypatch):
+    import glob
+    base = [(i, f"{LINE} a\n{LINE} b {i % 3}\n{LINE} own {i}") for i in range(40)]
+    more = [(100 + i, f"{LINE} a\n{LINE} late {i % 2}\n{LINE} b 1") for i in range(9)]
+    index = line_dedup.LineIndex(spark, shards=3)
+    index.insert(docs(spark, base))
+    first = digest(index.apply(docs(spark, base)))
+    assert first == slow(base) == digest(line_dedup.dedup_lines(docs(spark, base)))  # the query's own path
+    before = set(glob.glob(f"{index.path.removeprefix('file:')}/*/*"))
+    index.insert(docs(spark, more))
+    new = set(glob.glob(f"{index.path.removeprefix('file:')}/*/*")) - before
+    assert spark.read.parquet(*[f for f in new if f.endswith("posts")]).count() == 27 and spark.read.parquet(*[f for f in new if f.endswith("counts")]).count() == 4
+    assert digest(index.apply(docs(spark, base + more))) == slow(base + more) != first
+    index.delete(spark.createDataFrame([(100 + i,) for i in range(9)], "doc_id long"))
+    assert digest(index.apply(docs(spark, base))) == first  # the holders of the kept lines are the earlier ones again
+    index.insert(docs(spark, more[:4]))  # withdrawn ids can come back
+    assert digest(index.apply(docs(spark, base + more[:4]))) == slow(base + more[:4])
+    monkeypatch.setattr(line_dedup, "COMPACT", 2)
+    index.delete(spark.createDataFrame([(100,)], "doc_id long"))
+    assert {k: len(v) for k, v in index.tables.items()} == {"posts": 1, "counts": 1, "gone": 0}
+    assert digest(index.apply(docs(spark, base + more[1:4]))) == slow(base + more[1:4])
+
+
+def test_filters_that_could_be_too_large_are_not_built(spark, monkeypatch):
+    keys = spark.createDataFrame([(bytes([i] * 16),) for i in range(50)], "key binary")
+    assert line_dedup.make_filters(keys, 4, limit=50 * line_dedup.KEY_BYTES - 1) is None
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 5)
+    made = line_dedup.make_filters(keys, 4)
+    assert len(made) == 10 and line_dedup.maybe_known(made, [bytes([i] * 16) for i in range(50)]).all()
