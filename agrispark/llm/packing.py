@@ -30,6 +30,8 @@ DIMENSIONS = 3
 #: Bits of a dimension; the key has DIMENSIONS * BITS.
 BITS = 10
 SEED = 7
+#: Bytes of text for which a range of the curve gets a task of its own: at least, and at most (a longer text is not cut).
+LEAST_BYTES, MOST_BYTES = 8 << 20, 128 << 20
 #: Words, and pieces of words, whose ids a worker remembers (about 200 bytes each).
 CACHE = 700_000
 
@@ -41,10 +43,10 @@ BYTE_LETTERS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enum
 
 def hashed_vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Relative frequencies of hashed four-byte runs, a row for each text (zero for fewer than four bytes)."""
-    x = data.astype(np.uint32)
-    code = np.zeros(len(x), np.uint8)
-    if len(x) > 3:
-        code[:-3] = ((x[:-3] << np.uint32(24) | x[1:-2] << np.uint32(16) | x[2:-1] << np.uint32(8) | x[3:]) * np.uint32(2654435761)) >> np.uint32(24)
+    code = np.zeros(len(data), np.uint8)
+    for first in range(min(4, max(len(data) - 3, 0))):  # the runs that start at first, first + 4, ...
+        runs = data[first:first + (len(data) - first) // 4 * 4].view(">u4").astype(np.uint32)
+        code[first:first + 4 * len(runs):4] = (runs * np.uint32(2654435761)) >> np.uint32(24)
     counts = [np.bincount(code[a:max(a, b - 3)], minlength=FEATURES) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     return np.array(counts) / np.maximum(np.diff(offsets) - 3, 1)[:, None]
 
@@ -154,8 +156,16 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def ranges(size: int, tasks: int) -> int:
+    """Ranges of the curve for ``size`` bytes of text: the session's ``tasks``, fewer for little text and as many more as it takes for much."""
+    return max(1, min(tasks, -(-size // LEAST_BYTES)), -(-size // MOST_BYTES))
+
+
 def curve_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, key), range-sorted by Hilbert key over all partitions. A hash of the id parts rows of one key, so copies spread over tasks."""
+    """(id, text, key), range-sorted by Hilbert key over all partitions. A hash of the id parts rows of one key, so copies spread over tasks.
+
+    The number of ranges grows with the bytes of the texts, which are summed first.
+    """
     schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("text", StringType()), StructField("key", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +174,9 @@ def curve_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(keys) if keys else [], pa.int64())], schema.names)
 
     keyed = columns(docs, id_col, text_col).mapInArrow(run, schema).withColumn("tie", F.xxhash64("id", F.octet_length("text")))
-    return keyed.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "id").drop("tie")
+    size = columns(docs, text_col).agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))).alias("size")).first()["size"] or 0
+    parts = ranges(size, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return keyed.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie", "id").drop("tie")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,6 +67,43 @@ def test_whole_table_and_empty_table(spark):
     assert packing.pack(docs(spark, []), tokenizer_path()).collect() == []
 
 
+def hashed_one(raw):
+    """Hashed vector of one text, run by run."""
+    out = np.zeros(packing.FEATURES)
+    for i in range(len(raw) - 3):
+        out[(int.from_bytes(raw[i:i + 4], "big") * 2654435761 & 0xFFFFFFFF) >> 24] += 1
+    return out / max(len(raw) - 3, 1)
+
+
+@pytest.mark.parametrize("shift", range(4))
+def test_hashed_vectors_equal_those_made_run_by_run(shift):
+    raws = [b"x" * shift, b"", b"abc", b"abcd", b"the same words here", "日本語 テスト".encode(), b"a", bytes(range(32, 127))]
+    data, offsets = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
+    assert (packing.hashed_vectors(data, offsets) == np.array([hashed_one(r) for r in raws])).all()
+    for n in range(6):  # fewer bytes than a run needs, and just enough
+        assert (packing.hashed_vectors(data[4:4 + n], np.array([0, n])) == hashed_one(data[4:4 + n].tobytes())).all()
+
+
+def test_sequences_follow_the_curve(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    key = {r["doc_id"]: int(packing.hilbert_key(packing.project(hashed_one((r["text"] or "").encode())[None]))[0]) for r in df.collect()}
+    pieces = packing.pack(df, tokenizer_path()).orderBy("sequence_id", "offset").collect()
+    along = [key[r["id"]] for r in pieces]
+    assert along == sorted(along) and len({r["id"] for r in pieces}) == len(key)
+
+
+def test_ranges_grow_with_the_bytes(spark, monkeypatch):
+    least, most = packing.LEAST_BYTES, packing.MOST_BYTES
+    assert [packing.ranges(n, 48) for n in (0, 1, least, least + 1, 48 * least, 48 * most, 48 * most + 1)] == [1, 1, 1, 2, 48, 48, 49]
+    assert packing.ranges(100 * 10 ** 12, 4000) * most >= 100 * 10 ** 12
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = packing.pack(df, tokenizer_path()).drop("ids").collect()
+    monkeypatch.setattr(packing, "LEAST_BYTES", 10_000)
+    monkeypatch.setattr(packing, "MOST_BYTES", 10_000)
+    assert packing.curve_order(df).rdd.getNumPartitions() > 8  # more than the session's
+    assert sorted(packing.pack(df, tokenizer_path()).drop("ids").collect()) == sorted(whole)  # the layout is the same
+
+
 def test_copies_are_neighbours_on_the_curve():
     raws = [b"the same words here " * 9, b"completely different 12345", b"the same words here " * 9 + b"x"]
     data, offsets = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
