@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
@@ -29,8 +29,10 @@ FEATURES = 256
 DIMENSIONS = 3
 #: Bits of a dimension; the key has DIMENSIONS * BITS.
 BITS = 10
+#: Leading bits of a key by which its running total is made first.
+CELL_BITS = 16
 SEED = 7
-#: Bytes of text for which a range of the curve gets a task of its own: at least, and at most (a longer text is not cut).
+#: Bytes of text that a range of the curve has at least, and at most: the size aimed at, about (a text is not cut, so a longer one makes a larger range).
 LEAST_BYTES, MOST_BYTES = 8 << 20, 128 << 20
 #: Words, and pieces of words, whose ids a worker remembers (about 200 bytes each).
 CACHE = 700_000
@@ -161,22 +163,72 @@ def ranges(size: int, tasks: int) -> int:
     return max(1, min(tasks, -(-size // LEAST_BYTES)), -(-size // MOST_BYTES))
 
 
+def _keys(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """(Hilbert key, bytes) of each text of a batch."""
+    keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, _, data, offsets in text_slices(batch, column):
+        keys.append(hilbert_key(project(hashed_vectors(data, offsets))))
+        sizes.append(np.diff(offsets))
+    return np.concatenate(keys), np.concatenate(sizes)
+
+
+def curve_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of the curve with about as many bytes each: (first key, first part, parts) of each range, in order.
+
+    The bytes at each key are summed and written, running totals are made in
+    two levels (the cells of the key's leading bits, at most 2^CELL_BITS, then the keys of one cell), and
+    a range ends where the total passes a multiple of the size aimed at. A single key
+    with more than that, a group of copies, is a range of several parts. Only the ranges come to the driver.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sizes = _keys(b, 0)
+            key, at = np.unique(keys, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, sizes + 1, len(key)).astype(np.int64))], ["key", "w"])
+
+    seen = columns(docs, text_col).mapInArrow(run, "key long, w long").groupBy("key").agg(F.sum("w").alias("w"))
+    weights = materialize(seen.withColumn("cell", F.shiftright("key", DIMENSIONS * BITS - CELL_BITS)), "curve-weights")
+    total = weights.agg(F.sum("w").alias("w")).first()["w"] or 0
+    parts = ranges(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    aim = max(1, -(-total // parts))
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell: bounded
+    cells = weights.groupBy("cell").agg(F.sum("w").alias("__w")).select("cell", F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__base"))
+    inner = Window.partitionBy("cell").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)  # at most 2^(30 - CELL_BITS) keys
+    placed = weights.join(cells, "cell").select("key", "w", (F.col("__base") + F.coalesce(F.sum("w").over(inner), F.lit(0))).alias("at"))
+    heavy = F.col("w") > aim
+    starts = placed.groupBy(F.expr(f"at div {aim}").alias("range"), F.when(heavy, F.col("key")).alias("alone")).agg(F.min("key").alias("key"), F.max(F.when(heavy, F.col("w"))).alias("w"))
+    first = {}
+    for r in starts.select("key", "w").collect():
+        first[r["key"]] = -(-r["w"] // aim) if r["w"] else 1
+        if r["w"]:  # what comes behind a key of its own is another range
+            first.setdefault(r["key"] + 1, 1)
+    key = np.array(sorted(first) or [0], np.int64)
+    many = np.array([first[k] for k in sorted(first)] or [1], np.int64)
+    return key, np.cumsum(many) - many, many
+
+
 def curve_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, key), range-sorted by Hilbert key over all partitions. A hash of the id parts rows of one key, so copies spread over tasks.
 
-    The number of ranges grows with the bytes of the texts, which are summed first.
+    The number of ranges grows with the bytes of the texts, and each has about as many bytes (``curve_ranges``).
     """
-    schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("text", StringType()), StructField("key", LongType())])
+    shared = docs.sparkSession.sparkContext.broadcast(curve_ranges(docs, id_col, text_col))
+    n = int(shared.value[2].sum())
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("text", StringType()), StructField("tie", LongType()), StructField("key", LongType()), StructField("part", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, base, many = shared.value
         for b in batches:
-            keys = [hilbert_key(project(hashed_vectors(data, offsets))) for _, _, data, offsets in text_slices(b, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(keys) if keys else [], pa.int64())], schema.names)
+            key, _ = _keys(b, 1)
+            at = np.maximum(np.searchsorted(first, key, side="right") - 1, 0)
+            share = b.column(2).to_numpy(zero_copy_only=False) / 2.0 ** 64 + 0.5  # rises with the tie
+            part = base[at] + np.minimum((share * many[at]).astype(np.int64), many[at] - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(key), pa.array(part)], schema.names)
 
-    keyed = columns(docs, id_col, text_col).mapInArrow(run, schema).withColumn("tie", F.xxhash64("id", F.octet_length("text")))
-    size = columns(docs, text_col).agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))).alias("size")).first()["size"] or 0
-    parts = ranges(size, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return keyed.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie", "id").drop("tie")
+    text = F.col(f"`{text_col}`").cast("string")
+    tied = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.octet_length(text)).alias("tie"))
+    keyed = tied.mapInArrow(run, schema)
+    return keyed.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("key", "tie", "id").select("id", "text", "key")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,8 +242,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
     documents of their own; an empty table gives no rows; other columns are
     not read. ``tokenizer`` is the path of a tokenizer file on every machine.
 
-    Texts are shuffled once, tokenised where they lie in curve order and
-    written; only a token count per partition comes to the driver.
+    Texts are shuffled once, in ranges of about equal bytes, tokenised where
+    they lie in curve order and written; only the ranges and a token count per
+    partition come to the driver.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType

@@ -104,6 +104,26 @@ def test_ranges_grow_with_the_bytes(spark, monkeypatch):
     assert sorted(packing.pack(df, tokenizer_path()).drop("ids").collect()) == sorted(whole)  # the layout is the same
 
 
+def test_ranges_are_even_in_bytes_with_long_texts_and_a_hot_key(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(packing, "LEAST_BYTES", 2_000)
+    monkeypatch.setattr(packing, "MOST_BYTES", 2_000)
+    rng = np.random.default_rng(3)
+    rows = [(i, "one text many times over") for i in range(600)]
+    rows += [(1000 + i, rng.integers(97, 123, int(n)).astype(np.uint8).tobytes().decode()) for i, n in enumerate(rng.integers(1, 60, 300))]
+    rows += [(2000 + i, rng.integers(97, 101, 1500).astype(np.uint8).tobytes().decode()) for i in range(8)]
+    got = packing.curve_order(docs(spark, rows)).select("id", "key", F.octet_length("text").alias("n"), F.spark_partition_id().alias("p")).collect()
+    assert sorted(r["id"] for r in got) == sorted(i for i, _ in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["p"], []).append(r)
+    assert max(sum(r["n"] + 1 for r in v) for v in by.values()) <= 2 * 2_000 + 1501
+    assert len({r["p"] for r in got if r["id"] < 600}) >= 7  # the copies are not in one task
+    along = [r["key"] for p in sorted(by) for r in by[p]]
+    assert along == sorted(along)
+    check(rows, packing.pack(docs(spark, rows), tokenizer_path(), 100).collect(), 100)
+
+
 def test_copies_are_neighbours_on_the_curve():
     raws = [b"the same words here " * 9, b"completely different 12345", b"the same words here " * 9 + b"x"]
     data, offsets = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
