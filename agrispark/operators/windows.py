@@ -4,7 +4,8 @@ Windows always partition by a series key; an un-partitioned window would pull
 the whole table into one task. Where the reference works on one series, the
 table form carries a ``series_key`` so many series run in parallel. W1 and W2
 go through ``look_back``: one sort serves both, and a key with very many rows is
-cut into segments that carry over the last rows of the one before.
+cut into segments that carry over the last rows of the one before. W4 and W5
+number the rows of a long series segment by segment (``in_segments``).
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DateType
+
 from ..streaming import require_bounded
 
 
@@ -65,6 +68,41 @@ def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: in
     return written(df.repartitionByRange(max(1, int(parts)), *keys, *order).withColumn("__seg", F.spark_partition_id()))
 
 
+def in_segments(df: DataFrame, key: str, order: str, segment_rows: int, known: str | None = None) -> DataFrame | None:
+    """Rows of a series that is too long for one task, segment by segment; None if no series is.
+
+    Adds ``__seg``, ``__pos`` (position in the whole series) and ``__n`` (rows of
+    the series); with ``known`` also ``__pre`` and ``__post``: (position, value)
+    of the last value of ``known`` in the segments before and of the first one in those after. Each
+    segment is numbered by itself; what it takes from the others goes through a
+    table with a row per series and segment. A series has one row for each
+    value of ``order``, so one that is ordered by date is never that long and is not counted.
+    """
+    if isinstance(df.schema[order].dataType, DateType):
+        return None
+    size = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("rows")).first()
+    if (size["top"] or 0) <= segment_rows:
+        return None
+    rows = segments(df, [key], [order], -(-size["rows"] * 2 // segment_rows))
+    rows = rows.withColumn("__in", F.row_number().over(_spec([key, "__seg"], [order])))
+    whole = Window.partitionBy(key).orderBy("__seg")
+    before, after = whole.rowsBetween(Window.unboundedPreceding, -1), whole.rowsBetween(1, Window.unboundedFollowing)
+    aggs, ends = [F.count(F.lit(1)).alias("__rows")], []
+    if known:
+        at = F.when(F.col(known).isNotNull(), F.struct(F.col("__in").alias("pos"), F.col(known).alias("value")))
+        aggs += [F.max(at).alias("__last"), F.min(at).alias("__first")]
+    parts = rows.groupBy(key, "__seg").agg(*aggs).withColumns({
+        "__off": F.coalesce(F.sum("__rows").over(before), F.lit(0)), "__n": F.sum("__rows").over(Window.partitionBy(key))})
+    if known:
+        def shifted(c: str):
+            return F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.pos") + F.col("__off")).alias("pos"), F.col(f"{c}.value").alias("value")))
+        parts = parts.withColumns({"__pre": F.last(shifted("__last"), ignorenulls=True).over(before), "__post": F.first(shifted("__first"), ignorenulls=True).over(after)})
+        ends = ["__pre", "__post"]
+    parts = parts.select(F.col(key).alias("__key"), F.col("__seg").alias("__part"), "__off", "__n", *ends)
+    joined = rows.join(parts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__seg") == F.col("__part")))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], "__seg", (F.col("__off") + F.col("__in")).alias("__pos"), "__n", *ends)
+
+
 def lag_column(col: str, n: int = 1):
     return lambda w: F.lag(col, n).over(w)
 
@@ -102,50 +140,58 @@ def month_bucket(df: DataFrame, key: str, time: str, value: str, agg: str = "avg
     return grid.join(m, [key, "month"], "left")
 
 
-def interpolate_linear(df: DataFrame, key: str, order: str, value: str, out: str | None = None) -> DataFrame:
+def interpolate_linear(df: DataFrame, key: str, order: str, value: str, out: str | None = None,
+                       segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Fill interior gaps linearly **by position**; edges stay null.
 
     Previous / next non-null value and their row positions come from
     ``last/first(ignoreNulls)`` windows in both directions (one sort per
-    series key).
+    series key). A series of more than ``segment_rows`` rows is filled segment by
+    segment; a gap over an end takes the value beyond it from the other segments.
     """
     require_bounded(df)
     out = out or value
-    w = Window.partitionBy(key).orderBy(order)
-    d = df.withColumn("__pos", F.row_number().over(w))
-    known_pos = F.when(F.col(value).isNotNull(), F.col("__pos"))
+    d = in_segments(df, key, order, segment_rows, known=value)
+    if d is None:
+        w = Window.partitionBy(key).orderBy(order)
+        d = df.withColumn("__pos", F.row_number().over(w))
+        end = {"__pre": F.lit(None), "__post": F.lit(None)}
+    else:
+        w = Window.partitionBy(key, "__seg").orderBy(order)
+        end = {"__pre": F.col("__pre"), "__post": F.col("__post")}
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col("__pos").cast("long").alias("pos"), F.col(value).alias("value")))
     back = w.rowsBetween(Window.unboundedPreceding, 0)
     fwd = w.rowsBetween(0, Window.unboundedFollowing)
     d = d.withColumns({
-        "__pv": F.last(value, ignorenulls=True).over(back),
-        "__pp": F.last(known_pos, ignorenulls=True).over(back),
-        "__nv": F.first(value, ignorenulls=True).over(fwd),
-        "__np": F.first(known_pos, ignorenulls=True).over(fwd),
+        "__p": F.coalesce(F.last(known, ignorenulls=True).over(back), end["__pre"]),
+        "__q": F.coalesce(F.first(known, ignorenulls=True).over(fwd), end["__post"]),
     })
-    frac = (F.col("__pos") - F.col("__pp")).cast("double") / (F.col("__np") - F.col("__pp")).cast("double")
+    frac = (F.col("__pos") - F.col("__p.pos")).cast("double") / (F.col("__q.pos") - F.col("__p.pos")).cast("double")
     filled = (F.when(F.col(value).isNotNull(), F.col(value))
-              .when(F.col("__pv").isNotNull() & F.col("__nv").isNotNull(),
-                    F.col("__pv") + (F.col("__nv") - F.col("__pv")) * frac))
-    return d.withColumn(out, filled).drop("__pos", "__pv", "__pp", "__nv", "__np")
+              .when(F.col("__p").isNotNull() & F.col("__q").isNotNull(),
+                    F.col("__p.value") + (F.col("__q.value") - F.col("__p.value")) * frac))
+    return d.withColumn(out, filled).drop("__pos", "__n", "__seg", "__pre", "__post", "__p", "__q")
 
 
 def chrono_split(df: DataFrame, key: str, order: str, frac: float = 0.8,
-                 min_train: int = 24, min_test: int = 6) -> DataFrame:
+                 min_train: int = 24, min_test: int = 6, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """W5 (+Q4): first int(n*frac) points train, the rest test, per series.
 
     Adds ``split`` ('train' / 'test') and ``series_ok``; series that fail the
     24/6 rule are kept but flagged (callers route them to a rejected output
-    or raise, see ``quality.min_history``).
+    or raise, see ``quality.min_history``). A series of more than
+    ``segment_rows`` rows is numbered segment by segment.
     """
     require_bounded(df)
-    w = Window.partitionBy(key).orderBy(order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    d = df.withColumns({"__rn": F.row_number().over(w), "__n": n})
-    n_train = F.floor(F.col("__n") * F.lit(frac)).cast("int")
+    d = in_segments(df, key, order, segment_rows)
+    if d is None:
+        w = Window.partitionBy(key).orderBy(order)
+        d = df.withColumns({"__pos": F.row_number().over(w), "__n": F.count(F.lit(1)).over(Window.partitionBy(key))})
+    n_train = F.floor(F.col("__n") * F.lit(frac)).cast("long")
     return d.withColumns({
-        "split": F.when(F.col("__rn") <= n_train, "train").otherwise("test"),
+        "split": F.when(F.col("__pos") <= n_train, "train").otherwise("test"),
         "series_ok": (n_train >= min_train) & ((F.col("__n") - n_train) >= min_test),
-    }).drop("__rn", "__n")
+    }).drop("__pos", "__n", "__seg")
 
 
 def with_steps(df: DataFrame, key: str, steps: int | DataFrame) -> DataFrame:

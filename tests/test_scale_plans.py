@@ -39,6 +39,26 @@ def test_segments_shorter_than_what_a_window_looks_back(spark):
     assert [r["s"] for r in got] == [float(sum(range(max(0, i - 9), i + 1))) for i in range(60)]
 
 
+def test_a_series_with_all_rows_is_filled_and_split_in_segments(spark):
+    # gaps over whole segments, edges without a value, a series without any, one of one row, a null key
+    hot = spark.range(2000).select(F.lit("x").alias("k"), (F.col("id") * 7919 % 2000).alias("t"))
+    hot = hot.withColumn("v", F.when((F.col("t") > 30) & (F.col("t") < 1900) & ~F.col("t").between(500, 1100) & (F.col("t") % 5 == 0), F.col("t") * F.col("t") % 97).cast("double"))
+    none = spark.range(50).select(F.lit("none").alias("k"), F.col("id").alias("t"), F.lit(None).cast("double").alias("v"))
+    null = spark.range(40).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("t"), F.when(F.col("id") % 7 == 3, F.col("id")).cast("double").alias("v"))
+    df = hot.unionByName(none).unionByName(null).unionByName(spark.createDataFrame([("one", 3, 2.5)], "k string, t long, v double"))
+    filled, split = _rows(W.interpolate_linear(df, "k", "t", "v", "f")), _rows(W.chrono_split(df, "k", "t"))
+    assert sum("f=None" in r for r in filled) < len(filled) / 4
+    for size in (60, 1500):
+        assert _rows(W.interpolate_linear(df, "k", "t", "v", "f", segment_rows=size)) == filled, size
+        assert _rows(W.chrono_split(df, "k", "t", segment_rows=size)) == split, size
+    assert W.in_segments(df, "k", "t", 2000) is None
+    seg = W.in_segments(df, "k", "t", 100, known="v")
+    assert seg.groupBy("__seg").count().agg(F.max("count")).first()[0] <= 100
+    dates = df.withColumn("t", F.date_add(F.lit("2000-01-01").cast("date"), F.col("t").cast("int")))
+    assert W.in_segments(dates, "k", "t", 10) is None  # a row a date: never that long
+    assert W.chrono_split(df.limit(0), "k", "t").count() == 0 and W.interpolate_linear(df.limit(0), "k", "t", "v").count() == 0
+
+
 def test_tiered_match_equals_comparing_all_names(spark):
     rnd = random.Random(5)
     names = ["".join(rnd.choice("abAB é") for _ in range(rnd.randrange(0, 9))) for _ in range(200)] + [None, "springfield", "Spring", "new spring"]
