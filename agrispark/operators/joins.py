@@ -13,6 +13,9 @@ Broadcast policy
   **not** hinted: AQE measures the shuffle output at runtime and turns the join
   into a broadcast only when the measured side is below
   ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
+* Two tables that grow together (rows and their scores) meet in ``join_keyed``:
+  always a shuffle on their key, as the file statistics of a well-packed table
+  would have it broadcast through the driver.
 * ``collect_bounded`` is the one place a small derived table is brought to the
   driver (model parameters such as centroids), and only after a bounded
   ``limit(n + 1)`` count proves the bound.
@@ -55,6 +58,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000, what: str = "rule
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def join_keyed(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two tables that grow together on their key: a sort-merge join whatever Spark takes their sizes for.
+
+    A Parquet file of a few MB can hold a million rows, so its size says little of what
+    a broadcast of them takes on the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def written(df: DataFrame) -> DataFrame:
     """An intermediate as a Parquet table in the shared folder: cuts the lineage, survives lost executors, keeps its column statistics."""
     from ..session import scratch_path

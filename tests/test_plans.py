@@ -46,3 +46,20 @@ def test_nearest_centroid_is_a_projection(spark):
 def test_timeline_window_shares_one_sort(spark):
     p = plan(REG["ML17_build_timeline"].fn(spark, SF_SMALL))
     assert p.count("Window [") == 1
+
+
+@pytest.mark.parametrize("name", ["F7_allowed_labels", "ML10_recommend_hybrid", "ML11_classify_with_constraints", "ML12_recommend_zone", "Q6_forbidden_label_check",
+                                  "X5_climate_weight", "X19_renormalise", "X22_insight_text", "X23_confidence_gate", "X27_merge_results"])
+def test_rows_and_their_scores_are_never_broadcast(spark, name):
+    # the customer file is far below the broadcast threshold here, as a well-packed one of a million rows is
+    df = REG[name].fn(spark, SF_SMALL)
+    lines = plan(df).splitlines()
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            below = []
+            for x in lines[i + 1:]:
+                if len(x) - len(x.lstrip(" :+-*()0123456789")) <= depth:
+                    break
+                below.append(x)
+            assert not [x for x in below if "FileScan" in x], line
