@@ -77,31 +77,61 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     rec.select("id", F.col("sha256"), header.alias("warc_header"), http.alias("http_header")).write.parquet(f"{path}/records")
 
 
+def _restored(spark: SparkSession, path: str) -> DataFrame:
+    """(id, sha256, record): the exact bytes of every record, headers and body, from the two tables.
+
+    A response's body comes from the payloads by a join on its address; a
+    revisit has no body, so its row, of which a payload may have very many, needs
+    no join. A response whose payload isn't stored has a null record.
+    """
+    records, payloads = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
+    revisit = F.col("warc_header").contains(f"{CRLF}WARC-Type: revisit{CRLF}")
+    bodies = records.where(~revisit).join(payloads, "sha256", "left")
+    bare = records.where(revisit).withColumn("payload", F.lit("").cast("binary"))
+    head = F.concat(F.col("warc_header"), F.col("http_header")).cast("binary")
+    return bodies.unionByName(bare).select("id", "sha256", F.concat(head, F.col("payload")).alias("record"))
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Read the archive back: one row per record, from its exact header and its stored payload.
+    """Read the archive back: one row per record, parsed from its restored bytes.
 
     (id, sha256, payload_bytes, payload_digest, record_type, refers_to,
-    warc_header, http_header). Length and digests are taken from the stored
-    bytes, not from the headers; a stored payload that doesn't match its address, or a header that
-    names another digest, stops the read. refers_to is the id as text.
+    warc_header, http_header). Every record is put together again from its exact headers and
+    its stored payload (``reconstruct`` has the bytes) and cut by its own lengths;
+    length and digests are taken from the payload found in it. A revisit has
+    those of the response it refers to, looked up by address and record id. A payload that
+    doesn't match its address, a length or digest other than the headers tell, or a
+    revisit whose response isn't there, stops the read. refers_to is the id as text.
     """
-    stored = spark.read.parquet(f"{path}/payloads")
-    checked = stored.select(F.col("sha256"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
-                            (F.sha2("payload", 256) == F.col("sha256")).alias("sound"))
-    checked = materialize(checked, "warc-checked")
-    field = lambda key: F.regexp_extract("warc_header", rf"(?m)^{re.escape(key)}: ([^\r\n]*)", 1)
-    sound = F.col("sound") & (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")))
-    joined = spark.read.parquet(f"{path}/records").join(checked, "sha256", "left")
-    refers = F.regexp_extract(field("WARC-Refers-To"), r"^<urn:record:(.*)>$", 1)
-    return joined.select("id", "sha256", "payload_bytes", F.when(F.coalesce(sound, F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.lit("payload and digest differ"))).alias("payload_digest"),
-                         field("WARC-Type").alias("record_type"), F.when(refers != "", refers).alias("refers_to"), "warc_header", "http_header")
+    blank, mismatch = CRLF + CRLF, F.raise_error(F.lit("payload and digest differ"))
+    text = lambda c: F.col(c).cast("string")
+    upto = lambda c: F.concat(F.substring_index(text(c), blank, 1), F.lit(blank))
+    after = lambda c, head: F.expr(f"substring({c}, octet_length({head}) + 1)")
+    field = lambda c, key: F.regexp_extract(c, rf"(?m)^{re.escape(key)}: ([^\r\n]*)", 1)
+    name = lambda key: F.regexp_extract(field("warc_header", key), r"^<urn:record:(.*)>$", 1)
+    cut = _restored(spark, path).withColumn("warc_header", upto("record")).withColumn("block", after("record", "warc_header"))
+    cut = cut.withColumn("http_header", upto("block")).withColumn("payload", after("block", "http_header"))
+    told = F.regexp_extract(field("warc_header", "WARC-Payload-Digest"), r"^sha1:(.*)$", 1)
+    n = F.octet_length("payload").cast("long")
+    whole = field("warc_header", "Content-Length") == F.octet_length("block").cast("string")
+    sound = whole & (field("http_header", "Content-Length") == n.cast("string")) & (F.sha2("payload", 256) == F.col("sha256")) & (base32_sha1(F.col("payload")) == told)
+    parsed = cut.select("id", "sha256", "warc_header", "http_header", field("warc_header", "WARC-Type").alias("record_type"), name("WARC-Record-ID").alias("record_id"),
+                        name("WARC-Refers-To").alias("refers"), told.alias("told"), field("http_header", "Content-Length").alias("told_bytes"), n.alias("n"), base32_sha1(F.col("payload")).alias("sha1"),
+                        F.coalesce(F.when(field("warc_header", "WARC-Type") == "revisit", whole).otherwise(sound), F.lit(False)).alias("sound"))
+    parsed = materialize(parsed, "warc-parsed")
+    out = ("id", "sha256", "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers") != "", F.col("refers")).alias("refers_to"), "warc_header", "http_header")
+    full = parsed.where("record_type <> 'revisit'").withColumn("payload_bytes", F.col("n")).withColumn("payload_digest", F.when(F.col("sound"), F.col("sha1")).otherwise(mismatch))
+    held = full.groupBy("sha256", F.col("record_id").alias("refers")).agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("held"))
+    again = parsed.where("record_type = 'revisit'").join(held, ["sha256", "refers"], "left")
+    same = F.col("sound") & (F.col("held") == F.col("told")) & (F.col("payload_bytes").cast("string") == F.col("told_bytes"))
+    again = again.withColumn("payload_digest", F.when(F.coalesce(same, F.lit(False)), F.col("held")).otherwise(mismatch))
+    return full.select(*out).unionByName(again.select(*out))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """(id, record): the exact bytes of every record, headers and body, without the closing blank lines. A revisit has no body."""
-    records, payloads = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
-    body = F.when(F.col("warc_header").contains(f"{CRLF}WARC-Type: revisit{CRLF}"), F.lit("").cast("binary")).otherwise(F.col("payload"))
-    return records.join(payloads, "sha256").select("id", F.concat(F.col("warc_header").cast("binary"), F.col("http_header").cast("binary"), body).alias("record"))
+    whole = F.coalesce(F.col("record"), F.raise_error(F.lit("a response's payload isn't stored")).cast("binary"))
+    return _restored(spark, path).select("id", whole.alias("record"))
 
 
 def export_warc(spark: SparkSession, path: str, target: str) -> None:
