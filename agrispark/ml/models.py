@@ -43,6 +43,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a training table that one task is given, about.
+SPREAD_ROWS = 50_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in parts of about ``SPREAD_ROWS`` rows, written once; unchanged if it has enough parts.
+
+    A well-packed Parquet file of a million rows is one or two scan tasks, and
+    everything fitted on it would go on in as many. The rows are dealt and ordered by a hash of
+    the whole row, so neither a hot nor a null key matters and equal input gives equal parts.
+    """
+    parts = -(-df.count() // SPREAD_ROWS)
+    if parts <= df.rdd.getNumPartitions():
+        return df
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return materialize(df.repartition(parts, row).sortWithinPartitions(row))
+
+
 def together(spark, calls: Sequence, at_once: int = 4) -> list:
     """Results of independent jobs, ``at_once`` of them running at a time, each in a scheduler pool of its own.
 
@@ -103,7 +121,7 @@ def _classes(df: DataFrame, label: str) -> list[str]:
 def train_crop_recommender(df: DataFrame, label: str, key: str, feats: Sequence[str], num_trees: int = 300,
                            min_leaf: int = 2, max_depth: int = MAX_DEPTH, seed: int = 42) -> dict:
     """ML1: forest on soil features, stratified split, metrics, and rule tables fit on train."""
-    d = stratified_split(df.where(F.col(label).isNotNull()), label, key, 0.2, seed)
+    d = stratified_split(spread(df.where(F.col(label).isNotNull())), label, key, 0.2, seed)
     d = materialize(impute_median(materialize(d), list(feats)))
     classes = _classes(d, label)
     idx = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc")
@@ -121,7 +139,7 @@ def train_crop_recommender(df: DataFrame, label: str, key: str, feats: Sequence[
 def train_zone_classifier(df: DataFrame, label: str, key: str, numeric: Sequence[str], zone: str = "region_type",
                           num_trees: int = 300, min_leaf: int = 2, max_depth: int = MAX_DEPTH, seed: int = 42) -> dict:
     """ML2: balanced forest (class weights), sqrt feature subsets, numeric + one-hot zone; rows with a null are dropped."""
-    d = materialize(stratified_split(df.na.drop(subset=[label, *numeric, zone]), label, key, 0.2, seed))
+    d = materialize(stratified_split(spread(df.na.drop(subset=[label, *numeric, zone])), label, key, 0.2, seed))
     train = class_weights(d.where(F.col("dataset_split") == "train"), label, "weight")
     classes = _classes(d, label)
     stages = [StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc"),
@@ -143,7 +161,7 @@ def train_label_classifier(df: DataFrame, label: str, key: str, feats: Sequence[
     The metrics also tell the table's size: rows, classes and the largest class's share.
     """
     require_min_classes(df, label, min_classes)
-    d = stratified_split(df.where(F.col(label).isNotNull()), label, key, 0.2, seed)
+    d = stratified_split(spread(df.where(F.col(label).isNotNull())), label, key, 0.2, seed)
     d = materialize(impute_median(materialize(d), list(feats)))
     train = class_weights(d.where(F.col("dataset_split") == "train"), label, "weight")
     classes = _classes(d, label)
@@ -286,7 +304,8 @@ def train_yield_band_classifier(df: DataFrame, target: str, key: str, numeric: S
 # --------------------------------------------------------------------------
 
 def _prepared(df: DataFrame, feats: Sequence[str]) -> DataFrame:
-    d = df if "dataset_split" in df.columns else df.withColumn("dataset_split", F.lit("train"))
+    d = spread(df)
+    d = d if "dataset_split" in d.columns else d.withColumn("dataset_split", F.lit("train"))
     d = materialize(impute_median(materialize(d), list(feats)))
     return materialize(standardise(d, list(feats), prefix="z_"))
 
@@ -425,6 +444,7 @@ def training_run(spark, soil: DataFrame, label: str, key: str, feats: Sequence[s
     import datetime as dt
     from ..sources.history import HISTORY_SCHEMA, append_snapshot, load_model_bundle, read_log
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    soil = spread(soil)
     rec = train_crop_recommender(soil, label, key, feats, num_trees, 2, max_depth, seed)
     km = kmeans_fit(soil, feats, 3, seed)
     rows = metrics_rows("crop_recommender", rec["metrics"], now) + [(now, "clustering", "inertia", km["inertia"])]

@@ -228,3 +228,18 @@ def test_independent_fits_run_together_and_keep_their_order(spark):
     assert ML.together(spark, [lambda i=i: call(i) for i in range(6)], at_once=3) == [0, 10, 20, 30, 40, 50]
     with pytest.raises(ZeroDivisionError):
         ML.together(spark, [lambda: 1, lambda: 1 // 0])
+
+
+def test_training_tables_in_one_file_are_spread_over_tasks(spark, monkeypatch):
+    from agrispark.ml import models as M
+    rows = [(i, f"c{i % 5}", float(i % 7), float(i % 11), float(i % 13)) for i in range(400)] + [(None, "c0", 1.0, 1.0, 1.0)] * 2
+    one = spark.createDataFrame(rows, "k long, label string, temperature double, rainfall double, humidity double").coalesce(1)
+    assert M.spread(one) is one
+    monkeypatch.setattr(M, "SPREAD_ROWS", 100)
+    dealt = M.spread(one)
+    assert dealt.rdd.getNumPartitions() == 5 and max(dealt.rdd.glom().map(len).collect()) < 200
+    assert sorted(dealt.collect(), key=str) == sorted(one.collect(), key=str)
+    seen, split = [], M.stratified_split
+    monkeypatch.setattr(M, "stratified_split", lambda d, *a: seen.append(d.rdd.getNumPartitions()) or split(d, *a))
+    M.train_label_classifier(one.where("k is not null"), "label", "k", num_trees=2, max_depth=2)
+    assert seen == [4]
