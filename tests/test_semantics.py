@@ -87,6 +87,25 @@ def test_all_weights_zero_gives_high_risk(spark):
     assert out["score"] == 0.0 and out["confidence"] == 0.0 and out["risk_level"] == "high"
 
 
+def test_every_label_of_a_row_gets_a_climate_weight(spark, tmp_path):
+    """A label without a band weighs 1 and stays, in the query and its SQL twin; repeated keys meet each other."""
+    import duckdb
+    from agrispark.plans.demo_decide import CLASSES
+    from agrispark.plans.registry import load_all
+    x5 = load_all()["X5_climate_weight"]
+    path = str(tmp_path / "customer.parquet")
+    spark.createDataFrame([(20, -2400.0), (35, 0.0), (70, None), (41, 900.0), (41, 6000.0)], "c_custkey long, c_acctbal double").coalesce(1).write.parquet(path)
+    got = rows(x5.fn(spark, str(tmp_path)), "c_custkey", "label", "weight")
+    banded = {20: {"wheat": 1.0, "rice": 1.0, "cotton": 1.0, "maize": 1.0, "sugarcane": 1.0, "coffee": 0.0}}
+    banded[35] = banded[70] = {"wheat": 0.45, "rice": 0.0, "cotton": 0.0, "maize": 0.0, "sugarcane": 0.0, "coffee": 0.0}
+    for key, weights in banded.items():
+        assert sorted(r[1:] for r in got if r[0] == key) == sorted({**dict.fromkeys(CLASSES, 1.0), **weights}.items())
+    assert len(CLASSES) > 6 and len([r for r in got if r[0] == 41]) == 4 * len(CLASSES)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert sorted(got) == sorted(con.execute(x5.sql).fetchall())
+
+
 # --- coercion, NaN and null keys ------------------------------------------------
 
 def test_coerce_double_nan_and_junk(spark):
